@@ -54,3 +54,119 @@ def q_empty_sites(spark, sf):
     pages = _pages(spark, sf)
     return (rollups.empty_site_scores(pages, records.sites(spark, sf))
             .select("site", "overall_score", "grade", F.lit("no_pages").alias("rule_name")))
+
+
+# --- page extraction and URLs ---------------------------------------------
+
+from ..functions import urls as U  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..operators import linkgraph  # noqa: E402
+from ..sources import pages as P  # noqa: E402
+
+NETLOC_SQL = "regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)"
+PATH_SQL = "regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+
+
+def _site_sql(u: str) -> str:
+    return f"replace({NETLOC_SQL.format(u=u)}, 'www.', '')"
+
+
+def _unescape_sql(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"),
+                    ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+PAGE_CONTENT_SQL = f"""
+art0 AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1) AS art FROM pages),
+art1 AS (SELECT page_id, url, html, art,
+   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(art,
+     '(?s)<!--.*?-->', '', 'g'), '(?s)<script\\b.*?</script>', '', 'g'), '(?s)<style\\b.*?</style>', '', 'g'),
+     '(?s)<nav\\b.*?</nav>', '', 'g'), '(?s)<footer\\b.*?</footer>', '', 'g'), '(?s)<noscript\\b.*?</noscript>', '', 'g') AS clean
+   FROM art0),
+pc AS (SELECT page_id, url, html, art,
+   array_to_string(list_filter(list_transform(regexp_split_to_array(clean, '<[^>]*>'),
+       lambda x: {_strip_sql(_unescape_sql('x'))}), lambda x: x <> ''), chr(10)) AS content
+   FROM art1)"""
+
+
+@query("page_titles", f"""SELECT page_id, {_site_sql('url')} AS site,
+  {_strip_sql(_unescape_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"))} AS title FROM pages""")
+def q_page_titles(spark, sf):
+    return P.pages_extracted(spark, sf).select(F.col("ord").alias("page_id"), "site", "title")
+
+
+@query("page_text_stats", f"""WITH {PAGE_CONTENT_SQL}
+SELECT page_id, CAST(length(content) AS INTEGER) AS content_chars,
+  CAST(len(regexp_extract_all(content, '\\S+')) AS INTEGER) AS content_words,
+  CAST(len(regexp_extract_all(art, '<h[1-6][\\s>]')) AS INTEGER) AS n_headings,
+  md5(content) AS content_md5, false AS has_tables, 0 AS n_links FROM pc""")
+def q_page_text_stats(spark, sf):
+    p = P.pages_extracted(spark, sf)
+    return p.select(F.col("ord").alias("page_id"), F.length("content").alias("content_chars"),
+                    TX.word_count("content").alias("content_words"), F.size("headings").alias("n_headings"),
+                    F.md5("content").alias("content_md5"), "has_tables", F.size("links").alias("n_links"))
+
+
+@query("site_names", f"SELECT page_id, url, {_site_sql('url')} AS site FROM pages")
+def q_site_names(spark, sf):
+    return P.raw_pages(spark, sf).select("page_id", "url", U.site_name("url").alias("site"))
+
+
+@query("valid_paths", f"""SELECT page_id, url, NOT regexp_matches(lower({PATH_SQL.format(u='url')}),
+  '/assets/|/images/|/css/|/js/|/api/|/admin/|/login/|/logout/|\\.pdf|\\.jpg|\\.png|\\.gif|\\.css|\\.js') AS valid FROM pages""")
+def q_valid_paths(spark, sf):
+    return P.raw_pages(spark, sf).select("page_id", "url", U.valid_path("url").alias("valid"))
+
+
+@query("normalized_urls", """SELECT page_id, CASE WHEN regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') = '' THEN NULL
+  ELSE regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') END AS normalized FROM pages""")
+def q_normalized_urls(spark, sf):
+    return P.raw_pages(spark, sf).select("page_id", U.normalize_url("url").alias("normalized"))
+
+
+@query("file_names", f"""SELECT page_id, CASE WHEN regexp_replace({PATH_SQL.format(u='url')}, '^/+|/+$', '', 'g') <> '' THEN
+  (CASE WHEN ends_with(regexp_replace(lower(replace(regexp_replace({PATH_SQL.format(u='url')}, '^/+|/+$', '', 'g'), '/', '-')), '\\.(html?|php|aspx?)$', ''), '.md')
+        THEN regexp_replace(lower(replace(regexp_replace({PATH_SQL.format(u='url')}, '^/+|/+$', '', 'g'), '/', '-')), '\\.(html?|php|aspx?)$', '')
+        ELSE regexp_replace(lower(replace(regexp_replace({PATH_SQL.format(u='url')}, '^/+|/+$', '', 'g'), '/', '-')), '\\.(html?|php|aspx?)$', '') || '.md' END)
+  ELSE 'untitled.md' END AS file_name FROM pages""")
+def q_file_names(spark, sf):
+    return P.raw_pages(spark, sf).select("page_id", U.file_name(F.lit("Untitled"), "url").alias("file_name"))
+
+
+LINK_EDGES_SQL = f"""WITH a AS (
+  SELECT url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href0,
+         unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS txt
+  FROM pages),
+b AS (SELECT url, {_unescape_sql('href0')} AS href, txt FROM a
+      WHERE NOT regexp_matches({_unescape_sql('href0')}, '(?i)(\\.png|\\.jpg|\\.gif|\\.svg|\\.css|\\.js|\\.woff|\\.pdf|mailto:|javascript:|#$|/login|/signup|/auth|/console|/search\\?|/changelog|/blog)')
+        AND {_strip_sql(_unescape_sql('txt'))} <> ''),
+c AS (SELECT url, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href
+                       WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || href
+                       ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS abs FROM b),
+d AS (SELECT {_site_sql('url')} AS site, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS src,
+             regexp_replace(regexp_replace(abs, '#.*$', ''), '/+$', '') AS dst, abs FROM c WHERE starts_with(abs, 'http'))
+SELECT DISTINCT site, src, dst FROM d WHERE dst <> '' AND {NETLOC_SQL.format(u='dst')} = {NETLOC_SQL.format(u='src')}"""
+
+
+@query("link_edges", LINK_EDGES_SQL)
+def q_link_edges(spark, sf):
+    return linkgraph.link_edges(P.pages_extracted(spark, sf))
+
+
+@query("reachable_pages")
+def q_reachable_pages(spark, sf):
+    r = linkgraph.reachable(P.pages_extracted(spark, sf))
+    return r.select("site", "url", "depth", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+
+
+@query("frontier")
+def q_frontier(spark, sf):
+    pages = P.pages_extracted(spark, sf)
+    roots = pages.select("site", F.concat(U.origin("url"), F.lit("/")).alias("url")).distinct()
+    return linkgraph.frontier(pages, roots)
