@@ -170,3 +170,186 @@ def q_frontier(spark, sf):
     pages = P.pages_extracted(spark, sf)
     roots = pages.select("site", F.concat(U.origin("url"), F.lit("/")).alias("url")).distinct()
     return linkgraph.frontier(pages, roots)
+
+
+# --- scoring, recommendations, history --------------------------------------
+
+from ..operators import history, scoring  # noqa: E402
+
+FLAT_PAGES_SQL = f"sp AS (SELECT {fixtures.SITE_PAGES_SELECT} FROM documents)"
+PQS_SQL = f"""WITH {FLAT_PAGES_SQL},
+pq AS (SELECT site, ord, url,
+  'Query about: ' || coalesce(nullif(title, ''), url) AS query,
+  least(1.0, 0.5 + (length(coalesce(content, '')) / 5000) * 0.3 + (CASE WHEN code_txt IS NOT NULL THEN 0.2 ELSE 0.0 END)) AS acc,
+  least(1.0, 0.4 + (CASE WHEN heading_txt <> '' AND len(string_split(heading_txt, '|')) >= 2 THEN 0.3 ELSE 0.0 END)
+             + (length(coalesce(content, '')) / 8000) * 0.3) AS prec,
+  least(5000, 800 + greatest(0, length(coalesce(content, '')) // 10)) AS lat,
+  least(1.0, 0.7 + (CASE WHEN heading_txt <> '' AND len(string_split(heading_txt, '|')) >= 2 THEN 0.2 ELSE 0.0 END)
+             + (CASE WHEN link_n > 0 THEN 0.1 ELSE 0.0 END)) AS cit,
+  code_txt IS NOT NULL AS code_valid
+  FROM sp)"""
+
+
+@query("page_quality_signals", PQS_SQL + """
+SELECT site, ord, url, query, acc > 0.6 AS passed, round(acc, 9) AS confidence, round(acc, 9) AS accuracy_score,
+  round(prec, 9) AS retrieval_precision, CAST(lat AS INTEGER) AS latency_ms, round(cit, 9) AS citation_accuracy, code_valid FROM pq""")
+def q_page_quality_signals(spark, sf):
+    return scoring.page_quality_signals(_pages(spark, sf))
+
+
+def _score_sql(src: str, key: str, keys_sql: str | None = None) -> str:
+    comp = """(CASE WHEN m_lat < 1000 THEN 1.0 WHEN m_lat < 3000 THEN 0.8 WHEN m_lat < 5000 THEN 0.6 ELSE 0.4 END)"""
+    code = "(CASE WHEN n_code = 0 THEN 1.0 ELSE n_valid / n_code END)"
+    composite = (f"m_acc * CAST(0.3 AS DOUBLE) + m_prec * CAST(0.25 AS DOUBLE) + {comp} * CAST(0.1 AS DOUBLE) "
+                 f"+ m_cit * CAST(0.2 AS DOUBLE) + {code} * CAST(0.15 AS DOUBLE)")
+    grade = OR.grade_sql("overall")
+    body = f"""agg AS (SELECT {key}, count(*) AS query_count, round(avg(accuracy_score), 9) AS m_acc,
+      round(avg(retrieval_precision), 9) AS m_prec, round(avg(citation_accuracy), 9) AS m_cit, avg(latency_ms) AS m_lat,
+      sum(latency_ms) AS s_lat, count(code_valid) AS n_code, sum(CAST(code_valid AS INTEGER)) AS n_valid,
+      sum(CAST(passed AS INTEGER)) AS n_passed FROM ({src}) r GROUP BY {key}),
+s1 AS (SELECT *, CAST(round_even(({composite}) * 100, 0) AS INTEGER) AS overall FROM agg)
+SELECT {key}, overall, {grade} AS grade, CAST(round_even(m_acc * 100, 0) AS INTEGER) AS accuracy,
+  CAST(round_even(m_prec * 100, 0) AS INTEGER) AS context_utilization, CAST(round_even({comp} * 100, 0) AS INTEGER) AS latency,
+  CAST(round_even(m_cit * 100, 0) AS INTEGER) AS citation_quality, CAST(round_even({code} * 100, 0) AS INTEGER) AS code_executability,
+  CAST(query_count AS BIGINT) AS query_count, round(n_passed / query_count, 6) AS pass_rate,
+  CAST(floor(s_lat / query_count) AS BIGINT) AS avg_latency_ms FROM s1"""
+    if keys_sql:
+        body += f"""
+UNION ALL SELECT {key}, 0, 'F', 0, 0, 0, 0, 0, CAST(0 AS BIGINT), 0.0, CAST(0 AS BIGINT)
+  FROM ({keys_sql}) k WHERE {key} NOT IN (SELECT {key} FROM ({src}) r2)"""
+    return body
+
+
+QR_SQL = """SELECT l_orderkey AS analysis_id, l_returnflag <> 'R' AS passed, 1 - l_discount AS accuracy_score,
+  1 - l_tax * 5 AS retrieval_precision, 0.7 + l_tax * 2 AS citation_accuracy, CAST(l_quantity * 120 AS INTEGER) AS latency_ms,
+  CASE WHEN l_linestatus = 'F' AND l_linenumber = 1 THEN NULL ELSE l_linenumber % 3 <> 0 END AS code_valid FROM lineitem"""
+
+
+@query("query_scores", "WITH " + _score_sql(QR_SQL, "analysis_id", "SELECT o_orderkey AS analysis_id FROM orders"))
+def q_query_scores(spark, sf):
+    keys = records.analyses(spark, sf).select(F.col("id").alias("analysis_id"))
+    return scoring.score_queries(records.query_results(spark, sf), "analysis_id", keys)
+
+
+@query("site_friendliness", PQS_SQL + ", " + _score_sql(
+    "SELECT site, acc > 0.6 AS passed, round(acc, 9) AS accuracy_score, round(prec, 9) AS retrieval_precision, "
+    "round(cit, 9) AS citation_accuracy, CAST(lat AS INTEGER) AS latency_ms, code_valid FROM pq", "site"))
+def q_site_friendliness(spark, sf):
+    return scoring.score_queries(scoring.page_quality_signals(_pages(spark, sf)), "site")
+
+
+def _recs_sql() -> str:
+    fr = _score_sql("SELECT site, acc > 0.6 AS passed, round(acc, 9) AS accuracy_score, round(prec, 9) AS retrieval_precision, "
+                    "round(cit, 9) AS citation_accuracy, CAST(lat AS INTEGER) AS latency_ms, code_valid FROM pq", "site")
+    tmpl = " UNION ALL ".join(
+        f"SELECT {i} AS slot, '{comp}' AS comp, '{imp}' AS impact, '{eff}' AS effort, '{cat}' AS category, "
+        f"'{title}' AS title, {est} AS estimated_improvement"
+        for i, (comp, _t, imp, eff, cat, title, est) in enumerate(scoring.RECOMMENDATIONS))
+    return PQS_SQL + f""", {fr.replace('SELECT site, overall', 'SELECT site AS site, overall', 1)}"""
+
+
+def _recs_query_sql() -> str:
+    fr_body = _score_sql("SELECT site, acc > 0.6 AS passed, round(acc, 9) AS accuracy_score, round(prec, 9) AS retrieval_precision, "
+                         "round(cit, 9) AS citation_accuracy, CAST(lat AS INTEGER) AS latency_ms, code_valid FROM pq", "site")
+    head, final_select = fr_body.rsplit("\nSELECT ", 1)
+    tmpl = " UNION ALL ".join(
+        f"SELECT {i} AS slot, '{comp}' AS comp, '{imp}' AS impact, '{eff}' AS effort, '{cat}' AS category, "
+        f"'{title}' AS title, {est} AS estimated_improvement"
+        for i, (comp, _t, imp, eff, cat, title, est) in enumerate(scoring.RECOMMENDATIONS))
+    return PQS_SQL + f""", {head},
+fr AS (SELECT {final_select}),
+lg AS (SELECT site, 'accuracy' AS comp, accuracy AS v FROM fr UNION ALL SELECT site, 'code_executability', code_executability FROM fr
+       UNION ALL SELECT site, 'context_utilization', context_utilization FROM fr UNION ALL SELECT site, 'citation_quality', citation_quality FROM fr),
+t AS ({tmpl}),
+em AS (SELECT lg.site, t.* FROM lg JOIN t USING (comp) WHERE lg.v < 80),
+em2 AS (SELECT * FROM em UNION ALL
+        SELECT site, 4, 'none', 'low', 'low', 'optimization', 'Fine-tune for perfect agent experience', 1.0 FROM fr
+        WHERE site NOT IN (SELECT site FROM em)),
+rk AS (SELECT site, ord, url, length(coalesce(content, '')) < 500 AS is_short, code_txt IS NULL AS no_code,
+              row_number() OVER (PARTITION BY site ORDER BY ord) AS rn FROM sp),
+nc AS (SELECT site, ord, url, row_number() OVER (PARTITION BY site ORDER BY ord) AS rn FROM sp WHERE code_txt IS NULL),
+a1 AS (SELECT site, string_agg(url, ' ' ORDER BY ord) AS u FROM rk WHERE rn <= 3 AND is_short GROUP BY site),
+a2 AS (SELECT site, string_agg(url, ' ' ORDER BY ord) AS u FROM nc WHERE rn <= 5 GROUP BY site)
+SELECT em2.site, CAST(row_number() OVER (PARTITION BY em2.site ORDER BY slot) AS INTEGER) AS priority, impact, effort, category, title,
+  estimated_improvement,
+  CASE WHEN category = 'content_gap' THEN coalesce(a1.u, '') WHEN category = 'code_quality' THEN coalesce(a2.u, '') ELSE '' END AS affected_urls
+FROM em2 LEFT JOIN a1 USING (site) LEFT JOIN a2 USING (site)"""
+
+
+@query("recommendations", _recs_query_sql)
+def q_recommendations(spark, sf):
+    pages = _pages(spark, sf)
+    scores = scoring.score_queries(scoring.page_quality_signals(pages), "site")
+    return scoring.recommendations(scores, pages, "site")
+
+
+ANALYSES_SQL = """an AS (SELECT o_orderkey AS id, o_custkey % 200 AS site_id,
+  CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'RUNNING' WHEN 'P' THEN 'FAILED' ELSE 'QUEUED' END AS status,
+  CASE WHEN o_orderstatus = 'F' THEN CAST((o_orderkey * 37) % 101 AS INTEGER) END AS overall_score,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS completed_at,
+  CASE WHEN o_orderstatus = 'F' THEN CAST((o_orderkey * 41) % 101 AS INTEGER) END AS c_accuracy,
+  CASE WHEN o_orderstatus = 'F' THEN CAST((o_orderkey * 43) % 101 AS INTEGER) END AS c_context_utilization,
+  CASE WHEN o_orderstatus = 'F' THEN CAST((o_orderkey * 47) % 101 AS INTEGER) END AS c_citation_quality,
+  CASE WHEN o_orderstatus = 'F' THEN CAST((o_orderkey * 53) % 101 AS INTEGER) END AS c_code_executability,
+  CASE WHEN o_orderstatus = 'F' THEN CAST((o_orderkey * 59) % 101 AS INTEGER) END AS c_structure,
+  o_orderdate AS created_at, CAST(o_orderkey % 101 AS INTEGER) AS progress
+  FROM orders),
+done AS (SELECT id, site_id, row_number() OVER (PARTITION BY site_id ORDER BY completed_at DESC, id DESC) AS rn
+         FROM an WHERE status = 'COMPLETED' AND overall_score IS NOT NULL),
+best AS (SELECT site_id, max(CASE WHEN rn = 1 THEN id END) AS best_id, max(CASE WHEN rn = 2 THEN id END) AS second_id
+         FROM done GROUP BY site_id),
+prev AS (SELECT a.id, a.site_id, CASE WHEN a.id = b.best_id THEN b.second_id ELSE b.best_id END AS previous_id
+         FROM an a LEFT JOIN best b USING (site_id))"""
+
+
+@query("previous_analysis", f"WITH {ANALYSES_SQL} SELECT id, site_id, previous_id FROM prev")
+def q_previous_analysis(spark, sf):
+    return history.previous_analysis(records.analyses(spark, sf))
+
+
+COMPS = ["accuracy", "context_utilization", "citation_quality", "code_executability", "structure"]
+
+
+@query("compare_analyses", f"""WITH {ANALYSES_SQL}
+SELECT p.id, p.site_id, p.previous_id, c.overall_score, q.overall_score AS previous_score,
+  CASE WHEN p.previous_id IS NOT NULL THEN c.overall_score - q.overall_score END AS delta,
+  {', '.join(f"CASE WHEN p.previous_id IS NOT NULL AND c.c_{n} IS NOT NULL THEN c.c_{n} - coalesce(q.c_{n}, 0) END AS d_{n}" for n in COMPS)}
+FROM prev p JOIN an c ON c.id = p.id LEFT JOIN an q ON q.id = p.previous_id""")
+def q_compare_analyses(spark, sf):
+    c = history.compare_analyses(records.analyses(spark, sf))
+    return c.select("id", "site_id", "previous_id", "overall_score", "previous_score", "delta",
+                    *[F.col("component_deltas")[n].alias(f"d_{n}") for n in COMPS])
+
+
+@query("score_trend", """SELECT 'site' || CAST(user_id % 50 AS VARCHAR) AS site, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, event_id,
+  CAST(CAST(trunc(abs(value)) AS BIGINT) % 101 AS INTEGER) AS score,
+  CASE WHEN lag(CAST(CAST(trunc(abs(value)) AS BIGINT) % 101 AS INTEGER)) OVER w IS NULL OR lag(CAST(CAST(trunc(abs(value)) AS BIGINT) % 101 AS INTEGER)) OVER w = 0 THEN 0
+       ELSE CAST(CAST(trunc(abs(value)) AS BIGINT) % 101 AS INTEGER) - lag(CAST(CAST(trunc(abs(value)) AS BIGINT) % 101 AS INTEGER)) OVER w END AS change
+FROM events WINDOW w AS (PARTITION BY 'site' || CAST(user_id % 50 AS VARCHAR) ORDER BY ts, event_id)""")
+def q_score_trend(spark, sf):
+    t = history.score_trend(records.score_history(spark, sf))
+    return t.select("site", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "event_id", "score", "change")
+
+
+@query("top_percent", f"""WITH {ANALYSES_SQL}
+SELECT id, overall_score, CAST(greatest(1, ceil((1 - percent_rank() OVER (ORDER BY overall_score)) * 100)) AS INTEGER) AS top_percent
+FROM an WHERE overall_score IS NOT NULL""")
+def q_top_percent(spark, sf):
+    a = records.analyses(spark, sf).where(F.col("overall_score").isNotNull()).select("id", "overall_score")
+    return history.top_percent(a)
+
+
+@query("dashboard", f"""WITH {ANALYSES_SQL}
+SELECT CAST(floor(round(avg(overall_score), 9) + 0.5) AS INTEGER) AS average_score,
+  {OR.grade_sql("CAST(floor(round(avg(overall_score), 9) + 0.5) AS INTEGER)")} AS grade,
+  (SELECT CAST(sum(coalesce(CAST(trunc(c_acctbal) AS BIGINT), 0)) AS BIGINT) FROM customer) AS total_pages
+FROM an WHERE overall_score IS NOT NULL""")
+def q_dashboard(spark, sf):
+    a = records.analyses(spark, sf).where(F.col("overall_score").isNotNull())
+    return history.dashboard(records.sites(spark, sf), a)
+
+
+@query("query_pass_counts", """SELECT l_orderkey AS analysis_id, CAST(count_if(l_returnflag <> 'R') AS BIGINT) AS passed,
+  CAST(count_if(l_returnflag = 'R') AS BIGINT) AS failed FROM lineitem GROUP BY l_orderkey""")
+def q_query_pass_counts(spark, sf):
+    return history.query_pass_counts(records.query_results(spark, sf))

@@ -39,3 +39,50 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(".example.com/")).alias("url"),
         F.col("c_acctbal").cast("long").alias("page_count"),
         F.col("c_mktsegment").alias("segment"))
+
+
+ANALYSIS_STATUS = {"F": "COMPLETED", "O": "RUNNING", "P": "FAILED"}
+COMPONENT_MULT = {"accuracy": 41, "context_utilization": 43, "citation_quality": 47, "code_executability": 53,
+                  "structure": 59}
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """analyses ← orders: one analysis per order, site = o_custkey % 200."""
+    o = read(spark, sf_dir, "orders")
+    status = F.coalesce(F.create_map(*[x for kv in ANALYSIS_STATUS.items() for x in map(F.lit, kv)])[F.col("o_orderstatus")],
+                        F.lit("QUEUED"))
+    comps = F.create_map(*[x for name, m in COMPONENT_MULT.items()
+                           for x in (F.lit(name), ((F.col("o_orderkey") * m) % 101).cast("int"))])
+    return o.select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 200).alias("site_id"), status.alias("status"),
+        (F.col("o_orderkey") % 101).cast("int").alias("progress"),
+        F.when(status == "COMPLETED", ((F.col("o_orderkey") * 37) % 101).cast("int")).alias("overall_score"),
+        F.when(status == "COMPLETED", comps).alias("components"),
+        F.col("o_orderdate").alias("created_at"),
+        F.when(status == "COMPLETED", F.col("o_orderdate")).alias("completed_at"))
+
+
+def query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_results ← lineitem (one row per line item, all rows)."""
+    li = read(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("analysis_id"), F.col("l_linenumber").alias("line"),
+        F.concat(F.lit("Query about: part "), F.col("l_partkey").cast("string")).alias("query_text"),
+        F.element_at(F.array(F.lit("api"), F.lit("concept"), F.lit("howto")), (F.col("l_partkey") % 3 + 1).cast("int")).alias("category"),
+        F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("difficulty"),
+        (F.col("l_returnflag") != "R").alias("passed"),
+        (F.col("l_discount") * 10).alias("confidence"),
+        (F.col("l_quantity") * 120).cast("int").alias("latency_ms"),
+        (1 - F.col("l_discount")).alias("accuracy_score"),
+        (1 - F.col("l_tax") * 5).alias("retrieval_precision"),
+        (F.lit(0.7) + F.col("l_tax") * 2).alias("citation_accuracy"),
+        F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1), F.lit(None).cast("boolean"))
+         .otherwise(F.col("l_linenumber") % 3 != 0).alias("code_valid"))
+
+
+def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score history ← events: site = user_id % 50, date = ts, score = value % 101."""
+    e = read(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("site"), (F.col("user_id") % 50).cast("string")).alias("site"),
+                    F.col("ts").alias("date"), F.col("event_id"),
+                    (F.abs(F.col("value")).cast("long") % 101).cast("int").alias("score"))
