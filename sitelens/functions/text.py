@@ -158,3 +158,12 @@ def risk_label(c) -> Column:
         pairs += [F.lit(k), F.lit(v)]
     fallback = title_case(F.replace(nz(c), F.lit("_"), F.lit(" ")))
     return F.coalesce(F.create_map(*pairs)[col_of(c)], fallback)
+
+
+def contains_any_prefix(c, prefixes) -> Column:
+    """True when the text starts with any of the prefixes."""
+    c = col_of(c)
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | c.startswith(p)
+    return out

@@ -353,3 +353,109 @@ def q_dashboard(spark, sf):
   CAST(count_if(l_returnflag = 'R') AS BIGINT) AS failed FROM lineitem GROUP BY l_orderkey""")
 def q_query_pass_counts(spark, sf):
     return history.query_pass_counts(records.query_results(spark, sf))
+
+
+# --- diagnosis, language, terminology ---------------------------------------
+
+from ..operators import diagnose as D  # noqa: E402
+
+
+def _any_sql(col: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({col}, {OR.q(p)})" for p in phrases) + ")"
+
+
+def _list_sql(phrases) -> str:
+    return "[" + ", ".join(OR.q(p) for p in phrases) + "]"
+
+
+def _diag_cte() -> str:
+    def msg(t, v):
+        a, b = t.split("{}")
+        return f"{OR.q(a)} || {v} || {OR.q(b)}"
+    issues = ", ".join([
+        f"CASE WHEN vague IS NOT NULL THEN {msg(D.MSG_VAGUE, 'vague')} END",
+        f"CASE WHEN NOT has_action AND nh > 0 THEN {OR.q(D.MSG_HEADINGS)} END",
+        f"CASE WHEN contains(lc, 'parameter') AND NOT has_tables THEN {OR.q(D.MSG_PROSE_PARAMS)} END",
+        f"CASE WHEN has_code AND NOT complete THEN {OR.q(D.MSG_NO_IMPORTS)} WHEN NOT has_code AND (contains(tl, 'how') OR contains(tl, 'guide')) THEN {OR.q(D.MSG_HOWTO_NO_CODE)} END",
+        f"CASE WHEN implicit IS NOT NULL THEN {msg(D.MSG_IMPLICIT, 'implicit')} END",
+        f"CASE WHEN contains(lc, 'error') AND NOT errors THEN {OR.q(D.MSG_ERRORS)} END",
+        f"CASE WHEN NOT front THEN {OR.q(D.MSG_FRONTMATTER)} END",
+        f"CASE WHEN marketing IS NOT NULL THEN {msg(D.MSG_MARKETING, 'marketing')} END",
+        f"CASE WHEN wc < {D.SHORT_WORDS} THEN {OR.q(D.MSG_SHORT)} END",
+        f"CASE WHEN nh < {D.MIN_HEADINGS} THEN {OR.q(D.MSG_STRUCTURE)} END"])
+    strengths = ", ".join(f"CASE WHEN {flag} THEN {OR.q(s)} END" for flag, s in zip(
+        ["has_tables", "complete", "errors", "prereq", "has_action", "vague IS NULL"], D.STRENGTHS))
+    return f"""{FLAT_PAGES_SQL},
+d0 AS (SELECT site, ord, url, title, coalesce(content, '') AS c, lower(coalesce(content, '')) AS lc, lower(title) AS tl,
+        CASE WHEN heading_txt = '' THEN [] ELSE string_split(heading_txt, '|') END AS heads, code_txt FROM sp),
+d1 AS (SELECT *, CAST(len(regexp_extract_all(c, '\\S+')) AS INTEGER) AS wc, CAST(len(heads) AS INTEGER) AS nh,
+        code_txt IS NOT NULL AS has_code,
+        list_filter({_list_sql(D.VAGUE_REFS)}, lambda x: contains(lc, x))[1] AS vague,
+        len(list_filter(heads, lambda h: {_any_sql('lower(h)', D.ACTION_WORDS)})) > len(heads) * {D.ACTION_SHARE} AS has_action,
+        contains(c, '|') AND {_any_sql('lc', ['parameter', 'type', 'required'])} AS has_tables,
+        code_txt IS NOT NULL AND {_any_sql('lower(code_txt)', ['import', 'require', 'from'])} AS complete,
+        list_filter({_list_sql(D.IMPLICIT_PHRASES)}, lambda x: contains(lc, x))[1] AS implicit,
+        contains(lc, 'error') AND (contains(lc, 'code') OR contains(lc, 'status')) AND {_any_sql('lc', ['fix', 'solution', 'resolve'])} AS errors,
+        regexp_matches(c, '^\\s*---') AS front,
+        {_any_sql('lc', ['prerequisite', 'before you begin', 'requirements'])} AS prereq,
+        contains(lc, 'response') AND (contains(lc, 'example') OR contains(lc, 'output')) AS output,
+        list_filter({_list_sql(D.MARKETING_TERMS)}, lambda x: contains(lc, x))[1] AS marketing,
+        {_any_sql('lc', ['version', 'v1', 'v2'])} AS version FROM d0),
+diag AS (SELECT *, list_filter([{issues}], lambda x: x IS NOT NULL) AS issues,
+        list_filter([{strengths}], lambda x: x IS NOT NULL) AS strengths FROM d1)"""
+
+
+@query("diagnose_pages", lambda: f"""WITH {_diag_cte()}
+SELECT site, ord, wc AS word_count, nh AS heading_count, has_action AS has_action_headings, has_tables AS has_parameter_tables,
+  complete AS has_complete_examples, errors AS has_error_docs, output AS has_expected_output, version AS has_version_info,
+  array_to_string(issues, ' | ') AS issues, array_to_string(strengths, ' | ') AS strengths FROM diag""")
+def q_diagnose_pages(spark, sf):
+    d = D.diagnose_pages(_pages(spark, sf))
+    return d.select("site", "ord", "word_count", "heading_count", "has_action_headings", "has_parameter_tables",
+                    "has_complete_examples", "has_error_docs", "has_expected_output", "has_version_info",
+                    F.array_join("issues", " | ").alias("issues"), F.array_join("strengths", " | ").alias("strengths"))
+
+
+@query("issue_frequency", lambda: f"""WITH {_diag_cte()}
+SELECT site, issue, CAST(count(*) AS BIGINT) AS pages FROM (SELECT site, unnest(issues) AS issue FROM diag) GROUP BY site, issue""")
+def q_issue_frequency(spark, sf):
+    return D.issue_frequency(D.diagnose_pages(_pages(spark, sf)))
+
+
+def _lang_sql(text: str) -> str:
+    sample = f"lower(substr(coalesce({text}, ''), 1, {D.LANG_SAMPLE_CHARS}))"
+    scores = {lang: "(" + " + ".join(f"CAST(contains({sample}, {OR.q(m)}) AS INTEGER)" for m in marks) + ")"
+              for lang, marks in D.LANG_MARKERS}
+    best = "greatest(" + ", ".join(scores.values()) + ")"
+    return "CASE " + " ".join(f"WHEN {s} = {best} AND {best} >= {D.LANG_MIN_HITS} THEN '{lang}'"
+                              for lang, s in scores.items()) + " ELSE 'en' END"
+
+
+@query("detect_language", lambda: f"SELECT doc_id, lang, {_lang_sql('text')} AS predicted FROM documents")
+def q_detect_language(spark, sf):
+    return fixtures.documents(spark, sf).select("doc_id", "lang", D.detect_language(F.col("text")).alias("predicted"))
+
+
+@query("language_accuracy", lambda: f"""SELECT lang, predicted, CAST(count(*) AS BIGINT) AS n FROM
+  (SELECT lang, {_lang_sql('text')} AS predicted FROM documents) GROUP BY lang, predicted""")
+def q_language_accuracy(spark, sf):
+    return D.language_accuracy(fixtures.documents(spark, sf))
+
+
+@query("page_types")
+def q_page_types(spark, sf):
+    return D.page_type(_pages(spark, sf))
+
+
+@query("terminology_context")
+def q_terminology_context(spark, sf):
+    return D.terminology_context(_pages(spark, sf))
+
+
+@query("rewrite_requests")
+def q_rewrite_requests(spark, sf):
+    r = D.rewrite_requests(_pages(spark, sf))
+    return r.select("site", "ord", "page_type", "language", "source_status", "word_count", "heading_count",
+                    "code_count", "link_count", "headings", F.size("code_examples").alias("n_code_examples"),
+                    F.length("content").alias("content_chars"), F.size("issues").alias("n_issues"),
+                    F.md5("terminology").alias("terminology_md5"), "needs_rewrite")
