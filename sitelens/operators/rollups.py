@@ -86,7 +86,7 @@ def top_issues_of(rules: Column, k: int = K.TOP_ISSUES_K) -> Column:
 
 def top_issues(pages: DataFrame, sites: DataFrame | None = None, k: int = K.TOP_ISSUES_K) -> DataFrame:
     wide = site_rule_wide(pages)
-    out = wide.select("site", F.posexplode(top_issues_of(F.col("rules"), k)).alias("pos", "issue"))
+    out = wide.select("site", F.posexplode_outer(top_issues_of(F.col("rules"), k)).alias("pos", "issue"))
     out = out.select("site", (F.col("pos") + 1).alias("rank"), "issue.*")
     if sites is not None:
         empty = sites.select("site").join(pages.select("site"), "site", "left_anti").distinct()

@@ -55,6 +55,8 @@ class RuleSpec:
     signals: dict[str, Callable[[PageCtx], Column]]
     # builder(agg: name → Column, n: Column) → (score, checked, passing, finding)
     result: Callable[[Callable[[str], Column], Column], tuple[Column, Column, Column, Column]]
+    # optional per-site values computed from the sums before ``result`` (name → builder(col))
+    derived: dict[str, Callable[[Callable[[str], Column]], Column]] = field(default_factory=dict)
 
 
 def _i(c: Column) -> Column:
@@ -92,9 +94,9 @@ def _build_rules() -> list[RuleSpec]:
     meta = {rid: (name, short, comp) for rid, name, short, comp in K.RULES}
     specs: list[RuleSpec] = []
 
-    def add(rid, signals, result):
+    def add(rid, signals, result, derived=None):
         name, short, comp = meta[rid]
-        specs.append(RuleSpec(rid, name, short, comp, signals, result))
+        specs.append(RuleSpec(rid, name, short, comp, signals, result, derived or {}))
 
     # R1 — self-contained
     add(1, {"r1_pass": lambda c: _i(~T.search_lc(c.lower, K.R1_VAGUE_REFS))}, _ratio_rule("r1_pass", 1))
@@ -165,19 +167,23 @@ def _build_rules() -> list[RuleSpec]:
         for t, term in enumerate(terms):
             r7_signals[f"r7_g{g}_t{t}"] = (lambda term: lambda c: _i(F.array_contains(c.terms, term)))(term)
 
-    def r7(a, n):
-        groups, conflicts = F.lit(0), F.lit(0)
+    def r7_counts(a, at_least):
+        out = F.lit(0)
         for g, (terms, _label) in enumerate(K.R7_TERM_GROUPS):
             found = sum((_i(a(f"r7_g{g}_t{t}") > 0) for t in range(len(terms))), F.lit(0))
-            groups = groups + _i(found >= 1)
-            conflicts = conflicts + _i(found >= K.R7_CONFLICT_AT)
+            out = out + _i(found >= at_least)
+        return out
+
+    def r7(a, n):
+        groups, conflicts = a("r7_groups"), a("r7_conflicts")
         score = F.when(groups == 0, F.lit(K.R7_NO_TERMS)).otherwise(
             T.ratio_score(groups - conflicts, groups))
         finding = F.when(groups == 0, F.lit(K.FINDINGS["7_none"])) \
             .when(conflicts > 0, fmt(K.FINDINGS["7_conflict"], conflicts=conflicts)) \
             .otherwise(F.lit(K.FINDINGS["7_ok"]))
         return score, n, n - conflicts, finding
-    add(7, r7_signals, r7)
+    add(7, r7_signals, r7, {"r7_groups": lambda a: r7_counts(a, 1),
+                            "r7_conflicts": lambda a: r7_counts(a, K.R7_CONFLICT_AT)})
 
     # R8 — frontmatter or title+description
     def r8_pass(c):
@@ -346,31 +352,41 @@ def site_signal_sums(pages: DataFrame, specs: list[RuleSpec] | None = None) -> D
     return sig.groupBy("site").agg(*aggs)
 
 
-def _rule_struct(spec: RuleSpec) -> Column:
+def _rule_parts(spec: RuleSpec) -> list[Column]:
     n = F.col("n")
     score, checked, passing, finding = spec.result(lambda name: F.col(name), n)
-    score = score.cast("int")
+    rid = spec.rule_id
+    return [score.cast("int").alias(f"_s{rid}"), checked.cast("long").alias(f"_c{rid}"),
+            passing.cast("long").alias(f"_p{rid}"), finding.alias(f"_f{rid}")]
+
+
+def _rule_struct(spec: RuleSpec) -> Column:
+    rid = spec.rule_id
+    score = F.col(f"_s{rid}")
     return F.struct(
-        F.lit(spec.rule_id).alias("rule_id"), F.lit(spec.name).alias("name"),
+        F.lit(rid).alias("rule_id"), F.lit(spec.name).alias("name"),
         F.lit(spec.short_name).alias("short_name"), F.lit(spec.component).alias("category"),
-        score.alias("score"), T.status(score).alias("status"), finding.alias("finding"),
-        checked.cast("long").alias("pages_checked"), passing.cast("long").alias("pages_passing"))
+        score.alias("score"), T.status(score).alias("status"), F.col(f"_f{rid}").alias("finding"),
+        F.col(f"_c{rid}").alias("pages_checked"), F.col(f"_p{rid}").alias("pages_passing"))
 
 
 def site_rule_wide(pages: DataFrame, specs: list[RuleSpec] | None = None) -> DataFrame:
     """One row per site: ``site, n, rules array<struct<rule_id, …>>`` (sorted by rule_id).
 
-    Each rule struct is its own projected column first (so code generation
-    splits it into its own method), then the array is built from the
-    column references.
+    Three projections over the aggregate: rule-specific derived values (e.g.
+    terminology group counts), then score / checked / passing / finding per
+    rule, then the struct array.  Each value is computed once and referenced,
+    which also keeps every generated method under the JVM's 64 KB limit.
     """
     specs = sorted(specs or RULE_SPECS, key=lambda s: s.rule_id)
     sums = site_signal_sums(pages, specs)
-    names = [f"_rule{s.rule_id}" for s in specs]
-    per_rule = sums.select("site", "n", *[_rule_struct(s).alias(nm) for s, nm in zip(specs, names)])
-    return per_rule.select("site", "n", F.array(*[F.col(nm) for nm in names]).alias("rules"))
+    derived = [build(F.col).alias(name) for s in specs for name, build in s.derived.items()]
+    if derived:
+        sums = sums.select("*", *derived)
+    parts = sums.select("site", "n", *[c for s in specs for c in _rule_parts(s)])
+    return parts.select("site", "n", F.array(*[_rule_struct(s) for s in specs]).alias("rules"))
 
 
 def rule_results(pages: DataFrame, specs: list[RuleSpec] | None = None) -> DataFrame:
     """A1: one row per (site, rule)."""
-    return site_rule_wide(pages, specs).select("site", F.inline("rules"))
+    return site_rule_wide(pages, specs).select("site", F.inline_outer("rules"))
