@@ -442,12 +442,46 @@ def q_language_accuracy(spark, sf):
     return D.language_accuracy(fixtures.documents(spark, sf))
 
 
-@query("page_types")
+def _page_types_sql() -> str:
+    prefixes = " OR ".join(f"starts_with(regexp_replace(p, '^\\s+', ''), {OR.q(x)})" for x in D.LIST_OR_BLOCK_PREFIXES)
+    hub_terms = _any_sql("lower(title || ' ' || array_to_string(heads, ' '))", D.HUB_TITLE_TERMS)
+    return f"""WITH {_diag_cte()},
+pt AS (SELECT site, ord, sp.link_n AS link_count, wc, diag.has_code AS has_code, diag.has_tables AS has_tables, errors,
+  len(list_filter(string_split(c, chr(10) || chr(10)), lambda p: len(regexp_extract_all(p, '\\S+')) >= {D.LONG_PARAGRAPH_WORDS}
+      AND NOT ({prefixes}))) AS long_pars,
+  len(regexp_extract_all(c, '(?m)^\\d+\\.')) AS steps, {hub_terms} AS hub_title FROM diag JOIN sp USING (site, ord, url, title)),
+sc AS (SELECT site, ord,
+  (CASE WHEN link_count >= 8 THEN 2 ELSE 0 END) + (CASE WHEN wc > 0 AND wc / greatest(link_count, 1) <= 40 THEN 2 ELSE 0 END)
+  + (CASE WHEN NOT has_code THEN 1 ELSE 0 END) + (CASE WHEN NOT has_tables THEN 1 ELSE 0 END) + (CASE WHEN steps <= 3 THEN 1 ELSE 0 END)
+  + (CASE WHEN long_pars <= 2 THEN 1 ELSE 0 END) + (CASE WHEN hub_title THEN 1 ELSE 0 END) AS hub_score,
+  (CASE WHEN has_code THEN 3 ELSE 0 END) + (CASE WHEN has_tables THEN 2 ELSE 0 END) + (CASE WHEN steps >= 4 THEN 2 ELSE 0 END)
+  + (CASE WHEN long_pars >= 3 THEN 2 ELSE 0 END) + (CASE WHEN errors THEN 2 ELSE 0 END) AS content_score FROM pt)
+SELECT site, ord, hub_score, content_score,
+  CASE WHEN content_score >= 4 THEN 'content' WHEN hub_score >= 5 AND content_score <= 2 THEN 'hub' ELSE 'content' END AS page_type FROM sc"""
+
+
+@query("page_types", _page_types_sql)
 def q_page_types(spark, sf):
     return D.page_type(_pages(spark, sf))
 
 
-@query("terminology_context")
+def _terminology_sql() -> str:
+    flags, lines = [], []
+    for g, terms in enumerate(D.TERMINOLOGY_GROUPS):
+        for t, term in enumerate(terms):
+            flags.append(f"bool_or(contains(lower(coalesce(content, '')), {OR.q(term)})) AS g{g}_{t}")
+        found = "list_filter([" + ", ".join(f"CASE WHEN g{g}_{t} THEN {OR.q(term)} END" for t, term in enumerate(terms)) \
+            + "], lambda x: x IS NOT NULL)"
+        a, b = D.TERMINOLOGY_LINE.split("{}")
+        lines.append(f"CASE WHEN len({found}) > 1 THEN {OR.q(a)} || array_to_string({found}, ', ') || {OR.q(b)} END")
+    conflicts = "list_filter([" + ", ".join(lines) + "], lambda x: x IS NOT NULL)"
+    return f"""WITH {FLAT_PAGES_SQL}, ag AS (SELECT site, {', '.join(flags)} FROM sp GROUP BY site)
+SELECT site, CAST(len({conflicts}) AS INTEGER) AS conflicts,
+  CASE WHEN len({conflicts}) > 0 THEN {OR.q(D.TERMINOLOGY_HEADER)} || array_to_string({conflicts}, chr(10))
+       ELSE {OR.q(D.TERMINOLOGY_NONE)} END AS terminology FROM ag"""
+
+
+@query("terminology_context", _terminology_sql)
 def q_terminology_context(spark, sf):
     return D.terminology_context(_pages(spark, sf))
 
