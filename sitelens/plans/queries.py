@@ -493,3 +493,154 @@ def q_rewrite_requests(spark, sf):
                     "code_count", "link_count", "headings", F.size("code_examples").alias("n_code_examples"),
                     F.length("content").alias("content_chars"), F.size("issues").alias("n_issues"),
                     F.md5("terminology").alias("terminology_md5"), "needs_rewrite")
+
+
+# --- record queries ------------------------------------------------------------
+
+from ..operators import records as RQ  # noqa: E402
+
+SITES_DIM_SQL = """sd AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS organization_id, c_name AS name,
+  'https://' || lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '.example.com/' AS url FROM customer)"""
+
+
+@query("list_sites", f"""WITH {SITES_DIM_SQL}
+SELECT id, organization_id, name, CAST(row_number() OVER (PARTITION BY organization_id ORDER BY id DESC) AS INTEGER) AS position FROM sd""")
+def q_list_sites(spark, sf):
+    return RQ.list_sites(records.sites(spark, sf)).select("id", "organization_id", "name", "position")
+
+
+@query("search_sites", f"""WITH {SITES_DIM_SQL}
+SELECT id, name, url FROM sd WHERE contains(lower(name), '#0000001') OR contains(lower(url), '#0000001')""")
+def q_search_sites(spark, sf):
+    return RQ.search_sites(records.sites(spark, sf), "#0000001").select("id", "name", "url")
+
+
+@query("list_analyses", f"""WITH {ANALYSES_SQL}, {SITES_DIM_SQL},
+r AS (SELECT an.id, an.site_id, sd.organization_id, an.status, an.created_at,
+        row_number() OVER (PARTITION BY sd.organization_id ORDER BY an.created_at DESC, an.id DESC) AS position
+      FROM an JOIN sd ON sd.id = an.site_id)
+SELECT id, site_id, organization_id, status, strftime(created_at, '%Y-%m-%d') AS created, CAST(position AS INTEGER) AS position
+FROM r WHERE position <= 20""")
+def q_list_analyses(spark, sf):
+    la = RQ.list_analyses(records.analyses(spark, sf), records.sites(spark, sf), limit=20)
+    return la.select("id", "site_id", "organization_id", "status", F.date_format("created_at", "yyyy-MM-dd").alias("created"),
+                     "position")
+
+
+@query("list_queries_borderline", """SELECT l_orderkey AS analysis_id, l_linenumber AS line, l_discount * 10 AS confidence,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'Query about: part ' || CAST(l_partkey AS VARCHAR)) AS INTEGER) AS position
+FROM lineitem WHERE l_discount * 10 BETWEEN 0.4 AND 0.6""")
+def q_list_queries_borderline(spark, sf):
+    lq = RQ.list_queries(records.query_results(spark, sf), page=1, limit=50, status="borderline")
+    return lq.select("analysis_id", "line", "confidence", "position")
+
+
+@query("export_query_results", """WITH r AS (SELECT * FROM lineitem WHERE l_returnflag <> 'R')
+SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id, 'Query about: part ' || CAST(l_partkey AS VARCHAR) AS query_text,
+  passed_flag AS passed, l_discount * 10 AS confidence, cnt AS count, 'json' AS format
+FROM (SELECT *, true AS passed_flag, count(*) OVER (PARTITION BY l_orderkey) AS cnt FROM r)""")
+def q_export_query_results(spark, sf):
+    ex = RQ.export_query_results(records.query_results(spark, sf), status="pass")
+    return ex.select("id", "query_text", "passed", "confidence", "count", "format")
+
+
+@query("list_recommendations", """SELECT p_partkey AS id, p_partkey % 200 AS site_id, CAST(p_size % 5 + 1 AS INTEGER) AS priority,
+  CAST(row_number() OVER (PARTITION BY p_partkey % 200 ORDER BY p_size % 5 + 1, p_partkey) AS INTEGER) AS position FROM part""")
+def q_list_recommendations(spark, sf):
+    return RQ.list_recommendations(records.recommendations_table(spark, sf)).select("id", "site_id", "priority", "position")
+
+
+@query("org_query_results", f"""WITH {ANALYSES_SQL}, {SITES_DIM_SQL}
+SELECT l.l_orderkey AS analysis_id, l.l_linenumber AS line, an.site_id, sd.organization_id, n.n_name AS organization
+FROM lineitem l JOIN an ON an.id = l.l_orderkey JOIN sd ON sd.id = an.site_id JOIN nation n ON n.n_nationkey = sd.organization_id""")
+def q_org_query_results(spark, sf):
+    j = RQ.org_query_results(records.query_results(spark, sf), records.analyses(spark, sf), records.sites(spark, sf),
+                             records.organizations(spark, sf))
+    return j.select("analysis_id", "line", "site_id", "organization_id", "organization")
+
+
+@query("user_organizations", """SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS organization_id, n.n_name AS organization
+FROM supplier LEFT JOIN nation n ON n.n_nationkey = s_nationkey""")
+def q_user_organizations(spark, sf):
+    return RQ.user_organizations(records.users(spark, sf), records.organizations(spark, sf)) \
+        .select("id", "organization_id", "organization")
+
+
+ASSESS_SQL = """asm AS (SELECT c_custkey AS id, 'src' || CAST(c_custkey AS VARCHAR) AS site, c_name AS site_name,
+  CAST((c_custkey * 37) % 101 AS INTEGER) AS score, CASE WHEN c_acctbal > 0 THEN 'paid' ELSE 'pending' END AS payment_status,
+  CASE c_custkey % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' WHEN 2 THEN NULL ELSE 'running' END AS optimization_status,
+  c_custkey % 4 AS n_docs, 1700000000 + c_custkey * 3600 AS created_s FROM customer)"""
+
+
+@query("public_gallery", f"""WITH {ASSESS_SQL}
+SELECT id, site_name, score, CAST(n_docs AS INTEGER) AS page_count FROM asm
+WHERE payment_status = 'paid' AND optimization_status = 'complete' ORDER BY created_s DESC, id DESC LIMIT 24""")
+def q_public_gallery(spark, sf):
+    return RQ.public_gallery(records.assessments(spark, sf)).select("id", "site_name", "score", "page_count")
+
+
+@query("retryable_assessments", f"""WITH {ASSESS_SQL}
+SELECT id, site FROM asm WHERE payment_status = 'paid' AND (optimization_status IS NULL OR optimization_status = 'failed')""")
+def q_retryable_assessments(spark, sf):
+    return RQ.retryable_assessments(records.assessments(spark, sf)).select("id", "site")
+
+
+@query("cancel_analyses", f"""WITH {ANALYSES_SQL}
+SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN status IN ('QUEUED', 'RUNNING') THEN 'CANCELLED' ELSE status END AS status FROM an)
+GROUP BY status""")
+def q_cancel_analyses(spark, sf):
+    return history.cancel(records.analyses(spark, sf)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cascade_delete", f"""WITH {ANALYSES_SQL}, {SITES_DIM_SQL},
+gone AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM an WHERE site_id NOT IN (SELECT id FROM gone)) AS analyses_left,
+       (SELECT CAST(count(*) AS BIGINT) FROM part WHERE p_partkey % 200 NOT IN (SELECT id FROM gone)) AS recommendations_left,
+       (SELECT CAST(count(*) AS BIGINT) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM an WHERE site_id IN (SELECT id FROM gone))) AS results_left""")
+def q_cascade_delete(spark, sf):
+    sites = records.sites(spark, sf)
+    gone = records.read(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
+    a, r, q = RQ.cascade_delete(gone, records.analyses(spark, sf), records.recommendations_table(spark, sf),
+                                records.query_results(spark, sf))
+    del sites
+    return (a.agg(F.count(F.lit(1)).alias("analyses_left"))
+            .crossJoin(r.agg(F.count(F.lit(1)).alias("recommendations_left")))
+            .crossJoin(q.agg(F.count(F.lit(1)).alias("results_left"))))
+
+
+def _slug_sql(x: str) -> str:
+    s = f"lower(trim({x}))"
+    s = f"regexp_replace({s}, '[^a-z0-9\\s-]', '', 'g')"
+    s = f"regexp_replace({s}, '[\\s-]+', '-', 'g')"
+    s = f"regexp_replace({s}, '^-+|-+$', '', 'g')"
+    return f"CASE WHEN {s} = '' THEN 'product' ELSE {s} END"
+
+
+@query("slugs", f"""WITH pk AS (SELECT p_partkey AS id, {_slug_sql('p_brand')} AS base,
+  'owner' || CAST(p_partkey % 7 AS VARCHAR) || '@example.com' AS email, p_partkey AS created FROM part),
+f AS (SELECT base, arg_min(email, created) AS first_email FROM pk GROUP BY base)
+SELECT id, CASE WHEN email = first_email THEN base ELSE base || '-' || substr(sha256(email), 1, 6) END AS slug FROM pk JOIN f USING (base)""")
+def q_slugs(spark, sf):
+    return RQ.unique_slugs(records.packages(spark, sf)).select("id", "slug")
+
+
+PKG_SQL = f"""pk AS (SELECT p_partkey AS id, {_slug_sql('p_brand')} AS slug,
+  CASE p_partkey % 5 WHEN 0 THEN 'planning' WHEN 1 THEN 'preview_ready' WHEN 2 THEN 'full_ready' WHEN 3 THEN 'failed' ELSE 'submitted' END AS status,
+  CASE WHEN p_size % 2 = 0 THEN 'paid' ELSE 'pending' END AS payment_status, string_split(lower(p_type), ' ') AS words FROM part)"""
+
+
+@query("ready_packages", f"""WITH {PKG_SQL}
+SELECT id, status, CAST(len(words) AS INTEGER) AS page_count FROM pk WHERE status IN ('preview_ready', 'full_ready')""")
+def q_ready_packages(spark, sf):
+    return RQ.ready_packages(records.packages(spark, sf)).select("id", "status", "page_count")
+
+
+@query("entitled_pages", f"""WITH {PKG_SQL},
+ex AS (SELECT id, slug, payment_status, status, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM pk),
+sel AS (SELECT * FROM ex WHERE CASE WHEN payment_status = 'paid' AND status = 'full_ready' THEN true ELSE i <= 2 END),
+dedup AS (SELECT id, slug, payment_status, w, max(CASE WHEN i <= 2 THEN 'preview' ELSE 'full' END) AS tier FROM sel GROUP BY id, slug, payment_status, w)
+SELECT slug, w AS page_slug, tier, tier = 'full' AND payment_status <> 'paid' AS locked FROM dedup""")
+def q_entitled_pages(spark, sf):
+    pk = records.packages(spark, sf).withColumnRenamed("slug", "pkg_slug").withColumn("slug", F.col("pkg_slug"))
+    e = RQ.entitled_pages(pk)
+    return e.select("slug", "page_slug", "tier", "locked").where(F.col("page_slug").isNotNull())

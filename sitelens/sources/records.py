@@ -86,3 +86,72 @@ def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.concat(F.lit("site"), (F.col("user_id") % 50).cast("string")).alias("site"),
                     F.col("ts").alias("date"), F.col("event_id"),
                     (F.abs(F.col("value")).cast("long") % 101).cast("int").alias("score"))
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """users ← supplier."""
+    s = read(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("id"),
+                    F.concat(F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]", "")), F.lit("@example.com")).alias("email"),
+                    F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("organization_id"),
+                    (F.col("s_acctbal") > 0).alias("is_active"))
+
+
+RECOMMENDATION_STATUS = ["pending", "in_progress", "completed", "dismissed"]
+LEVELS = ["high", "medium", "low"]
+
+
+def recommendations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recommendations ← part (site = p_partkey % 200)."""
+    p = read(spark, sf_dir, "part")
+    pick = lambda arr, idx: F.element_at(F.array(*[F.lit(x) for x in arr]), (idx % len(arr) + 1).cast("int"))
+    return p.select(
+        F.col("p_partkey").alias("id"), (F.col("p_partkey") % 200).alias("site_id"),
+        (F.col("p_size") % 5 + 1).cast("int").alias("priority"), pick(LEVELS, F.col("p_partkey")).alias("impact"),
+        pick(LEVELS, F.col("p_size")).alias("effort"),
+        F.lower(F.split(F.col("p_type"), " ")[0]).alias("category"),
+        pick(RECOMMENDATION_STATUS, F.col("p_partkey")).alias("implementation_status"),
+        F.round(F.col("p_retailprice") % 10, 2).alias("estimated_score_improvement"))
+
+
+OPTIMIZATION_STATES = ["complete", "failed", None, "running"]
+
+
+def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """assessments ← customer (one per site)."""
+    c = read(spark, sf_dir, "customer")
+    state = F.element_at(F.array(*[F.lit(x).cast("string") for x in OPTIMIZATION_STATES]),
+                         (F.col("c_custkey") % 4 + 1).cast("int"))
+    score = ((F.col("c_custkey") * 37) % 101).cast("int")
+    from ..functions.text import grade
+    return c.select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("src"), F.col("c_custkey").cast("string")).alias("site"),
+        F.col("c_name").alias("site_name"), score.alias("score"), grade(score).alias("grade"),
+        F.when(F.col("c_acctbal") > 0, "paid").otherwise("pending").alias("payment_status"),
+        state.alias("optimization_status"),
+        F.timestamp_seconds(F.lit(1700000000) + F.col("c_custkey") * 3600).alias("created_at"),
+        F.array_repeat(F.lit("doc"), (F.col("c_custkey") % 4).cast("int")).alias("optimization_docs"))
+
+
+PACKAGE_STATES = ["planning", "preview_ready", "full_ready", "failed", "submitted"]
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc packages ← part: slug from the brand, page map from the type words."""
+    p = read(spark, sf_dir, "part")
+    from ..functions.text import slugify
+    words = F.split(F.lower(F.col("p_type")), " ")
+    page_map = F.transform(words, lambda w, i: F.struct(
+        w.alias("page_type"), F.initcap(w).alias("title"), w.alias("slug"),
+        F.when(i < 2, F.lit("preview")).otherwise(F.lit("full")).alias("tier")))
+    preview = F.map_from_entries(F.transform(F.filter(page_map, lambda e: e["tier"] == "preview"),
+                                             lambda e: F.struct(e["slug"], F.struct(e["title"].alias("title"), e["tier"].alias("tier")))))
+    full = F.map_from_entries(F.transform(page_map, lambda e: F.struct(e["slug"], F.struct(e["title"].alias("title"), e["tier"].alias("tier")))))
+    status = F.element_at(F.array(*[F.lit(x) for x in PACKAGE_STATES]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return p.select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), slugify(F.col("p_brand")).alias("slug"),
+        F.concat(F.lit("owner"), (F.col("p_partkey") % 7).cast("string"), F.lit("@example.com")).alias("email"),
+        F.timestamp_seconds(F.lit(1700000000) + F.col("p_partkey") * 60).alias("created_at"),
+        status.alias("status"), F.when(F.col("p_size") % 2 == 0, "paid").otherwise("pending").alias("payment_status"),
+        page_map.alias("page_map"), preview.alias("preview_pages"),
+        F.when(status == "full_ready", full).alias("full_pages"))
