@@ -644,3 +644,61 @@ def q_entitled_pages(spark, sf):
     pk = records.packages(spark, sf).withColumnRenamed("slug", "pkg_slug").withColumn("slug", F.col("pkg_slug"))
     e = RQ.entitled_pages(pk)
     return e.select("slug", "page_slug", "tier", "locked").where(F.col("page_slug").isNotNull())
+
+
+# --- rewrites ------------------------------------------------------------------
+
+from ..operators import rewrites as RW  # noqa: E402
+
+
+def _accepted(spark, sf):
+    return RW.accept_rewrites(fixtures.rewrites(spark, sf), _pages(spark, sf), fixtures.REWRITE_RUN_DATE)
+
+
+@query("validate_rewrites")
+def q_validate_rewrites(spark, sf):
+    v = RW.validate_rewrites(fixtures.rewrites(spark, sf), _pages(spark, sf), fixtures.REWRITE_RUN_DATE)
+    return v.select("site", "ord", F.md5("validated").alias("validated_md5"), "date_fixed", "blocks_removed",
+                    "table_rows_removed", "sections_removed")
+
+
+@query("clean_rewrites")
+def q_clean_rewrites(spark, sf):
+    r = fixtures.rewrites(spark, sf)
+    return r.select("site", "ord", F.md5(RW.clean_rewrite(F.col("optimized_content"))).alias("clean_md5"),
+                    F.length(RW.clean_rewrite(F.col("optimized_content"))).alias("clean_chars"))
+
+
+@query("claimed_improvements")
+def q_claimed_improvements(spark, sf):
+    a = _accepted(spark, sf)
+    return a.select("site", "ord", F.size("improvements").alias("n_improvements"),
+                    F.array_join("improvements", " | ").alias("improvements"))
+
+
+@query("improvement_summary")
+def q_improvement_summary(spark, sf):
+    return RW.improvement_summary(_accepted(spark, sf))
+
+
+@query("fabrication_report")
+def q_fabrication_report(spark, sf):
+    return RW.fabrication_report(_accepted(spark, sf))
+
+
+@query("llms_txt")
+def q_llms_txt(spark, sf):
+    return RW.llms_txt_lines(_accepted(spark, sf))
+
+
+@query("viewer_index")
+def q_viewer_index(spark, sf):
+    acc = _accepted(spark, sf)
+    idx = RQ.viewer_index(records.assessments(spark, sf), acc)
+    return RQ.viewer_page(idx).select("site", "file_name", "title", "url")
+
+
+@query("dedent_fences")
+def q_dedent_fences(spark, sf):
+    a = _accepted(spark, sf)
+    return a.select("site", "ord", F.md5(RW.dedent_nested_fences(F.col("content"))).alias("dedented_md5"))

@@ -83,3 +83,34 @@ def to_page_schema(flat: DataFrame) -> DataFrame:
         "site", "ord", "url", "title", "description", "content",
         headings.alias("headings"), code_blocks.alias("code_blocks"), links.alias("links"), "has_tables")
 
+
+
+# Rewritten documents as an external model would return them: the original
+# text wrapped in the usual decorations (outer fence, preamble, frontmatter
+# with a stale or current date, invented code / error sections, an
+# improvements list), chosen by doc_id so every cleaning branch is exercised.
+REWRITE_RUN_DATE = "2026-01-15"
+REWRITES_COLUMNS = [
+    "source AS site", "doc_id AS ord",
+    "concat('https://', source, '.example.com/docs/p', CAST(doc_id AS STRING)) AS url",
+    "concat('Page ', CAST(doc_id AS STRING)) AS title",
+    f"""concat(
+   CASE WHEN doc_id % 5 = 0 THEN '```markdown' || chr(10) ELSE '' END,
+   CASE WHEN doc_id % 7 = 3 THEN 'Here is the optimized page:' || chr(10) ELSE '' END,
+   CASE WHEN doc_id % 3 = 0 THEN '---' || chr(10) || 'title: Page ' || CAST(doc_id AS STRING) || chr(10) || 'last_updated: '
+        || CASE WHEN doc_id % 2 = 0 THEN '2024-01-01' ELSE '{REWRITE_RUN_DATE}' END || chr(10) || '---' || chr(10) ELSE '' END,
+   '# Page ', CAST(doc_id AS STRING), chr(10), text,
+   CASE WHEN doc_id % 4 = 1 THEN chr(10) || '```python' || chr(10) || 'import os' || chr(10) || '```' ELSE '' END,
+   CASE WHEN doc_id % 6 = 2 THEN chr(10) || '## Troubleshooting' || chr(10) || 'Some text' || chr(10) || '| Error | Cause | Fix |'
+        || chr(10) || '| a | b | c |' || chr(10) || '## Next' ELSE '' END,
+   CASE WHEN doc_id % 6 = 4 THEN chr(10) || '| Error code | Meaning |' || chr(10) || '| 1 | x |' || chr(10) || 'after table' ELSE '' END,
+   CASE WHEN doc_id % 8 = 5 THEN chr(10) || '<!-- IMPROVEMENTS -->' || chr(10) || '- Added frontmatter metadata'
+        || chr(10) || '* Fixed action headings' || chr(10) || '- ok' ELSE '' END,
+   CASE WHEN doc_id % 9 = 7 THEN chr(10) || '## Improvements Made' || chr(10) || '- something' ELSE '' END,
+   CASE WHEN doc_id % 5 = 0 THEN chr(10) || '```' ELSE '' END) AS optimized_content""",
+]
+
+
+def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rewritten document per driver document (site, ord, url, title, optimized_content)."""
+    return documents(spark, sf_dir).selectExpr(*REWRITES_COLUMNS)
