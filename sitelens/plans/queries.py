@@ -702,3 +702,94 @@ def q_viewer_index(spark, sf):
 def q_dedent_fences(spark, sf):
     a = _accepted(spark, sf)
     return a.select("site", "ord", F.md5(RW.dedent_nested_fences(F.col("content"))).alias("dedented_md5"))
+
+
+# --- guides and packages -----------------------------------------------------
+
+from ..operators import guides as G  # noqa: E402
+
+
+def _parsed(spark, sf):
+    return G.parse_guides(fixtures.raw_guides(spark, sf))
+
+
+GUIDE_OK_SQL = "NOT ((conv_id + turn) % 9 = 4)"
+
+
+@query("parse_guides", f"""SELECT conv_id * 100 + turn AS guide_id, {GUIDE_OK_SQL} AS ok,
+  CASE WHEN NOT {GUIDE_OK_SQL} THEN 'Could not parse the guide JSON' END AS error,
+  CASE WHEN {GUIDE_OK_SQL} THEN 'product-' || CAST(conv_id AS VARCHAR) END AS slug FROM conversations""")
+def q_parse_guides(spark, sf):
+    p = _parsed(spark, sf)
+    return p.select("guide_id", "ok", "error", F.col("guide.meta.slug").alias("slug"))
+
+
+def _playbooks_sql() -> str:
+    risks = fixtures.RISKS
+    labels = {"safe_read": "SAFE", "safe_write": "SAFE WRITE", "requires_confirmation": "CONFIRM",
+              "requires_escalation": "ESCALATE", "high_risk": "HIGH RISK", "custom_level": "Custom Level"}
+    risk_case = "CASE i % 6 " + " ".join(f"WHEN {k} THEN '{labels[r]}'" for k, r in enumerate(risks)) + " END"
+    return f"""WITH g AS (SELECT conv_id, turn, conv_id * 100 + turn AS guide_id, string_split(text, '. ') AS sent
+                   FROM conversations WHERE {GUIDE_OK_SQL}),
+s AS (SELECT guide_id, conv_id, unnest(sent[1:6]) AS s, generate_subscripts(sent[1:6], 1) - 1 AS i FROM g),
+w AS (SELECT *, string_split(s, ' ') AS w FROM s)
+SELECT guide_id, CAST(i AS INTEGER) AS idx, array_to_string(w[1:3], ' ') AS task_name, {risk_case} AS risk,
+  CAST(CASE WHEN conv_id % 3 = 1 OR i % 3 = 0 THEN 1 ELSE least(i % 3, len(w)) END AS INTEGER) AS n_ask,
+  CAST(least(len(w[2:6]), 4) AS INTEGER) AS n_check, CAST(len(w[1:5]) AS INTEGER) AS n_do,
+  array_to_string(w[1:5], ' ') AS do, conv_id % 2 = 0 AND i >= 2 AS locked FROM w"""
+
+
+@query("guide_playbooks", _playbooks_sql)
+def q_guide_playbooks(spark, sf):
+    pb = G.guide_playbooks(_parsed(spark, sf))
+    return pb.select("guide_id", "idx", "task_name", "risk", F.size("ask_for").alias("n_ask"),
+                     F.size("check").alias("n_check"), F.size("do").alias("n_do"), F.array_join("do", " ").alias("do"),
+                     "locked")
+
+
+@query("guide_stop_conditions")
+def q_guide_stop_conditions(spark, sf):
+    s = G.stop_conditions(_parsed(spark, sf))
+    return s.select("guide_id", F.size("stop_and_ask").alias("n_ask"), F.size("stop_and_escalate").alias("n_escalate"),
+                    F.md5(F.array_join("stop_and_ask", "\n")).alias("ask_md5"))
+
+
+@query("guide_scope")
+def q_guide_scope(spark, sf):
+    return G.guide_scope(_parsed(spark, sf))
+
+
+@query("guide_rules_setup")
+def q_guide_rules_setup(spark, sf):
+    return G.guide_rules_setup(_parsed(spark, sf))
+
+
+@query("guide_decisions")
+def q_guide_decisions(spark, sf):
+    d = G.guide_decisions(_parsed(spark, sf))
+    return d.select("guide_id", "pos", "decision", F.size("use_when").alias("n_use"))
+
+
+@query("guide_troubleshooting")
+def q_guide_troubleshooting(spark, sf):
+    return G.guide_troubleshooting(_parsed(spark, sf))
+
+
+@query("guide_references")
+def q_guide_references(spark, sf):
+    return G.guide_references(_parsed(spark, sf))
+
+
+@query("package_page_map")
+def q_package_page_map(spark, sf):
+    return G.package_page_map(records.packages(spark, sf)).select("slug", "pos", "page_type", "tier", "locked")
+
+
+@query("faq_by_category")
+def q_faq_by_category(spark, sf):
+    return G.faq_by_category(fixtures.faq_questions(spark, sf))
+
+
+@query("source_pages")
+def q_source_pages(spark, sf):
+    return G.source_pages(P.pages_extracted(spark, sf), "site", k=20)

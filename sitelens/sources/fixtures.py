@@ -114,3 +114,68 @@ REWRITES_COLUMNS = [
 def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rewritten document per driver document (site, ord, url, title, optimized_content)."""
     return documents(spark, sf_dir).selectExpr(*REWRITES_COLUMNS)
+
+
+# Raw guide documents as a model would return them, one per conversation turn:
+# playbooks from the turn's sentences, scope lists from its words.  Some use
+# the old field names, some are fenced, some are cut in half (invalid JSON).
+RISKS = ["safe_read", "safe_write", "requires_confirmation", "requires_escalation", "high_risk", "custom_level"]
+
+
+def raw_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = spark.read.parquet(table_path(sf_dir, "conversations"))
+    sent = F.split(F.col("text"), r"\. ")
+    old = (F.col("conv_id") % 3) == 1
+
+    def words(s):
+        return F.split(s, " ")
+
+    def playbook(s, i, old_names: bool):
+        w = words(s)
+        names = (["pre_checks", "steps", "verification_checks", "confirmation_required_when", "escalate_when",
+                  "source_refs"] if old_names else ["check", "do", "verify", "confirm_before", "escalate_if", "refs"])
+        fields = [F.array_join(F.slice(w, 1, 3), " ").alias("task_name"), s.alias("goal"),
+                  F.element_at(F.array(*[F.lit(r) for r in RISKS]), (i % len(RISKS) + 1).cast("int")).alias("risk_level"),
+                  F.array(F.struct(w[0].alias("name"))).alias("required_inputs"),
+                  F.slice(w, 2, 5).alias(names[0]), w.alias(names[1]), F.slice(w, 1, 2).alias(names[2]),
+                  F.slice(w, 3, 2).alias(names[3]), F.slice(w, 4, 2).alias(names[4]),
+                  F.array(F.struct(w[0].alias("label"), F.concat(F.lit("https://docs.example.com/"), w[0]).alias("url")))
+                  .alias(names[5])]
+        if not old_names:
+            fields.append(F.slice(w, 1, i % 3).alias("ask_for"))
+        return F.struct(*fields)
+
+    def guide(old_names: bool):
+        w_all = words(F.col("text"))
+        return F.to_json(F.struct(
+            F.struct(F.concat(F.lit("Product "), F.col("conv_id").cast("string")).alias("product_name"),
+                     F.concat(F.lit("product-"), F.col("conv_id").cast("string")).alias("slug"),
+                     F.when(F.col("conv_id") % 2 == 0, "draft").otherwise("full").alias("mode")).alias("meta"),
+            F.struct(sent[0].alias("summary")).alias("hero"),
+            F.struct(F.transform(F.slice(w_all, 1, 6), lambda x: F.struct(x.alias("action"), F.lit("safe_read").alias("risk_level"))).alias("safe_without_approval"),
+                     F.transform(F.slice(w_all, 7, 3), lambda x: F.struct(x.alias("action"), F.lit("requires_confirmation").alias("risk_level"))).alias("requires_confirmation"),
+                     F.slice(w_all, 10, 7).alias("never_do")).alias("agent_scope"),
+            F.struct(F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.slice(sent, 1, 2)).alias("stop_and_ask"),
+                     F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.slice(sent, 2, 2)).alias("stop_and_escalate")).alias("stop_conditions"),
+            F.transform(F.slice(sent, 1, 6), lambda s, i: playbook(s, i, old_names)).alias("task_playbooks"),
+            F.struct(F.slice(sent, 1, 1).alias("always"), F.slice(sent, 2, 1).alias("never"),
+                     F.slice(sent, -1, 1).alias("ambiguity_rules")).alias("operating_rules"),
+            F.struct(F.slice(w_all, 1, 2).alias("prerequisites"), F.slice(w_all, 3, 1).alias("auth_methods")).alias("setup"),
+            F.transform(F.slice(sent, 1, 4), lambda s: F.struct(s.alias("decision"), words(s).alias("use_when"))).alias("decision_guide"),
+            F.transform(F.slice(sent, 1, 4), lambda s: F.struct(s.alias("issue"), words(s)[0].alias("likely_cause"),
+                                                                 F.get(words(s), 1).alias("fix"))).alias("troubleshooting"),
+            F.transform(F.slice(w_all, 1, 4), lambda x, i: F.struct(x.alias("label"), F.concat(F.lit("https://docs.example.com/"), x).alias("url"),
+                                                                     F.when(i % 2 == 0, F.lit("API")).alias("topic"))).alias("references")))
+    js = F.when(old, guide(True)).otherwise(guide(False))
+    js = F.when((F.col("conv_id") + F.col("turn")) % 9 == 4, F.substring(js, 1, F.floor(F.length(js) / 2).cast("int"))).otherwise(js)
+    js = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).otherwise(js)
+    return conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("guide_id"), "conv_id", "turn", js.alias("raw"))
+
+
+def faq_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FAQ entries per package from user turns: question = first sentence, category by conv_id."""
+    conv = spark.read.parquet(table_path(sf_dir, "conversations")).where(F.col("role") == "user")
+    cat = F.element_at(F.array(F.lit("billing"), F.lit(None).cast("string"), F.lit("setup"), F.lit("api_keys"), F.lit("")),
+                       (F.col("conv_id") % 5 + 1).cast("int"))
+    return conv.select((F.col("conv_id") % 10).alias("package"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"),
+                       F.split(F.col("text"), r"\. ")[0].alias("question"), cat.alias("category"))
