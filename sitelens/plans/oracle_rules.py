@@ -35,7 +35,7 @@ def _i(cond: str) -> str:
     return f"CAST(CASE WHEN {cond} THEN 1 ELSE 0 END AS BIGINT)"
 
 
-def page_cte() -> str:
+def page_cte(revise_content: str | None = None) -> str:
     terms = []
     for g, (ts, _l) in enumerate(K.R7_TERM_GROUPS):
         for t, term in enumerate(ts):
@@ -47,7 +47,7 @@ def page_cte() -> str:
     r12 = ",\n".join(f"{_i(rx(head, pat))} AS r12_{i}" for i, (_n, pat) in enumerate(K.R12_TYPES))
     words = "len(list_filter(regexp_split_to_array(c, '\\s+'), lambda x: x <> ''))"
     return f"""
-sp AS (SELECT {SITE_PAGES_SELECT} FROM documents),
+sp AS ({_sp_sql(revise_content)}),
 pg AS (SELECT site, coalesce(content, '') AS c, lower(coalesce(content, '')) AS lc, coalesce(title, '') AS t,
               description, CASE WHEN heading_txt = '' THEN [] ELSE string_split(heading_txt, '|') END AS heads,
               code_txt, code_lang, link_n, has_tables FROM sp),
@@ -89,6 +89,13 @@ sums AS (SELECT site, CAST(count(*) AS BIGINT) AS n, {', '.join(f'CAST(sum({c})
  CAST(sum(r17_good) AS DOUBLE) AS r17_good FROM sig GROUP BY site)"""
 
 
+def _sp_sql(revise_content: str | None) -> str:
+    base = f"SELECT {SITE_PAGES_SELECT} FROM documents"
+    if revise_content is None:
+        return base
+    return f"SELECT * REPLACE ({revise_content} AS content) FROM ({base}) b"
+
+
 def _sig_names() -> list[str]:
     names = ["r1_pass", "r2_total", "r2_action", "r3_params", "r3_tables", "r4_code", "r4_complete", "r5_pass",
              "r6_err", "r6_fix"]
@@ -188,11 +195,11 @@ def rule_rows_sql() -> list[str]:
     return out
 
 
-def rules_cte() -> str:
+def rules_cte(revise_content: str | None = None) -> str:
     status = (f"CASE WHEN score >= {K.STATUS_PASS} THEN 'pass' WHEN score >= {K.STATUS_WARN} THEN 'warning' "
               f"ELSE 'fail' END")
     union = "\nUNION ALL\n".join(rule_rows_sql())
-    return f"""WITH {page_cte()},
+    return f"""WITH {page_cte(revise_content)},
 rr0 AS ({union}),
 rr AS (SELECT *, {status} AS status FROM rr0)"""
 
@@ -215,9 +222,9 @@ def site_rule_results_sql() -> str:
     return rules_cte() + "\nSELECT site, rule_id, name, short_name, category, score, status, finding, pages_checked, pages_passing FROM rr"
 
 
-def site_scores_sql(empty_sites_from: str | None = None) -> str:
+def site_scores_sql(empty_sites_from: str | None = None, revise_content: str | None = None) -> str:
     comps = ", ".join(c for c, _ in K.COMPONENTS)
-    body = (rules_cte() + ",\n" + components_cte() +
+    body = (rules_cte(revise_content) + ",\n" + components_cte() +
             f"\nSELECT s.site, n AS pages, overall_score, {grade_sql('overall_score')} AS grade, {comps}, "
             f"round(pr, 6) AS pass_rate FROM scored s JOIN sums USING (site)")
     if empty_sites_from:

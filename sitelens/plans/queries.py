@@ -793,3 +793,37 @@ def q_faq_by_category(spark, sf):
 @query("source_pages")
 def q_source_pages(spark, sf):
     return G.source_pages(P.pages_extracted(spark, sf), "site", k=20)
+
+
+# --- streaming -----------------------------------------------------------------
+
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..session import checkpoint_dir as _checkpoint_dir  # noqa: E402
+from ..streaming import incremental as INC  # noqa: E402
+
+
+def page_versions(spark, sf):
+    """Two versions of every fixture page: the original, then a revised text for
+    one page in three (a later ``fetched_at``)."""
+    base = _pages(spark, sf)
+    v1 = base.withColumn("fetched_at", F.timestamp_seconds(F.lit(1767225600)))
+    v2 = base.where(F.col("ord") % 3 == 0).withColumn("content", F.concat(F.col("content"), F.lit(" version 3 -> done ")))
+    v2 = v2.withColumn("fetched_at", F.timestamp_seconds(F.lit(1767312000)))
+    return v1, v2
+
+
+@query("incremental_site_scores", lambda: OR.site_scores_sql(
+    revise_content="CASE WHEN ord % 3 = 0 THEN content || ' version 3 -> done ' ELSE content END"))
+def q_incremental_site_scores(spark, sf):
+    root = _os.path.join(_checkpoint_dir(spark), f"incremental-{_uuid.uuid4().hex}")
+    src, state = _os.path.join(root, "source"), _os.path.join(root, "state")
+    v1, v2 = page_versions(spark, sf)
+    v1.write.mode("append").parquet(src)
+    q1 = INC.start(spark, src, state)
+    q1.awaitTermination()
+    v2.write.mode("append").parquet(src)
+    q2 = INC.start(spark, src, state)
+    q2.awaitTermination()
+    return INC.read_scores(spark, state).drop("batch_id")
