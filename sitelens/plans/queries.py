@@ -827,3 +827,49 @@ def q_incremental_site_scores(spark, sf):
     q2 = INC.start(spark, src, state)
     q2.awaitTermination()
     return INC.read_scores(spark, state).drop("batch_id")
+
+
+# --- sitemaps and discovery -------------------------------------------------------
+
+from ..sources import sitemaps as SM  # noqa: E402
+
+
+@query("sitemap_urls", """WITH p AS (SELECT replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), 'www.', '') AS site,
+  page_id, url FROM pages),
+s AS (SELECT site, min(page_id) AS first_id FROM p GROUP BY site)
+SELECT p.site, u AS url FROM p JOIN s USING (site), unnest([p.url, p.url || '/img.png']) t(u) WHERE s.first_id % 5 <> 0""")
+def q_sitemap_urls(spark, sf):
+    sm, _ix = fixtures.fetched_sitemaps(spark, sf)
+    return SM.sitemap_urls(sm).select("site", "url")
+
+
+@query("discover_urls")
+def q_discover_urls(spark, sf):
+    sm, ix = fixtures.fetched_sitemaps(spark, sf)
+    pages = P.pages_extracted(spark, sf)
+    starts = linkgraph.default_starts(pages)
+    start_pages = pages.join(starts.select("site", "url"), ["site", "url"], "left_semi")
+    # a site's sitemap is only found at the conventional place for half of the sites
+    found = sm.where(F.length("site") % 2 == 0)
+    out = SM.discover_urls(starts, SM.sitemap_urls(found), SM.sitemap_index_urls(ix, sm),
+                           SM.start_page_links(start_pages))
+    return out
+
+
+@query("read_fetched_pages")
+def q_read_fetched_pages(spark, sf):
+    raw = P.raw_pages(spark, sf)
+    ctype = F.element_at(F.array(F.lit("text/html; charset=utf-8"), F.lit(None).cast("string"), F.lit("text/plain"),
+                                 F.lit("application/xhtml+xml"), F.lit("application/octet-stream")),
+                         (F.col("page_id") % 5 + 1).cast("int"))
+    status = F.when(F.col("page_id") % 7 == 3, F.lit(404)).otherwise(F.lit(200))
+    fetched = raw.select("url", F.col("html").alias("body"), status.alias("status"), ctype.alias("content_type"))
+    out = P.read_fetched_pages(fetched)
+    return out.select("site", "url", F.length("content").alias("content_chars"), F.size("headings").alias("n_headings"),
+                      F.col("title").isNotNull().alias("has_title"))
+
+
+@query("capped_pages")
+def q_capped_pages(spark, sf):
+    pages = P.min_content_filter(P.pages_extracted(spark, sf), 50)
+    return P.per_site_page_cap(pages, 10).select("site", "ord", "url")

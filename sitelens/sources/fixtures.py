@@ -179,3 +179,45 @@ def faq_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("conv_id") % 5 + 1).cast("int"))
     return conv.select((F.col("conv_id") % 10).alias("package"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"),
                        F.split(F.col("text"), r"\. ")[0].alias("question"), cat.alias("category"))
+
+
+# Sitemaps as a crawler would have fetched them, derived from the page table:
+# per site, ceil(pages / 50 000) sitemap files (the protocol's size limit), each
+# listing its pages with an image:loc child and one foreign-host entry.  Sites
+# whose first page_id is a multiple of 5 have a truncated (broken) sitemap.
+SITEMAP_MAX_URLS = 50000
+
+
+def _xml_escape(c):
+    for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(ch), F.lit(ent))
+    return c
+
+
+def fetched_sitemaps(spark: SparkSession, sf_dir: str):
+    """(sitemaps, index): sitemaps (site, base_url, sitemap_url, xml); index (site, base_url, xml)."""
+    from ..functions import urls as U
+    pages = spark.read.parquet(table_path(sf_dir, "pages")).select(
+        U.site_name("url").alias("site"), "page_id", "url", U.origin("url").alias("origin"))
+    per_site = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id"),
+                                         F.min(F.struct("page_id", "origin")).alias("o"))
+    per_site = per_site.select("site", "first_id", F.col("o.origin").alias("origin"),
+                               F.ceil(F.col("n") / SITEMAP_MAX_URLS).cast("long").alias("chunks"))
+    j = pages.drop("origin").join(per_site, "site").withColumn("chunk", F.col("page_id") % F.col("chunks"))
+    entry = F.concat(F.lit("<url><loc>"), _xml_escape(F.col("url")), F.lit("</loc><image:image><image:loc>"),
+                     _xml_escape(F.concat(F.col("url"), F.lit("/img.png"))), F.lit("</image:loc></image:image></url>"))
+    docs = j.groupBy("site", "origin", "first_id", "chunk").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e"))))["e"], "").alias("body"))
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" '
+                         'xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">'),
+                   F.col("body"), F.lit("<url><loc>https://elsewhere.example.org/x</loc></url></urlset>"))
+    xml = F.when(F.col("first_id") % 5 == 0, F.substring(xml, 1, 120)).otherwise(xml)
+    base = F.concat(F.col("origin"), F.lit("/"))
+    sitemap_url = F.concat(F.col("origin"), F.lit("/sitemap-"), F.col("chunk").cast("string"), F.lit(".xml"))
+    sitemaps = docs.select("site", base.alias("base_url"), sitemap_url.alias("sitemap_url"), xml.alias("xml"))
+    index = sitemaps.groupBy("site", "base_url").agg(
+        F.concat(F.lit("<sitemapindex>"),
+                 F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), F.col("sitemap_url"),
+                                                                   F.lit("</loc></sitemap>")))), ""),
+                 F.lit("</sitemapindex>")).alias("xml"))
+    return sitemaps, index
