@@ -873,3 +873,56 @@ def q_read_fetched_pages(spark, sf):
 def q_capped_pages(spark, sf):
     pages = P.min_content_filter(P.pages_extracted(spark, sf), 50)
     return P.per_site_page_cap(pages, 10).select("site", "ord", "url")
+
+
+# --- merges and upserts ---------------------------------------------------------
+
+
+def _package_pages(spark, sf):
+    pk = records.packages(spark, sf)
+    prev = pk.select(F.col("slug").alias("package"), F.explode("preview_pages").alias("slug", "p")) \
+        .select("package", "slug", F.col("p.title").alias("title"), F.lit("preview").alias("version"))
+    full = pk.select(F.col("slug").alias("package"), F.explode("full_pages").alias("slug", "p")) \
+        .select("package", "slug", F.col("p.title").alias("title"), F.lit("full").alias("version"))
+    return prev, full
+
+
+@query("merge_pages", f"""WITH {PKG_SQL},
+ex AS (SELECT slug AS package, status, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM pk),
+c AS (SELECT package, w AS slug, CASE WHEN status = 'full_ready' THEN 'full' ELSE 'preview' END AS version FROM ex
+      WHERE i <= 2 OR status = 'full_ready')
+SELECT package, slug, min(version) AS version FROM c GROUP BY package, slug""")
+def q_merge_pages(spark, sf):
+    prev, full = _package_pages(spark, sf)
+    return RQ.merge_pages(prev, full).select("package", "slug", "version")
+
+
+@query("mandatory_pages")
+def q_mandatory_pages(spark, sf):
+    pk = records.packages(spark, sf)
+    pm = pk.select(F.col("slug").alias("package"), F.posexplode("page_map").alias("ord", "p")) \
+        .select("package", F.col("p.page_type").alias("page_type"), F.col("p.title").alias("title"),
+                F.col("p.slug").alias("slug"), F.col("p.tier").alias("tier"), F.col("ord").cast("int").alias("ord"))
+    return RQ.ensure_mandatory_pages(pm)
+
+
+@query("upsert_by_slug")
+def q_upsert_by_slug(spark, sf):
+    pk = records.packages(spark, sf).select("slug", "status", "payment_status", F.col("name").alias("title")) \
+        .dropDuplicates(["slug"])
+    part = records.read(spark, sf, "part")
+    name = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")) \
+        .otherwise(F.concat(F.col("p_brand"), F.lit(" "), F.split(F.col("p_type"), " ")[0]))
+    seeds = part.select(T_slug(name).alias("slug"), F.concat(F.lit("Seed "), name).alias("title"),
+                        F.lit("full_ready").alias("status"))
+    seeds = seeds.groupBy("slug").agg(F.min("title").alias("title"), F.first("status").alias("status"))
+    return RQ.upsert_by_slug(pk, seeds, content_cols=["title"])
+
+
+def T_slug(c):
+    return TX.slugify(c)
+
+
+@query("ordered_distinct_links")
+def q_ordered_distinct_links(spark, sf):
+    return RQ.ordered_distinct_links(P.pages_extracted(spark, sf))
