@@ -133,12 +133,21 @@ def html_escape(c) -> Column:
     return s
 
 
+def strip_ws(c) -> Column:
+    """Python ``str.strip()``: remove leading and trailing (Unicode) whitespace."""
+    return F.regexp_replace(col_of(c), r"^(?U)\s+|(?U)\s+$", "")
+
+
 def strip_json_fences(c) -> Column:
-    """Trim; drop a leading ``` line and a trailing ```."""
-    s = F.trim(nz(c))
-    s = F.when(s.startswith("```"), F.regexp_replace(s, r"^```[^\n]*\n?", "")).otherwise(s)
-    s = F.when(s.endswith("```"), F.regexp_replace(s, r"```$", "")).otherwise(s)
-    return F.trim(s)
+    """Trim; drop a leading ``` line and a trailing ```.
+
+    Written as a chain where each step reads the previous one once, so the
+    expression tree stays linear (no re-evaluation of shared inputs).
+    """
+    s = strip_ws(nz(c))
+    s = F.regexp_replace(s, r"^```[^\n]*\n?", "")
+    s = F.regexp_replace(s, r"```$", "")
+    return strip_ws(s)
 
 
 def truncation_status(c, max_chars: int = 12000) -> Column:

@@ -71,7 +71,7 @@ TERMINOLOGY_NONE = "No major terminology conflicts detected."
 
 def _first_found(lower: Column, phrases: list[str]) -> Column:
     """First phrase of the list (list order) that occurs in the text, else NULL."""
-    return F.try_element_at(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda x: lower.contains(x)), F.lit(1))
+    return F.coalesce(*[F.when(lower.contains(p), F.lit(p)) for p in phrases])
 
 
 def _msg(template: str, value: Column) -> Column:
@@ -84,21 +84,28 @@ def heading_texts(pages: DataFrame) -> Column:
     return F.transform(F.filter("headings", lambda h: h["level"] <= 4), lambda h: T.nz(h["text"]))
 
 
+def _diagnosis_inputs(pages: DataFrame) -> DataFrame:
+    """Per-page values computed once (lower-cased text, heading texts, counts)."""
+    return pages.select(
+        "site", "ord", "url", F.coalesce(F.col("title"), F.lit("Untitled")).alias("_title"),
+        T.nz("content").alias("_c"), F.lower(T.nz("content")).alias("_lc"),
+        F.transform(F.filter("headings", lambda h: h["level"] <= 4), lambda h: F.lower(T.nz(h["text"]))).alias("_heads"),
+        F.transform("code_blocks", lambda b: F.lower(T.nz(b["code"]))).alias("_codes"))
+
+
 def diagnose_pages(pages: DataFrame) -> DataFrame:
     """Per page: counts, boolean findings, ordered issues and strengths."""
-    c = T.nz("content")
-    lc = F.lower(c)
-    title_l = F.lower(F.coalesce(F.col("title"), F.lit("Untitled")))
-    heads = heading_texts(pages)
+    pages = _diagnosis_inputs(pages)
+    c, lc, heads = F.col("_c"), F.col("_lc"), F.col("_heads")
+    title_l = F.lower(F.col("_title"))
     n_heads = F.size(heads)
     words = T.word_count(c)
-    has_code = F.size("code_blocks") > 0
+    has_code = F.size("_codes") > 0
     vague = _first_found(lc, VAGUE_REFS)
-    action_count = F.size(F.filter(heads, lambda h: T.contains_any(F.lower(h), ACTION_WORDS)))
+    action_count = F.size(F.filter(heads, lambda h: T.contains_any(h, ACTION_WORDS)))
     has_action = action_count > n_heads * ACTION_SHARE
     has_tables = c.contains("|") & T.contains_any(lc, ["parameter", "type", "required"])
-    complete = has_code & F.exists("code_blocks", lambda b: T.contains_any(F.lower(T.nz(b["code"])),
-                                                                         ["import", "require", "from"]))
+    complete = has_code & F.exists("_codes", lambda b: T.contains_any(b, ["import", "require", "from"]))
     implicit = _first_found(lc, IMPLICIT_PHRASES)
     errors = lc.contains("error") & (lc.contains("code") | lc.contains("status")) & \
         T.contains_any(lc, ["fix", "solution", "resolve"])
@@ -107,30 +114,41 @@ def diagnose_pages(pages: DataFrame) -> DataFrame:
     output = lc.contains("response") & (lc.contains("example") | lc.contains("output"))
     marketing = _first_found(lc, MARKETING_TERMS)
     version = T.contains_any(lc, ["version", "v1", "v2"])
-    issues = F.array(
-        F.when(vague.isNotNull(), _msg(MSG_VAGUE, vague)),
-        F.when(~has_action & (n_heads > 0), F.lit(MSG_HEADINGS)),
-        F.when(lc.contains("parameter") & ~has_tables, F.lit(MSG_PROSE_PARAMS)),
-        F.when(has_code & ~complete, F.lit(MSG_NO_IMPORTS))
-         .when(~has_code & (title_l.contains("how") | title_l.contains("guide")), F.lit(MSG_HOWTO_NO_CODE)),
-        F.when(implicit.isNotNull(), _msg(MSG_IMPLICIT, implicit)),
-        F.when(lc.contains("error") & ~errors, F.lit(MSG_ERRORS)),
-        F.when(~front, F.lit(MSG_FRONTMATTER)),
-        F.when(marketing.isNotNull(), _msg(MSG_MARKETING, marketing)),
-        F.when(words < SHORT_WORDS, F.lit(MSG_SHORT)),
-        F.when(n_heads < MIN_HEADINGS, F.lit(MSG_STRUCTURE)))
-    strengths = F.array(*[F.when(flag, F.lit(s)) for flag, s in zip(
-        [has_tables, complete, errors, prereq, has_action, vague.isNull()], STRENGTHS)])
-    return pages.select(
-        "site", "ord", "url", F.coalesce(F.col("title"), F.lit("Untitled")).alias("title"),
-        words.alias("word_count"), n_heads.alias("heading_count"), F.size("code_blocks").alias("code_count"),
+    flags = pages.select(
+        "site", "ord", "url", F.col("_title").alias("title"),
+        words.alias("word_count"), n_heads.alias("heading_count"), F.size("_codes").alias("code_count"),
         vague.isNotNull().alias("has_vague_references"), has_action.alias("has_action_headings"),
         has_tables.alias("has_parameter_tables"), complete.alias("has_complete_examples"),
         implicit.isNotNull().alias("has_implicit_language"), errors.alias("has_error_docs"),
         front.alias("has_frontmatter"), prereq.alias("has_prerequisites"), output.alias("has_expected_output"),
         marketing.isNotNull().alias("has_marketing_language"), version.alias("has_version_info"),
-        F.filter(issues, lambda x: x.isNotNull()).alias("issues"),
-        F.filter(strengths, lambda x: x.isNotNull()).alias("strengths"))
+        vague.alias("_vague"), implicit.alias("_implicit"), marketing.alias("_marketing"),
+        lc.contains("parameter").alias("_mentions_params"), lc.contains("error").alias("_mentions_errors"),
+        (title_l.contains("how") | title_l.contains("guide")).alias("_howto_title"))
+    return _issues(flags)
+
+
+def _issues(f: DataFrame) -> DataFrame:
+    """Ordered issue and strength lists from the boolean findings (one projection)."""
+    col = F.col
+    issues = F.array(
+        F.when(col("_vague").isNotNull(), _msg(MSG_VAGUE, col("_vague"))),
+        F.when(~col("has_action_headings") & (col("heading_count") > 0), F.lit(MSG_HEADINGS)),
+        F.when(col("_mentions_params") & ~col("has_parameter_tables"), F.lit(MSG_PROSE_PARAMS)),
+        F.when((col("code_count") > 0) & ~col("has_complete_examples"), F.lit(MSG_NO_IMPORTS))
+         .when((col("code_count") == 0) & col("_howto_title"), F.lit(MSG_HOWTO_NO_CODE)),
+        F.when(col("_implicit").isNotNull(), _msg(MSG_IMPLICIT, col("_implicit"))),
+        F.when(col("_mentions_errors") & ~col("has_error_docs"), F.lit(MSG_ERRORS)),
+        F.when(~col("has_frontmatter"), F.lit(MSG_FRONTMATTER)),
+        F.when(col("_marketing").isNotNull(), _msg(MSG_MARKETING, col("_marketing"))),
+        F.when(col("word_count") < SHORT_WORDS, F.lit(MSG_SHORT)),
+        F.when(col("heading_count") < MIN_HEADINGS, F.lit(MSG_STRUCTURE)))
+    strengths = F.array(*[F.when(flag, F.lit(s)) for flag, s in zip(
+        [col("has_parameter_tables"), col("has_complete_examples"), col("has_error_docs"), col("has_prerequisites"),
+         col("has_action_headings"), col("_vague").isNull()], STRENGTHS)])
+    keep = [c for c in f.columns if not c.startswith("_")]
+    return f.select(*keep, F.filter(issues, lambda x: x.isNotNull()).alias("issues"),
+                    F.filter(strengths, lambda x: x.isNotNull()).alias("strengths"))
 
 
 def page_type(pages: DataFrame, diagnosis: DataFrame | None = None) -> DataFrame:
@@ -179,7 +197,8 @@ def language_accuracy(docs: DataFrame) -> DataFrame:
 
 def issue_frequency(diagnosis: DataFrame) -> DataFrame:
     """Pages per issue text (and per site)."""
-    return diagnosis.select("site", F.explode("issues").alias("issue")).groupBy("site", "issue") \
+    return diagnosis.select("site", F.explode_outer("issues").alias("issue")).where("issue IS NOT NULL") \
+        .groupBy("site", "issue") \
         .agg(F.count(F.lit(1)).alias("pages"))
 
 

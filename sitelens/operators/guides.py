@@ -76,10 +76,9 @@ def _empty_if_null(c: Column) -> Column:
 def guide_playbooks(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
     """One row per playbook; new field names win, old ones fill in when absent;
     lists cut to 4, steps to 5; playbooks after the second are locked in drafts."""
-    g = parsed.where("ok")
+    g = parsed  # bad guides are NULL already; filtering on "ok" here would be pushed below the JSON parse
     ex = g.select(*keys, F.col("guide.meta.mode").alias("mode"),
-                  F.posexplode(F.coalesce(F.col("guide.task_playbooks"), F.array().cast(T.ArrayType(PLAYBOOK))))
-                  .alias("idx", "pb"))
+                  F.posexplode_outer(F.col("guide.task_playbooks")).alias("idx", "pb")).where("idx IS NOT NULL")
     pb = F.col("pb")
     ask = F.when(F.size(_empty_if_null(pb["ask_for"])) > 0, pb["ask_for"]) \
         .otherwise(F.transform(F.coalesce(pb["required_inputs"], F.array().cast(T.ArrayType(_st(("name", _S))))),
@@ -101,7 +100,7 @@ def guide_playbooks(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
 
 def stop_conditions(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
     """Stop-and-ask / stop-and-escalate lists with the old-schema fallbacks, first 8 each."""
-    g = parsed.where("ok")
+    g = parsed  # bad guides are NULL already; filtering on "ok" here would be pushed below the JSON parse
     pbs = F.coalesce(F.col("guide.task_playbooks"), F.array().cast(T.ArrayType(PLAYBOOK)))
     ask = _empty_if_null(F.col("guide.stop_conditions.stop_and_ask"))
     esc = _empty_if_null(F.col("guide.stop_conditions.stop_and_escalate"))
@@ -112,13 +111,13 @@ def stop_conditions(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
     ask_fb = F.concat(amb, F.filter(F.array_distinct(pb_confirm), lambda c: ~F.array_contains(amb, c)))
     ask_all = F.when(F.size(ask) > 0, ask).otherwise(ask_fb)
     esc_all = F.when(F.size(esc) > 0, esc).otherwise(F.array_distinct(pb_escalate))
-    return g.select(*keys, F.slice(ask_all, 1, STOP_CAP).alias("stop_and_ask"),
+    return g.select(*keys, "ok", F.slice(ask_all, 1, STOP_CAP).alias("stop_and_ask"),
                     F.slice(esc_all, 1, STOP_CAP).alias("stop_and_escalate"))
 
 
 def guide_scope(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
     """The four scope lists (first 5 each) as (list, pos, action) rows."""
-    g = parsed.where("ok")
+    g = parsed  # bad guides are NULL already; filtering on "ok" here would be pushed below the JSON parse
     never = F.coalesce(F.col("guide.agent_scope.never_do"), F.col("guide.operating_rules.never_do"),
                        F.col("guide.operating_rules.never"), F.array().cast("array<string>"))
     lists = [("safe", F.transform(F.col("guide.agent_scope.safe_without_approval"), lambda a: a["action"])),
@@ -127,38 +126,38 @@ def guide_scope(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
              ("never", never)]
     tagged = F.array(*[F.struct(F.lit(name).alias("list"), F.slice(_empty_if_null(arr), 1, SCOPE_CAP).alias("items"))
                        for name, arr in lists])
-    ex = g.select(*keys, F.explode(tagged).alias("l"))
-    return ex.select(*keys, F.col("l.list").alias("list"), F.posexplode(F.col("l.items")).alias("pos", "action"))
+    ex = g.select(*keys, F.explode_outer(tagged).alias("l"))
+    return ex.select(*keys, F.col("l.list").alias("list"), F.posexplode_outer(F.col("l.items")).alias("pos", "action")) \
+        .where("pos IS NOT NULL")
 
 
 def guide_rules_setup(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
     """Operating rules (always / never / environment) and setup fields as (section, item) rows."""
-    g = parsed.where("ok")
+    g = parsed  # bad guides are NULL already; filtering on "ok" here would be pushed below the JSON parse
     secs = [("always", F.col("guide.operating_rules.always")),
             ("never", F.coalesce(F.col("guide.operating_rules.never"), F.col("guide.operating_rules.never_do"))),
             ("environment", F.col("guide.operating_rules.environment")),
             ("prerequisites", F.col("guide.setup.prerequisites")), ("auth_methods", F.col("guide.setup.auth_methods")),
             ("required_secrets", F.col("guide.setup.required_secrets")), ("env_notes", F.col("guide.setup.env_notes"))]
     tagged = F.array(*[F.struct(F.lit(n).alias("section"), _empty_if_null(c).alias("items")) for n, c in secs])
-    ex = g.select(*keys, F.explode(tagged).alias("s"))
-    return ex.select(*keys, F.col("s.section").alias("section"), F.posexplode(F.col("s.items")).alias("pos", "item"))
+    ex = g.select(*keys, F.explode_outer(tagged).alias("s"))
+    return ex.select(*keys, F.col("s.section").alias("section"), F.posexplode_outer(F.col("s.items")).alias("pos", "item")) \
+        .where("pos IS NOT NULL")
 
 
 def guide_troubleshooting(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
     """First 3 troubleshooting entries and first 3 decisions."""
-    g = parsed.where("ok")
-    ts = g.select(*keys, F.posexplode(F.slice(F.coalesce(F.col("guide.troubleshooting"),
-                                                         F.array().cast(GUIDE_SCHEMA["troubleshooting"].dataType)),
-                                              1, SECTION_CAP)).alias("pos", "t"))
+    g = parsed  # bad guides are NULL already; filtering on "ok" here would be pushed below the JSON parse
+    ts = g.select(*keys, F.posexplode_outer(F.slice(F.col("guide.troubleshooting"), 1, SECTION_CAP)).alias("pos", "t")) \
+        .where("pos IS NOT NULL")
     return ts.select(*keys, "pos", F.col("t.issue").alias("issue"), F.col("t.likely_cause").alias("likely_cause"),
                      F.col("t.fix").alias("fix"), F.coalesce(F.col("t.escalate_if"), F.lit("")).alias("escalate_if"))
 
 
 def guide_decisions(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
     """Decision cards with use / avoid / escalate lists, 3 items each."""
-    g = parsed.where("ok")
-    dg = g.select(*keys, F.posexplode(F.coalesce(F.col("guide.decision_guide"),
-                                                 F.array().cast(GUIDE_SCHEMA["decision_guide"].dataType))).alias("pos", "d"))
+    g = parsed  # bad guides are NULL already; filtering on "ok" here would be pushed below the JSON parse
+    dg = g.select(*keys, F.posexplode_outer(F.col("guide.decision_guide")).alias("pos", "d")).where("pos IS NOT NULL")
     return dg.select(*keys, "pos", F.coalesce(F.col("d.decision"), F.lit("")).alias("decision"),
                      F.slice(_empty_if_null(F.col("d.use_when")), 1, SECTION_CAP).alias("use_when"),
                      F.slice(_empty_if_null(F.col("d.avoid_when")), 1, SECTION_CAP).alias("avoid_when"),
@@ -167,9 +166,8 @@ def guide_decisions(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
 
 def guide_references(parsed: DataFrame, keys=("guide_id",)) -> DataFrame:
     """References grouped by topic (missing topic → 'General')."""
-    g = parsed.where("ok")
-    ex = g.select(*keys, F.posexplode(F.coalesce(F.col("guide.references"), F.array().cast(T.ArrayType(REF))))
-                  .alias("pos", "r"))
+    g = parsed  # bad guides are NULL already; filtering on "ok" here would be pushed below the JSON parse
+    ex = g.select(*keys, F.posexplode_outer(F.col("guide.references")).alias("pos", "r")).where("pos IS NOT NULL")
     return ex.select(*keys, "pos", F.coalesce(F.col("r.topic"), F.lit("General")).alias("topic"),
                      F.col("r.label").alias("label"), F.col("r.url").alias("url"))
 
@@ -186,7 +184,8 @@ def source_pages(pages: DataFrame, key: str = "site", k: int | None = None) -> D
 def package_page_map(packages: DataFrame, preview_only: bool = False) -> DataFrame:
     """Explode the page map; preview runs keep preview-tier pages; full pages of
     unpaid packages are locked."""
-    ex = packages.select("slug", "payment_status", F.posexplode("page_map").alias("pos", "p"))
+    ex = packages.select("slug", "payment_status", F.posexplode_outer("page_map").alias("pos", "p")) \
+        .where("pos IS NOT NULL")
     ex = ex.select("slug", "pos", F.col("p.page_type").alias("page_type"), F.col("p.title").alias("title"),
                    F.col("p.slug").alias("page_slug"), F.col("p.tier").alias("tier"), "payment_status")
     if preview_only:

@@ -27,7 +27,8 @@ def ordered_links(pages: DataFrame) -> DataFrame:
     """
     col = "link_refs" if "link_refs" in pages.columns else "links"
     href = F.col("l.href") if col == "link_refs" else F.col("l")
-    ex = pages.select("site", U.normalize_url("url").alias("src"), F.posexplode(col).alias("pos", "l"))
+    ex = pages.select("site", U.normalize_url("url").alias("src"), F.posexplode_outer(col).alias("pos", "l")) \
+        .where("pos IS NOT NULL")
     return ex.select("site", "src", "pos", U.normalize_url(href).alias("dst")).where(F.col("dst").isNotNull())
 
 

@@ -229,7 +229,7 @@ def ensure_mandatory_pages(page_map: DataFrame) -> DataFrame:
 def ordered_distinct_links(pages: DataFrame, cap: int = 50) -> DataFrame:
     """First ``cap`` links of each page, first occurrence per link text wins;
     empty, '#' and javascript: hrefs become UNRESOLVED."""
-    ex = pages.select("site", "ord", F.posexplode(F.slice("link_refs", 1, cap)).alias("pos", "l"))
+    ex = pages.select("site", "ord", F.posexplode_outer(F.slice("link_refs", 1, cap)).alias("pos", "l")).where("pos IS NOT NULL")
     ex = ex.select("site", "ord", "pos", F.trim(F.col("l.text")).alias("text"), F.trim(F.col("l.href")).alias("href"))
     ex = ex.where(F.col("text") != "")
     first = ex.groupBy("site", "ord", "text").agg(F.min("pos").alias("pos"))

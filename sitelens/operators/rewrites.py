@@ -85,6 +85,18 @@ def fix_dates(text: Column, run_date: str) -> Column:
                   F.regexp_replace(text, LAST_UPDATED_RX, "$1" + run_date + "$3")).otherwise(text)
 
 
+def line_features(text: Column) -> Column:
+    """Per line: the line and its fence / table / heading / keyword flags, computed once."""
+    base = F.transform(_lines(text), lambda l: F.struct(l.alias("line"), _stripped(l).alias("st"),
+                                                        F.lower(l).alias("low")))
+    return F.transform(base, lambda x: F.struct(
+        x["line"].alias("line"), x["st"].startswith("```").alias("fence"), x["st"].startswith("|").alias("pipe"),
+        x["st"].startswith("#").alias("head"),
+        (x["low"].contains("error") | x["low"].contains("troubleshoot")
+         | (x["low"].contains("cause") & x["low"].contains("fix"))).alias("err_kw"),
+        T.contains_any(x["low"], FABRICATED_HEADING_WORDS).alias("head_kw")))
+
+
 def _validate_fold(text: Column, has_code: Column, no_errors: Column) -> Column:
     """(b)-(d): drop fabricated fenced blocks, error tables and error sections.
 
@@ -94,25 +106,18 @@ def _validate_fold(text: Column, has_code: Column, no_errors: Column) -> Column:
                     F.lit(False).alias("table"), F.lit(False).alias("heading"),
                     F.lit(0).alias("blocks"), F.lit(0).alias("rows"), F.lit(0).alias("sections"))
 
-    def step(s, line):
-        st = _stripped(line)
-        low = F.lower(line)
-        is_fence = st.startswith("```")
-        is_pipe = st.startswith("|")
-        is_head = st.startswith("#")
+    def step(s, x):
+        line, is_fence, is_pipe, is_head = x["line"], x["fence"], x["pipe"], x["head"]
         # (d) still inside a removed section: skip until the next heading line
         skipping_section = s["heading"] & ~is_head
         fence_open_fab = ~s["fence"] & is_fence & ~has_code
         fence_keep = ~s["fence"] & is_fence & has_code
         in_fab_fence = s["fence"]
-        err_row = is_pipe & (low.contains("error") | low.contains("troubleshoot")
-                             | (low.contains("cause") & low.contains("fix"))) & no_errors
+        err_row = is_pipe & x["err_kw"] & no_errors
         table_cont = s["table"] & is_pipe
-        fab_heading = is_head & T.contains_any(low, FABRICATED_HEADING_WORDS) & no_errors
-        drop = (skipping_section | fence_open_fab | (in_fab_fence & ~fence_keep) | err_row | table_cont
-                | fab_heading)
+        fab_heading = is_head & x["head_kw"] & no_errors
         drop = F.when(skipping_section, F.lit(True)).when(fence_keep, F.lit(False)) \
-            .when(in_fab_fence, F.lit(True)).otherwise(drop)
+            .when(in_fab_fence, F.lit(True)).otherwise(fence_open_fab | err_row | table_cont | fab_heading)
         new_fence = F.when(skipping_section, s["fence"]) \
             .when(fence_open_fab, F.lit(True)) \
             .when(in_fab_fence & is_fence, F.lit(False)).otherwise(s["fence"])
@@ -120,9 +125,8 @@ def _validate_fold(text: Column, has_code: Column, no_errors: Column) -> Column:
         reaches_table = ~skipping_section & ~is_fence & ~in_fab_fence
         new_table = F.when(~reaches_table, s["table"]).when(err_row, F.lit(True)) \
             .when(s["table"] & is_pipe, F.lit(True)).otherwise(F.lit(False))
-        new_heading = F.when(skipping_section, F.lit(True)).when(reaches_table & ~err_row & ~table_cont & fab_heading,
-                                                                  F.lit(True)).otherwise(F.lit(False))
         counted_heading = reaches_table & ~err_row & ~table_cont & fab_heading
+        new_heading = skipping_section | counted_heading
         return F.struct(
             F.when(drop, s["out"]).otherwise(F.concat(s["out"], F.array(line))).alias("out"),
             new_fence.alias("fence"), new_table.alias("table"), new_heading.alias("heading"),
@@ -130,7 +134,7 @@ def _validate_fold(text: Column, has_code: Column, no_errors: Column) -> Column:
             (s["rows"] + F.when(reaches_table & (err_row | table_cont), 1).otherwise(0)).alias("rows"),
             (s["sections"] + F.when(counted_heading, 1).otherwise(0)).alias("sections"))
 
-    return F.aggregate(_lines(text), init, step)
+    return F.aggregate(line_features(text), init, step)
 
 
 def validate_rewrites(rewrites: DataFrame, originals: DataFrame, run_date: str) -> DataFrame:
@@ -150,21 +154,18 @@ def validate_rewrites(rewrites: DataFrame, originals: DataFrame, run_date: str)
 
 
 def clean_rewrite(c: Column) -> Column:
-    """Strip an outer fence, cut at the improvements marker / heading, drop a 'Here…' preamble."""
-    s = F.trim(T.nz(c))
-    s = F.regexp_replace(s, r"^(?U)\s+|(?U)\s+$", "")
-    lines = _lines(s)
-    no_open = F.slice(lines, 2, 1 << 30)
-    last = F.try_element_at(no_open, F.lit(-1))
-    no_close = F.when((F.size(no_open) > 0) & (F.coalesce(_stripped(last), F.lit("")) == "```"),
-                      F.slice(no_open, 1, F.greatest(F.size(no_open) - 1, F.lit(0)))).otherwise(no_open)
-    s = F.when(s.startswith("```"), F.array_join(no_close, "\n")).otherwise(s)
-    s = F.when(s.contains(IMPROVEMENTS_MARKER), _strip_ws(F.substring_index(s, IMPROVEMENTS_MARKER, 1))).otherwise(s)
-    s = F.when(s.contains(IMPROVEMENTS_HEADING), _strip_ws(F.substring_index(s, IMPROVEMENTS_HEADING, 1))).otherwise(s)
-    ls = _lines(s)
-    idx = F.array_position(F.transform(ls, lambda x: _stripped(x).startswith("---")), F.lit(True))
-    from_front = F.array_join(F.slice(ls, F.greatest(idx, F.lit(1)).cast("int"), 1 << 30), "\n")
-    s = F.when(s.startswith("Here") & (idx > 0), from_front).otherwise(s)
+    """Strip an outer fence, cut at the improvements marker / heading, drop a 'Here…' preamble.
+
+    Each step reads the previous result once (linear expression tree):
+    the fence rule removes the first line and a closing line that is only
+    ```; the preamble rule removes everything before the first line that
+    starts with '---'.
+    """
+    s = _strip_ws(T.nz(c))
+    s = F.regexp_replace(s, r"(?s)^```[^\n]*(?:\n|$)(.*?)(?:(?:\n|(?<=\n))[^\S\n]*```[^\S\n]*)?$", "$1")
+    s = _strip_ws(F.substring_index(s, IMPROVEMENTS_MARKER, 1))
+    s = _strip_ws(F.substring_index(s, IMPROVEMENTS_HEADING, 1))
+    s = F.regexp_replace(s, r"(?s)^Here.*?\n(?=[^\S\n]*---)", "")
     return _strip_ws(s)
 
 
@@ -245,7 +246,7 @@ def improvement_summary(accepted: DataFrame) -> DataFrame:
     """
     per_site = accepted.groupBy("site").agg(F.count(F.lit(1)).alias("pages_optimized"),
                                             F.sum(F.size("improvements")).alias("total_improvements"))
-    distinct = accepted.select("site", F.explode("improvements").alias("imp")).distinct() \
+    distinct = accepted.select("site", F.explode_outer("improvements").alias("imp")).where("imp IS NOT NULL").distinct() \
         .groupBy("site").agg(F.count(F.lit(1)).alias("unique_improvements"))
     return per_site.join(distinct, "site", "left").fillna(0, ["unique_improvements"])
 

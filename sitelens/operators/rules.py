@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..session import ensure_parallelism
 
 
 @dataclass(frozen=True)
@@ -323,7 +322,6 @@ def register_rule(spec: RuleSpec) -> None:
 
 def page_context(pages: DataFrame) -> DataFrame:
     """Add the shared per-page helper columns (null-safe text, lower-case, word count)."""
-    pages = ensure_parallelism(pages)
     return (pages
             .withColumn("_c", T.nz("content"))
             .withColumn("_lc", F.lower(F.col("_c")))

@@ -129,7 +129,7 @@ def recommendations(scores: DataFrame, pages: DataFrame, key: str = "site") -> D
                                 F.lit(fb_effort).alias("effort"), F.lit(fb_cat).alias("category"),
                                 F.lit(fb_title).alias("title"), F.lit(fb_est).alias("estimated_improvement")))
     recs = F.when(F.size(emitted) == 0, fallback).otherwise(emitted)
-    rows = scores.select(key, F.posexplode(recs).alias("pos", "r")) \
+    rows = scores.select(key, F.posexplode_outer(recs).alias("pos", "r")).where("pos IS NOT NULL") \
         .select(key, (F.col("pos") + 1).alias("priority"), "r.*")
 
     page = F.struct("ord", "url", "title")

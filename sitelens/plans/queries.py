@@ -750,7 +750,7 @@ def q_guide_playbooks(spark, sf):
 @query("guide_stop_conditions")
 def q_guide_stop_conditions(spark, sf):
     s = G.stop_conditions(_parsed(spark, sf))
-    return s.select("guide_id", F.size("stop_and_ask").alias("n_ask"), F.size("stop_and_escalate").alias("n_escalate"),
+    return s.select("guide_id", "ok", F.size("stop_and_ask").alias("n_ask"), F.size("stop_and_escalate").alias("n_escalate"),
                     F.md5(F.array_join("stop_and_ask", "\n")).alias("ask_md5"))
 
 
@@ -880,9 +880,9 @@ def q_capped_pages(spark, sf):
 
 def _package_pages(spark, sf):
     pk = records.packages(spark, sf)
-    prev = pk.select(F.col("slug").alias("package"), F.explode("preview_pages").alias("slug", "p")) \
+    prev = pk.select(F.col("slug").alias("package"), F.explode_outer("preview_pages").alias("slug", "p")).where("slug IS NOT NULL") \
         .select("package", "slug", F.col("p.title").alias("title"), F.lit("preview").alias("version"))
-    full = pk.select(F.col("slug").alias("package"), F.explode("full_pages").alias("slug", "p")) \
+    full = pk.select(F.col("slug").alias("package"), F.explode_outer("full_pages").alias("slug", "p")).where("slug IS NOT NULL") \
         .select("package", "slug", F.col("p.title").alias("title"), F.lit("full").alias("version"))
     return prev, full
 
@@ -900,7 +900,7 @@ def q_merge_pages(spark, sf):
 @query("mandatory_pages")
 def q_mandatory_pages(spark, sf):
     pk = records.packages(spark, sf)
-    pm = pk.select(F.col("slug").alias("package"), F.posexplode("page_map").alias("ord", "p")) \
+    pm = pk.select(F.col("slug").alias("package"), F.posexplode_outer("page_map").alias("ord", "p")).where("ord IS NOT NULL") \
         .select("package", F.col("p.page_type").alias("page_type"), F.col("p.title").alias("title"),
                 F.col("p.slug").alias("slug"), F.col("p.tier").alias("tier"), F.col("ord").cast("int").alias("ord"))
     return RQ.ensure_mandatory_pages(pm)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table_path
+from ..session import ensure_parallelism, table_path
 
 SITE_PAGES_COLUMNS = [
     """source AS site""",
@@ -54,7 +54,7 @@ SITE_PAGES_SELECT = ",\n".join(SITE_PAGES_COLUMNS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, "documents"))
+    return ensure_parallelism(spark.read.parquet(table_path(sf_dir, "documents")))
 
 
 def site_pages_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,15 +123,15 @@ RISKS = ["safe_read", "safe_write", "requires_confirmation", "requires_escalatio
 
 
 def raw_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = spark.read.parquet(table_path(sf_dir, "conversations"))
+    conv = ensure_parallelism(spark.read.parquet(table_path(sf_dir, "conversations")))
     sent = F.split(F.col("text"), r"\. ")
     old = (F.col("conv_id") % 3) == 1
 
     def words(s):
         return F.split(s, " ")
 
-    def playbook(s, i, old_names: bool):
-        w = words(s)
+    def playbook(x, i, old_names: bool):
+        s, w = x["s"], x["w"]
         names = (["pre_checks", "steps", "verification_checks", "confirmation_required_when", "escalate_when",
                   "source_refs"] if old_names else ["check", "do", "verify", "confirm_before", "escalate_if", "refs"])
         fields = [F.array_join(F.slice(w, 1, 3), " ").alias("task_name"), s.alias("goal"),
@@ -146,7 +146,7 @@ def raw_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(*fields)
 
     def guide(old_names: bool):
-        w_all = words(F.col("text"))
+        w_all = F.col("_words")
         return F.to_json(F.struct(
             F.struct(F.concat(F.lit("Product "), F.col("conv_id").cast("string")).alias("product_name"),
                      F.concat(F.lit("product-"), F.col("conv_id").cast("string")).alias("slug"),
@@ -157,7 +157,7 @@ def raw_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.slice(w_all, 10, 7).alias("never_do")).alias("agent_scope"),
             F.struct(F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.slice(sent, 1, 2)).alias("stop_and_ask"),
                      F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.slice(sent, 2, 2)).alias("stop_and_escalate")).alias("stop_conditions"),
-            F.transform(F.slice(sent, 1, 6), lambda s, i: playbook(s, i, old_names)).alias("task_playbooks"),
+            F.transform(F.col("_sw"), lambda x, i: playbook(x, i, old_names)).alias("task_playbooks"),
             F.struct(F.slice(sent, 1, 1).alias("always"), F.slice(sent, 2, 1).alias("never"),
                      F.slice(sent, -1, 1).alias("ambiguity_rules")).alias("operating_rules"),
             F.struct(F.slice(w_all, 1, 2).alias("prerequisites"), F.slice(w_all, 3, 1).alias("auth_methods")).alias("setup"),
@@ -166,10 +166,17 @@ def raw_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                  F.get(words(s), 1).alias("fix"))).alias("troubleshooting"),
             F.transform(F.slice(w_all, 1, 4), lambda x, i: F.struct(x.alias("label"), F.concat(F.lit("https://docs.example.com/"), x).alias("url"),
                                                                      F.when(i % 2 == 0, F.lit("API")).alias("topic"))).alias("references")))
-    js = F.when(old, guide(True)).otherwise(guide(False))
-    js = F.when((F.col("conv_id") + F.col("turn")) % 9 == 4, F.substring(js, 1, F.floor(F.length(js) / 2).cast("int"))).otherwise(js)
-    js = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).otherwise(js)
-    return conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("guide_id"), "conv_id", "turn", js.alias("raw"))
+    conv = conv.withColumn("_sent", sent).withColumn("_words", words(F.col("text")))
+    sent = F.col("_sent")
+    conv = conv.withColumn("_sw", F.transform(F.slice(sent, 1, 6), lambda s: F.struct(s.alias("s"), words(s).alias("w"))))
+    staged = conv.withColumn("_js", F.when(old, guide(True)).otherwise(guide(False)))
+    js = F.col("_js")
+    staged = staged.withColumn("_js", F.when((F.col("conv_id") + F.col("turn")) % 9 == 4,
+                                             F.substring(js, 1, F.floor(F.length(js) / 2).cast("int"))).otherwise(js))
+    staged = staged.withColumn("_js", F.when(F.col("turn") % 4 == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+                               .otherwise(js))
+    return staged.select((F.col("conv_id") * 100 + F.col("turn")).alias("guide_id"), "conv_id", "turn",
+                         F.col("_js").alias("raw"))
 
 
 def faq_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,22 +35,26 @@ def loc_values(xml: Column) -> Column:
 
 def sitemap_urls(sitemaps: DataFrame, base_col: str = "base_url") -> DataFrame:
     """(site, base_url, sitemap_url, xml) → (site, pos, url) for same-host locs (duplicates kept)."""
-    ex = sitemaps.select("site", base_col, F.col("sitemap_url"), F.posexplode(loc_values(F.col("xml"))).alias("pos", "url"))
+    ex = sitemaps.select("site", base_col, F.col("sitemap_url"),
+                         F.posexplode_outer(loc_values(F.col("xml"))).alias("pos", "url")).where("pos IS NOT NULL")
     return ex.where(U.same_host(F.col("url"), F.col(base_col))).select("site", "sitemap_url", "pos", "url")
 
 
 def sitemap_index_urls(index: DataFrame, sitemaps: DataFrame, base_col: str = "base_url") -> DataFrame:
     """S3: index locs → fetched child sitemaps (joined on URL) → same-host page locs."""
-    children = index.select("site", base_col, F.posexplode(loc_values(F.col("xml"))).alias("ipos", "sitemap_url"))
+    children = index.select("site", base_col, F.posexplode_outer(loc_values(F.col("xml"))).alias("ipos", "sitemap_url")) \
+        .where("ipos IS NOT NULL")
     fetched = sitemaps.select("sitemap_url", F.col("xml").alias("child_xml"))
     j = children.join(fetched, "sitemap_url")
-    ex = j.select("site", base_col, "ipos", "sitemap_url", F.posexplode(loc_values(F.col("child_xml"))).alias("pos", "url"))
+    ex = j.select("site", base_col, "ipos", "sitemap_url",
+                  F.posexplode_outer(loc_values(F.col("child_xml"))).alias("pos", "url")).where("pos IS NOT NULL")
     return ex.where(U.same_host(F.col("url"), F.col(base_col))).select("site", "ipos", "pos", "url")
 
 
 def start_page_links(start_pages: DataFrame) -> DataFrame:
     """S4 fallback: first 50 same-host, crawlable links of the start page, in page order."""
-    ex = start_pages.select("site", F.col("url").alias("base_url"), F.posexplode("link_refs").alias("pos", "l"))
+    ex = start_pages.select("site", F.col("url").alias("base_url"), F.posexplode_outer("link_refs").alias("pos", "l")) \
+        .where("pos IS NOT NULL")
     ok = ex.where(U.same_host(F.col("l.href"), F.col("base_url")) & U.valid_path(F.col("l.href")))
     from ..operators.scoring import first_k
     return first_k(ok.select("site", "pos", F.col("l.href").alias("url")), "site", LINKS_CAP, order="pos")
