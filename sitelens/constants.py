@@ -249,3 +249,36 @@ TOP_ISSUES_K = 5
 ALL_PASSING_ISSUE = ("optimization", "All rules passing — minor optimizations available for a perfect score",
                      "low", 0, "all_passing", 100)
 NO_PAGES_ISSUE = ("crawling", "No pages could be analyzed", "high", 0, "no_pages", 0)
+
+# ---------------------------------------------------------------------------
+# Literal prefilter for the word-bounded rule patterns.
+#
+# Invariant: every match of the pattern (on lower-cased text) contains at
+# least one of these whole-word tokens, where tokens are the maximal runs
+# of word characters — the same characters that delimit ``\b``.  A page
+# whose token set has none of them cannot match, so the regex is skipped.
+# ``tests/test_prefilter.py`` checks the invariant on generated text.
+# ---------------------------------------------------------------------------
+PREFILTER = {
+    "R1": ["above", "previous", "earlier", "previously"],
+    "R3": ["parameter", "argument", "option", "field", "property", "attribute"],
+    "R5": ["typically", "usually", "simply", "obviously", "want", "works", "expect", "just", "easy"],
+    "R6_ERROR": ["error", "status", "message", "troubleshoot", "common", "handling", "exception"]
+                + [str(n) for n in range(400, 600)],
+    "R6_FIX": ["fix", "solution", "resolve", "workaround", "remedy", "recovery", "retry", "fallback"],
+    "R9": ["prerequisite", "before", "requirement", "requirements", "need", "must", "sure", "ensure", "set", "sign",
+           "account", "required", "require", "requires", "should", "follow", "complete", "started"],
+    "R10": ["response", "output", "return", "returns", "result"],
+    "R11": ["here", "more"],
+    "R14": ["use", "vs", "versus", "compare", "compared", "comparison", "trade", "tradeoff", "tradeoffs", "which",
+            "difference", "differences"],
+    "R15": ["warning", "caution", "danger", "irreversible", "destructive", "undone", "permanent", "rate", "quota",
+            "billing", "side", "dry", "dryrun"],
+    "R16": ["seamlessly", "world", "worldclass", "next", "nextgeneration", "cutting", "cuttingedge", "unlock",
+            "leverage", "synergy", "revolutionary", "best", "bestin", "bestinclass", "game", "gamechanging",
+            "disruptive", "supercharge", "contact"],
+    "R19": ["state", "lifecycle", "status", "transition", "pending", "active", "completed", "failed", "draft",
+            "published", "archived", "workflow"],
+    "R7": ["workspace", "organization", "org", "team", "project", "token", "api", "secret", "credential", "endpoint",
+           "route", "path"],
+}

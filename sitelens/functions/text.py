@@ -35,6 +35,20 @@ def search_lc(lower_text, pattern: str) -> Column:
     return col_of(lower_text).rlike(CS + pattern)
 
 
+def word_tokens(lower_text) -> Column:
+    """Distinct word tokens (maximal runs of Unicode word characters, as ``\\b`` sees them)."""
+    return F.array_distinct(F.split(col_of(lower_text), r"(?U)\W+"))
+
+
+def search_lc_pref(lower_text, tokens, pattern: str, anchors) -> Column:
+    """``search_lc`` that runs the regex only when an anchor token is present.
+
+    The anchors must satisfy the invariant stated in ``constants.PREFILTER``;
+    the result is then identical to the plain search.
+    """
+    return F.arrays_overlap(col_of(tokens), F.array(*[F.lit(a) for a in anchors])) & search_lc(lower_text, pattern)
+
+
 def count_matches_lc(lower_text, pattern: str) -> Column:
     return F.regexp_count(col_of(lower_text), F.lit(CS + pattern))
 

@@ -42,6 +42,7 @@ class PageCtx:
     has_tables: Column = field(default_factory=lambda: F.col("has_tables"))
     words: Column = field(default_factory=lambda: F.col("_words"))
     terms: Column = field(default_factory=lambda: F.col("_terms"))
+    tokens: Column = field(default_factory=lambda: F.col("_tok"))
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,15 @@ def _ratio_rule(passing_sig: str, template_key):
     return result
 
 
+def _lits(words):
+    return F.array(*[F.lit(w) for w in words])
+
+
+def P(c: PageCtx, pattern: str, key: str) -> Column:
+    """Prefiltered case-insensitive search (see ``constants.PREFILTER``)."""
+    return T.search_lc_pref(c.lower, c.tokens, pattern, K.PREFILTER[key])
+
+
 def _has_code(ctx: PageCtx) -> Column:
     return F.size(ctx.code_blocks) > 0
 
@@ -98,7 +108,7 @@ def _build_rules() -> list[RuleSpec]:
         specs.append(RuleSpec(rid, name, short, comp, signals, result, derived or {}))
 
     # R1 — self-contained
-    add(1, {"r1_pass": lambda c: _i(~T.search_lc(c.lower, K.R1_VAGUE_REFS))}, _ratio_rule("r1_pass", 1))
+    add(1, {"r1_pass": lambda c: _i(~P(c, K.R1_VAGUE_REFS, "R1"))}, _ratio_rule("r1_pass", 1))
 
     # R2 — action headings (ratio over headings, boosted)
     def r2(a, n):
@@ -121,8 +131,8 @@ def _build_rules() -> list[RuleSpec]:
             fmt(K.FINDINGS[3], tables=tables, params=params))
         return score, params, tables, finding
     add(3, {
-        "r3_params": lambda c: _i(T.search_lc(c.lower, K.R3_PARAM)),
-        "r3_tables": lambda c: _i(T.search_lc(c.lower, K.R3_PARAM)
+        "r3_params": lambda c: _i(P(c, K.R3_PARAM, "R3")),
+        "r3_tables": lambda c: _i(P(c, K.R3_PARAM, "R3")
                                   & (T.search(c.content, K.R3_TABLE_ROW, False) | F.coalesce(c.has_tables, F.lit(False)))),
     }, r3)
 
@@ -141,7 +151,7 @@ def _build_rules() -> list[RuleSpec]:
     add(4, {"r4_code": lambda c: _i(_has_code(c)), "r4_complete": r4_complete}, r4)
 
     # R5 — explicit language (at most two vague phrases)
-    add(5, {"r5_pass": lambda c: _i(T.count_matches_lc(c.lower, K.R5_VAGUE) <= K.R5_MAX_MATCHES)},
+    add(5, {"r5_pass": lambda c: _i(~F.arrays_overlap(c.tokens, _lits(K.PREFILTER["R5"])) | (T.count_matches_lc(c.lower, K.R5_VAGUE) <= K.R5_MAX_MATCHES))},
         _ratio_rule("r5_pass", 5))
 
     # R6 — error docs (site level)
@@ -153,8 +163,8 @@ def _build_rules() -> list[RuleSpec]:
             .otherwise(F.lit(K.FINDINGS["6_none"]))
         return score, n, _i(fix > 0).cast("long"), finding
     add(6, {
-        "r6_err": lambda c: _i(T.search_lc(c.lower, K.R6_ERROR)),
-        "r6_fix": lambda c: _i(T.search_lc(c.lower, K.R6_ERROR) & T.search_lc(c.lower, K.R6_FIX)),
+        "r6_err": lambda c: _i(P(c, K.R6_ERROR, "R6_ERROR")),
+        "r6_fix": lambda c: _i(P(c, K.R6_ERROR, "R6_ERROR") & P(c, K.R6_FIX, "R6_FIX")),
     }, r6)
 
     # R7 — terminology (site-level presence per term).  All terms are whole
@@ -200,8 +210,8 @@ def _build_rules() -> list[RuleSpec]:
     howto_title = lambda c: T.contains_any(F.lower(c.title), K.R9_HOWTO_TITLE)
     add(9, {
         "r9_howto": lambda c: _i(howto_title(c)),
-        "r9_prereq": lambda c: _i(T.search_lc(c.lower, K.R9_PREREQ)),
-        "r9_howto_prereq": lambda c: _i(howto_title(c) & T.search_lc(c.lower, K.R9_PREREQ)),
+        "r9_prereq": lambda c: _i(P(c, K.R9_PREREQ, "R9")),
+        "r9_howto_prereq": lambda c: _i(howto_title(c) & P(c, K.R9_PREREQ, "R9")),
     }, r9)
 
     # R10 — expected outputs among code pages
@@ -212,7 +222,7 @@ def _build_rules() -> list[RuleSpec]:
         return score, code, ok, finding
     add(10, {
         "r10_code": lambda c: _i(_has_code(c)),
-        "r10_pass": lambda c: _i(_has_code(c) & T.search_lc(c.lower, K.R10_OUTPUT)),
+        "r10_pass": lambda c: _i(_has_code(c) & P(c, K.R10_OUTPUT, "R10")),
     }, r10)
 
     # R11 — descriptive link text among pages with links
@@ -224,7 +234,7 @@ def _build_rules() -> list[RuleSpec]:
         return score, linked, ok, finding
     add(11, {
         "r11_linked": lambda c: _i(F.size(c.links) > 0),
-        "r11_pass": lambda c: _i((F.size(c.links) > 0) & ~T.search_lc(c.lower, K.R11_BAD_LINK_TEXT)),
+        "r11_pass": lambda c: _i((F.size(c.links) > 0) & ~P(c, K.R11_BAD_LINK_TEXT, "R11")),
     }, r11)
 
     # R12 — content types on title + first 200 chars
@@ -254,7 +264,7 @@ def _build_rules() -> list[RuleSpec]:
         yes, no = K.R14_SCORES
         return (F.when(d, F.lit(yes)).otherwise(F.lit(no)), n, _i(d).cast("long"),
                 F.when(d, F.lit(K.FINDINGS["14_yes"])).otherwise(F.lit(K.FINDINGS["14_no"])))
-    add(14, {"r14_any": lambda c: _i(T.search_lc(c.lower, K.R14_DECISION))}, r14)
+    add(14, {"r14_any": lambda c: _i(P(c, K.R14_DECISION, "R14"))}, r14)
 
     # R15 — safety boundaries
     def r15(a, n):
@@ -262,10 +272,10 @@ def _build_rules() -> list[RuleSpec]:
         yes, no = K.R15_SCORES
         return (F.when(p > 0, F.lit(yes)).otherwise(F.lit(no)), n, p,
                 F.when(p > 0, fmt(K.FINDINGS[15], passing=p)).otherwise(F.lit(K.FINDINGS["15_none"])))
-    add(15, {"r15_pass": lambda c: _i(T.search_lc(c.lower, K.R15_SAFETY))}, r15)
+    add(15, {"r15_pass": lambda c: _i(P(c, K.R15_SAFETY, "R15"))}, r15)
 
     # R16 — no marketing anti-patterns
-    add(16, {"r16_pass": lambda c: _i(~T.search_lc(c.lower, K.R16_ANTIPATTERN))}, _ratio_rule("r16_pass", 16))
+    add(16, {"r16_pass": lambda c: _i(~P(c, K.R16_ANTIPATTERN, "R16"))}, _ratio_rule("r16_pass", 16))
 
     # R17 — heading density (full / half credit)
     def r17_good(c):
@@ -294,7 +304,7 @@ def _build_rules() -> list[RuleSpec]:
             .otherwise(F.lit(K.FINDINGS["19_none"]))
         return score, n, _i(st & ar).cast("long"), finding
     add(19, {
-        "r19_state": lambda c: _i(T.search_lc(c.lower, K.R19_STATE)),
+        "r19_state": lambda c: _i(P(c, K.R19_STATE, "R19")),
         "r19_arrow": lambda c: _i(c.lower.rlike(K.R19_ARROW)),
     }, r19)
 
@@ -327,7 +337,10 @@ def page_context(pages: DataFrame) -> DataFrame:
             .withColumn("_lc", F.lower(F.col("_c")))
             .withColumn("_title", T.nz("title"))
             .withColumn("_words", T.word_count(F.col("_c")))
-            .withColumn("_terms", F.array_distinct(F.regexp_extract_all(F.col("_lc"), F.lit(T.CS + TERM_RX), 1))))
+            .withColumn("_tok", T.word_tokens(F.col("_lc")))
+            .withColumn("_terms", F.when(F.arrays_overlap(F.col("_tok"), F.array(*[F.lit(a) for a in K.PREFILTER["R7"]])),
+                                         F.array_distinct(F.regexp_extract_all(F.col("_lc"), F.lit(T.CS + TERM_RX), 1)))
+                        .otherwise(F.array().cast("array<string>"))))
 
 
 def page_signals(pages: DataFrame, specs: list[RuleSpec] | None = None, keep: tuple[str, ...] = ("site",)) -> DataFrame:
