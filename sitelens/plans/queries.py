@@ -926,3 +926,98 @@ def T_slug(c):
 @query("ordered_distinct_links")
 def q_ordered_distinct_links(spark, sf):
     return RQ.ordered_distinct_links(P.pages_extracted(spark, sf))
+
+
+# --- additional oracles for queries registered above ---------------------------------
+
+from .catalog import REGISTRY as _REG  # noqa: E402
+
+
+def _attach(name: str, sql):
+    fn, _old = _REG[name]
+    _REG[name] = (fn, sql)
+
+
+def _title_case_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all(lower({x}), '[a-z]+|[^a-z]+'), "
+            f"lambda t: upper(t[1]) || t[2:]), '')")
+
+
+_attach("capped_pages", f"""WITH {PAGE_CONTENT_SQL},
+ok AS (SELECT {_site_sql('url')} AS site, page_id AS ord, url FROM pc WHERE length({_strip_sql('content')}) > 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord) AS rn FROM ok)
+SELECT site, ord, url FROM r WHERE rn <= 10""")
+
+_attach("source_pages", f"""WITH t AS (SELECT {_site_sql('url')} AS site, page_id AS ord, url,
+  coalesce(nullif({_strip_sql(_unescape_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"))}, ''), 'Untitled') AS title FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord) AS rn FROM t)
+SELECT site, ord, url, title FROM r WHERE rn <= 20""")
+
+_attach("frontier", LINK_EDGES_SQL.replace("SELECT DISTINCT site, src, dst FROM d", "SELECT DISTINCT site, dst AS url FROM d")
+        .replace("WITH a AS (", "WITH known AS (SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS u FROM pages), a AS (")
+        + " AND dst NOT IN (SELECT u FROM known)")
+
+_attach("package_page_map", f"""WITH {PKG_SQL}
+SELECT slug, CAST(i - 1 AS INTEGER) AS pos, w AS page_type, CASE WHEN i <= 2 THEN 'preview' ELSE 'full' END AS tier,
+  i > 2 AND payment_status <> 'paid' AS locked
+FROM (SELECT slug, payment_status, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM pk)""")
+
+_attach("mandatory_pages", f"""WITH {PKG_SQL},
+pm AS (SELECT slug AS package, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM pk),
+req AS (SELECT * FROM (VALUES ('overview', 'Overview', 'overview', 0), ('agents', 'For AI Agents', 'agents', 1),
+                               ('getting-started', 'Getting Started', 'getting-started', 2)) v(page_type, title, slug, k))
+SELECT package, w AS page_type, upper(w[1]) || w[2:] AS title, w AS slug,
+  CASE WHEN i <= 2 THEN 'preview' ELSE 'full' END AS tier, CAST(i - 1 AS INTEGER) AS ord FROM pm
+UNION ALL
+SELECT p.package, req.page_type, req.title, req.slug, 'preview', CAST(-req.k - 3 AS INTEGER)
+FROM (SELECT DISTINCT package FROM pm) p CROSS JOIN req
+WHERE NOT EXISTS (SELECT 1 FROM pm WHERE pm.package = p.package AND pm.w = req.page_type)""")
+
+_attach("faq_by_category", f"""WITH q AS (SELECT conv_id % 10 AS package, conv_id * 100 + turn AS ord,
+  string_split(text, '. ')[1] AS question,
+  {_title_case_sql("coalesce(CASE conv_id % 5 WHEN 0 THEN 'billing' WHEN 1 THEN NULL WHEN 2 THEN 'setup' WHEN 3 THEN 'api_keys' ELSE '' END, 'general')")} AS category
+  FROM conversations WHERE role = 'user')
+SELECT package, category, min(ord) OVER (PARTITION BY package, category) AS cat_ord, ord, question FROM q""")
+
+_attach("upsert_by_slug", f"""WITH t AS (SELECT {_slug_sql('p_brand')} AS slug,
+  arg_min(CASE p_partkey % 5 WHEN 0 THEN 'planning' WHEN 1 THEN 'preview_ready' WHEN 2 THEN 'full_ready' WHEN 3 THEN 'failed' ELSE 'submitted' END, p_partkey) AS status,
+  arg_min(CASE WHEN p_size % 2 = 0 THEN 'paid' ELSE 'pending' END, p_partkey) AS payment_status,
+  arg_min(p_brand, p_partkey) AS title FROM part GROUP BY 1),
+s0 AS (SELECT CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_brand || ' ' || string_split(p_type, ' ')[1] END AS nm FROM part),
+s AS (SELECT {_slug_sql('nm')} AS slug, min('Seed ' || nm) AS title, 'full_ready' AS status FROM s0 GROUP BY 1)
+SELECT coalesce(t.slug, s.slug) AS slug, coalesce(t.status, s.status) AS status, t.payment_status,
+  CASE WHEN s.slug IS NOT NULL THEN s.title ELSE t.title END AS title
+FROM t FULL OUTER JOIN s ON t.slug = s.slug""")
+
+
+def _clean_sql(x: str) -> str:
+    s0 = _strip_sql(x)
+    unf = (f"CASE WHEN starts_with({s0}, '```') THEN array_to_string(CASE WHEN len(string_split({s0}, chr(10))[2:]) > 0 "
+           f"AND {_strip_sql(f'string_split({s0}, chr(10))[-1]')} = '```' AND len(string_split({s0}, chr(10))) > 1 "
+           f"THEN string_split({s0}, chr(10))[2:-2] ELSE string_split({s0}, chr(10))[2:] END, chr(10)) ELSE {s0} END")
+    return unf
+
+
+_attach("clean_rewrites", lambda: f"""WITH r AS (SELECT {', '.join(fixtures.REWRITES_COLUMNS)} FROM documents),
+a AS (SELECT site, ord, {_clean_sql('optimized_content')} AS s1 FROM r),
+b AS (SELECT site, ord, {_strip_sql(_strip_sql("split_part(s1, '<!-- IMPROVEMENTS -->', 1)"))} AS s2 FROM a),
+c AS (SELECT site, ord, {_strip_sql("split_part(s2, '## Improvements Made', 1)")} AS s3 FROM b),
+d AS (SELECT site, ord, s3, string_split(s3, chr(10)) AS ls,
+      list_position(list_transform(string_split(s3, chr(10)), lambda x: starts_with(regexp_replace(x, '^\\s+', ''), '---')), true) AS idx FROM c),
+e AS (SELECT site, ord, {_strip_sql("CASE WHEN starts_with(s3, 'Here') AND idx > 0 THEN array_to_string(ls[idx:], chr(10)) ELSE s3 END")} AS s4 FROM d)
+SELECT site, ord, md5(s4) AS clean_md5, CAST(length(s4) AS INTEGER) AS clean_chars FROM e""")
+
+_attach("ordered_distinct_links", f"""WITH a AS (
+  SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href0,
+         unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS txt0,
+         generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) AS k FROM pages),
+b AS (SELECT page_id, url, k, {_unescape_sql('href0')} AS href, {_strip_sql(_unescape_sql('txt0'))} AS txt FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href
+                     WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || href
+                     ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS abs
+      FROM b WHERE NOT regexp_matches(href, '(?i)(\\.png|\\.jpg|\\.gif|\\.svg|\\.css|\\.js|\\.woff|\\.pdf|mailto:|javascript:|#$|/login|/signup|/auth|/console|/search\\?|/changelog|/blog)')),
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos FROM c WHERE starts_with(abs, 'http') AND txt <> ''),
+e AS (SELECT *, row_number() OVER (PARTITION BY page_id, txt ORDER BY pos) AS first FROM d WHERE pos < 50)
+SELECT {_site_sql('url')} AS site, page_id AS ord, CAST(pos AS INTEGER) AS pos, txt AS text,
+  CASE WHEN abs = '' OR abs = '#' OR starts_with(abs, 'javascript:') THEN 'UNRESOLVED' ELSE abs END AS target
+FROM e WHERE first = 1""")
