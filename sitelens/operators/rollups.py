@@ -55,9 +55,20 @@ def site_scores(pages: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def sites_without_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """Sites of the dimension that have no page.
+
+    The page side is reduced to its distinct sites first (partial aggregate),
+    so whatever the join strategy, it never ships page rows.
+    """
+    from .records import maybe_broadcast
+    with_pages = pages.select("site").distinct()
+    return sites.select("site").distinct().join(maybe_broadcast(with_pages), "site", "left_anti")
+
+
 def empty_site_scores(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """A5: sites with no pages → score 0, grade F, components 0."""
-    empty = sites.select("site").join(pages.select("site"), "site", "left_anti").distinct()
+    empty = sites_without_pages(pages, sites)
     return empty.select(
         "site", F.lit(0).cast("long").alias("pages"), F.lit(0).alias("overall_score"), F.lit("F").alias("grade"),
         *[F.lit(0).alias(n) for n, _ in K.COMPONENTS], F.lit(0.0).alias("pass_rate"))
@@ -89,7 +100,7 @@ def top_issues(pages: DataFrame, sites: DataFrame | None = None, k: int = K.TOP_
     out = wide.select("site", F.posexplode_outer(top_issues_of(F.col("rules"), k)).alias("pos", "issue"))
     out = out.select("site", (F.col("pos") + 1).alias("rank"), "issue.*")
     if sites is not None:
-        empty = sites.select("site").join(pages.select("site"), "site", "left_anti").distinct()
+        empty = sites_without_pages(pages, sites)
         out = out.unionByName(empty.select("site", F.lit(1).alias("rank"), _const_issue(K.NO_PAGES_ISSUE).alias("i"))
                               .select("site", "rank", "i.*"))
     return out

@@ -120,7 +120,12 @@ def _build_rules() -> list[RuleSpec]:
         return score, n, act, finding
     add(2, {
         "r2_total": lambda c: F.size(c.headings),
-        "r2_action": lambda c: F.size(F.filter(c.headings, lambda h: T.search_lc(F.lower(T.nz(h["text"])), K.R2_ACTION))),
+        # headings matching the pattern, without a lambda: one string per page with
+        # \u0001 between heading texts; each match must start at a separator, so a
+        # heading is counted at most once (\u0001 is neither \w nor \s)
+        "r2_action": lambda c: F.regexp_count(
+            F.lower(F.array_join(c.headings["text"], "\u0001")),
+            F.lit(T.CS + "(?:^|\u0001)[^\u0001]*?" + K.R2_ACTION)),
     }, r2)
 
     # R3 — parameter tables
@@ -145,8 +150,11 @@ def _build_rules() -> list[RuleSpec]:
         return score, code, complete, finding
 
     def r4_complete(c):
-        imports = F.exists(c.code_blocks, lambda b: T.search(T.nz(b["code"]), K.R4_IMPORT, False))
-        tagged = F.exists(c.code_blocks, lambda b: F.coalesce(b["language"], F.lit("")).isin("", "text") == F.lit(False))
+        # any block's code has an import word (blocks joined by \u0001, a non-word character),
+        # or any block has a language other than '' / 'text' — no lambda functions
+        imports = T.search(F.array_join(c.code_blocks["code"], "\u0001"), K.R4_IMPORT, False)
+        tagged = F.size(F.array_except(c.code_blocks["language"],
+                                       F.array(F.lit(""), F.lit("text"), F.lit(None).cast("string")))) > 0
         return _i(_has_code(c) & (imports | tagged))
     add(4, {"r4_code": lambda c: _i(_has_code(c)), "r4_complete": r4_complete}, r4)
 

@@ -79,7 +79,9 @@ def ensure_parallelism(df):
     scan has far more partitions than ``defaultParallelism`` and this is a
     no-op, so no text is ever shuffled there.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        # a few partitions per core, so uneven row sizes (pages of 10 words next
+        # to pages of 20 000) do not leave one straggler task per core
+        return df.repartition(cores * 4)
     return df
