@@ -1021,3 +1021,46 @@ e AS (SELECT *, row_number() OVER (PARTITION BY page_id, txt ORDER BY pos) AS fi
 SELECT {_site_sql('url')} AS site, page_id AS ord, CAST(pos AS INTEGER) AS pos, txt AS text,
   CASE WHEN abs = '' OR abs = '#' OR starts_with(abs, 'javascript:') THEN 'UNRESOLVED' ELSE abs END AS target
 FROM e WHERE first = 1""")
+
+
+GUIDES_BASE_SQL = f"""g AS (SELECT conv_id * 100 + turn AS guide_id, string_split(text, '. ') AS sent, string_split(text, ' ') AS w
+                 FROM conversations WHERE {GUIDE_OK_SQL})"""
+
+
+def _rows_sql(list_sql: str, label: str, col: str = "action") -> str:
+    return (f"SELECT guide_id, '{label}' AS list, CAST(generate_subscripts({list_sql}, 1) - 1 AS INTEGER) AS pos, "
+            f"unnest({list_sql}) AS {col} FROM g")
+
+
+_attach("guide_scope", f"""WITH {GUIDES_BASE_SQL}
+{_rows_sql('w[1:5]', 'safe')} UNION ALL {_rows_sql('w[7:9]', 'confirm')} UNION ALL {_rows_sql('w[10:14]', 'never')}""")
+
+_attach("guide_rules_setup", f"""WITH {GUIDES_BASE_SQL}
+SELECT guide_id, list AS section, pos, action AS item FROM (
+{_rows_sql('sent[1:1]', 'always')} UNION ALL {_rows_sql('sent[2:2]', 'never')} UNION ALL
+{_rows_sql('w[1:2]', 'prerequisites')} UNION ALL {_rows_sql('w[3:3]', 'auth_methods')})""")
+
+_attach("guide_troubleshooting", f"""WITH {GUIDES_BASE_SQL},
+t AS (SELECT guide_id, unnest(sent[1:3]) AS s, generate_subscripts(sent[1:3], 1) - 1 AS pos FROM g)
+SELECT guide_id, CAST(pos AS INTEGER) AS pos, s AS issue, string_split(s, ' ')[1] AS likely_cause,
+  string_split(s, ' ')[2] AS fix, '' AS escalate_if FROM t""")
+
+_attach("guide_decisions", f"""WITH {GUIDES_BASE_SQL},
+t AS (SELECT guide_id, unnest(sent[1:4]) AS s, generate_subscripts(sent[1:4], 1) - 1 AS pos FROM g)
+SELECT guide_id, CAST(pos AS INTEGER) AS pos, s AS decision, CAST(least(len(string_split(s, ' ')), 3) AS INTEGER) AS n_use FROM t""")
+
+_attach("guide_references", f"""WITH {GUIDES_BASE_SQL},
+t AS (SELECT guide_id, unnest(w[1:4]) AS x, generate_subscripts(w[1:4], 1) - 1 AS pos FROM g)
+SELECT guide_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos % 2 = 0 THEN 'API' ELSE 'General' END AS topic, x AS label,
+  'https://docs.example.com/' || x AS url FROM t""")
+
+_attach("read_fetched_pages", f"""WITH {PAGE_CONTENT_SQL},
+f AS (SELECT page_id, url, html, content, art,
+        CASE page_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN NULL WHEN 2 THEN 'text/plain'
+             WHEN 3 THEN 'application/xhtml+xml' ELSE 'application/octet-stream' END AS ctype,
+        CASE WHEN page_id % 7 = 3 THEN 404 ELSE 200 END AS status FROM pc)
+SELECT {_site_sql('url')} AS site, url,
+  CAST(CASE WHEN ctype = 'text/plain' THEN length(html) ELSE length(content) END AS INTEGER) AS content_chars,
+  CAST(CASE WHEN ctype = 'text/plain' THEN 0 ELSE len(regexp_extract_all(art, '<h[1-6][\\s>]')) END AS INTEGER) AS n_headings,
+  ctype IS DISTINCT FROM 'text/plain' AS has_title
+FROM f WHERE status = 200""")
