@@ -1064,3 +1064,23 @@ SELECT {_site_sql('url')} AS site, url,
   CAST(CASE WHEN ctype = 'text/plain' THEN 0 ELSE len(regexp_extract_all(art, '<h[1-6][\\s>]')) END AS INTEGER) AS n_headings,
   ctype IS DISTINCT FROM 'text/plain' AS has_title
 FROM f WHERE status = 200""")
+
+
+def _ordered_distinct_sql(lst: str) -> str:
+    return f"list_filter({lst}, lambda x, i: list_position({lst}, x) = i)"
+
+
+_PB_CONFIRM = "flatten(list_transform(sent[1:6], lambda s: string_split(s, ' ')[3:4]))"
+_PB_ESCALATE = "flatten(list_transform(sent[1:6], lambda s: string_split(s, ' ')[4:5]))"
+_AMB = "sent[-1:]"
+_BASE_ASK = "(CASE WHEN turn % 2 = 0 THEN [] ELSE sent[1:2] END)"
+_BASE_ESC = "(CASE WHEN turn % 3 = 0 THEN [] ELSE sent[2:3] END)"
+_ASK = (f"CASE WHEN len({_BASE_ASK}) = 0 THEN list_concat({_AMB}, list_filter({_ordered_distinct_sql(_PB_CONFIRM)}, "
+        f"lambda x: NOT list_contains({_AMB}, x)))[1:8] ELSE {_BASE_ASK} END")
+_ESC = f"CASE WHEN len({_BASE_ESC}) = 0 THEN {_ordered_distinct_sql(_PB_ESCALATE)}[1:8] ELSE {_BASE_ESC} END"
+
+_attach("guide_stop_conditions", f"""WITH g AS (SELECT conv_id * 100 + turn AS guide_id, turn, {GUIDE_OK_SQL} AS ok,
+  string_split(text, '. ') AS sent FROM conversations),
+s AS (SELECT guide_id, ok, CASE WHEN ok THEN {_ASK} ELSE [] END AS ask, CASE WHEN ok THEN {_ESC} ELSE [] END AS esc FROM g)
+SELECT guide_id, ok, CAST(len(ask) AS INTEGER) AS n_ask, CAST(len(esc) AS INTEGER) AS n_escalate,
+  md5(array_to_string(ask, chr(10))) AS ask_md5 FROM s""")
