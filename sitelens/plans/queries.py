@@ -445,7 +445,15 @@ def q_language_accuracy(spark, sf):
 def _page_types_sql() -> str:
     prefixes = " OR ".join(f"starts_with(regexp_replace(p, '^\\s+', ''), {OR.q(x)})" for x in D.LIST_OR_BLOCK_PREFIXES)
     hub_terms = _any_sql("lower(title || ' ' || array_to_string(heads, ' '))", D.HUB_TITLE_TERMS)
-    return f"""WITH {_diag_cte()},
+    return f"""WITH {_page_types_ctes()}
+SELECT site, ord, hub_score, content_score,
+  CASE WHEN content_score >= 4 THEN 'content' WHEN hub_score >= 5 AND content_score <= 2 THEN 'hub' ELSE 'content' END AS page_type FROM sc"""
+
+
+def _page_types_ctes() -> str:
+    prefixes = " OR ".join(f"starts_with(regexp_replace(p, '^\\s+', ''), {OR.q(x)})" for x in D.LIST_OR_BLOCK_PREFIXES)
+    hub_terms = _any_sql("lower(title || ' ' || array_to_string(heads, ' '))", D.HUB_TITLE_TERMS)
+    return f"""{_diag_cte()},
 pt AS (SELECT site, ord, sp.link_n AS link_count, wc, diag.has_code AS has_code, diag.has_tables AS has_tables, errors,
   len(list_filter(string_split(c, chr(10) || chr(10)), lambda p: len(regexp_extract_all(p, '\\S+')) >= {D.LONG_PARAGRAPH_WORDS}
       AND NOT ({prefixes}))) AS long_pars,
@@ -455,9 +463,7 @@ sc AS (SELECT site, ord,
   + (CASE WHEN NOT has_code THEN 1 ELSE 0 END) + (CASE WHEN NOT has_tables THEN 1 ELSE 0 END) + (CASE WHEN steps <= 3 THEN 1 ELSE 0 END)
   + (CASE WHEN long_pars <= 2 THEN 1 ELSE 0 END) + (CASE WHEN hub_title THEN 1 ELSE 0 END) AS hub_score,
   (CASE WHEN has_code THEN 3 ELSE 0 END) + (CASE WHEN has_tables THEN 2 ELSE 0 END) + (CASE WHEN steps >= 4 THEN 2 ELSE 0 END)
-  + (CASE WHEN long_pars >= 3 THEN 2 ELSE 0 END) + (CASE WHEN errors THEN 2 ELSE 0 END) AS content_score FROM pt)
-SELECT site, ord, hub_score, content_score,
-  CASE WHEN content_score >= 4 THEN 'content' WHEN hub_score >= 5 AND content_score <= 2 THEN 'hub' ELSE 'content' END AS page_type FROM sc"""
+  + (CASE WHEN long_pars >= 3 THEN 2 ELSE 0 END) + (CASE WHEN errors THEN 2 ELSE 0 END) AS content_score FROM pt)"""
 
 
 @query("page_types", _page_types_sql)
@@ -475,10 +481,24 @@ def _terminology_sql() -> str:
         a, b = D.TERMINOLOGY_LINE.split("{}")
         lines.append(f"CASE WHEN len({found}) > 1 THEN {OR.q(a)} || array_to_string({found}, ', ') || {OR.q(b)} END")
     conflicts = "list_filter([" + ", ".join(lines) + "], lambda x: x IS NOT NULL)"
-    return f"""WITH {FLAT_PAGES_SQL}, ag AS (SELECT site, {', '.join(flags)} FROM sp GROUP BY site)
-SELECT site, CAST(len({conflicts}) AS INTEGER) AS conflicts,
+    return f"""WITH {FLAT_PAGES_SQL}, {_terminology_ctes()}
+SELECT site, conflicts, terminology FROM term"""
+
+
+def _terminology_ctes() -> str:
+    flags, lines = [], []
+    for g, terms in enumerate(D.TERMINOLOGY_GROUPS):
+        for t, term in enumerate(terms):
+            flags.append(f"bool_or(contains(lower(coalesce(content, '')), {OR.q(term)})) AS g{g}_{t}")
+        found = "list_filter([" + ", ".join(f"CASE WHEN g{g}_{t} THEN {OR.q(term)} END" for t, term in enumerate(terms)) \
+            + "], lambda x: x IS NOT NULL)"
+        a, b = D.TERMINOLOGY_LINE.split("{}")
+        lines.append(f"CASE WHEN len({found}) > 1 THEN {OR.q(a)} || array_to_string({found}, ', ') || {OR.q(b)} END")
+    conflicts = "list_filter([" + ", ".join(lines) + "], lambda x: x IS NOT NULL)"
+    return f"""ag AS (SELECT site, {', '.join(flags)} FROM sp GROUP BY site),
+term AS (SELECT site, CAST(len({conflicts}) AS INTEGER) AS conflicts,
   CASE WHEN len({conflicts}) > 0 THEN {OR.q(D.TERMINOLOGY_HEADER)} || array_to_string({conflicts}, chr(10))
-       ELSE {OR.q(D.TERMINOLOGY_NONE)} END AS terminology FROM ag"""
+       ELSE {OR.q(D.TERMINOLOGY_NONE)} END AS terminology FROM ag)"""
 
 
 @query("terminology_context", _terminology_sql)
@@ -486,7 +506,22 @@ def q_terminology_context(spark, sf):
     return D.terminology_context(_pages(spark, sf))
 
 
-@query("rewrite_requests")
+def _rewrite_requests_sql() -> str:
+    return f"""WITH {_page_types_ctes()}, {_terminology_ctes()},
+rq AS (SELECT d.site, d.ord, CASE WHEN sc.content_score >= 4 THEN 'content' WHEN sc.hub_score >= 5 AND sc.content_score <= 2 THEN 'hub'
+         ELSE 'content' END AS page_type, {_lang_sql('d.c')} AS language,
+       CASE WHEN length(d.c) >= 11900 THEN 'possibly_truncated' ELSE 'complete' END AS source_status,
+       d.wc AS word_count, d.nh AS heading_count, CAST(CASE WHEN d.has_code THEN 1 ELSE 0 END AS INTEGER) AS code_count,
+       CAST(sp.link_n AS INTEGER) AS link_count,
+       CASE WHEN len(d.heads) > 0 THEN array_to_string(d.heads[1:20], ', ') ELSE 'None' END AS headings,
+       CAST(CASE WHEN d.has_code THEN 1 ELSE 0 END AS INTEGER) AS n_code_examples,
+       CAST(length(substr(d.c, 1, 12000)) AS INTEGER) AS content_chars, CAST(len(d.issues) AS INTEGER) AS n_issues,
+       md5(term.terminology) AS terminology_md5, d.wc >= 50 AS needs_rewrite
+     FROM diag d JOIN sc USING (site, ord) JOIN sp ON sp.site = d.site AND sp.ord = d.ord LEFT JOIN term ON term.site = d.site)
+SELECT * FROM rq"""
+
+
+@query("rewrite_requests", _rewrite_requests_sql)
 def q_rewrite_requests(spark, sf):
     r = D.rewrite_requests(_pages(spark, sf))
     return r.select("site", "ord", "page_type", "language", "source_status", "word_count", "heading_count",
