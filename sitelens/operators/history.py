@@ -60,23 +60,54 @@ def score_trend(history: DataFrame) -> DataFrame:
                           F.when(prev.isNull() | (prev == 0), F.lit(0)).otherwise(F.col("score") - prev).alias("change"))
 
 
+def score_trend_summary(history: DataFrame) -> DataFrame:
+    """W4 as the site card shows it: current = last score (0 when missing or 0),
+    previous = second-to-last score, or the current one when missing or 0;
+    trend = current - previous.
+
+    Only the last two scores per site are needed: ``row_number() <= 2`` is cut
+    map-side (WindowGroupLimit), so a site with a third of all history rows
+    moves at most two rows per map partition.
+    """
+    w = Window.partitionBy("site").orderBy(F.col("date").desc(), F.col("event_id").desc())
+    top2 = history.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 2)
+    agg = top2.groupBy("site").agg(F.max(F.when(F.col("_rn") == 1, F.col("score"))).alias("_last"),
+                                   F.max(F.when(F.col("_rn") == 2, F.col("score"))).alias("_prev"))
+    current = F.coalesce(F.when(F.col("_last") != 0, F.col("_last")), F.lit(0))
+    out = agg.select("site", current.alias("current_score"), "_prev")
+    previous = F.when(F.col("_prev").isNotNull() & (F.col("_prev") != 0), F.col("_prev")).otherwise(F.col("current_score"))
+    return out.select("site", "current_score", previous.alias("previous_score"),
+                      (F.col("current_score") - previous).alias("trend"))
+
+
 def top_percent(scores: DataFrame, score_col: str = "overall_score") -> DataFrame:
     """W5: 'Top N%' from the percentile rank of the score among all rows.
 
-    Uses a global ``percent_rank``; the number of scored sites is bounded by
-    the site dimension, not by page volume.
+    ``percent_rank`` over the whole table would put every row in one task.
+    Scores are integers 0-100, so the rank is computed from a histogram
+    instead: one aggregate of at most 101 rows (partial-aggregated), running
+    counts over that tiny table, then a broadcast join back — the broadcast
+    side is bounded by the score domain, not by the data.
     """
-    w = Window.orderBy(score_col)
-    pr = F.percent_rank().over(w)
-    return scores.withColumn("top_percent", F.greatest(F.lit(1), F.ceil((1 - pr) * 100)).cast("int"))
+    hist = scores.groupBy(score_col).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = hist.select(score_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"),
+                        F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    pr = F.when(F.col("_total") <= 1, F.lit(0.0)).otherwise(F.col("_below") / (F.col("_total") - 1))
+    top = F.greatest(F.lit(1), F.ceil((1 - pr) * 100)).cast("int")
+    return scores.join(F.broadcast(ranks.select(score_col, top.alias("top_percent"))), score_col)
 
 
 def dashboard(sites: DataFrame, scores: DataFrame) -> DataFrame:
-    """Mean score (JS rounding: half up), its grade, total pages (null → 0)."""
-    agg = scores.agg(F.avg("overall_score").alias("m"))
-    pages = sites.agg(F.sum(F.coalesce(F.col("page_count"), F.lit(0))).alias("total_pages"))
+    """Mean score (JS rounding: half up), its grade, total pages (null → 0).
+
+    One aggregate over the union of both inputs (no join)."""
+    both = scores.select(F.col("overall_score").cast("double").alias("_s"), F.lit(None).cast("long").alias("_p")) \
+        .unionByName(sites.select(F.lit(None).cast("double").alias("_s"),
+                                  F.coalesce(F.col("page_count"), F.lit(0)).cast("long").alias("_p")))
+    agg = both.agg(F.avg("_s").alias("m"), F.coalesce(F.sum("_p"), F.lit(0)).alias("total_pages"))
     mean = F.floor(F.round(F.col("m"), 9) + 0.5).cast("int")
-    return agg.crossJoin(pages).select(mean.alias("average_score"), T.grade(mean).alias("grade"), "total_pages")
+    return agg.select(mean.alias("average_score"), T.grade(mean).alias("grade"), "total_pages")
 
 
 def query_pass_counts(results: DataFrame, key: str = "analysis_id") -> DataFrame:

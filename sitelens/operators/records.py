@@ -214,12 +214,12 @@ MANDATORY_PAGES = [("overview", "Overview", "overview"), ("agents", "For AI Agen
 
 def ensure_mandatory_pages(page_map: DataFrame) -> DataFrame:
     """U4: add missing mandatory page types at the front (each inserted at 0 → reversed order)."""
-    spark = page_map.sparkSession
-    req = spark.createDataFrame([(t, title, slug, -i) for i, (t, title, slug) in enumerate(MANDATORY_PAGES)],
-                                "page_type string, title string, slug string, ord int")
+    req = F.array(*[F.struct(F.lit(t).alias("page_type"), F.lit(title).alias("title"), F.lit(slug).alias("slug"),
+                             F.lit(-i).alias("ord")) for i, (t, title, slug) in enumerate(MANDATORY_PAGES)])
     have = page_map.select("package", "page_type").distinct()
-    pk = page_map.select("package").distinct()
-    missing = pk.crossJoin(F.broadcast(req)).join(have, ["package", "page_type"], "left_anti")
+    # every package × the three mandatory types, by exploding a constant array (no join)
+    wanted = page_map.select("package").distinct().select("package", F.explode(req).alias("r")).select("package", "r.*")
+    missing = wanted.join(have, ["package", "page_type"], "left_anti")
     # a later mandatory page is inserted before an earlier one: ord = -position
     missing = missing.select("package", "page_type", "title", "slug", F.lit("preview").alias("tier"),
                              (F.col("ord") - len(MANDATORY_PAGES)).alias("ord"))

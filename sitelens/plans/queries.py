@@ -638,9 +638,10 @@ def q_cascade_delete(spark, sf):
     a, r, q = RQ.cascade_delete(gone, records.analyses(spark, sf), records.recommendations_table(spark, sf),
                                 records.query_results(spark, sf))
     del sites
-    return (a.agg(F.count(F.lit(1)).alias("analyses_left"))
-            .crossJoin(r.agg(F.count(F.lit(1)).alias("recommendations_left")))
-            .crossJoin(q.agg(F.count(F.lit(1)).alias("results_left"))))
+    tagged = (a.select(F.lit(0).alias("t")).unionByName(r.select(F.lit(1).alias("t")))
+              .unionByName(q.select(F.lit(2).alias("t"))))
+    return tagged.agg(*[F.count_if(F.col("t") == i).alias(n)
+                        for i, n in enumerate(["analyses_left", "recommendations_left", "results_left"])])
 
 
 def _slug_sql(x: str) -> str:
@@ -1119,3 +1120,14 @@ _attach("guide_stop_conditions", f"""WITH g AS (SELECT conv_id * 100 + turn AS g
 s AS (SELECT guide_id, ok, CASE WHEN ok THEN {_ASK} ELSE [] END AS ask, CASE WHEN ok THEN {_ESC} ELSE [] END AS esc FROM g)
 SELECT guide_id, ok, CAST(len(ask) AS INTEGER) AS n_ask, CAST(len(esc) AS INTEGER) AS n_escalate,
   md5(array_to_string(ask, chr(10))) AS ask_md5 FROM s""")
+
+
+@query("score_trend_summary", """WITH h AS (SELECT 'site' || CAST(user_id % 50 AS VARCHAR) AS site, ts, event_id,
+  CAST(CAST(trunc(abs(value)) AS BIGINT) % 101 AS INTEGER) AS score FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ts DESC, event_id DESC) AS rn FROM h),
+a AS (SELECT site, max(CASE WHEN rn = 1 THEN score END) AS l, max(CASE WHEN rn = 2 THEN score END) AS p FROM r WHERE rn <= 2 GROUP BY site),
+b AS (SELECT site, coalesce(CASE WHEN l <> 0 THEN l END, 0) AS current_score, p FROM a)
+SELECT site, current_score, CASE WHEN p IS NOT NULL AND p <> 0 THEN p ELSE current_score END AS previous_score,
+  current_score - CASE WHEN p IS NOT NULL AND p <> 0 THEN p ELSE current_score END AS trend FROM b""")
+def q_score_trend_summary(spark, sf):
+    return history.score_trend_summary(records.score_history(spark, sf))
