@@ -1131,3 +1131,62 @@ SELECT site, current_score, CASE WHEN p IS NOT NULL AND p <> 0 THEN p ELSE curre
   current_score - CASE WHEN p IS NOT NULL AND p <> 0 THEN p ELSE current_score END AS trend FROM b""")
 def q_score_trend_summary(spark, sf):
     return history.score_trend_summary(records.score_history(spark, sf))
+
+
+# --- rewrite validation as a recursive CTE (one step per line) ----------------------
+
+def _validate_cte() -> str:
+    run = fixtures.REWRITE_RUN_DATE
+    date_rx = r"(?m)^(last_updated:\s*[\"']?)(\d{4}-\d{2}-\d{2})([\"']?\s*)$"
+    st = "regexp_replace(ls[i + 1], '^\\s+|\\s+$', '', 'g')"
+    low = "lower(ls[i + 1])"
+    fence = f"starts_with({st}, '```')"
+    pipe = f"starts_with({st}, '|')"
+    head = f"starts_with({st}, '#')"
+    err_kw = f"(contains({low}, 'error') OR contains({low}, 'troubleshoot') OR (contains({low}, 'cause') AND contains({low}, 'fix')))"
+    head_kw = f"(contains({low}, 'troubleshoot') OR contains({low}, 'common error') OR contains({low}, 'error code'))"
+    skipping = f"(head AND NOT {head})"
+    open_fab = f"(NOT fence AND {fence} AND NOT has_code)"
+    keep_fence = f"(NOT fence AND {fence} AND has_code)"
+    reaches = f"(NOT {skipping} AND NOT {fence} AND NOT fence)"
+    err_row = f"({pipe} AND {err_kw} AND no_errors)"
+    tcont = f"(tbl AND {pipe})"
+    fab_head = f"({head} AND {head_kw} AND no_errors)"
+    counted = f"({reaches} AND NOT {err_row} AND NOT {tcont} AND {fab_head})"
+    drop = (f"(CASE WHEN {skipping} THEN true WHEN {keep_fence} THEN false WHEN fence THEN true "
+            f"ELSE ({open_fab} OR {err_row} OR {tcont} OR {fab_head}) END)")
+    return f"""RECURSIVE rw AS (SELECT {', '.join(fixtures.REWRITES_COLUMNS)} FROM documents),
+{FLAT_PAGES_SQL},
+jn AS (SELECT rw.site, rw.ord, rw.optimized_content AS oc,
+         (sp.code_txt IS NOT NULL) OR contains(coalesce(sp.content, ''), '```') AS has_code,
+         NOT contains(lower(coalesce(sp.content, '')), 'error') AND NOT contains(lower(coalesce(sp.content, '')), 'troubleshoot') AS no_errors
+       FROM rw JOIN sp ON rw.site = sp.site AND rw.ord = sp.ord),
+dt AS (SELECT *, regexp_extract(oc, {OR.q(date_rx)}, 2) AS first_date FROM jn),
+dd AS (SELECT site, ord, oc, has_code, no_errors,
+         CASE WHEN first_date <> '' AND first_date <> '{run}' THEN regexp_replace(oc, {OR.q(date_rx)}, '\\1{run}\\3', 'g') ELSE oc END AS dated
+       FROM dt),
+st AS (SELECT site, ord, oc, dated, has_code, no_errors, string_split(dated, chr(10)) AS ls, 0 AS i, []::VARCHAR[] AS out,
+         false AS fence, false AS tbl, false AS head, 0 AS blocks, 0 AS rws, 0 AS sections FROM dd
+       UNION ALL
+       SELECT site, ord, oc, dated, has_code, no_errors, ls, i + 1,
+         CASE WHEN {drop} THEN out ELSE list_append(out, ls[i + 1]) END,
+         CASE WHEN {skipping} THEN fence WHEN {open_fab} THEN true WHEN fence AND {fence} THEN false ELSE fence END,
+         CASE WHEN NOT {reaches} THEN tbl WHEN {err_row} THEN true WHEN tbl AND {pipe} THEN true ELSE false END,
+         {skipping} OR {counted},
+         blocks + CASE WHEN NOT {skipping} AND {open_fab} THEN 1 ELSE 0 END,
+         rws + CASE WHEN {reaches} AND ({err_row} OR {tcont}) THEN 1 ELSE 0 END,
+         sections + CASE WHEN {counted} THEN 1 ELSE 0 END
+       FROM st WHERE i < len(ls)),
+val AS (SELECT site, ord, array_to_string(out, chr(10)) AS validated, dated <> oc AS date_fixed,
+          CAST(blocks AS INTEGER) AS blocks_removed, CAST(rws AS INTEGER) AS table_rows_removed,
+          CAST(sections AS INTEGER) AS sections_removed FROM st WHERE i = len(ls))"""
+
+
+_attach("validate_rewrites", lambda: f"""WITH {_validate_cte()}
+SELECT site, ord, md5(validated) AS validated_md5, date_fixed, blocks_removed, table_rows_removed, sections_removed FROM val""")
+
+
+_attach("fabrication_report", lambda: f"""WITH {_validate_cte()}
+SELECT site, CAST(count(*) AS BIGINT) AS docs, CAST(sum(CAST(date_fixed AS INTEGER)) AS BIGINT) AS dates_fixed,
+  CAST(sum(blocks_removed) AS BIGINT) AS blocks_removed, CAST(sum(table_rows_removed) AS BIGINT) AS table_rows_removed,
+  CAST(sum(sections_removed) AS BIGINT) AS sections_removed FROM val GROUP BY site""")
