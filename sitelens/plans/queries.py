@@ -1190,3 +1190,47 @@ _attach("fabrication_report", lambda: f"""WITH {_validate_cte()}
 SELECT site, CAST(count(*) AS BIGINT) AS docs, CAST(sum(CAST(date_fixed AS INTEGER)) AS BIGINT) AS dates_fixed,
   CAST(sum(blocks_removed) AS BIGINT) AS blocks_removed, CAST(sum(table_rows_removed) AS BIGINT) AS table_rows_removed,
   CAST(sum(sections_removed) AS BIGINT) AS sections_removed FROM val GROUP BY site""")
+
+
+def _claimed_cte() -> str:
+    marker = RW.IMPROVEMENTS_MARKER
+    strip = _strip_sql
+    derived_items = [
+        ("vague IS NOT NULL", "vague"), ("NOT has_action", "headings"),
+        ("NOT has_tables AND len(list_filter(issues, lambda x: contains(lower(x), 'parameter'))) > 0", "params"),
+        ("NOT complete AND has_code", "code"), ("implicit IS NOT NULL", "implicit"),
+        ("NOT errors AND has_code AND contains(lower(validated), 'error') AND (contains(lower(validated), '| error') "
+         "OR contains(lower(validated), '| code'))", "errors"),
+        ("NOT front", "frontmatter"),
+        ("NOT prereq AND contains(validated, 'prerequisites:') AND contains(substr(coalesce(string_split(validated, "
+         "'prerequisites:')[2], ''), 1, 100), '- ')", "prereq"),
+        ("NOT output AND has_code AND contains(validated, '```') AND (contains(lower(validated), 'output') OR "
+         "contains(lower(validated), 'response') OR contains(lower(validated), 'returns'))", "outputs"),
+        ("marketing IS NOT NULL", "marketing"), ("NOT version AND contains(lower(validated), 'version')", "version")]
+    derived = "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {OR.q(RW.DERIVED_IMPROVEMENTS[k])} END"
+                                          for cond, k in derived_items) + "], lambda x: x IS NOT NULL)"
+    after = f"CASE WHEN contains(validated, {OR.q(marker)}) THEN string_split(validated, {OR.q(marker)})[2] END"
+    items = f"list_transform(string_split({strip(f'coalesce({after}, {OR.q(str())})')}, chr(10)), lambda x: {strip('x')})"
+    bullets = f"list_filter({items}, lambda x: starts_with(x, '- ') OR starts_with(x, '* '))"
+    marked = f"list_filter(list_transform({bullets}, lambda x: {strip('x[3:]')}), lambda x: length(x) > 5)[1:8]"
+    return f"""{_validate_cte()}, {_diag_cte().replace(FLAT_PAGES_SQL + ',', '', 1)},
+ci AS (SELECT v.site, v.ord, v.validated, d.*EXCLUDE (site, ord), {marked} AS marked FROM val v JOIN diag d USING (site, ord)),
+cl AS (SELECT site, ord, validated, CASE WHEN len(marked) > 0 THEN marked
+        WHEN len({derived}) = 0 THEN [{OR.q(RW.DEFAULT_IMPROVEMENT)}] ELSE {derived} END AS improvements FROM ci)"""
+
+
+_attach("claimed_improvements", lambda: f"""WITH {_claimed_cte()}
+SELECT site, ord, CAST(len(improvements) AS INTEGER) AS n_improvements, array_to_string(improvements, ' | ') AS improvements FROM cl""")
+
+_attach("improvement_summary", lambda: f"""WITH {_claimed_cte()},
+ex AS (SELECT site, unnest(improvements) AS imp FROM cl)
+SELECT c.site, CAST(count(*) AS BIGINT) AS pages_optimized, CAST(sum(len(improvements)) AS BIGINT) AS total_improvements,
+  CAST(coalesce(max(u.n), 0) AS BIGINT) AS unique_improvements
+FROM cl c LEFT JOIN (SELECT site, count(DISTINCT imp) AS n FROM ex GROUP BY site) u USING (site) GROUP BY c.site""")
+
+_attach("viewer_index", f"""WITH rw AS (SELECT {', '.join(fixtures.REWRITES_COLUMNS)} FROM documents),
+ok AS (SELECT 'src' || CAST(c_custkey AS VARCHAR) AS site FROM customer WHERE c_acctbal > 0 AND c_custkey % 4 = 0),
+f AS (SELECT site, ord, title, url, regexp_replace(lower(replace(regexp_replace({PATH_SQL.format(u='url')}, '^/+|/+$', '', 'g'), '/', '-')),
+        '\\.(html?|php|aspx?)$', '') || '.md' AS file_name FROM rw WHERE site IN (SELECT site FROM ok)),
+r AS (SELECT *, row_number() OVER (PARTITION BY site, file_name ORDER BY ord) AS rn FROM f)
+SELECT site, file_name, title, url FROM r WHERE rn = 1""")
