@@ -1234,3 +1234,23 @@ f AS (SELECT site, ord, title, url, regexp_replace(lower(replace(regexp_replace(
         '\\.(html?|php|aspx?)$', '') || '.md' AS file_name FROM rw WHERE site IN (SELECT site FROM ok)),
 r AS (SELECT *, row_number() OVER (PARTITION BY site, file_name ORDER BY ord) AS rn FROM f)
 SELECT site, file_name, title, url FROM r WHERE rn = 1""")
+
+
+def _llms_sql() -> str:
+    fname = (f"regexp_replace(lower(replace(regexp_replace({PATH_SQL.format(u='url')}, '^/+|/+$', '', 'g'), '/', '-')), "
+             f"'\\.(html?|php|aspx?)$', '') || '.md'")
+    cat = _title_case_sql(f"string_split(replace({fname}, '.md', ''), '-')[1]")
+    return f"""WITH {_claimed_cte()},
+docs AS (SELECT cl.site, cl.ord, rw.title, rw.url, cl.improvements, {cat} AS cat FROM cl JOIN rw USING (site, ord)),
+fs AS (SELECT site, cat, min(ord) AS cat_ord FROM docs GROUP BY site, cat),
+ps AS (SELECT site, count(*) AS pages, arg_min(url, ord) AS first_url FROM docs GROUP BY site)
+SELECT site, 0 AS section, CAST(0 AS BIGINT) AS cat_ord, CAST(0 AS BIGINT) AS ord,
+  replace(replace({OR.q(RW.LLMS_HEADER)}, '{{domain}}', coalesce(nullif({NETLOC_SQL.format(u='first_url')}, ''), first_url)),
+          '{{base_url}}', first_url) AS line FROM ps
+UNION ALL SELECT site, 1, cat_ord, CAST(-1 AS BIGINT), '## ' || cat FROM fs
+UNION ALL SELECT d.site, 1, fs.cat_ord, d.ord, '  - [' || coalesce(d.title, '') || '](' || coalesce(d.url, '') || '): '
+  || coalesce(d.improvements[1], {OR.q(RW.LLMS_DEFAULT_NOTE)}) FROM docs d JOIN fs USING (site, cat)
+UNION ALL SELECT site, 2, CAST(0 AS BIGINT), CAST(0 AS BIGINT), replace({OR.q(RW.LLMS_FOOTER)}, '{{pages}}', CAST(pages AS VARCHAR)) FROM ps"""
+
+
+_attach("llms_txt", _llms_sql)
