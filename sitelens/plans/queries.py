@@ -1254,3 +1254,34 @@ UNION ALL SELECT site, 2, CAST(0 AS BIGINT), CAST(0 AS BIGINT), replace({OR.q(RW
 
 
 _attach("llms_txt", _llms_sql)
+
+
+def _dedent_sql() -> str:
+    strip = _strip_sql
+    line = "ls[i + 1]"
+    lstr = f"regexp_replace({line}, '^\\s+', '')"
+    ind = f"(length({line}) - length({lstr}))"
+    opens = f"(indent < 0 AND starts_with({lstr}, '```') AND {ind} >= 2)"
+    closes = f"(indent >= 0 AND starts_with({lstr}, '```') AND length({lstr}) <= 4)"
+    body = f"(CASE WHEN starts_with({line}, repeat(' ', greatest(indent, 0))) THEN {line}[indent + 1:] ELSE {lstr} END)"
+    return f"""WITH {_claimed_cte()},
+ca AS (SELECT site, ord, {_clean_sql('validated')} AS s1 FROM cl),
+cb AS (SELECT site, ord, {strip(strip("split_part(s1, '<!-- IMPROVEMENTS -->', 1)"))} AS s2 FROM ca),
+cc AS (SELECT site, ord, {strip("split_part(s2, '## Improvements Made', 1)")} AS s3 FROM cb),
+cd AS (SELECT site, ord, s3, string_split(s3, chr(10)) AS ls2,
+       list_position(list_transform(string_split(s3, chr(10)), lambda x: starts_with(regexp_replace(x, '^\\s+', ''), '---')), true) AS idx FROM cc),
+ce AS (SELECT site, ord, {strip("CASE WHEN starts_with(s3, 'Here') AND idx > 0 THEN array_to_string(ls2[idx:], chr(10)) ELSE s3 END")} AS content FROM cd),
+dr AS (SELECT site, ord, string_split(content, chr(10)) AS ls, 0 AS i, []::VARCHAR[] AS out, -1 AS indent FROM ce
+       UNION ALL
+       SELECT site, ord, ls, i + 1,
+         CASE WHEN {opens} THEN list_concat(out, ['', '```' || {strip(f'{lstr}[4:]')}])
+              WHEN {closes} THEN list_concat(out, ['```', ''])
+              WHEN indent >= 0 THEN list_append(out, {body})
+              ELSE list_append(out, {line}) END,
+         CASE WHEN {opens} THEN {ind} WHEN {closes} THEN -1 ELSE indent END
+       FROM dr WHERE i < len(ls))
+SELECT site, ord, md5(array_to_string(CASE WHEN indent >= 0 THEN list_concat(out, ['```', '']) ELSE out END, chr(10))) AS dedented_md5
+FROM dr WHERE i = len(ls)"""
+
+
+_attach("dedent_fences", lambda: "WITH RECURSIVE " + _dedent_sql()[len("WITH "):].replace("RECURSIVE ", "", 1))
