@@ -1285,3 +1285,38 @@ FROM dr WHERE i = len(ls)"""
 
 
 _attach("dedent_fences", lambda: "WITH RECURSIVE " + _dedent_sql()[len("WITH "):].replace("RECURSIVE ", "", 1))
+
+
+def _reachable_sql() -> str:
+    norm = lambda u: f"regexp_replace(regexp_replace({u}, '#.*$', ''), '/+$', '')"
+    return f"""WITH RECURSIVE {PAGE_CONTENT_SQL},
+pg AS (SELECT {_site_sql('url')} AS site, page_id, url, {norm('url')} AS nurl, length({_strip_sql('content')}) > 50 AS substantial,
+       html FROM pc),
+starts AS (SELECT site, arg_min(nurl, page_id) AS start FROM pg GROUP BY site),
+a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href0,
+        unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS txt0,
+        generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) AS k FROM pages),
+b AS (SELECT page_id, url, k, {_unescape_sql('href0')} AS href, {_strip_sql(_unescape_sql('txt0'))} AS txt FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href
+                     WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || href
+                     ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS abs
+      FROM b WHERE NOT regexp_matches(href, '(?i)(\\.png|\\.jpg|\\.gif|\\.svg|\\.css|\\.js|\\.woff|\\.pdf|mailto:|javascript:|#$|/login|/signup|/auth|/console|/search\\?|/changelog|/blog)')),
+d AS (SELECT page_id, url, abs, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos FROM c
+      WHERE starts_with(abs, 'http') AND txt <> ''),
+lk AS (SELECT {_site_sql('d.url')} AS site, {norm('d.url')} AS src, {norm('abs')} AS dst, min(pos) AS pos
+       FROM d JOIN starts s ON s.site = {_site_sql('d.url')}
+       WHERE {norm('abs')} <> '' AND {NETLOC_SQL.format(u=norm('abs'))} = {NETLOC_SQL.format(u='s.start')}
+         AND starts_with({PATH_SQL.format(u=norm('abs'))}, regexp_replace({PATH_SQL.format(u='s.start')}, '/+$', ''))
+       GROUP BY 1, 2, 3),
+walk AS (SELECT site, start AS url, 0 AS depth, []::INTEGER[] AS path FROM starts
+         UNION
+         SELECT w.site, lk.dst, w.depth + 1, list_append(w.path, CAST(lk.pos AS INTEGER))
+         FROM walk w JOIN (SELECT DISTINCT site, nurl FROM pg) f ON f.site = w.site AND f.nurl = w.url
+              JOIN lk ON lk.site = w.site AND lk.src = w.url WHERE w.depth < 50),
+best AS (SELECT site, url, min(depth) AS depth FROM walk GROUP BY site, url),
+bp AS (SELECT w.site, w.url, w.depth, min(w.path) AS path FROM walk w JOIN best b USING (site, url, depth) GROUP BY 1, 2, 3)
+SELECT bp.site, bp.url, bp.depth, array_to_string(bp.path, '.') AS path FROM bp
+WHERE EXISTS (SELECT 1 FROM pg WHERE pg.site = bp.site AND pg.nurl = bp.url AND pg.substantial)"""
+
+
+_attach("reachable_pages", _reachable_sql)
