@@ -1320,3 +1320,39 @@ WHERE EXISTS (SELECT 1 FROM pg WHERE pg.site = bp.site AND pg.nurl = bp.url AND
 
 
 _attach("reachable_pages", _reachable_sql)
+
+
+def _discover_sql() -> str:
+    vp = ("NOT regexp_matches(lower({p}), '/assets/|/images/|/css/|/js/|/api/|/admin/|/login/|/logout/|"
+          "\\.pdf|\\.jpg|\\.png|\\.gif|\\.css|\\.js')")
+    return f"""WITH p AS (SELECT {_site_sql('url')} AS site, page_id, url FROM pages),
+s AS (SELECT site, min(page_id) AS first_id, arg_min(url, page_id) AS start FROM p GROUP BY site),
+r AS (SELECT p.site, p.url, s.first_id, s.start, row_number() OVER (PARTITION BY p.site ORDER BY p.page_id) - 1 AS rk
+      FROM p JOIN s USING (site)),
+locs AS (SELECT site, first_id, start, url, 2 * rk AS pos FROM r UNION ALL SELECT site, first_id, start, url || '/img.png', 2 * rk + 1 FROM r),
+ok AS (SELECT * FROM locs WHERE first_id % 5 <> 0 AND {NETLOC_SQL.format(u='url')} = {NETLOC_SQL.format(u='start')}),
+src1 AS (SELECT site, url, 1 AS src, 0 AS grp, pos FROM ok WHERE length(site) % 2 = 0),
+src2 AS (SELECT site, url, 2 AS src, 0 AS grp, pos FROM ok),
+a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href0,
+        unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS txt0,
+        generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) AS k
+      FROM pages WHERE page_id IN (SELECT first_id FROM s)),
+b AS (SELECT page_id, url, k, {_unescape_sql('href0')} AS href, {_strip_sql(_unescape_sql('txt0'))} AS txt FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href
+                     WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || href
+                     ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS abs
+      FROM b WHERE NOT regexp_matches(href, '(?i)(\\.png|\\.jpg|\\.gif|\\.svg|\\.css|\\.js|\\.woff|\\.pdf|mailto:|javascript:|#$|/login|/signup|/auth|/console|/search\\?|/changelog|/blog)')),
+d AS (SELECT page_id, url, abs, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos FROM c
+      WHERE starts_with(abs, 'http') AND txt <> ''),
+e AS (SELECT {_site_sql('url')} AS site, abs AS url, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM d
+      WHERE {NETLOC_SQL.format(u='abs')} = {NETLOC_SQL.format(u='url')} AND {vp.format(p=PATH_SQL.format(u='abs'))}),
+src3 AS (SELECT site, url, 3 AS src, 0 AS grp, pos FROM e WHERE n <= 50),
+allsrc AS (SELECT * FROM src1 UNION ALL SELECT * FROM src2 UNION ALL SELECT * FROM src3),
+ch AS (SELECT site, min(src) AS src FROM allsrc GROUP BY site),
+picked AS (SELECT a.* FROM allsrc a JOIN ch USING (site, src)
+           UNION ALL SELECT site, start, 0, -1, -1 FROM s),
+rk AS (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY grp, pos, src) AS k FROM picked)
+SELECT site, url, src, CAST(grp AS BIGINT) AS grp, CAST(pos AS BIGINT) AS pos FROM rk WHERE k = 1"""
+
+
+_attach("discover_urls", _discover_sql)
