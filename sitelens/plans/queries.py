@@ -192,7 +192,7 @@ pq AS (SELECT site, ord, url,
 
 @query("page_quality_signals", PQS_SQL + """
 SELECT site, ord, url, query, acc > 0.6 AS passed, round(acc, 9) AS confidence, round(acc, 9) AS accuracy_score,
-  round(prec, 9) AS retrieval_precision, CAST(lat AS INTEGER) AS latency_ms, round(cit, 9) AS citation_accuracy, code_valid FROM pq""")
+  round(prec, 9) AS retrieval_precision, CAST(lat AS INTEGER) AS latency_ms, round(CAST(cit AS DOUBLE), 9) AS citation_accuracy, code_valid FROM pq""")
 def q_page_quality_signals(spark, sf):
     return scoring.page_quality_signals(_pages(spark, sf))
 
@@ -254,7 +254,7 @@ def _recs_query_sql() -> str:
     head, final_select = fr_body.rsplit("\nSELECT ", 1)
     tmpl = " UNION ALL ".join(
         f"SELECT {i} AS slot, '{comp}' AS comp, '{imp}' AS impact, '{eff}' AS effort, '{cat}' AS category, "
-        f"'{title}' AS title, {est} AS estimated_improvement"
+        f"'{title}' AS title, CAST({est} AS DOUBLE) AS estimated_improvement"
         for i, (comp, _t, imp, eff, cat, title, est) in enumerate(scoring.RECOMMENDATIONS))
     return PQS_SQL + f""", {head},
 fr AS (SELECT {final_select}),
@@ -263,7 +263,7 @@ lg AS (SELECT site, 'accuracy' AS comp, accuracy AS v FROM fr UNION ALL SELECT s
 t AS ({tmpl}),
 em AS (SELECT lg.site, t.* FROM lg JOIN t USING (comp) WHERE lg.v < 80),
 em2 AS (SELECT * FROM em UNION ALL
-        SELECT site, 4, 'none', 'low', 'low', 'optimization', 'Fine-tune for perfect agent experience', 1.0 FROM fr
+        SELECT site, 4, 'none', 'low', 'low', 'optimization', 'Fine-tune for perfect agent experience', CAST(1.0 AS DOUBLE) FROM fr
         WHERE site NOT IN (SELECT site FROM em)),
 rk AS (SELECT site, ord, url, length(coalesce(content, '')) < 500 AS is_short, code_txt IS NULL AS no_code,
               row_number() OVER (PARTITION BY site ORDER BY ord) AS rn FROM sp),
