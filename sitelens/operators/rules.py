@@ -264,7 +264,10 @@ def _build_rules() -> list[RuleSpec]:
     def r13(a, n):
         p = a("r13_pass")
         return (F.least(T.ratio_score(p, n), F.lit(K.R13_CAP)), n, p, fmt(K.FINDINGS[13], passing=p, n=n))
-    add(13, {"r13_pass": lambda c: _i(T.search_lc(c.lower, K.R13_VERSION))}, r13)
+    def r13_pass(c):
+        maybe = F.arrays_overlap(c.tokens, _lits(K.PREFILTER["R13"])) | T.contains_any(c.lower, K.R13_PREFILTER_SUBSTRINGS)
+        return _i(maybe & T.search_lc(c.lower, K.R13_VERSION))
+    add(13, {"r13_pass": r13_pass}, r13)
 
     # R14 — decision docs (site level)
     def r14(a, n):

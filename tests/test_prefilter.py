@@ -13,6 +13,7 @@ PATTERNS = {
     "R9": K.R9_PREREQ, "R10": K.R10_OUTPUT, "R11": K.R11_BAD_LINK_TEXT, "R14": K.R14_DECISION,
     "R15": K.R15_SAFETY, "R16": K.R16_ANTIPATTERN, "R19": K.R19_STATE,
     "R7": r"\b(workspace|organization|org|team|project|token|api key|secret|credential|endpoint|route|path)\b",
+    "R13": K.R13_VERSION,
 }
 VOCAB = sorted({w for p in PATTERNS.values() for w in re.findall(r"[a-z']+", p)} | {"a", "an", "the", "x", "é"})
 SEPS = [" ", "  ", "-", "\n", ", ", ". ", "'", "_", "é", "3", ""]
@@ -24,6 +25,12 @@ def tokens(text):
 
 def check(key, text):
     text = text.lower()
+    if key == "R13":
+        for m in re.finditer(K.R13_VERSION, text):
+            span = text[max(0, m.start() - 1):m.end() + 1]
+            assert (tokens(span) & tokens(text) & set(K.PREFILTER["R13"])) or \
+                any(s in m.group(0) for s in K.R13_PREFILTER_SUBSTRINGS), m.group(0)
+        return
     for m in re.finditer(PATTERNS[key], text):
         # the token set of the whole text must meet the anchors; check the match's own tokens
         span_tokens = tokens(text[max(0, m.start() - 1):m.end() + 1]) & tokens(text)
@@ -48,7 +55,8 @@ def test_each_alternative():
                "expected output", "will return", "click here", "more info", "when to use", "vs.", "trade-offs",
                "tradeoff", "differences between", "which should", "cannot be undone", "rate limit", "side effect",
                "dry-run", "dryrun", "world-class", "worldclass", "best-in-class", "bestin class", "bestinclass",
-               "next generation", "cutting-edge", "game changing", "contact support", "api key", "lifecycle"]
+               "next generation", "cutting-edge", "game changing", "contact support", "api key", "lifecycle",
+               "v2", "v10.3", "version 4", "api v1", "sdk v3", "breaking change", "deprecated"]
     for s in samples:
         for key in PATTERNS:
             for text in (s, f"x {s} y", s.replace(" ", "\n")):
