@@ -23,7 +23,8 @@ BORDERLINE = (0.4, 0.6)
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a DataFrame (no job is run)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
     except Exception:  # noqa: BLE001
         return 1 << 62
 
