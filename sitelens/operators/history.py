@@ -51,13 +51,32 @@ def compare_analyses(analyses: DataFrame) -> DataFrame:
                     delta.alias("delta"), comp_delta.alias("component_deltas"))
 
 
-def score_trend(history: DataFrame) -> DataFrame:
-    """Per site and date, change from the previous score (0 when the
-    previous is missing or 0)."""
-    w = Window.partitionBy("site").orderBy("date", "event_id")
-    prev = F.lag("score").over(w)
-    return history.select("site", "date", "event_id", "score",
-                          F.when(prev.isNull() | (prev == 0), F.lit(0)).otherwise(F.col("score") - prev).alias("change"))
+def score_trend(history: DataFrame, partitions: int | None = None) -> DataFrame:
+    """W4 per row: change from the previous score of the same site by (date,
+    event_id); 0 when the previous is missing or 0.
+
+    A plain ``lag`` over ``partitionBy(site)`` would process a site holding a
+    third of all rows in one task.  Instead rows are range-partitioned on
+    (site, date, event_id) — a hot site spans many partitions — ``lag`` runs
+    inside each partition, and each partition's first row takes the last row
+    of the previous non-empty partition (one row per partition, broadcast).
+    """
+    spark = history.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["site", "date", "event_id"]
+    rp = history.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(*keys)
+    local = (rp.withColumn("_prev_site", F.lag("site").over(w))
+               .withColumn("_prev_score", F.lag("score").over(w)))
+    tail = rp.groupBy("_pid").agg(F.max_by(F.struct("site", "score"), F.struct(*keys)).alias("_last"))
+    tail = tail.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_before"))
+    j = local.join(F.broadcast(tail), "_pid", "left")
+    first = F.col("_prev_site").isNull()
+    prev_site = F.when(first, F.col("_before.site")).otherwise(F.col("_prev_site"))
+    prev_score = F.when(first, F.col("_before.score")).otherwise(F.col("_prev_score"))
+    prev = F.when(prev_site == F.col("site"), prev_score)
+    return j.select("site", "date", "event_id", "score",
+                    F.when(prev.isNull() | (prev == 0), F.lit(0)).otherwise(F.col("score") - prev).alias("change"))
 
 
 def score_trend_summary(history: DataFrame) -> DataFrame:

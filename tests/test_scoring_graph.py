@@ -120,3 +120,17 @@ def test_incremental_scores_match_batch(spark):
     latest = pages_df(spark, [v2[0]] + v1[1:])
     want = {r["site"]: r["overall_score"] for r in rollups.site_scores(latest).collect()}
     assert got == want
+
+
+def test_score_trend_hot_site_spans_partitions(spark):
+    from sitelens.operators import history
+    rows = [("hot", i, i, (i * 7) % 5) for i in range(200)] + [("cold", i, 1000 + i, (i * 3) % 4) for i in range(5)]
+    df = spark.createDataFrame(rows, "site string, date long, event_id long, score int")
+    got = {(r["site"], r["event_id"]): r["change"] for r in history.score_trend(df, partitions=7).collect()}
+    want = {}
+    for site in ("hot", "cold"):
+        prev = None
+        for _s, _d, e, sc in sorted((r for r in rows if r[0] == site), key=lambda r: (r[1], r[2])):
+            want[(site, e)] = 0 if prev in (None, 0) else sc - prev
+            prev = sc
+    assert got == want
