@@ -134,7 +134,7 @@ def strip_frontmatter(c) -> Column:
     """Text starting with '---' → the part after the second '---'."""
     s = nz(c)
     parts = F.split(s, "---", 3)
-    return F.when(s.startswith("---") & (F.size(parts) >= 3), F.trim(parts[2])).otherwise(s)
+    return F.when(s.startswith("---") & (F.size(parts) >= 3), strip_ws(parts[2])).otherwise(s)
 
 
 def html_escape(c) -> Column:

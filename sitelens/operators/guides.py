@@ -198,3 +198,23 @@ def faq_by_category(questions: DataFrame) -> DataFrame:
     q = questions.withColumn("category", TX.title_case(F.coalesce(F.col("category"), F.lit("general"))))
     first = q.groupBy("package", "category").agg(F.min("ord").alias("cat_ord"))
     return q.join(first, ["package", "category"]).select("package", "category", "cat_ord", "ord", "question")
+
+
+def write_package_bundle(packages: DataFrame, out_dir: str) -> None:
+    """Per package, the pages a buyer is entitled to (full pages when paid
+    and ready, else preview pages) as JSON rows, the page map, and llms.txt lines.
+
+    Everything is a partitioned write keyed by package slug; no package is
+    gathered into one row.
+    """
+    paid_full = (F.col("payment_status") == "paid") & F.col("full_pages").isNotNull()
+    pages = packages.select("slug", F.explode_outer(F.when(paid_full, F.col("full_pages"))
+                                                    .otherwise(F.col("preview_pages"))).alias("page_slug", "p")) \
+        .where("page_slug IS NOT NULL")
+    pages.select("slug", "page_slug", F.col("p.*")).write.mode("overwrite").partitionBy("slug").json(f"{out_dir}/pages")
+    package_page_map(packages).write.mode("overwrite").partitionBy("slug").json(f"{out_dir}/page_map")
+    lines = pages.select("slug", "page_slug",
+                         F.concat(F.lit("- ["), F.coalesce(F.col("p.title"), F.col("page_slug")), F.lit("]("),
+                                  F.col("page_slug"), F.lit(".json)")).alias("line"))
+    (lines.repartitionByRange("slug", "page_slug").sortWithinPartitions("slug", "page_slug")
+     .select("slug", "line").write.mode("overwrite").partitionBy("slug").text(f"{out_dir}/llms"))
