@@ -21,3 +21,12 @@ def test_rule_results_plan_shape(spark, sf_small):
     lines = plan.splitlines()
     partial = [i for i, line in enumerate(lines) if "HashAggregate" in line and "partial_" in line]
     assert partial and lines[partial[0] + 1].strip().startswith("+- *(")   # signals fused (codegen) under it
+
+
+def test_ensure_parallelism_only_for_narrow_scans(spark):
+    from sitelens.session import ensure_parallelism
+    cores = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=cores * 8)
+    assert ensure_parallelism(wide) is wide                      # at scale: unchanged, no shuffle
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert ensure_parallelism(narrow).rdd.getNumPartitions() == cores * 4
