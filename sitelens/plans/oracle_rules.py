@@ -48,11 +48,11 @@ def page_cte(revise_content: str | None = None) -> str:
     words = "len(list_filter(regexp_split_to_array(c, '\\s+'), lambda x: x <> ''))"
     return f"""
 sp AS ({_sp_sql(revise_content)}),
-pg AS (SELECT site, coalesce(content, '') AS c, lower(coalesce(content, '')) AS lc, coalesce(title, '') AS t,
+pg AS (SELECT site, ord, coalesce(content, '') AS c, lower(coalesce(content, '')) AS lc, coalesce(title, '') AS t,
               description, CASE WHEN heading_txt = '' THEN [] ELSE string_split(heading_txt, '|') END AS heads,
               code_txt, code_lang, link_n, has_tables FROM sp),
 pw AS (SELECT *, {words} AS wc FROM pg),
-sig AS (SELECT site,
+sig AS (SELECT site, ord,
  {_i('NOT ' + rx('c', K.R1_VAGUE_REFS))} AS r1_pass,
  CAST(len(heads) AS BIGINT) AS r2_total,
  CAST(len(list_filter(heads, lambda h: {rx('h', K.R2_ACTION)})) AS BIGINT) AS r2_action,

@@ -1356,3 +1356,71 @@ SELECT site, url, src, CAST(grp AS BIGINT) AS grp, CAST(pos AS BIGINT) AS pos FR
 
 
 _attach("discover_urls", _discover_sql)
+
+
+# --- page-level signals -----------------------------------------------
+
+TEXT_SIGNALS = ["r1_pass", "r5_pass", "r6_err", "r6_fix", "r9_prereq", "r13_pass", "r14_any", "r15_pass", "r16_pass",
+                "r18_pass", "r19_state", "r19_arrow", "r20_pass"]
+STRUCTURE_SIGNALS = ["r2_total", "r2_action", "r3_params", "r3_tables", "r4_code", "r4_complete", "r8_pass",
+                     "r9_howto", "r10_code", "r10_pass", "r11_linked", "r11_pass", "r17_good"]
+
+
+def _signals(spark, sf, cols):
+    sig = rules.page_signals(_pages(spark, sf), keep=("site", "ord"))
+    return sig.select("site", "ord", *[F.col(c).cast("double" if c == "r17_good" else "long").alias(c) for c in cols])
+
+
+def _signals_sql(cols) -> str:
+    sel = ", ".join(f"CAST({c} AS {'DOUBLE' if c == 'r17_good' else 'BIGINT'}) AS {c}" for c in cols)
+    return OR.rules_cte() + f"\nSELECT site, ord, {sel} FROM sig"
+
+
+@query("page_signals_text", lambda: _signals_sql(TEXT_SIGNALS))
+def q_page_signals_text(spark, sf):
+    return _signals(spark, sf, TEXT_SIGNALS)
+
+
+@query("page_signals_structure", lambda: _signals_sql(STRUCTURE_SIGNALS))
+def q_page_signals_structure(spark, sf):
+    return _signals(spark, sf, STRUCTURE_SIGNALS)
+
+
+@query("heading_action_ratio", lambda: OR.rules_cte() + """
+SELECT site, r2_action AS action_headings, r2_total AS headings,
+  CASE WHEN r2_total = 0 THEN NULL ELSE round(r2_action / r2_total, 6) END AS ratio FROM sums""")
+def q_heading_action_ratio(spark, sf):
+    s = rules.site_signal_sums(_pages(spark, sf))
+    return s.select("site", F.col("r2_action").alias("action_headings"), F.col("r2_total").alias("headings"),
+                    F.when(F.col("r2_total") == 0, F.lit(None).cast("double"))
+                    .otherwise(F.round(F.col("r2_action") / F.col("r2_total"), 6)).alias("ratio"))
+
+
+@query("content_types", lambda: OR.rules_cte() + """
+SELECT site, r12_0 > 0 AS conceptual, r12_1 > 0 AS how_to, r12_2 > 0 AS reference FROM sums""")
+def q_content_types(spark, sf):
+    s = rules.site_signal_sums(_pages(spark, sf))
+    return s.select("site", (F.col("r12_0") > 0).alias("conceptual"), (F.col("r12_1") > 0).alias("how_to"),
+                    (F.col("r12_2") > 0).alias("reference"))
+
+
+def _term_conflicts_sql() -> str:
+    from .. import constants as KK
+    parts = []
+    for g, (terms, label) in enumerate(KK.R7_TERM_GROUPS):
+        found = " + ".join(f"(CASE WHEN r7_g{g}_t{t} > 0 THEN 1 ELSE 0 END)" for t in range(len(terms)))
+        parts.append(f"SELECT site, {OR.q(label)} AS term_group, CAST({found} AS INTEGER) AS terms_found, "
+                     f"({found}) >= {KK.R7_CONFLICT_AT} AS conflict FROM sums")
+    return OR.rules_cte() + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("terminology_conflicts", _term_conflicts_sql)
+def q_terminology_conflicts(spark, sf):
+    from .. import constants as KK
+    s = rules.site_signal_sums(_pages(spark, sf))
+    rows = []
+    for g, (terms, label) in enumerate(KK.R7_TERM_GROUPS):
+        found = sum(((F.col(f"r7_g{g}_t{t}") > 0).cast("int") for t in range(len(terms))), F.lit(0))
+        rows.append(F.struct(F.lit(label).alias("term_group"), found.cast("int").alias("terms_found"),
+                             (found >= KK.R7_CONFLICT_AT).alias("conflict")))
+    return s.select("site", F.inline_outer(F.array(*rows)))
