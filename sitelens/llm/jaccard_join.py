@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow_runs import key_runs, matrix
 from .common import row_key, small_batches, stored
 from .components import connected_components
 from .textbatch import SPACE, U64, chunks, mix, split_words, utf8
@@ -191,27 +192,16 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
 def _mixed_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within each (tile, block pair), as far as size and signature allow."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            mark = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "low", "high")], axis=1)
-            cuts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1), len(mark)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                part = batch.slice(a, b - a)
-                if held and any(held[-1].column(c)[-1] != part.column(c)[0] for c in ("tile", "low", "high")):
-                    yield from _tile_pairs(held, percent)
-                    held = []
-                held.append(part)
-        if held:
-            yield from _tile_pairs(held, percent)
+        for tile in key_runs(batches, ("tile", "low", "high")):
+            yield from _tile_pairs(tile, percent)
 
     return (members.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
             .mapInArrow(compare, "x long, y long").distinct())
 
 
-def _tile_pairs(held: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(held)
+def _tile_pairs(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     col = {c: table.column(c).to_numpy() for c in ("row", "n", "root", "block", "low", "high")}
-    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 8)
+    bits = matrix(table, "bits").view(np.uint64)
     side = np.flatnonzero(col["block"] == col["low"]), np.flatnonzero(col["block"] == col["high"])
     same = col["low"][0] == col["high"][0]
     for start in range(0, len(side[0]), 256):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, license_scan, line_dedup, packing, quality_knn, quality_rules, sharding
+from . import embedding_dedup, jaccard_join, license_scan, line_dedup, packing, quality_knn, quality_rules, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op9_embedding_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(read(spark, sf_dir, "embeddings"))
