@@ -220,7 +220,7 @@ def _tile_pairs(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, row (hash of doc_id and text), n_shingles, class_row (of an equal set), component_id."""
+    """doc_id, row (hash of doc_id and text), n_shingles, class_row (of an equal set), root (of the component), component_id."""
     small_batches(docs.sparkSession)
     signed = signed_sets(docs, words, percent)
     classes = stored(signed.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(
@@ -254,7 +254,21 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = classes.select("a", "b", F.col("n").alias("n_shingles"), F.col("row").alias("class_row"), "least_id").join(roots, F.col("class_row") == F.col("node"), "left")
     named = named.select("a", "b", "n_shingles", "class_row", "least_id", F.coalesce("c_root", "class_row").alias("root"))
     ids = named.groupBy(F.col("root").alias("i_root")).agg(F.min("least_id").alias("component_id"))
-    named = named.join(ids, F.col("root") == F.col("i_root")).select(F.col("a").alias("k_a"), F.col("b").alias("k_b"), F.col("n_shingles").alias("k_n"), "class_row", "component_id")
+    named = named.join(ids, F.col("root") == F.col("i_root")).select(F.col("a").alias("k_a"), F.col("b").alias("k_b"), F.col("n_shingles").alias("k_n"), "class_row", "root", "component_id")
     out = signed.select("doc_id", "row", "n_shingles", "a", "b").join(named, (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b")) & (F.col("n_shingles") == F.col("k_n")), "left")
-    return out.select("doc_id", "row", "n_shingles", F.coalesce("class_row", "row").alias("class_row"),
+    return out.select("doc_id", "row", "n_shingles", F.coalesce("class_row", "row").alias("class_row"), F.coalesce("root", "row").alias("root"),
                       F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of ``docs``, all columns as they are: the smallest by doc_id (null last) and row hash.
+
+    Rows without shingles are components of their own; of rows equal in doc_id
+    and text one stays.
+    """
+    found = jaccard_components(docs, words, percent)
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    best = found.groupBy("root").agg(F.min(place).alias("best")).select(F.col("best.row").alias("_best"))
+    rows = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
+    rows = rows.join(best.hint("shuffle_hash"), F.col("_row") == F.col("_best"), "left_semi")
+    return rows.dropDuplicates(["_row"]).select(*docs.columns)

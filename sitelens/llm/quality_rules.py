@@ -181,3 +181,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return docs.select("doc_id", "text").mapInArrow(
         score, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
                "base_failed boolean, probability double, kept boolean")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are: the texts stay in the batch that judged them."""
+    model = fit(collect_features(labelled_sample(docs, labels, "quality", max_labelled), bits), bits)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            for a, b in chunks(texts):
+                c = base_counts(texts[a:b])
+                stays = (c["n_words"] >= MIN_WORDS) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
+                stays &= sent.value.probability(texts[a:b]) >= threshold
+                yield batch.slice(a, b - a).filter(pa.array(stays))
+
+    return docs.mapInArrow(keep, docs.schema)

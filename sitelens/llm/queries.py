@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, quality_knn, quality_rules, sharding
+from . import embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, piece_viterbi, quality_knn, quality_rules, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query("op3_piece_viterbi")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_viterbi.encode_documents(read(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "n_words", F.round("score", 3).alias("score"), "round_trip")
+
+
 @query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan_licenses(read(spark, sf_dir, "documents")))
