@@ -281,7 +281,4 @@ PREFILTER = {
             "published", "archived", "workflow"],
     "R7": ["workspace", "organization", "org", "team", "project", "token", "api", "secret", "credential", "endpoint",
            "route", "path"],
-    # The word alternatives, plus the substrings "v0".."v9" for v<digits>
-    "R13": ["version", "api", "sdk", "deprecated", "sunset", "migration", "breaking"],
 }
-R13_PREFILTER_SUBSTRINGS = [f"v{d}" for d in range(10)]

@@ -35,11 +35,23 @@ def search_lc(lower_text, pattern: str) -> Column:
     return col_of(lower_text).rlike(CS + pattern)
 
 
+def fold(c) -> Column:
+    """Lower-cased text in which the code points that a case-insensitive search takes for the ASCII
+    letters i, k and s (capital I with dot, dotless i, Kelvin sign, long s) are these letters."""
+    c = nz(c)
+    return F.lower(F.when(c.rlike("[\u0130\u0131\u212A\u017F]"), F.translate(c, "\u0130\u0131\u212A\u017F", "iiks")).otherwise(c))
+
+
 def word_tokens(lower_text) -> Column:
     """Distinct word tokens (maximal runs of Unicode word characters, as ``\\b`` sees them)."""
     return F.array_distinct(F.split(col_of(lower_text), r"(?U)\W+"))
 
 
+def anchor_tokens(lower_text, anchors) -> Column:
+    """The anchors that occur among the text's word tokens: one pass, after which each rule looks at a short array."""
+    return F.array_intersect(F.split(col_of(lower_text), r"(?U)\W+"), F.array(*[F.lit(a) for a in anchors]))
+
+
 def search_lc_pref(lower_text, tokens, pattern: str, anchors) -> Column:
     """``search_lc`` that runs the regex only when an anchor token is present.
 

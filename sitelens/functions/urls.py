@@ -75,12 +75,29 @@ def origin(url) -> Column:
     return F.regexp_extract(nz(url), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
 
 
-def resolve_rooted(base, href) -> Column:
-    """X6 for the common cases, natively: absolute http(s) hrefs as they are,
-    '/path' hrefs against the base origin, others against the base directory."""
-    h = col_of(href)
-    base_dir = F.regexp_replace(F.regexp_replace(nz(base), r"[?#].*$", ""), r"[^/]*$", "")
-    return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-            .when(h.startswith("//"), F.concat(F.regexp_extract(nz(base), r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), h))
-            .when(h.startswith("/"), F.concat(origin(base), h))
-            .otherwise(F.concat(base_dir, h)))
+def _without_dots(p: Column) -> Column:
+    """Path with its '.' and '..' segments resolved."""
+    segments = F.split(p, "/", -1)
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda out, s: F.when(s == ".", out).when(
+        s == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)).otherwise(F.concat(out, F.array(s))))
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
+def resolve_url(base, href) -> Column:
+    """Href against the base URL (absolute, '//host', '/path', '?query', '#fragment' and relative forms)."""
+    b, h = nz(base), col_of(href)
+    scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
+    base_path = path(b)
+    query = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1)
+    own_path = F.regexp_extract(h, r"^([^?#]*)", 1)
+    tail = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+    merged = F.concat(F.regexp_replace(F.when((base_path == "") & (netloc(b) != ""), "/").otherwise(base_path), r"[^/]*$", ""), own_path)
+    rooted = F.concat(F.when(b.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*://"), origin(b)).otherwise(scheme), F.when(own_path.startswith("/"), own_path).otherwise(merged))
+    dotted = own_path.contains("./") | own_path.endswith(".") | base_path.contains("./")
+    resolved = F.when(dotted, F.concat(origin(b), _without_dots(F.when(own_path.startswith("/"), own_path).otherwise(merged)))).otherwise(rooted)
+    return (F.when(h == "", b).when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme, h))
+            .when(h.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), h))
+            .when(h.startswith("?"), F.concat(origin(b), base_path, h))
+            .otherwise(F.concat(resolved, tail)))

@@ -54,7 +54,7 @@ LANG_MARKERS = [
     ("pt", [" para ", " uma ", " com ", " dos ", " são ", " como ", " mais ", " esta ", " você "]),
     ("it", [" per ", " una ", " con ", " del ", " sono ", " come ", " dalla ", " nella ", " questo "]),
 ]
-LANG_SAMPLE_CHARS, LANG_MIN_HITS = 2000, 3
+LANG_MIN_HITS = 3
 
 TERMINOLOGY_GROUPS = [
     ["user", "account", "customer", "client", "member"],
@@ -80,22 +80,29 @@ def _msg(template: str, value: Column) -> Column:
 
 
 def heading_texts(pages: DataFrame) -> Column:
-    """Flat heading texts (levels 1-4, page order of the heading array)."""
+    """Heading texts of levels 1-4: in document order where the extraction gives it (``headings_flat``)."""
+    if "headings_flat" in pages.columns:
+        return F.transform("headings_flat", lambda h: T.nz(h))
     return F.transform(F.filter("headings", lambda h: h["level"] <= 4), lambda h: T.nz(h["text"]))
 
 
-def _diagnosis_inputs(pages: DataFrame) -> DataFrame:
-    """Per-page values computed once (lower-cased text, heading texts, counts)."""
+def code_samples(pages: DataFrame) -> Column:
+    return F.col("code_samples" if "code_samples" in pages.columns else "code_blocks")
+
+
+def _diagnosis_inputs(pages: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Per-page values computed once (lower-cased text, heading texts, counts), and columns to carry along."""
     return pages.select(
         "site", "ord", "url", F.coalesce(F.col("title"), F.lit("Untitled")).alias("_title"),
         T.nz("content").alias("_c"), F.lower(T.nz("content")).alias("_lc"),
-        F.transform(F.filter("headings", lambda h: h["level"] <= 4), lambda h: F.lower(T.nz(h["text"]))).alias("_heads"),
-        F.transform("code_blocks", lambda b: F.lower(T.nz(b["code"]))).alias("_codes"))
+        F.transform(heading_texts(pages), F.lower).alias("_heads"),
+        F.transform(code_samples(pages), lambda b: F.lower(T.nz(b["code"]))).alias("_codes"), *extra)
 
 
-def diagnose_pages(pages: DataFrame) -> DataFrame:
-    """Per page: counts, boolean findings, ordered issues and strengths."""
-    pages = _diagnosis_inputs(pages)
+def diagnose_pages(pages: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Per page: counts, boolean findings, ordered issues and strengths (and ``extra`` columns of the page)."""
+    pages = _diagnosis_inputs(pages, extra)
+    carried = [c for c in pages.columns if not c.startswith("_") and c not in ("site", "ord", "url")]
     c, lc, heads = F.col("_c"), F.col("_lc"), F.col("_heads")
     title_l = F.lower(F.col("_title"))
     n_heads = F.size(heads)
@@ -124,7 +131,7 @@ def diagnose_pages(pages: DataFrame) -> DataFrame:
         marketing.isNotNull().alias("has_marketing_language"), version.alias("has_version_info"),
         vague.alias("_vague"), implicit.alias("_implicit"), marketing.alias("_marketing"),
         lc.contains("parameter").alias("_mentions_params"), lc.contains("error").alias("_mentions_errors"),
-        (title_l.contains("how") | title_l.contains("guide")).alias("_howto_title"))
+        (title_l.contains("how") | title_l.contains("guide")).alias("_howto_title"), *carried)
     return _issues(flags)
 
 
@@ -151,21 +158,25 @@ def _issues(f: DataFrame) -> DataFrame:
                     F.filter(strengths, lambda x: x.isNotNull()).alias("strengths"))
 
 
-def page_type(pages: DataFrame, diagnosis: DataFrame | None = None) -> DataFrame:
-    """P2: 'hub' or 'content' from hub / content points."""
-    d = diagnosis if diagnosis is not None else diagnose_pages(pages)
+def _type_inputs(pages: DataFrame) -> tuple[Column, ...]:
     c = T.nz("content")
     link_col = "link_refs" if "link_refs" in pages.columns else "links"
     paragraphs = F.split(c, "\n\n")
     long_pars = F.size(F.filter(paragraphs, lambda p: (F.regexp_count(p, F.lit(r"(?U)\S+")) >= LONG_PARAGRAPH_WORDS)
                                 & ~T.contains_any_prefix(F.regexp_replace(p, r"^(?U)\s+", ""), LIST_OR_BLOCK_PREFIXES)))
     steps = F.regexp_count(c, F.lit(r"(?mUd)^\d+\."))
-    heads = heading_texts(pages)
-    combined = F.lower(F.concat(F.coalesce(F.col("title"), F.lit("Untitled")), F.lit(" "), F.array_join(heads, " ")))
-    base = pages.select("site", "ord", F.size(link_col).alias("link_count"), long_pars.alias("long_paragraphs"),
-                        steps.alias("ordered_steps"), T.contains_any(combined, HUB_TITLE_TERMS).alias("hub_title"))
-    j = base.join(d.select("site", "ord", "word_count", "code_count", "has_parameter_tables", "has_error_docs"),
-                  ["site", "ord"])
+    combined = F.lower(F.concat(F.coalesce(F.col("title"), F.lit("Untitled")), F.lit(" "), F.array_join(heading_texts(pages), " ")))
+    return (F.size(link_col).alias("link_count"), long_pars.alias("long_paragraphs"), steps.alias("ordered_steps"),
+            T.contains_any(combined, HUB_TITLE_TERMS).alias("hub_title"))
+
+
+def page_type(pages: DataFrame) -> DataFrame:
+    """P2: 'hub' or 'content' from hub / content points, in the projection that diagnoses the page."""
+    hub, content, kind = _type_points()
+    return diagnose_pages(pages, _type_inputs(pages)).select("site", "ord", hub.alias("hub_score"), content.alias("content_score"), kind.alias("page_type"))
+
+
+def _type_points() -> tuple[Column, Column, Column]:
     i = lambda b, n: F.when(b, F.lit(n)).otherwise(F.lit(0))
     hub = (i(F.col("link_count") >= 8, 2)
            + i((F.col("word_count") > 0) & (F.col("word_count") / F.greatest(F.col("link_count"), F.lit(1)) <= 40), 2)
@@ -173,13 +184,13 @@ def page_type(pages: DataFrame, diagnosis: DataFrame | None = None) -> DataFrame
            + i(F.col("long_paragraphs") <= 2, 1) + i(F.col("hub_title"), 1))
     content = (i(F.col("code_count") >= 1, 3) + i(F.col("has_parameter_tables"), 2) + i(F.col("ordered_steps") >= 4, 2)
                + i(F.col("long_paragraphs") >= 3, 2) + i(F.col("has_error_docs"), 2))
-    kind = F.when(content >= 4, "content").when((hub >= 5) & (content <= 2), "hub").otherwise("content")
-    return j.select("site", "ord", hub.alias("hub_score"), content.alias("content_score"), kind.alias("page_type"))
+    return hub, content, F.when(content >= 4, "content").when((hub >= 5) & (content <= 2), "hub").otherwise("content")
 
 
-def detect_language(text: Column) -> Column:
-    """Marker-word language guess; 'en' unless some language has ≥ 3 markers."""
-    sample = F.lower(F.substring(T.nz(text), 1, LANG_SAMPLE_CHARS))
+def detect_language(text: Column, sample_chars: int | None = None) -> Column:
+    """Marker-word language guess over the whole text (or its first ``sample_chars``);
+    'en' unless some language has at least 3 markers."""
+    sample = F.lower(T.nz(text) if sample_chars is None else F.substring(T.nz(text), 1, sample_chars))
     scores = [(lang, sum((sample.contains(m).cast("int") for m in marks), F.lit(0))) for lang, marks in LANG_MARKERS]
     best = F.greatest(*[s for _l, s in scores])
     out = None
@@ -223,27 +234,26 @@ def terminology_context(pages: DataFrame) -> DataFrame:
     return agg.select("site", F.size(conflicts).alias("conflicts"), text.alias("terminology"))
 
 
-def rewrite_requests(pages: DataFrame, min_words: int = 50, content_chars: int = 12000) -> DataFrame:
+def rewrite_requests(pages: DataFrame, min_words: int = 50, content_chars: int | None = None, code_chars: int | None = None,
+                     max_headings: int | None = None, max_examples: int | None = None) -> DataFrame:
     """One row per page with everything an external rewriting job needs.
 
     Pages under ``min_words`` are marked ``pass_through`` (kept unchanged with a
-    note) instead of being sent.  No prompt text and no model call here.
+    note) instead of being sent.  No prompt text and no model call here.  The
+    page's part is one projection; only the site's terminology row is joined.
+    The optional bounds cut what a job with limited input can take.
     """
-    d = diagnose_pages(pages)
-    pt = page_type(pages, d)
-    term = terminology_context(pages)
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
+    first = lambda c, n: c if n is None else F.slice(c, 1, n)
     heads = heading_texts(pages)
-    code = F.transform(F.slice("code_blocks", 1, 5), lambda b: F.struct(
-        F.coalesce(b["language"], F.lit("text")).alias("language"), F.substring(T.nz(b["code"]), 1, 500).alias("code")))
-    link_col = "link_refs" if "link_refs" in pages.columns else "links"
-    base = pages.select(
-        "site", "ord", F.substring(T.nz("content"), 1, content_chars).alias("content"),
-        detect_language(F.col("content")).alias("language"),
-        T.truncation_status(F.col("content"), content_chars).alias("source_status"),
-        F.when(F.size(heads) > 0, F.array_join(F.slice(heads, 1, 20), ", ")).otherwise(F.lit("None")).alias("headings"),
-        code.alias("code_examples"), F.size(link_col).alias("link_count"))
-    out = (d.join(base, ["site", "ord"]).join(pt.select("site", "ord", "page_type"), ["site", "ord"])
-           .join(term.select("site", "terminology"), "site", "left"))
+    code = F.transform(first(code_samples(pages), max_examples), lambda b: F.struct(
+        F.coalesce(b["language"], F.lit("text")).alias("language"), cut(T.nz(b["code"]), code_chars).alias("code")))
+    status = F.lit("complete") if content_chars is None else T.truncation_status(F.col("content"), content_chars)
+    extra = (*_type_inputs(pages), cut(T.nz("content"), content_chars).alias("content"), detect_language(F.col("content")).alias("language"),
+             status.alias("source_status"), F.when(F.size(heads) > 0, F.array_join(first(heads, max_headings), ", ")).otherwise(F.lit("None")).alias("headings"),
+             code.alias("code_examples"))
+    out = diagnose_pages(pages, extra).withColumn("page_type", _type_points()[2])
+    out = out.join(terminology_context(pages).select("site", "terminology"), "site", "left")
     return out.select("site", "ord", "url", "title", "page_type", "language", "source_status", "word_count",
                       "heading_count", "code_count", "link_count", "headings", "code_examples", "content", "issues",
                       "strengths", "terminology", (F.col("word_count") >= min_words).alias("needs_rewrite"))

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions import text as T
+from .ranking import with_previous
 
 # FIXED VALUES — progress stages of a running analysis
 PROGRESS_STAGES = ["crawling", "analyzing", "scoring", "generating recommendations"]
@@ -37,46 +37,33 @@ def previous_analysis(analyses: DataFrame) -> DataFrame:
 
 def compare_analyses(analyses: DataFrame) -> DataFrame:
     """Overall delta and per-component deltas over the current analysis'
-    component keys (missing previous component = 0); no previous → nulls."""
-    prev = previous_analysis(analyses)
-    cur = analyses.select("id", "site_id", "overall_score", "components")
-    p = analyses.select(F.col("id").alias("previous_id"), F.col("overall_score").alias("prev_score"),
-                        F.col("components").alias("prev_components"))
-    j = prev.join(cur, ["id", "site_id"]).join(p, "previous_id", "left")
-    has_prev = F.col("previous_id").isNotNull()
-    delta = F.when(has_prev, F.col("overall_score") - F.col("prev_score"))
+    component keys (missing previous component = 0); no previous gives nulls.
+
+    The two latest scored analyses of each site (a bounded aggregate) carry
+    their score and components along, so one join compares every analysis.
+    """
+    done = analyses.where((F.col("status") == "COMPLETED") & F.col("overall_score").isNotNull())
+    w = Window.partitionBy("site_id").orderBy(F.col("completed_at").desc(), F.col("id").desc())
+    row = F.struct("id", F.col("overall_score").alias("score"), "components")
+    top2 = done.select("site_id", row.alias("row"), F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= 2)
+    best = top2.groupBy("site_id").agg(F.first(F.when(F.col("_rn") == 1, F.col("row")), ignorenulls=True).alias("one"),
+                                       F.first(F.when(F.col("_rn") == 2, F.col("row")), ignorenulls=True).alias("two"))
+    j = analyses.select("id", "site_id", "overall_score", "components").join(best, "site_id", "left")
+    j = j.withColumn("previous", F.when(F.col("id") == F.col("one.id"), F.col("two")).otherwise(F.col("one")))
+    has_prev = F.col("previous.id").isNotNull()
+    delta = F.when(has_prev, F.col("overall_score") - F.col("previous.score"))
     comp_delta = F.when(has_prev & F.col("components").isNotNull(), F.transform_values(
-        "components", lambda k, v: v - F.coalesce(F.col("prev_components")[k], F.lit(0))))
-    return j.select("id", "site_id", "previous_id", "overall_score", F.col("prev_score").alias("previous_score"),
+        "components", lambda k, v: v - F.coalesce(F.col("previous.components")[k], F.lit(0))))
+    return j.select("id", "site_id", F.col("previous.id").alias("previous_id"), "overall_score", F.col("previous.score").alias("previous_score"),
                     delta.alias("delta"), comp_delta.alias("component_deltas"))
 
 
-def score_trend(history: DataFrame, partitions: int | None = None) -> DataFrame:
+def score_trend(history: DataFrame) -> DataFrame:
     """W4 per row: change from the previous score of the same site by (date,
-    event_id); 0 when the previous is missing or 0.
-
-    A plain ``lag`` over ``partitionBy(site)`` would process a site holding a
-    third of all rows in one task.  Instead rows are range-partitioned on
-    (site, date, event_id) — a hot site spans many partitions — ``lag`` runs
-    inside each partition, and each partition's first row takes the last row
-    of the previous non-empty partition (one row per partition, broadcast).
-    """
-    spark = history.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["site", "date", "event_id"]
-    rp = history.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*keys)
-    local = (rp.withColumn("_prev_site", F.lag("site").over(w))
-               .withColumn("_prev_score", F.lag("score").over(w)))
-    tail = rp.groupBy("_pid").agg(F.max_by(F.struct("site", "score"), F.struct(*keys)).alias("_last"))
-    tail = tail.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_before"))
-    j = local.join(F.broadcast(tail), "_pid", "left")
-    first = F.col("_prev_site").isNull()
-    prev_site = F.when(first, F.col("_before.site")).otherwise(F.col("_prev_site"))
-    prev_score = F.when(first, F.col("_before.score")).otherwise(F.col("_prev_score"))
-    prev = F.when(prev_site == F.col("site"), prev_score)
-    return j.select("site", "date", "event_id", "score",
-                    F.when(prev.isNull() | (prev == 0), F.lit(0)).otherwise(F.col("score") - prev).alias("change"))
+    event_id); 0 when the previous is missing or 0.  A site may hold any share of the rows."""
+    rows = with_previous(history.select("site", "date", "event_id", "score"), "site", [F.col("date"), F.col("event_id")], "score", "_prev")
+    change = F.when(F.col("_prev").isNull() | (F.col("_prev") == 0), F.lit(0)).otherwise(F.col("score") - F.col("_prev"))
+    return rows.select("site", "date", "event_id", "score", change.alias("change"))
 
 
 def score_trend_summary(history: DataFrame) -> DataFrame:
@@ -100,21 +87,19 @@ def score_trend_summary(history: DataFrame) -> DataFrame:
 
 
 def top_percent(scores: DataFrame, score_col: str = "overall_score") -> DataFrame:
-    """W5: 'Top N%' from the percentile rank of the score among all rows.
+    """W5: 'Top N%' from the percentile rank of the score among all rows (null without a score).
 
     ``percent_rank`` over the whole table would put every row in one task.
-    Scores are integers 0-100, so the rank is computed from a histogram
-    instead: one aggregate of at most 101 rows (partial-aggregated), running
-    counts over that tiny table, then a broadcast join back — the broadcast
-    side is bounded by the score domain, not by the data.
+    The rank comes from a histogram: one row per distinct score, ranked over
+    these rows and joined back; Spark picks the join by their number.
     """
-    hist = scores.groupBy(score_col).agg(F.count(F.lit(1)).alias("_n"))
+    hist = scores.where(F.col(score_col).isNotNull()).groupBy(score_col).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = hist.select(score_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"),
+    ranks = hist.select(F.col(score_col).alias("_score"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"),
                         F.sum("_n").over(Window.partitionBy()).alias("_total"))
     pr = F.when(F.col("_total") <= 1, F.lit(0.0)).otherwise(F.col("_below") / (F.col("_total") - 1))
     top = F.greatest(F.lit(1), F.ceil((1 - pr) * 100)).cast("int")
-    return scores.join(F.broadcast(ranks.select(score_col, top.alias("top_percent"))), score_col)
+    return scores.join(ranks.select("_score", top.alias("top_percent")), F.col(score_col) == F.col("_score"), "left").drop("_score")
 
 
 def dashboard(sites: DataFrame, scores: DataFrame) -> DataFrame:
@@ -151,11 +136,3 @@ def cancel(analyses: DataFrame) -> DataFrame:
     """QUEUED or RUNNING analyses become CANCELLED."""
     return analyses.withColumn("status", F.when(F.col("status").isin("QUEUED", "RUNNING"), "CANCELLED")
                                .otherwise(F.col("status")))
-
-
-def grade_text(grade: Column) -> Column:
-    return T.interpretation(grade)
-
-
-__all__ = ["previous_analysis", "compare_analyses", "score_trend", "top_percent", "dashboard",
-           "query_pass_counts", "progress_stage", "duration_seconds", "cancel", "grade_text", "K"]

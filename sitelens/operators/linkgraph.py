@@ -7,8 +7,8 @@ and a page reached from several parents keeps its smallest path, which is
 the first time a FIFO crawl would have queued it.  Each round is a join of
 the frontier with the ordered link table plus an anti-join against the
 visited set — all partitioned by (site, url), so a site holding a third of
-the pages is spread over many tasks.  Lineage is cut with ``checkpoint()``
-in the cluster's checkpoint folder every few rounds.
+the pages is spread over many tasks.  Each round is written to the
+cluster's shared folder.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import checkpoint_dir
+from ..session import stored
 
 
 def ordered_links(pages: DataFrame) -> DataFrame:
@@ -52,50 +52,42 @@ def default_starts(pages: DataFrame) -> DataFrame:
     return first.select("site", F.col("m.url").alias("url"))
 
 
-def reachable(pages: DataFrame, starts: DataFrame | None = None, max_depth: int = 50,
-              min_chars: int = 50, checkpoint_every: int = 3) -> DataFrame:
+def reachable(pages: DataFrame, starts: DataFrame | None = None, min_chars: int = 50) -> DataFrame:
     """Pages reachable from the start URL of each site, in breadth-first order.
 
     Output (site, url, depth, path): only fetched pages whose stripped content
     is longer than ``min_chars`` are returned; shorter pages and unfetched
     URLs are visited (their links followed or not) but not returned.  Order
-    by (site, depth, path) for the crawl order.
+    by (site, depth, path) for the crawl order.  Rounds go on until one finds
+    nothing new, at any depth.
+
+    Links and page keys are written once; each round joins keys only, by
+    (site, url), and its result is written, so no round repeats another's work.
     """
-    spark = pages.sparkSession
     starts = starts if starts is not None else default_starts(pages)
     starts = starts.select("site", U.normalize_url("url").alias("url"))
     fetched = pages.select("site", U.normalize_url("url").alias("url"),
                            (F.length(F.regexp_replace(F.coalesce("content", F.lit("")), r"^(?U)\s+|(?U)\s+$", ""))
-                            > min_chars).alias("substantial")).dropDuplicates(["site", "url"])
+                            > min_chars).alias("substantial")).groupBy("site", "url").agg(F.max("substantial").alias("substantial"))
+    fetched = stored(fetched, "fetched")
     links = ordered_links(pages).join(starts.select("site", F.col("url").alias("_start")), "site") \
-        .where(U.in_scope("dst", "_start")).select("site", "src", "pos", "dst")
-    links = links.groupBy("site", "src", "dst").agg(F.min("pos").alias("pos"))
+        .where(U.in_scope("dst", "_start")).groupBy("site", "src", "dst").agg(F.min("pos").alias("pos"))
+    links = stored(links.withColumnRenamed("src", "url").join(fetched.select("site", "url"), ["site", "url"]), "links")  # only fetched pages expand
 
-    frontier = starts.select("site", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
-    visited = frontier
-    checkpoint_dir(spark)
+    frontier = visited = stored(starts.select("site", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path")), "reached")
     depth = 0
-    while depth < max_depth:
-        expanded = (frontier.join(fetched.select("site", "url"), ["site", "url"])   # only fetched pages expand
-                    .join(links.withColumnRenamed("src", "url"), ["site", "url"])
-                    .select("site", F.col("dst").alias("url"),
-                            F.concat("path", F.array(F.col("pos").cast("int"))).alias("path")))
-        nxt = (expanded.join(visited.select("site", "url"), ["site", "url"], "left_anti")
-               .groupBy("site", "url").agg(F.min("path").alias("path"))
-               .select("site", "url", F.lit(depth + 1).alias("depth"), "path"))
+    while True:
         depth += 1
-        if depth % checkpoint_every == 0:
-            nxt = nxt.checkpoint()
-        else:
-            nxt = nxt.cache()
-        if nxt.isEmpty():
+        found = frontier.join(links, ["site", "url"]).select("site", F.col("dst").alias("url"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
+        found = (found.join(visited.select("site", "url"), ["site", "url"], "left_anti").groupBy("site", "url").agg(F.min("path").alias("path"))
+                 .select("site", "url", F.lit(depth).alias("depth"), "path"))
+        frontier = stored(found, "reached")
+        if frontier.isEmpty():
             break
-        visited = visited.unionByName(nxt)
-        if depth % checkpoint_every == 0:
-            visited = visited.checkpoint()
-        frontier = nxt
-    out = visited.join(fetched.where("substantial").select("site", "url"), ["site", "url"])
-    return out.select("site", "url", "depth", "path")
+        visited = visited.unionByName(frontier)
+        if depth % 16 == 0:
+            visited = stored(visited, "reached")
+    return visited.join(fetched.where("substantial").select("site", "url"), ["site", "url"]).select("site", "url", "depth", "path")
 
 
 def crawl_rank(reached: DataFrame) -> DataFrame:

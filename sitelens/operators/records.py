@@ -14,33 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from .ranking import ranked
 
 BORDERLINE = (0.4, 0.6)
-
-
-# --- size-checked broadcast ---------------------------------------------------
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a DataFrame (no job is run)."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size if isinstance(size, int) else size.toString())
-    except Exception:  # noqa: BLE001
-        return 1 << 62
-
-
-def maybe_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast only when the optimizer's size estimate is below ``max_bytes``;
-    otherwise leave the join strategy to Spark (sort-merge / AQE)."""
-    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
+# FIXED VALUES - job states from which a run may be started again, promotion codes and prices
+RETRYABLE = ["failed", "submitted", "crawling", "generating"]
+FREE_CODES, DISCOUNT_CODES = ["FREE100"], ["AGENT2025", "LAUNCH2025", "BETA2025"]
+FREE_PRICE, DISCOUNT_PRICE = 0, 1
 
 
 # --- F: listings --------------------------------------------------------------
 
 def list_sites(sites: DataFrame) -> DataFrame:
-    """sites per organization, newest (largest id) first, with position."""
-    w = Window.partitionBy("organization_id").orderBy(F.col("id").desc())
-    return sites.withColumn("position", F.row_number().over(w))
+    """sites per organization, newest (largest id) first, with position (an organization may hold any share)."""
+    return ranked(sites, "organization_id", [F.col("id").desc()])
 
 
 def search_sites(sites: DataFrame, text: str) -> DataFrame:
@@ -57,7 +44,7 @@ def list_analyses(analyses: DataFrame, sites: DataFrame, site_id=None, status: s
         a = a.where(F.col("site_id") == site_id)
     if status is not None:
         a = a.where(F.col("status") == status)
-    owned = a.join(maybe_broadcast(sites.select(F.col("id").alias("site_id"), "organization_id")), "site_id")
+    owned = a.join(sites.select(F.col("id").alias("site_id"), "organization_id"), "site_id")
     w = Window.partitionBy("organization_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     ranked = owned.withColumn("position", F.row_number().over(w))
     return ranked.where((F.col("position") > offset) & (F.col("position") <= offset + limit))
@@ -100,8 +87,8 @@ def export_query_results(results: DataFrame, category: str | None = None, status
 
 def write_export(results: DataFrame, path: str) -> None:
     """S8 sink: JSON lines (format, count and the six fields on every row),
-    partitioned by analysis so each analysis' export is its own folder."""
-    export_query_results(results).write.mode("overwrite").partitionBy("analysis_id").json(path)
+    range-partitioned and sorted by analysis (files follow the data, not the number of analyses)."""
+    export_query_results(results).repartitionByRange("analysis_id", "id").sortWithinPartitions("analysis_id", "id").write.mode("overwrite").json(path)
 
 
 def list_recommendations(recs: DataFrame, category: str | None = None, impact: str | None = None,
@@ -111,7 +98,7 @@ def list_recommendations(recs: DataFrame, category: str | None = None, impact: s
     for col, v in (("category", category), ("impact", impact), ("implementation_status", status)):
         if v is not None:
             r = r.where(F.col(col) == v)
-    return r.withColumn("position", F.row_number().over(Window.partitionBy("site_id").orderBy("priority", "id")))
+    return ranked(r, "site_id", [F.col("priority"), F.col("id")])
 
 
 def public_gallery(assessments: DataFrame, seeds: DataFrame | None = None, limit: int = 24) -> DataFrame:
@@ -127,7 +114,7 @@ def public_gallery(assessments: DataFrame, seeds: DataFrame | None = None, limit
 
 
 def ready_packages(packages: DataFrame, states=("preview_ready", "full_ready")) -> DataFrame:
-    """packages in a ready state, oldest first, page_count = size(page_map)."""
+    """packages in a ready state, page_count = size(page_map); order by (created_at, id) for oldest first."""
     return packages.where(F.col("status").isin(*states)).select(
         "*", F.coalesce(F.size("page_map"), F.lit(0)).alias("page_count"))
 
@@ -160,9 +147,26 @@ def retryable_assessments(assessments: DataFrame) -> DataFrame:
                              & (F.col("optimization_status").isNull() | (F.col("optimization_status") == "failed")))
 
 
+def ready_agent_pages(agent_pages: DataFrame, states=("full_ready", "draft_ready")) -> DataFrame:
+    """agent pages that are ready, numbered oldest first."""
+    ready = agent_pages.where(F.col("status").isin(*states)).withColumn("_all", F.lit(0))
+    return ranked(ready, "_all", [F.col("created_at"), F.col("id")]).select("position", "product_name", "slug", "status", "payment_status")
+
+
+def retry(jobs: DataFrame, requests: DataFrame, with_planning: bool = False) -> DataFrame:
+    """a request (slug, email, docs_url) by a job's owner sets a retryable job back to
+    'submitted', clears its error and takes the new docs URL; all other jobs stay as they are."""
+    r = requests.groupBy(F.col("slug").alias("r_slug"), F.col("email").alias("r_email")).agg(F.min("docs_url").alias("r_url"))
+    j = jobs.join(r, (F.col("slug") == F.col("r_slug")) & (F.col("email") == F.col("r_email")), "left")
+    states = RETRYABLE + (["planning"] if with_planning else [])
+    again = F.col("r_slug").isNotNull() & F.col("status").isin(*states)
+    new = {"status": F.lit("submitted"), "error_message": F.lit(None).cast("string"), "docs_url": F.col("r_url")}
+    return j.select(*(F.when(again, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns), again.alias("retried"))
+
+
 def retryable_jobs(jobs: DataFrame, with_planning: bool = False) -> DataFrame:
     """agent-page / package jobs in a retryable state (packages also 'planning')."""
-    states = ["failed", "submitted", "crawling", "generating"] + (["planning"] if with_planning else [])
+    states = RETRYABLE + (["planning"] if with_planning else [])
     return jobs.where(F.col("status").isin(*states))
 
 
@@ -179,14 +183,14 @@ def org_query_results(results: DataFrame, analyses: DataFrame, sites: DataFrame,
     """Query → analysis → site → organization (3-way inner equi-join)."""
     a = analyses.select(F.col("id").alias("analysis_id"), "site_id")
     s = sites.select(F.col("id").alias("site_id"), "organization_id")
-    o = maybe_broadcast(orgs.select(F.col("id").alias("organization_id"), F.col("name").alias("organization")))
-    return results.join(a, "analysis_id").join(maybe_broadcast(s), "site_id").join(o, "organization_id")
+    o = orgs.select(F.col("id").alias("organization_id"), F.col("name").alias("organization"))
+    return results.join(a, "analysis_id").join(s, "site_id").join(o, "organization_id")
 
 
 def user_organizations(users: DataFrame, orgs: DataFrame) -> DataFrame:
     """User → organization lookup (left join)."""
-    o = maybe_broadcast(orgs.select(F.col("id").alias("organization_id"), F.col("name").alias("organization"),
-                                    "tier"))
+    o = orgs.select(F.col("id").alias("organization_id"), F.col("name").alias("organization"),
+                                    "tier")
     return users.join(o, "organization_id", "left")
 
 
@@ -195,10 +199,8 @@ def user_organizations(users: DataFrame, orgs: DataFrame) -> DataFrame:
 def dedupe_urls(df: DataFrame, url_col: str = "url") -> DataFrame:
     """One row per normalized URL (first by ``ord`` when present)."""
     d = df.withColumn("_norm", U.normalize_url(url_col)).where(F.col("_norm").isNotNull())
-    if "ord" in d.columns:
-        first = d.groupBy("_norm").agg(F.min("ord").alias("ord"))
-        return d.join(first, ["_norm", "ord"]).dropDuplicates(["_norm"]).drop("_norm")
-    return d.dropDuplicates(["_norm"]).drop("_norm")
+    order = F.struct(*(["ord"] if "ord" in df.columns else []), url_col)
+    return d.groupBy("_norm").agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
 
 
 def merge_pages(preview: DataFrame, full: DataFrame, key: str = "slug") -> DataFrame:
@@ -227,16 +229,19 @@ def ensure_mandatory_pages(page_map: DataFrame) -> DataFrame:
     return page_map.select("package", "page_type", "title", "slug", "tier", "ord").unionByName(missing)
 
 
-def ordered_distinct_links(pages: DataFrame, cap: int = 50) -> DataFrame:
-    """First ``cap`` links of each page, first occurrence per link text wins;
-    empty, '#' and javascript: hrefs become UNRESOLVED."""
-    ex = pages.select("site", "ord", F.posexplode_outer(F.slice("link_refs", 1, cap)).alias("pos", "l")).where("pos IS NOT NULL")
-    ex = ex.select("site", "ord", "pos", F.trim(F.col("l.text")).alias("text"), F.trim(F.col("l.href")).alias("href"))
-    ex = ex.where(F.col("text") != "")
-    first = ex.groupBy("site", "ord", "text").agg(F.min("pos").alias("pos"))
-    out = ex.join(first, ["site", "ord", "text", "pos"])
+def ordered_distinct_links(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Links of each page (the first ``limit`` where a bound is given), first occurrence per
+    link text wins; empty, '#' and javascript: hrefs become UNRESOLVED.  Array functions of one row."""
+    links = F.col("link_refs") if limit is None else F.slice("link_refs", 1, limit)
+    named = F.filter(F.transform(links, lambda l, i: F.struct(i.alias("pos"), F.trim(l["text"]).alias("text"), F.trim(l["href"]).alias("href"))),
+                     lambda l: l["text"] != "")
+    # the smallest position per text: sorted by (text, pos), an entry stays if the one before has another text
+    rows = pages.select("site", "ord", F.inline_outer(F.array(F.struct(F.array_sort(F.transform(
+        named, lambda l: F.struct(l["text"].alias("text"), l["pos"].alias("pos"), l["href"].alias("href")))).alias("l")))))
+    first = F.filter("l", lambda x, k: (k == 0) | (F.col("l")[F.greatest(k - 1, F.lit(0))]["text"] != x["text"]))
+    ex = rows.select("site", "ord", F.explode_outer(first).alias("x")).where("x IS NOT NULL").select("site", "ord", "x.pos", "x.text", "x.href")
     bad = (F.col("href") == "") | (F.col("href") == "#") | F.col("href").startswith("javascript:")
-    return out.select("site", "ord", "pos", "text", F.when(bad, "UNRESOLVED").otherwise(F.col("href")).alias("target"))
+    return ex.select("site", "ord", "pos", "text", F.when(bad, "UNRESOLVED").otherwise(F.col("href")).alias("target"))
 
 
 def upsert_by_slug(target: DataFrame, seeds: DataFrame, content_cols: list[str]) -> DataFrame:
@@ -269,9 +274,16 @@ def unique_slugs(jobs: DataFrame) -> DataFrame:
                     .alias("slug"))
 
 
-def progress_and_price(analyses: DataFrame) -> DataFrame:
-    """X20/X21 helpers on analyses: stage label and the flat report price."""
-    from .history import progress_stage
-    return analyses.select("*", progress_stage(F.col("progress"), F.col("status")).alias("stage"),
-                           F.lit(84).alias("price_eur"))
+def prices(assessments: DataFrame, list_price: int = 84, code_col: str = "promo_code") -> DataFrame:
+    """Price after a promotion code (free, 1, or null and ``valid`` false for an unknown one) or the list price."""
+    code = F.upper(F.col(code_col))
+    known = code.isin(*FREE_CODES, *DISCOUNT_CODES)
+    price = F.when(code.isNull(), list_price).when(code.isin(*FREE_CODES), FREE_PRICE).when(code.isin(*DISCOUNT_CODES), DISCOUNT_PRICE)
+    return assessments.select("*", price.cast("int").alias("price_eur"), (code.isNull() | known).alias("valid"))
+
 
+def org_recommendations(recs: DataFrame, sites: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Recommendation, its site and the site's organization (inner joins: others have no reader)."""
+    s = sites.select(F.col("id").alias("site_id"), "organization_id", F.col("name").alias("site_name"))
+    o = orgs.select(F.col("id").alias("organization_id"), F.col("name").alias("organization"))
+    return recs.join(s, "site_id").join(o, "organization_id")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..session import stored
 from .diagnose import diagnose_pages
 
 # ---------------------------------------------------------------------------
@@ -25,7 +26,6 @@ from .diagnose import diagnose_pages
 # ---------------------------------------------------------------------------
 IMPROVEMENTS_MARKER = "<!-- IMPROVEMENTS -->"
 IMPROVEMENTS_HEADING = "## Improvements Made"
-MAX_CLAIMED = 8
 LAST_UPDATED_RX = r"(?md)^(last_updated:\s*[\"']?)(\d{4}-\d{2}-\d{2})([\"']?\s*)$"
 FABRICATED_HEADING_WORDS = ["troubleshoot", "common error", "error code"]
 DERIVED_IMPROVEMENTS = {
@@ -41,32 +41,17 @@ DERIVED_IMPROVEMENTS = {
     "marketing": "Stripped marketing language, technical precision only",
     "version": "Added version context and clarity",
 }
-DEFAULT_IMPROVEMENT = "Restructured for agent-readiness: self-contained, explicit, structured"
-LLMS_DEFAULT_NOTE = "Optimized for agent consumption"
-LLMS_HEADER = """# {domain} Documentation
+DEFAULT_IMPROVEMENT = "Restructured to be self-contained, explicit and structured"
+LLMS_DEFAULT_NOTE = "Rewritten for machine readers"
+#: Default texts around the page list; callers may give their own ({domain}, {base_url}, {pages}).
+LLMS_HEADER = """# {domain} documentation
 
-> Agent-optimized documentation index.
-> For the full documentation, see: {base_url}
-
-## Overview
-This documentation has been optimized for AI agent consumption following
-the Agent-Readiness Doctrine: Findable, Atomic, Explicit, Executable,
-Groundable, Versioned, Recoverable, Structured.
+> Index of the rewritten pages. The original documentation is at {base_url}
 """
 LLMS_FOOTER = """
-## Quick Reference
-- Total pages: {pages}
-- Format: Markdown with YAML frontmatter
-- Code examples: Complete, runnable, with expected outputs
-- Error docs: Structured with codes, causes, and fixes
-
-## How to Use This Documentation
-If you are an AI agent:
-1. Start with this file to understand the scope
-2. Navigate to specific pages based on user queries
-3. Each page is self-contained — you don't need to read multiple pages
-4. Code examples are copy-paste ready with all imports included
-5. Error tables map exact error strings to fixes
+## About these pages
+- {pages} pages, Markdown with YAML frontmatter
+- Each page stands on its own; code examples name their imports
 """
 
 
@@ -97,17 +82,21 @@ def line_features(text: Column) -> Column:
         T.contains_any(x["low"], FABRICATED_HEADING_WORDS).alias("head_kw")))
 
 
-def _validate_fold(text: Column, has_code: Column, no_errors: Column) -> Column:
-    """(b)-(d): drop fabricated fenced blocks, error tables and error sections.
+def _validate_fold(has_code: Column, no_errors: Column) -> Column:
+    """(b)-(d): which lines go: fabricated fenced blocks, error tables and error sections.
 
-    State: out lines, skip_fence, in_table, skip_heading, blocks, rows, sections.
+    State: line number, the ranges of lines that go (a range is added when it
+    ends), the range that is open, skip_fence, in_table, skip_heading, blocks,
+    rows, sections.  No line is copied, so the fold is linear.
     """
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("fence"),
+    span = "array<struct<a:int,b:int>>"
+    init = F.struct(F.lit(0).alias("i"), F.array().cast(span).alias("gone"), F.lit(-1).alias("open"), F.lit(False).alias("fence"),
                     F.lit(False).alias("table"), F.lit(False).alias("heading"),
                     F.lit(0).alias("blocks"), F.lit(0).alias("rows"), F.lit(0).alias("sections"))
+    ended = lambda s, last: F.concat(s["gone"], F.array(F.struct(s["open"].alias("a"), last.alias("b"))))
 
     def step(s, x):
-        line, is_fence, is_pipe, is_head = x["line"], x["fence"], x["pipe"], x["head"]
+        is_fence, is_pipe, is_head = x["fence"], x["pipe"], x["head"]
         # (d) still inside a removed section: skip until the next heading line
         skipping_section = s["heading"] & ~is_head
         fence_open_fab = ~s["fence"] & is_fence & ~has_code
@@ -128,29 +117,45 @@ def _validate_fold(text: Column, has_code: Column, no_errors: Column) -> Column:
         counted_heading = reaches_table & ~err_row & ~table_cont & fab_heading
         new_heading = skipping_section | counted_heading
         return F.struct(
-            F.when(drop, s["out"]).otherwise(F.concat(s["out"], F.array(line))).alias("out"),
+            (s["i"] + 1).alias("i"), F.when(~drop & (s["open"] >= 0), ended(s, s["i"] - 1)).otherwise(s["gone"]).alias("gone"),
+            F.when(~drop, F.lit(-1)).when(s["open"] < 0, s["i"]).otherwise(s["open"]).alias("open"),
             new_fence.alias("fence"), new_table.alias("table"), new_heading.alias("heading"),
             (s["blocks"] + F.when(~skipping_section & fence_open_fab, 1).otherwise(0)).alias("blocks"),
             (s["rows"] + F.when(reaches_table & (err_row | table_cont), 1).otherwise(0)).alias("rows"),
             (s["sections"] + F.when(counted_heading, 1).otherwise(0)).alias("sections"))
 
-    return F.aggregate(line_features(text), init, step)
+    finish = lambda s: F.struct(F.when(s["open"] >= 0, ended(s, s["i"] - 1)).otherwise(s["gone"]).alias("gone"),
+                                s["blocks"].alias("blocks"), s["rows"].alias("rows"), s["sections"].alias("sections"))
+    return F.aggregate(line_features(F.col("_dated")), init, step, finish)
+
+
+def _original_flags() -> tuple[Column, Column]:
+    """What the line checks need to know of an original page, without its text."""
+    orig_l = F.lower(T.nz("content"))
+    has_code = (F.coalesce(F.size("code_blocks"), F.lit(0)) > 0) | T.nz("content").contains("```")
+    return has_code.alias("original_has_code"), (~orig_l.contains("error") & ~orig_l.contains("troubleshoot")).alias("original_no_errors")
+
+
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Columns that several later columns read, computed once (a generator of one row is not merged away)."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*columns))))
+
+
+def _validated(joined: DataFrame, run_date: str) -> DataFrame:
+    """P5 on rewrites that carry their original's two flags: the validated text and what was removed."""
+    df = _once(joined, fix_dates(T.nz("optimized_content"), run_date).alias("_dated"))
+    df = _once(df, _validate_fold(F.col("original_has_code"), F.col("original_no_errors")).alias("_f"))
+    stay = F.filter(_lines(F.col("_dated")), lambda line, i: ~F.exists(F.col("_f.gone"), lambda r: (r["a"] <= i) & (r["b"] >= i)))
+    text = F.when(F.size("_f.gone") == 0, F.col("_dated")).otherwise(F.array_join(stay, "\n"))
+    return _once(df, text.alias("validated"), (F.col("_dated") != T.nz("optimized_content")).alias("date_fixed"), F.col("_f.blocks").alias("blocks_removed"),
+                 F.col("_f.rows").alias("table_rows_removed"), F.col("_f.sections").alias("sections_removed")).drop("_dated", "_f")
 
 
 def validate_rewrites(rewrites: DataFrame, originals: DataFrame, run_date: str) -> DataFrame:
-    """Rewrites (site, ord, optimized_content) ⨝ originals (site, ord,
-    content, code_blocks) → validated text plus what was removed."""
-    o = originals.select("site", "ord", F.col("content").alias("_orig"), F.col("code_blocks").alias("_ocode"))
-    j = rewrites.join(o, ["site", "ord"])
-    orig_l = F.lower(T.nz("_orig"))
-    has_code = (F.coalesce(F.size("_ocode"), F.lit(0)) > 0) | T.nz("_orig").contains("```")
-    no_errors = ~orig_l.contains("error") & ~orig_l.contains("troubleshoot")
-    dated = fix_dates(T.nz("optimized_content"), run_date)
-    folded = _validate_fold(dated, has_code, no_errors)
-    return j.select(
-        *[c for c in rewrites.columns], F.array_join(folded["out"], "\n").alias("validated"),
-        (dated != T.nz("optimized_content")).alias("date_fixed"), folded["blocks"].alias("blocks_removed"),
-        folded["rows"].alias("table_rows_removed"), folded["sections"].alias("sections_removed"))
+    """Rewrites (site, ord, optimized_content) joined with flags of their originals
+    (no original text moves): the validated text plus what was removed."""
+    flags = originals.select("site", "ord", *_original_flags())
+    return _validated(rewrites.join(flags, ["site", "ord"]), run_date).drop("original_has_code", "original_no_errors")
 
 
 def clean_rewrite(c: Column) -> Column:
@@ -173,27 +178,31 @@ def _strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", "")
 
 
-def marker_improvements(c: Column) -> Column:
-    """P7 (first branch): bullets after the marker, longer than 5 chars, at most 8."""
+def marker_improvements(c: Column, limit: int | None = None) -> Column:
+    """P7 (first branch): bullets after the marker, longer than 5 chars (the first ``limit`` where a bound is given)."""
     after = F.when(c.contains(IMPROVEMENTS_MARKER),
                    F.element_at(F.split(c, F.lit(IMPROVEMENTS_MARKER).cast("string")), 2))
     items = F.transform(_lines(_strip_ws(F.coalesce(after, F.lit("")))), _strip_ws)
     bullets = F.filter(items, lambda x: x.startswith("- ") | x.startswith("* "))
     texts = F.filter(F.transform(bullets, lambda x: _strip_ws(F.substring(x, 3, 1 << 30))), lambda x: F.length(x) > 5)
-    return F.slice(texts, 1, MAX_CLAIMED)
+    return texts if limit is None else F.slice(texts, 1, limit)
 
 
 def claimed_improvements(validated: DataFrame, diagnosis: DataFrame) -> DataFrame:
     """Marker bullets, else improvements derived from the page diagnosis and the text."""
-    d = diagnosis.select("site", "ord", "has_vague_references", "has_action_headings", "has_parameter_tables",
-                         "has_complete_examples", "code_count", "has_implicit_language", "has_error_docs",
-                         "has_frontmatter", "has_prerequisites", "has_expected_output", "has_marketing_language",
-                         "has_version_info", "issues")
-    j = validated.join(d, ["site", "ord"])
+    return validated.join(diagnosis.select("site", "ord", *FACTS), ["site", "ord"]).withColumn("improvements", _improvements()).drop(*FACTS)
+
+
+FACTS = ["has_vague_references", "has_action_headings", "has_parameter_tables", "has_complete_examples", "code_count",
+         "has_implicit_language", "has_error_docs", "has_frontmatter", "has_prerequisites", "has_expected_output",
+         "has_marketing_language", "has_version_info", "issues"]
+
+
+def _improvements() -> Column:
     text = F.col("validated")
     low = F.lower(text)
     has_code = F.col("code_count") > 0
-    after_prereq = F.substring(F.coalesce(F.element_at(F.split(text, "prerequisites:"), 2), F.lit("")), 1, 100)
+    after_prereq = F.coalesce(F.get(F.split(text, "prerequisites:"), F.lit(1)), F.lit(""))
     derived = F.array(
         F.when(F.col("has_vague_references"), F.lit(DERIVED_IMPROVEMENTS["vague"])),
         F.when(~F.col("has_action_headings"), F.lit(DERIVED_IMPROVEMENTS["headings"])),
@@ -213,15 +222,14 @@ def claimed_improvements(validated: DataFrame, diagnosis: DataFrame) -> DataFram
     derived = F.filter(derived, lambda x: x.isNotNull())
     derived = F.when(F.size(derived) == 0, F.array(F.lit(DEFAULT_IMPROVEMENT))).otherwise(derived)
     marked = marker_improvements(text)
-    imps = F.when(F.size(marked) > 0, marked).otherwise(derived)
-    return j.select(*validated.columns, imps.alias("improvements"))
+    return F.when(F.size(marked) > 0, marked).otherwise(derived)
 
 
 def accept_rewrites(rewrites: DataFrame, originals: DataFrame, run_date: str) -> DataFrame:
     """E3 second half: validate → improvements (read after validation, before
     cleaning) → clean → file name.  Output one row per rewritten page."""
-    v = validate_rewrites(rewrites, originals, run_date)
-    imp = claimed_improvements(v, diagnose_pages(originals))
+    facts = diagnose_pages(originals, _original_flags()).select("site", "ord", "original_has_code", "original_no_errors", *FACTS)
+    imp = _once(_validated(rewrites.join(facts, ["site", "ord"]), run_date), _improvements().alias("improvements"))
     title = F.coalesce(F.col("title"), F.lit("Untitled")) if "title" in rewrites.columns else F.lit("Untitled")
     return imp.select("site", "ord", "url", title.alias("title"), clean_rewrite(F.col("validated")).alias("content"),
                       "improvements", U.file_name(title, F.col("url")).alias("file_name"),
@@ -238,6 +246,12 @@ def fabrication_report(accepted: DataFrame) -> DataFrame:
         F.sum("sections_removed").alias("sections_removed"))
 
 
+def distinct_improvements(accepted: DataFrame) -> DataFrame:
+    """The different improvements of each site, with the number of pages that have them."""
+    return accepted.select("site", F.explode_outer(F.array_distinct("improvements")).alias("improvement")).where("improvement IS NOT NULL") \
+        .groupBy("site", "improvement").agg(F.count(F.lit(1)).alias("pages"))
+
+
 def improvement_summary(accepted: DataFrame) -> DataFrame:
     """Pages, total improvements and distinct improvements per site.
 
@@ -246,36 +260,46 @@ def improvement_summary(accepted: DataFrame) -> DataFrame:
     """
     per_site = accepted.groupBy("site").agg(F.count(F.lit(1)).alias("pages_optimized"),
                                             F.sum(F.size("improvements")).alias("total_improvements"))
-    distinct = accepted.select("site", F.explode_outer("improvements").alias("imp")).where("imp IS NOT NULL").distinct() \
-        .groupBy("site").agg(F.count(F.lit(1)).alias("unique_improvements"))
+    distinct = distinct_improvements(accepted).groupBy("site").agg(F.count(F.lit(1)).alias("unique_improvements"))
     return per_site.join(distinct, "site", "left").fillna(0, ["unique_improvements"])
 
 
-def dedent_nested_fences(c: Column) -> Column:
-    """Fences indented by ≥ 2 inside lists move to the top level, body de-indented,
-    with a blank line before and after."""
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(-1).alias("indent"))
+def dedent_nested_fences(df: DataFrame, column: str = "content", name: str | None = None) -> DataFrame:
+    """P8 on a text column (in place, or under a new name): fences indented by at least 2 inside lists move to the top level, body de-indented,
+    with a blank line before and after; an unterminated one gets its closing fence.
+
+    The fold only notes the blocks (first line, last line, indent); the lines
+    are then changed by their number.
+    """
+    block = "array<struct<a:int,b:int,indent:int>>"
+    init = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("a"), F.lit(-1).alias("indent"), F.array().cast(block).alias("done"))
+    left = lambda line: F.regexp_replace(line, r"^(?U)\s+", "")
+    note = lambda s, last: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), last.alias("b"), s["indent"].alias("indent"))))
 
     def step(s, line):
-        stripped = F.regexp_replace(line, r"^(?U)\s+", "")
-        indent = F.length(line) - F.length(stripped)
-        in_block = s["indent"] >= 0
-        opens = ~in_block & stripped.startswith("```") & (indent >= 2)
-        closes = in_block & stripped.startswith("```") & (F.length(stripped) <= 4)
-        pad = F.repeat(F.lit(" "), F.greatest(s["indent"], F.lit(0)))
-        body = F.when(line.startswith(pad), F.substring(line, s["indent"] + 1, 1 << 30)).otherwise(stripped)
-        out = (F.when(opens, F.concat(s["out"], F.array(F.lit(""), F.concat(F.lit("```"), _strip_ws(F.substring(stripped, 4, 1 << 30))))))
-               .when(closes, F.concat(s["out"], F.array(F.lit("```"), F.lit(""))))
-               .when(in_block, F.concat(s["out"], F.array(body)))
-               .otherwise(F.concat(s["out"], F.array(line))))
-        nxt = F.when(opens, indent).when(closes, F.lit(-1)).otherwise(s["indent"])
-        return F.struct(out.alias("out"), nxt.alias("indent"))
-
-    folded = F.aggregate(_lines(T.nz(c)), init, step)
-    # an unterminated indented block still gets its closing fence
-    out = F.when(folded["indent"] >= 0, F.concat(folded["out"], F.array(F.lit("```"), F.lit("")))) \
-        .otherwise(folded["out"])
-    return F.array_join(out, "\n")
+        fence = left(line).startswith("```")
+        indent = F.length(line) - F.length(left(line))
+        inside = s["a"] >= 0
+        opens = ~inside & fence & (indent >= 2)
+        closes = inside & fence & (F.length(left(line)) <= 4)
+        return F.struct((s["i"] + 1).alias("i"), F.when(opens, s["i"]).when(closes, F.lit(-1)).otherwise(s["a"]).alias("a"),
+                        F.when(opens, indent).when(closes, F.lit(-1)).otherwise(s["indent"]).alias("indent"),
+                        F.when(closes, note(s, s["i"])).otherwise(s["done"]).alias("done"))
+
+    # a block that is never closed ends after the last line
+    fold = F.aggregate(F.col("_lines"), init, step, lambda s: F.when(s["a"] >= 0, note(s, s["i"])).otherwise(s["done"]))
+    staged = _once(_once(df, _lines(T.nz(column)).alias("_lines")), fold.alias("_blocks"))
+    blocks = F.col("_blocks")
+
+    def changed(line, i):
+        own = F.get(F.filter(blocks, lambda b: (b["a"] <= i) & (b["b"] >= i)), F.lit(0))
+        body = F.when(line.startswith(F.repeat(F.lit(" "), own["indent"])), F.substring(line, own["indent"] + 1, F.length(line))).otherwise(left(line))
+        return F.when(own.isNull(), line).when(own["a"] == i, F.concat(F.lit("\n```"), _strip_ws(F.substring(left(line), 4, 1 << 30)))) \
+            .when(own["b"] == i, F.lit("```\n")).otherwise(body)
+
+    out = F.array_join(F.transform("_lines", changed), "\n")
+    out = F.when(F.exists(blocks, lambda b: b["b"] == F.size("_lines")), F.concat(out, F.lit("\n```\n"))).otherwise(out)
+    return staged.withColumn(name or column, F.when(F.size(blocks) == 0, T.nz(column)).otherwise(out)).drop("_lines", "_blocks")
 
 
 def category_of(file_name: Column) -> Column:
@@ -284,7 +308,7 @@ def category_of(file_name: Column) -> Column:
     return T.title_case(first)
 
 
-def llms_txt_lines(accepted: DataFrame) -> DataFrame:
+def llms_txt_lines(accepted: DataFrame, header_text: str = LLMS_HEADER, footer_text: str = LLMS_FOOTER) -> DataFrame:
     """The per-site ``llms.txt`` as ordered lines (site, section, key, line).
 
     Categories appear in first-seen document order; documents keep crawl
@@ -301,30 +325,31 @@ def llms_txt_lines(accepted: DataFrame) -> DataFrame:
                               F.concat(F.lit("## "), F.col("cat")).alias("line"))
     per_site = accepted.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("ord", "url")).alias("f"))
     domain = F.coalesce(F.nullif(U.netloc(F.col("f.url")), F.lit("")), F.col("f.url"))
-    h_text = F.replace(F.replace(F.lit(LLMS_HEADER), F.lit("{domain}"), domain), F.lit("{base_url}"), F.col("f.url"))
+    h_text = F.replace(F.replace(F.lit(header_text), F.lit("{domain}"), domain), F.lit("{base_url}"), F.col("f.url"))
     header = per_site.select("site", F.lit(0).alias("section"), F.lit(0).cast("long").alias("cat_ord"),
                              F.lit(0).cast("long").alias("ord"), h_text.alias("line"))
     footer = per_site.select("site", F.lit(2).alias("section"), F.lit(0).cast("long").alias("cat_ord"),
                              F.lit(0).cast("long").alias("ord"),
-                             F.replace(F.lit(LLMS_FOOTER), F.lit("{pages}"), F.col("pages").cast("string")).alias("line"))
+                             F.replace(F.lit(footer_text), F.lit("{pages}"), F.col("pages").cast("string")).alias("line"))
     return header.unionByName(heads).unionByName(doc_lines).unionByName(footer)
 
 
 def write_rewrite_bundle(accepted: DataFrame, out_dir: str) -> None:
-    """Per site, markdown files, llms.txt lines and metadata, as partitioned writes.
+    """Markdown files, llms.txt lines and metadata of all sites, as JSON lines.
+
+    The rewrite chain runs once (its result is written to the shared folder);
+    every output is range-partitioned and sorted by site, so files follow the
+    data and a very large site is written by several tasks.
 
-    * ``markdown/site=…/`` — one JSON line per document (file_name, content);
-    * ``llms/site=…/`` — llms.txt lines, range-partitioned by (site, order)
-      so a very large site is written by several tasks in file-name order;
-    * ``metadata/`` — per-page title, file name, URL and improvements, plus
-      the per-site summary (A11).
+    * ``markdown/`` - one line per document (site, file_name, content);
+    * ``llms/`` - llms.txt lines in order of (site, section, category, document);
+    * ``metadata/`` - per-page title, file name, URL and improvements, the
+      per-site summary (A11) and its distinct improvements.
     """
-    accepted.select("site", "file_name", "title", "url", "content") \
-        .write.mode("overwrite").partitionBy("site").json(f"{out_dir}/markdown")
-    lines = llms_txt_lines(accepted)
-    (lines.repartitionByRange("site", "section", "cat_ord", "ord")
-     .sortWithinPartitions("site", "section", "cat_ord", "ord")
-     .select("site", "line").write.mode("overwrite").partitionBy("site").text(f"{out_dir}/llms"))
-    accepted.select("site", "title", "file_name", F.col("url").alias("original_url"), "improvements") \
-        .write.mode("overwrite").partitionBy("site").json(f"{out_dir}/metadata/pages")
-    improvement_summary(accepted).write.mode("overwrite").json(f"{out_dir}/metadata/summary")
+    accepted = stored(accepted, "accepted")
+    put = lambda df, name, *keys: df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").json(f"{out_dir}/{name}")
+    put(accepted.select("site", "file_name", "title", "url", "content"), "markdown", "site", "file_name")
+    put(llms_txt_lines(accepted), "llms", "site", "section", "cat_ord", "ord")
+    put(accepted.select("site", "title", "file_name", F.col("url").alias("original_url"), "improvements"), "metadata/pages", "site", "file_name")
+    put(improvement_summary(accepted), "metadata/summary", "site")
+    put(distinct_improvements(accepted), "metadata/improvements", "site", "improvement")

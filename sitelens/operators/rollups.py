@@ -61,9 +61,8 @@ def sites_without_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
     The page side is reduced to its distinct sites first (partial aggregate),
     so whatever the join strategy, it never ships page rows.
     """
-    from .records import maybe_broadcast
     with_pages = pages.select("site").distinct()
-    return sites.select("site").distinct().join(maybe_broadcast(with_pages), "site", "left_anti")
+    return sites.select("site").distinct().join(with_pages, "site", "left_anti")
 
 
 def empty_site_scores(pages: DataFrame, sites: DataFrame) -> DataFrame:

@@ -264,10 +264,7 @@ def _build_rules() -> list[RuleSpec]:
     def r13(a, n):
         p = a("r13_pass")
         return (F.least(T.ratio_score(p, n), F.lit(K.R13_CAP)), n, p, fmt(K.FINDINGS[13], passing=p, n=n))
-    def r13_pass(c):
-        maybe = F.arrays_overlap(c.tokens, _lits(K.PREFILTER["R13"])) | T.contains_any(c.lower, K.R13_PREFILTER_SUBSTRINGS)
-        return _i(maybe & T.search_lc(c.lower, K.R13_VERSION))
-    add(13, {"r13_pass": r13_pass}, r13)
+    add(13, {"r13_pass": lambda c: _i(T.search_lc(c.lower, K.R13_VERSION))}, r13)
 
     # R14 — decision docs (site level)
     def r14(a, n):
@@ -345,10 +342,10 @@ def page_context(pages: DataFrame) -> DataFrame:
     """Add the shared per-page helper columns (null-safe text, lower-case, word count)."""
     return (pages
             .withColumn("_c", T.nz("content"))
-            .withColumn("_lc", F.lower(F.col("_c")))
+            .withColumn("_lc", T.fold("_c"))
             .withColumn("_title", T.nz("title"))
             .withColumn("_words", T.word_count(F.col("_c")))
-            .withColumn("_tok", T.word_tokens(F.col("_lc")))
+            .withColumn("_tok", T.anchor_tokens("_lc", sorted(set().union(*K.PREFILTER.values()))))
             .withColumn("_terms", F.when(F.arrays_overlap(F.col("_tok"), F.array(*[F.lit(a) for a in K.PREFILTER["R7"]])),
                                          F.array_distinct(F.regexp_extract_all(F.col("_lc"), F.lit(T.CS + TERM_RX), 1)))
                         .otherwise(F.array().cast("array<string>"))))

@@ -161,13 +161,13 @@ def q_link_edges(spark, sf):
 
 @query("reachable_pages")
 def q_reachable_pages(spark, sf):
-    r = linkgraph.reachable(P.pages_extracted(spark, sf))
+    r = linkgraph.reachable(P.pages_stored(spark, sf))
     return r.select("site", "url", "depth", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
 
 
 @query("frontier")
 def q_frontier(spark, sf):
-    pages = P.pages_extracted(spark, sf)
+    pages = P.pages_stored(spark, sf)
     roots = pages.select("site", F.concat(U.origin("url"), F.lit("/")).alias("url")).distinct()
     return linkgraph.frontier(pages, roots)
 
@@ -423,7 +423,7 @@ def q_issue_frequency(spark, sf):
 
 
 def _lang_sql(text: str) -> str:
-    sample = f"lower(substr(coalesce({text}, ''), 1, {D.LANG_SAMPLE_CHARS}))"
+    sample = f"lower(coalesce({text}, ''))"
     scores = {lang: "(" + " + ".join(f"CAST(contains({sample}, {OR.q(m)}) AS INTEGER)" for m in marks) + ")"
               for lang, marks in D.LANG_MARKERS}
     best = "greatest(" + ", ".join(scores.values()) + ")"
@@ -510,12 +510,12 @@ def _rewrite_requests_sql() -> str:
     return f"""WITH {_page_types_ctes()}, {_terminology_ctes()},
 rq AS (SELECT d.site, d.ord, CASE WHEN sc.content_score >= 4 THEN 'content' WHEN sc.hub_score >= 5 AND sc.content_score <= 2 THEN 'hub'
          ELSE 'content' END AS page_type, {_lang_sql('d.c')} AS language,
-       CASE WHEN length(d.c) >= 11900 THEN 'possibly_truncated' ELSE 'complete' END AS source_status,
+       'complete' AS source_status,
        d.wc AS word_count, d.nh AS heading_count, CAST(CASE WHEN d.has_code THEN 1 ELSE 0 END AS INTEGER) AS code_count,
        CAST(sp.link_n AS INTEGER) AS link_count,
-       CASE WHEN len(d.heads) > 0 THEN array_to_string(d.heads[1:20], ', ') ELSE 'None' END AS headings,
+       CASE WHEN len(d.heads) > 0 THEN array_to_string(d.heads, ', ') ELSE 'None' END AS headings,
        CAST(CASE WHEN d.has_code THEN 1 ELSE 0 END AS INTEGER) AS n_code_examples,
-       CAST(length(substr(d.c, 1, 12000)) AS INTEGER) AS content_chars, CAST(len(d.issues) AS INTEGER) AS n_issues,
+       CAST(length(d.c) AS INTEGER) AS content_chars, CAST(len(d.issues) AS INTEGER) AS n_issues,
        md5(term.terminology) AS terminology_md5, d.wc >= 50 AS needs_rewrite
      FROM diag d JOIN sc USING (site, ord) JOIN sp ON sp.site = d.site AND sp.ord = d.ord LEFT JOIN term ON term.site = d.site)
 SELECT * FROM rq"""
@@ -737,7 +737,7 @@ def q_viewer_index(spark, sf):
 @query("dedent_fences")
 def q_dedent_fences(spark, sf):
     a = _accepted(spark, sf)
-    return a.select("site", "ord", F.md5(RW.dedent_nested_fences(F.col("content"))).alias("dedented_md5"))
+    return RW.dedent_nested_fences(a).select("site", "ord", F.md5("content").alias("dedented_md5"))
 
 
 # --- guides and packages -----------------------------------------------------
@@ -767,12 +767,12 @@ def _playbooks_sql() -> str:
     risk_case = "CASE i % 6 " + " ".join(f"WHEN {k} THEN '{labels[r]}'" for k, r in enumerate(risks)) + " END"
     return f"""WITH g AS (SELECT conv_id, turn, conv_id * 100 + turn AS guide_id, string_split(text, '. ') AS sent
                    FROM conversations WHERE {GUIDE_OK_SQL}),
-s AS (SELECT guide_id, conv_id, unnest(sent[1:6]) AS s, generate_subscripts(sent[1:6], 1) - 1 AS i FROM g),
+s AS (SELECT guide_id, conv_id, unnest(sent) AS s, generate_subscripts(sent, 1) - 1 AS i FROM g),
 w AS (SELECT *, string_split(s, ' ') AS w FROM s)
 SELECT guide_id, CAST(i AS INTEGER) AS idx, array_to_string(w[1:3], ' ') AS task_name, {risk_case} AS risk,
   CAST(CASE WHEN conv_id % 3 = 1 OR i % 3 = 0 THEN 1 ELSE least(i % 3, len(w)) END AS INTEGER) AS n_ask,
-  CAST(least(len(w[2:6]), 4) AS INTEGER) AS n_check, CAST(len(w[1:5]) AS INTEGER) AS n_do,
-  array_to_string(w[1:5], ' ') AS do, conv_id % 2 = 0 AND i >= 2 AS locked FROM w"""
+  CAST(len(w[2:6]) AS INTEGER) AS n_check, CAST(len(w) AS INTEGER) AS n_do,
+  array_to_string(w, ' ') AS do, conv_id % 2 = 0 AND i >= 2 AS locked FROM w"""
 
 
 @query("guide_playbooks", _playbooks_sql)
@@ -803,7 +803,7 @@ def q_guide_rules_setup(spark, sf):
 @query("guide_decisions")
 def q_guide_decisions(spark, sf):
     d = G.guide_decisions(_parsed(spark, sf))
-    return d.select("guide_id", "pos", "decision", F.size("use_when").alias("n_use"))
+    return d.select("guide_id", "pos", "decision", F.size("use_when").alias("n_use"), F.get("escalate_if", F.lit(0)).alias("escalate"))
 
 
 @query("guide_troubleshooting")
@@ -828,7 +828,7 @@ def q_faq_by_category(spark, sf):
 
 @query("source_pages")
 def q_source_pages(spark, sf):
-    return G.source_pages(P.pages_extracted(spark, sf), "site", k=20)
+    return G.source_pages(P.pages_extracted(spark, sf))
 
 
 # --- streaming -----------------------------------------------------------------
@@ -882,11 +882,13 @@ def q_sitemap_urls(spark, sf):
 @query("discover_urls")
 def q_discover_urls(spark, sf):
     sm, ix = fixtures.fetched_sitemaps(spark, sf)
-    pages = P.pages_extracted(spark, sf)
-    starts = linkgraph.default_starts(pages)
-    start_pages = pages.join(starts.select("site", "url"), ["site", "url"], "left_semi")
-    # a site's sitemap is only found at the conventional place for half of the sites
-    found = sm.where(F.length("site") % 2 == 0)
+    # only start pages are parsed: they are picked by URL and number first
+    raw = P.raw_pages(spark, sf).withColumn("site", U.site_name("url"))
+    starts = linkgraph.default_starts(raw.withColumnRenamed("page_id", "ord"))
+    firsts = raw.join(starts.select("site", F.col("url").alias("start")), "site").where("url = start")
+    start_pages = P.extract_pages(firsts, keep=("page_id", "site"))
+    # at the conventional place, sites with a name of odd length have a sitemap whose end is missing
+    found = sm.withColumn("xml", F.when(F.length("site") % 2 == 0, F.col("xml")).otherwise(F.replace("xml", F.lit("</urlset>"), F.lit(""))))
     out = SM.discover_urls(starts, SM.sitemap_urls(found), SM.sitemap_index_urls(ix, sm),
                            SM.start_page_links(start_pages))
     return out
@@ -899,7 +901,7 @@ def q_read_fetched_pages(spark, sf):
                                  F.lit("application/xhtml+xml"), F.lit("application/octet-stream")),
                          (F.col("page_id") % 5 + 1).cast("int"))
     status = F.when(F.col("page_id") % 7 == 3, F.lit(404)).otherwise(F.lit(200))
-    fetched = raw.select("url", F.col("html").alias("body"), status.alias("status"), ctype.alias("content_type"))
+    fetched = raw.select("page_id", "url", F.col("html").alias("body"), status.alias("status"), ctype.alias("content_type"))
     out = P.read_fetched_pages(fetched)
     return out.select("site", "url", F.length("content").alias("content_chars"), F.size("headings").alias("n_headings"),
                       F.col("title").isNotNull().alias("has_title"))
@@ -944,21 +946,17 @@ def q_mandatory_pages(spark, sf):
 
 @query("upsert_by_slug")
 def q_upsert_by_slug(spark, sf):
-    pk = records.packages(spark, sf).select("slug", "status", "payment_status", F.col("name").alias("title")) \
-        .dropDuplicates(["slug"])
+    pk = records.packages(spark, sf).groupBy("slug").agg(F.min_by(F.struct("status", "payment_status", F.col("name").alias("title")), F.col("id")).alias("p")) \
+        .select("slug", "p.*")
     part = records.read(spark, sf, "part")
     name = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")) \
         .otherwise(F.concat(F.col("p_brand"), F.lit(" "), F.split(F.col("p_type"), " ")[0]))
-    seeds = part.select(T_slug(name).alias("slug"), F.concat(F.lit("Seed "), name).alias("title"),
+    seeds = part.select(TX.slugify(name).alias("slug"), F.concat(F.lit("Seed "), name).alias("title"),
                         F.lit("full_ready").alias("status"))
     seeds = seeds.groupBy("slug").agg(F.min("title").alias("title"), F.first("status").alias("status"))
     return RQ.upsert_by_slug(pk, seeds, content_cols=["title"])
 
 
-def T_slug(c):
-    return TX.slugify(c)
-
-
 @query("ordered_distinct_links")
 def q_ordered_distinct_links(spark, sf):
     return RQ.ordered_distinct_links(P.pages_extracted(spark, sf))
@@ -984,10 +982,8 @@ ok AS (SELECT {_site_sql('url')} AS site, page_id AS ord, url FROM pc WHERE leng
 r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord) AS rn FROM ok)
 SELECT site, ord, url FROM r WHERE rn <= 10""")
 
-_attach("source_pages", f"""WITH t AS (SELECT {_site_sql('url')} AS site, page_id AS ord, url,
-  coalesce(nullif({_strip_sql(_unescape_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"))}, ''), 'Untitled') AS title FROM pages),
-r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord) AS rn FROM t)
-SELECT site, ord, url, title FROM r WHERE rn <= 20""")
+_attach("source_pages", f"""SELECT {_site_sql('url')} AS site, page_id AS ord, url,
+  coalesce(nullif({_strip_sql(_unescape_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"))}, ''), 'Untitled') AS title FROM pages""")
 
 _attach("frontier", LINK_EDGES_SQL.replace("SELECT DISTINCT site, src, dst FROM d", "SELECT DISTINCT site, dst AS url FROM d")
         .replace("WITH a AS (", "WITH known AS (SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS u FROM pages), a AS (")
@@ -1010,10 +1006,10 @@ FROM (SELECT DISTINCT package FROM pm) p CROSS JOIN req
 WHERE NOT EXISTS (SELECT 1 FROM pm WHERE pm.package = p.package AND pm.w = req.page_type)""")
 
 _attach("faq_by_category", f"""WITH q AS (SELECT conv_id % 10 AS package, conv_id * 100 + turn AS ord,
-  string_split(text, '. ')[1] AS question,
+  string_split(text, '. ')[1] AS question, substr(text, length(string_split(text, '. ')[1]) + 1) AS answer,
   {_title_case_sql("coalesce(CASE conv_id % 5 WHEN 0 THEN 'billing' WHEN 1 THEN NULL WHEN 2 THEN 'setup' WHEN 3 THEN 'api_keys' ELSE '' END, 'general')")} AS category
-  FROM conversations WHERE role = 'user')
-SELECT package, category, min(ord) OVER (PARTITION BY package, category) AS cat_ord, ord, question FROM q""")
+  FROM conversations)
+SELECT package, category, min(ord) OVER (PARTITION BY package, category) AS cat_ord, ord, question, answer FROM q""")
 
 _attach("upsert_by_slug", f"""WITH t AS (SELECT {_slug_sql('p_brand')} AS slug,
   arg_min(CASE p_partkey % 5 WHEN 0 THEN 'planning' WHEN 1 THEN 'preview_ready' WHEN 2 THEN 'full_ready' WHEN 3 THEN 'failed' ELSE 'submitted' END, p_partkey) AS status,
@@ -1053,7 +1049,7 @@ c AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') TH
                      ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS abs
       FROM b WHERE NOT regexp_matches(href, '(?i)(\\.png|\\.jpg|\\.gif|\\.svg|\\.css|\\.js|\\.woff|\\.pdf|mailto:|javascript:|#$|/login|/signup|/auth|/console|/search\\?|/changelog|/blog)')),
 d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos FROM c WHERE starts_with(abs, 'http') AND txt <> ''),
-e AS (SELECT *, row_number() OVER (PARTITION BY page_id, txt ORDER BY pos) AS first FROM d WHERE pos < 50)
+e AS (SELECT *, row_number() OVER (PARTITION BY page_id, txt ORDER BY pos) AS first FROM d)
 SELECT {_site_sql('url')} AS site, page_id AS ord, CAST(pos AS INTEGER) AS pos, txt AS text,
   CASE WHEN abs = '' OR abs = '#' OR starts_with(abs, 'javascript:') THEN 'UNRESOLVED' ELSE abs END AS target
 FROM e WHERE first = 1""")
@@ -1068,27 +1064,43 @@ def _rows_sql(list_sql: str, label: str, col: str = "action") -> str:
             f"unnest({list_sql}) AS {col} FROM g")
 
 
+_THIRDS = [f"w[1:len(w) // 3]", "w[len(w) // 3 + 1:2 * (len(w) // 3)]", "w[2 * (len(w) // 3) + 1:]"]
+
 _attach("guide_scope", f"""WITH {GUIDES_BASE_SQL}
-{_rows_sql('w[1:5]', 'safe')} UNION ALL {_rows_sql('w[7:9]', 'confirm')} UNION ALL {_rows_sql('w[10:14]', 'never')}""")
+{_rows_sql(_THIRDS[0], 'safe')} UNION ALL {_rows_sql(_THIRDS[1], 'confirm')} UNION ALL {_rows_sql(_THIRDS[2], 'never')}""")
 
 _attach("guide_rules_setup", f"""WITH {GUIDES_BASE_SQL}
 SELECT guide_id, list AS section, pos, action AS item FROM (
-{_rows_sql('sent[1:1]', 'always')} UNION ALL {_rows_sql('sent[2:2]', 'never')} UNION ALL
-{_rows_sql('w[1:2]', 'prerequisites')} UNION ALL {_rows_sql('w[3:3]', 'auth_methods')})""")
+{_rows_sql('sent[1:1]', 'always')} UNION ALL {_rows_sql('sent[2:2]', 'never')} UNION ALL {_rows_sql('sent[3:3]', 'environment')} UNION ALL
+{_rows_sql(_THIRDS[0], 'prerequisites')} UNION ALL {_rows_sql(_THIRDS[1], 'auth_methods')} UNION ALL
+{_rows_sql(_THIRDS[2], 'required_secrets')} UNION ALL {_rows_sql('sent[1:1]', 'env_notes')})""")
+
+_OLD_SQL = "(guide_id // 100) % 3 = 1"
 
 _attach("guide_troubleshooting", f"""WITH {GUIDES_BASE_SQL},
-t AS (SELECT guide_id, unnest(sent[1:3]) AS s, generate_subscripts(sent[1:3], 1) - 1 AS pos FROM g)
+t AS (SELECT guide_id, unnest(sent) AS s, generate_subscripts(sent, 1) - 1 AS pos FROM g)
 SELECT guide_id, CAST(pos AS INTEGER) AS pos, s AS issue, string_split(s, ' ')[1] AS likely_cause,
-  string_split(s, ' ')[2] AS fix, '' AS escalate_if FROM t""")
+  coalesce(string_split(s, ' ')[2], '') AS fix, CASE WHEN {_OLD_SQL} THEN string_split(s, ' ')[1] ELSE '' END AS escalate_if FROM t""")
 
 _attach("guide_decisions", f"""WITH {GUIDES_BASE_SQL},
-t AS (SELECT guide_id, unnest(sent[1:4]) AS s, generate_subscripts(sent[1:4], 1) - 1 AS pos FROM g)
-SELECT guide_id, CAST(pos AS INTEGER) AS pos, s AS decision, CAST(least(len(string_split(s, ' ')), 3) AS INTEGER) AS n_use FROM t""")
+t AS (SELECT guide_id, unnest(sent) AS s, generate_subscripts(sent, 1) - 1 AS pos FROM g)
+SELECT guide_id, CAST(pos AS INTEGER) AS pos, s AS decision, CAST(len(string_split(s, ' ')) AS INTEGER) AS n_use,
+  string_split(s, ' ')[1] AS escalate FROM t""")
 
 _attach("guide_references", f"""WITH {GUIDES_BASE_SQL},
-t AS (SELECT guide_id, unnest(w[1:4]) AS x, generate_subscripts(w[1:4], 1) - 1 AS pos FROM g)
-SELECT guide_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos % 2 = 0 THEN 'API' ELSE 'General' END AS topic, x AS label,
-  'https://docs.example.com/' || x AS url FROM t""")
+t AS (SELECT guide_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS pos, len(w) // 3 AS third FROM g)
+SELECT guide_id, CAST(pos AS INTEGER) AS pos,
+  CASE WHEN {_OLD_SQL} THEN CASE WHEN pos < third THEN 'API' ELSE 'More' END WHEN pos % 2 = 0 THEN 'API' ELSE '' END AS topic, x AS label,
+  'https://docs.example.com/' || x AS url FROM t WHERE NOT {_OLD_SQL} OR pos < 2 * third""")
+
+
+@query("package_errors", f"""WITH {GUIDES_BASE_SQL},
+t AS (SELECT guide_id, unnest(sent) AS s, generate_subscripts(sent, 1) - 1 AS pos FROM g)
+SELECT guide_id, CAST(pos AS INTEGER) AS pos, s AS error, string_split(s, ' ')[1] AS likely_cause,
+  CASE WHEN {_OLD_SQL} THEN '' ELSE 'retry' END AS fix, '' AS escalate_if FROM t""")
+def q_package_errors(spark, sf):
+    return G.package_errors(_parsed(spark, sf))
+
 
 _attach("read_fetched_pages", f"""WITH {PAGE_CONTENT_SQL},
 f AS (SELECT page_id, url, html, content, art,
@@ -1106,14 +1118,14 @@ def _ordered_distinct_sql(lst: str) -> str:
     return f"list_filter({lst}, lambda x, i: list_position({lst}, x) = i)"
 
 
-_PB_CONFIRM = "flatten(list_transform(sent[1:6], lambda s: string_split(s, ' ')[3:4]))"
-_PB_ESCALATE = "flatten(list_transform(sent[1:6], lambda s: string_split(s, ' ')[4:5]))"
+_PB_CONFIRM = "flatten(list_transform(sent, lambda s: string_split(s, ' ')[3:4]))"
+_PB_ESCALATE = "flatten(list_transform(sent, lambda s: string_split(s, ' ')[4:5]))"
 _AMB = "sent[-1:]"
 _BASE_ASK = "(CASE WHEN turn % 2 = 0 THEN [] ELSE sent[1:2] END)"
 _BASE_ESC = "(CASE WHEN turn % 3 = 0 THEN [] ELSE sent[2:3] END)"
 _ASK = (f"CASE WHEN len({_BASE_ASK}) = 0 THEN list_concat({_AMB}, list_filter({_ordered_distinct_sql(_PB_CONFIRM)}, "
-        f"lambda x: NOT list_contains({_AMB}, x)))[1:8] ELSE {_BASE_ASK} END")
-_ESC = f"CASE WHEN len({_BASE_ESC}) = 0 THEN {_ordered_distinct_sql(_PB_ESCALATE)}[1:8] ELSE {_BASE_ESC} END"
+        f"lambda x: NOT list_contains({_AMB}, x))) ELSE {_BASE_ASK} END")
+_ESC = f"CASE WHEN len({_BASE_ESC}) = 0 THEN {_ordered_distinct_sql(_PB_ESCALATE)} ELSE {_BASE_ESC} END"
 
 _attach("guide_stop_conditions", f"""WITH g AS (SELECT conv_id * 100 + turn AS guide_id, turn, {GUIDE_OK_SQL} AS ok,
   string_split(text, '. ') AS sent FROM conversations),
@@ -1202,8 +1214,8 @@ def _claimed_cte() -> str:
         ("NOT errors AND has_code AND contains(lower(validated), 'error') AND (contains(lower(validated), '| error') "
          "OR contains(lower(validated), '| code'))", "errors"),
         ("NOT front", "frontmatter"),
-        ("NOT prereq AND contains(validated, 'prerequisites:') AND contains(substr(coalesce(string_split(validated, "
-         "'prerequisites:')[2], ''), 1, 100), '- ')", "prereq"),
+        ("NOT prereq AND contains(validated, 'prerequisites:') AND contains(coalesce(string_split(validated, "
+         "'prerequisites:')[2], ''), '- ')", "prereq"),
         ("NOT output AND has_code AND contains(validated, '```') AND (contains(lower(validated), 'output') OR "
          "contains(lower(validated), 'response') OR contains(lower(validated), 'returns'))", "outputs"),
         ("marketing IS NOT NULL", "marketing"), ("NOT version AND contains(lower(validated), 'version')", "version")]
@@ -1212,7 +1224,7 @@ def _claimed_cte() -> str:
     after = f"CASE WHEN contains(validated, {OR.q(marker)}) THEN string_split(validated, {OR.q(marker)})[2] END"
     items = f"list_transform(string_split({strip(f'coalesce({after}, {OR.q(str())})')}, chr(10)), lambda x: {strip('x')})"
     bullets = f"list_filter({items}, lambda x: starts_with(x, '- ') OR starts_with(x, '* '))"
-    marked = f"list_filter(list_transform({bullets}, lambda x: {strip('x[3:]')}), lambda x: length(x) > 5)[1:8]"
+    marked = f"list_filter(list_transform({bullets}, lambda x: {strip('x[3:]')}), lambda x: length(x) > 5)"
     return f"""{_validate_cte()}, {_diag_cte().replace(FLAT_PAGES_SQL + ',', '', 1)},
 ci AS (SELECT v.site, v.ord, v.validated, d.*EXCLUDE (site, ord), {marked} AS marked FROM val v JOIN diag d USING (site, ord)),
 cl AS (SELECT site, ord, validated, CASE WHEN len(marked) > 0 THEN marked
@@ -1308,11 +1320,11 @@ lk AS (SELECT {_site_sql('d.url')} AS site, {norm('d.url')} AS src, {norm('abs')
        WHERE {norm('abs')} <> '' AND {NETLOC_SQL.format(u=norm('abs'))} = {NETLOC_SQL.format(u='s.start')}
          AND starts_with({PATH_SQL.format(u=norm('abs'))}, regexp_replace({PATH_SQL.format(u='s.start')}, '/+$', ''))
        GROUP BY 1, 2, 3),
-walk AS (SELECT site, start AS url, 0 AS depth, []::INTEGER[] AS path FROM starts
+walk AS (SELECT site, start AS url, 0 AS depth, []::INTEGER[] AS path, [start] AS seen FROM starts
          UNION
-         SELECT w.site, lk.dst, w.depth + 1, list_append(w.path, CAST(lk.pos AS INTEGER))
+         SELECT w.site, lk.dst, w.depth + 1, list_append(w.path, CAST(lk.pos AS INTEGER)), list_append(w.seen, lk.dst)
          FROM walk w JOIN (SELECT DISTINCT site, nurl FROM pg) f ON f.site = w.site AND f.nurl = w.url
-              JOIN lk ON lk.site = w.site AND lk.src = w.url WHERE w.depth < 50),
+              JOIN lk ON lk.site = w.site AND lk.src = w.url WHERE NOT list_contains(w.seen, lk.dst)),
 best AS (SELECT site, url, min(depth) AS depth FROM walk GROUP BY site, url),
 bp AS (SELECT w.site, w.url, w.depth, min(w.path) AS path FROM walk w JOIN best b USING (site, url, depth) GROUP BY 1, 2, 3)
 SELECT bp.site, bp.url, bp.depth, array_to_string(bp.path, '.') AS path FROM bp
@@ -1346,7 +1358,7 @@ d AS (SELECT page_id, url, abs, row_number() OVER (PARTITION BY page_id ORDER BY
       WHERE starts_with(abs, 'http') AND txt <> ''),
 e AS (SELECT {_site_sql('url')} AS site, abs AS url, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM d
       WHERE {NETLOC_SQL.format(u='abs')} = {NETLOC_SQL.format(u='url')} AND {vp.format(p=PATH_SQL.format(u='abs'))}),
-src3 AS (SELECT site, url, 3 AS src, 0 AS grp, pos FROM e WHERE n <= 50),
+src3 AS (SELECT site, url, 3 AS src, 0 AS grp, pos FROM e),
 allsrc AS (SELECT * FROM src1 UNION ALL SELECT * FROM src2 UNION ALL SELECT * FROM src3),
 ch AS (SELECT site, min(src) AS src FROM allsrc GROUP BY site),
 picked AS (SELECT a.* FROM allsrc a JOIN ch USING (site, src)
@@ -1424,3 +1436,121 @@ def q_terminology_conflicts(spark, sf):
         rows.append(F.struct(F.lit(label).alias("term_group"), found.cast("int").alias("terms_found"),
                              (found >= KK.R7_CONFLICT_AT).alias("conflict")))
     return s.select("site", F.inline_outer(F.array(*rows)))
+
+
+# --- agent pages, prices, organization joins and scalar functions ---------------------------
+
+AGENT_SQL = f"""ag AS (SELECT p_partkey AS id, p_name AS product_name, {_slug_sql('p_brand')} || '-' || CAST(p_partkey AS VARCHAR) AS slug,
+  'https://docs.example.com/' || CAST(p_partkey AS VARCHAR) AS docs_url, 'owner' || CAST(p_partkey % 7 AS VARCHAR) || '@example.com' AS email,
+  {str(records.AGENT_PAGE_STATES)}[p_partkey % 7 + 1] AS status, CASE WHEN p_size % 2 = 0 THEN 'paid' ELSE 'pending' END AS payment_status,
+  CASE WHEN p_partkey % 7 = 6 THEN 'timed out' END AS error_message, p_partkey * 7919 % 100000 AS created FROM part)"""
+
+
+@query("ready_agent_pages", f"""WITH {AGENT_SQL}
+SELECT CAST(row_number() OVER (ORDER BY created, id) AS INTEGER) AS position, product_name, slug, status, payment_status
+FROM ag WHERE status IN ('full_ready', 'draft_ready')""")
+def q_ready_agent_pages(spark, sf):
+    return RQ.ready_agent_pages(records.agent_pages(spark, sf))
+
+
+@query("retryable_jobs", f"""WITH {AGENT_SQL},
+r AS (SELECT *, id % 2 = 0 AS asked, status IN ('failed', 'submitted', 'crawling', 'generating') AS again FROM ag)
+SELECT id, slug, CASE WHEN asked AND again THEN 'submitted' ELSE status END AS status,
+  CASE WHEN asked AND again THEN NULL ELSE error_message END AS error_message,
+  CASE WHEN asked AND again THEN docs_url || '/new' ELSE docs_url END AS docs_url, asked AND again AS retried FROM r""")
+def q_retryable_jobs(spark, sf):
+    jobs = records.agent_pages(spark, sf)
+    # owners of every second job ask again; strangers' requests for the others change nothing
+    email = F.when(F.col("id") % 2 == 0, F.col("email")).otherwise(F.concat(F.lit("x"), F.col("email")))
+    requests = jobs.select("slug", email.alias("email"), F.concat("docs_url", F.lit("/new")).alias("docs_url"))
+    return RQ.retry(jobs, requests).select("id", "slug", "status", "error_message", "docs_url", "retried")
+
+
+@query("org_recommendations", """SELECT p_partkey AS id, p_partkey % 200 AS site_id, c_name AS site_name, n_name AS organization
+FROM part JOIN customer ON c_custkey = p_partkey % 200 JOIN nation ON n_nationkey = c_nationkey""")
+def q_org_recommendations(spark, sf):
+    out = RQ.org_recommendations(records.recommendations_table(spark, sf), records.sites(spark, sf), records.organizations(spark, sf))
+    return out.select("id", "site_id", "site_name", "organization")
+
+
+@query("prices", """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 84 WHEN 1 THEN 0 WHEN 2 THEN 1 END AS price_eur, c_custkey % 4 <> 3 AS valid FROM customer""")
+def q_prices(spark, sf):
+    code = F.element_at(F.array(F.lit(None).cast("string"), F.lit("free100"), F.lit("Beta2025"), F.lit("other")), (F.col("id") % 4 + 1).cast("int"))
+    return RQ.prices(records.assessments(spark, sf).withColumn("promo_code", code)).select("id", "price_eur", "valid")
+
+
+@query("public_gallery_seeded", """WITH paid AS (SELECT c_custkey AS id, c_name AS site_name FROM customer WHERE c_acctbal > 0 AND c_custkey % 4 = 0
+  ORDER BY c_custkey DESC LIMIT 24)
+SELECT CAST(0 AS INTEGER) AS src, CAST(r_regionkey AS BIGINT) AS id, r_name AS site_name FROM region UNION ALL SELECT 1, id, site_name FROM paid""")
+def q_public_gallery_seeded(spark, sf):
+    seeds = records.read(spark, sf, "region").select(
+        F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("site_name"), F.lit(90).alias("score"), F.lit("A").alias("grade"),
+        F.lit(1).alias("page_count"), F.timestamp_seconds(F.lit(1600000000)).alias("created_at"))
+    return RQ.public_gallery(records.assessments(spark, sf), seeds).select("src", "id", "site_name")
+
+
+def _grade_text_sql() -> str:
+    from .. import constants as KK
+    g = OR.grade_sql("score")
+    return f"CASE {g} " + " ".join(f"WHEN {OR.q(k)} THEN {OR.q(v)}" for k, v in KK.GRADE_TEXT.items()) + " ELSE 'Unknown' END"
+
+
+@query("scalar_texts", lambda: f"""WITH s AS (SELECT o_orderkey AS id, CAST((o_orderkey * 37) % 101 AS INTEGER) AS score, o_orderkey % 4 AS k,
+  o_orderstatus AS st, CAST(o_orderkey % 101 AS INTEGER) AS progress FROM orders)
+SELECT id, {_grade_text_sql()} AS interpretation, CAST(CAST(floor(score / 101 * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%' AS percent,
+  CASE k WHEN 0 THEN 'body ' || CAST(id AS VARCHAR) WHEN 1 THEN '--- open' ELSE 'plain' END AS body,
+  'a &lt; b &amp; &quot;c&quot;' || CAST(k AS VARCHAR) AS escaped,
+  CASE WHEN st = 'O' THEN {str(['crawling', 'analyzing', 'scoring', 'generating recommendations'])}[least(progress // 25, 3) + 1] END AS stage,
+  CASE WHEN k = 3 THEN CAST(0 AS BIGINT) ELSE CAST(round(k * 90.5) AS BIGINT) END AS seconds FROM s""")
+def q_scalar_texts(spark, sf):
+    a = records.analyses(spark, sf)
+    score, k = ((F.col("id") * 37) % 101).cast("int"), F.col("id") % 4
+    doc = F.when(k == 0, F.concat(F.lit("---\ntitle: x\n---\n\nbody "), F.col("id").cast("string"))).when(k == 1, "--- open").otherwise("plain")
+    html = F.concat(F.when(k % 2 == 0, 'a &lt; b &amp; "c"').otherwise('a < b & &quot;c&quot;'), k.cast("string"))
+    end = F.when(k != 3, F.timestamp_micros((k * 90500000).cast("long")))
+    return a.select("id", TX.interpretation(TX.grade(score)).alias("interpretation"), TX.percent_text(score / 101).alias("percent"),
+                    TX.strip_frontmatter(doc).alias("body"), TX.html_escape(html).alias("escaped"),
+                    history.progress_stage(F.col("progress"), F.col("status")).alias("stage"),
+                    history.duration_seconds(F.timestamp_micros(F.lit(0).cast("long")), end).alias("seconds"))
+
+
+@query("distinct_urls", """WITH n AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS norm FROM pages
+  UNION ALL SELECT page_id + 1000000, url || '#again', regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') FROM pages)
+SELECT min(page_id) AS ord, arg_min(url, page_id) AS url FROM n WHERE norm <> '' GROUP BY norm""")
+def q_distinct_urls(spark, sf):
+    pages = P.raw_pages(spark, sf).select(F.col("page_id").alias("ord"), "url")
+    again = pages.select((F.col("ord") + 1000000).alias("ord"), F.concat("url", F.lit("#again")).alias("url"))
+    return RQ.dedupe_urls(pages.unionByName(again)).select("ord", "url")
+
+
+@query("extra_rule", """SELECT source AS site, CAST(count(*) AS BIGINT) AS pages,
+  CAST(sum(CASE WHEN doc_id % 6 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS with_tables FROM documents GROUP BY source""")
+def q_extra_rule(spark, sf):
+    """A rule beyond the twenty, declared as data and evaluated in the same aggregate."""
+    spec = rules.RuleSpec(rule_id=21, name="Has tables", short_name="tables", component="extra", signals={"r21_pass": lambda c: c.has_tables.cast("int")},
+                          result=lambda a, n: (F.lit(0), n, a("r21_pass"), F.lit("")))
+    sums = rules.site_signal_sums(_pages(spark, sf), [*rules.RULE_SPECS, spec])
+    return sums.select("site", F.col("n").alias("pages"), F.col("r21_pass").alias("with_tables"))
+
+
+STRUCTURE_HTML = """CASE WHEN strpos(html, '</article>') > 0 THEN replace(html, '</article>', concat(
+  CASE WHEN page_id % 3 = 0 THEN '<table><tr><td>x</td></tr></table>' ELSE '' END,
+  CASE WHEN page_id % 4 < 2 THEN '<h3>Third</h3><h2>Second</h2>' ELSE '' END,
+  CASE WHEN page_id % 5 = 1 THEN '<pre><code class="a language-sql">SELECT 1</code></pre>' WHEN page_id % 5 = 2 THEN '<pre>plain</pre>' ELSE '' END,
+  '<nav><a href="/inner-nav">inner</a></nav>',
+  CASE WHEN page_id % 2 = 0 THEN '<a href="/kept-a">A</a><a href="/kept-a">A2</a><a href="../up/b">B</a>' ELSE '' END, '</article>')) ELSE html END"""
+
+
+@query("page_structure", """SELECT page_id, page_id % 3 = 0 AS has_tables, CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_links,
+  CASE WHEN page_id % 4 < 2 THEN 'Second|Third' ELSE '' END AS lower_headings, CASE WHEN page_id % 4 < 2 THEN 'Third|Second' ELSE '' END AS flat_tail,
+  CASE page_id % 5 WHEN 1 THEN 'sql:SELECT 1' WHEN 2 THEN '-:plain' ELSE '' END AS code, CASE page_id % 5 WHEN 1 THEN 'sql:SELECT 1' ELSE '' END AS samples,
+  CAST(CASE WHEN page_id % 2 = 0 THEN 3 ELSE 0 END AS INTEGER) AS kept_refs, CAST(0 AS INTEGER) AS nav_refs FROM pages""")
+def q_page_structure(spark, sf):
+    raw = P.raw_pages(spark, sf).select("page_id", "url", F.expr(STRUCTURE_HTML.replace("strpos(html, '</article>')", "instr(html, '</article>')")).alias("html"))
+    p = P.extract_pages(raw)
+    show = lambda c: F.array_join(F.transform(c, lambda b: F.concat(F.coalesce(b["language"], F.lit("-")), F.lit(":"), b["code"])), "|")
+    ends = lambda *names: F.size(F.filter("link_refs", lambda r: F.regexp_extract(r["href"], "[^/]*$", 0).isin(*names)))
+    return p.select("page_id", "has_tables", F.size("links").alias("n_links"),
+                    F.array_join(F.transform(F.filter("headings", lambda h: h["level"] > 1), lambda h: h["text"]), "|").alias("lower_headings"),
+                    F.array_join(F.filter("headings_flat", lambda h: h.isin("Third", "Second")), "|").alias("flat_tail"), show(F.col("code_blocks")).alias("code"),
+                    show(F.col("code_samples")).alias("samples"), ends("kept-a", "b").alias("kept_refs"), ends("inner-nav").alias("nav_refs"))

@@ -7,28 +7,16 @@ benchmark, and for the few operators that need a checkpoint directory.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-# Settings that matter for this workload (see README "Scale notes").
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Large HTML documents: keep Arrow batches small so one batch of pages
-    # never dominates a Python worker's memory.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Plans wider than this leave whole-stage codegen.  The per-site rule
-    # array (20 structs) is wider, so it is evaluated as its own operator
-    # instead of being fused into the final aggregate's output method, which
-    # would otherwise exceed the JVM's 64 KB method limit.
-    "spark.sql.codegen.maxFields": "100",
-    # Only the constant rule table may ever be broadcast implicitly.
-    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
 }
 
 
@@ -49,39 +37,44 @@ def get_spark(master: str | None = None, app: str = "sitelens", shuffle_partitio
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster.
+    """The shared folder of the cluster, from ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none
-    (local tests) a private temporary folder is configured.
+    Only a local master without the setting (tests, a laptop) gets a temporary
+    folder; elsewhere a missing setting is an error, because a folder of one
+    machine is none that executors share.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="sitelens-ckpt-")
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = "file://" + tempfile.mkdtemp(prefix="sitelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf_dir)
+    return conf_dir.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later plans scan it instead of computing it again."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/sitelens/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
+    return f"{sf_dir}/{name}.parquet"
 
 
-def ensure_parallelism(df):
-    """Spread a scan that yields fewer partitions than the cluster has cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a one-split table to the default parallelism.
 
-    A small table stored as one parquet row group is read by a single task;
-    CPU-heavy per-row work (regex over page text) then runs on one core.
-    Only in that case the rows are redistributed round-robin.  At scale a
-    scan has far more partitions than ``defaultParallelism`` and this is a
-    no-op, so no text is ever shuffled there.
+    A table that Spark reads as one split (at most ``maxPartitionBytes``) would
+    keep its per-row work on one core.  Tables of several splits are left as
+    they are, on a cluster of any size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        # a few partitions per core, so uneven row sizes (pages of 10 words next
-        # to pages of 20 000) do not leave one straggler task per core
-        return df.repartition(cores * 4)
-    return df
+    if df.rdd.getNumPartitions() > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4)

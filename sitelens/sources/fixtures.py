@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_parallelism, table_path
+from ..session import spread, table_path
 
 SITE_PAGES_COLUMNS = [
     """source AS site""",
@@ -54,7 +54,7 @@ SITE_PAGES_SELECT = ",\n".join(SITE_PAGES_COLUMNS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensure_parallelism(spark.read.parquet(table_path(sf_dir, "documents")))
+    return spread(spark.read.parquet(table_path(sf_dir, "documents")))
 
 
 def site_pages_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ RISKS = ["safe_read", "safe_write", "requires_confirmation", "requires_escalatio
 
 
 def raw_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = ensure_parallelism(spark.read.parquet(table_path(sf_dir, "conversations")))
+    conv = spread(spark.read.parquet(table_path(sf_dir, "conversations")))
     sent = F.split(F.col("text"), r"\. ")
     old = (F.col("conv_id") % 3) == 1
 
@@ -145,30 +145,50 @@ def raw_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
             fields.append(F.slice(w, 1, i % 3).alias("ask_for"))
         return F.struct(*fields)
 
+    def quoted(x):  # a JSON string
+        js = F.to_json(F.struct(x.alias("a")))
+        return F.substring(js, F.lit(6), F.length(js) - 6)
+
+    def mixed(items):  # a JSON list of objects with an action and plain strings by turns
+        return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x, i: F.when(
+            i % 2 == 0, F.to_json(F.struct(x.alias("action"), F.lit("safe_read").alias("risk_level")))).otherwise(quoted(x))), ","), F.lit("]"))
+
     def guide(old_names: bool):
-        w_all = F.col("_words")
-        return F.to_json(F.struct(
+        w_all, third = F.col("_words"), F.floor(F.size("_words") / 3).cast("int")
+        part = lambda k: F.slice(w_all, k * third + 1, third if k < 2 else F.size(w_all) - 2 * third)
+        always, env = ("always_do", "environment_rules") if old_names else ("always", "environment")
+        auth = F.struct(part(1).alias("methods"), part(2).alias("required_secrets_or_tokens"), F.slice(sent, 1, 1).alias("environment_notes"))
+        setup = F.struct(part(0).alias("prerequisites"), *([auth.alias("authentication")] if old_names else [
+            part(1).alias("auth_methods"), part(2).alias("required_secrets"), F.slice(sent, 1, 1).alias("env_notes")]))
+        ref = lambda x: F.struct(x.alias("label"), F.concat(F.lit("https://docs.example.com/"), x).alias("url"))
+        flat = lambda x, i: F.struct(x.alias("label"), F.concat(F.lit("https://docs.example.com/"), x).alias("url"), F.when(i % 2 == 0, F.lit("API")).alias("topic"))
+        trouble = (lambda s: F.struct(s.alias("issue"), F.array(words(s)[0], F.lit("other")).alias("likely_causes"), F.array(F.get(words(s), 1)).alias("recommended_actions"),
+                                      F.array(words(s)[0]).alias("escalate_when"))) if old_names else \
+            (lambda s: F.struct(s.alias("issue"), words(s)[0].alias("likely_cause"), F.get(words(s), 1).alias("fix")))
+        decide = (lambda s: F.struct(s.alias("decision"), words(s).alias("choose_when"), F.slice(words(s), 1, 1).alias("escalate_when"))) if old_names else \
+            (lambda s: F.struct(s.alias("decision"), words(s).alias("use_when"), F.slice(words(s), 1, 1).alias("escalate_if")))
+        error = (lambda s: F.struct(s.alias("error"), words(s)[0].alias("cause"))) if old_names else \
+            (lambda s: F.struct(s.alias("error_code_or_message"), words(s)[0].alias("likely_cause"), F.lit("retry").alias("fix")))
+        plain = F.to_json(F.struct(
             F.struct(F.concat(F.lit("Product "), F.col("conv_id").cast("string")).alias("product_name"),
                      F.concat(F.lit("product-"), F.col("conv_id").cast("string")).alias("slug"),
                      F.when(F.col("conv_id") % 2 == 0, "draft").otherwise("full").alias("mode")).alias("meta"),
             F.struct(sent[0].alias("summary")).alias("hero"),
-            F.struct(F.transform(F.slice(w_all, 1, 6), lambda x: F.struct(x.alias("action"), F.lit("safe_read").alias("risk_level"))).alias("safe_without_approval"),
-                     F.transform(F.slice(w_all, 7, 3), lambda x: F.struct(x.alias("action"), F.lit("requires_confirmation").alias("risk_level"))).alias("requires_confirmation"),
-                     F.slice(w_all, 10, 7).alias("never_do")).alias("agent_scope"),
             F.struct(F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.slice(sent, 1, 2)).alias("stop_and_ask"),
                      F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.slice(sent, 2, 2)).alias("stop_and_escalate")).alias("stop_conditions"),
             F.transform(F.col("_sw"), lambda x, i: playbook(x, i, old_names)).alias("task_playbooks"),
-            F.struct(F.slice(sent, 1, 1).alias("always"), F.slice(sent, 2, 1).alias("never"),
-                     F.slice(sent, -1, 1).alias("ambiguity_rules")).alias("operating_rules"),
-            F.struct(F.slice(w_all, 1, 2).alias("prerequisites"), F.slice(w_all, 3, 1).alias("auth_methods")).alias("setup"),
-            F.transform(F.slice(sent, 1, 4), lambda s: F.struct(s.alias("decision"), words(s).alias("use_when"))).alias("decision_guide"),
-            F.transform(F.slice(sent, 1, 4), lambda s: F.struct(s.alias("issue"), words(s)[0].alias("likely_cause"),
-                                                                 F.get(words(s), 1).alias("fix"))).alias("troubleshooting"),
-            F.transform(F.slice(w_all, 1, 4), lambda x, i: F.struct(x.alias("label"), F.concat(F.lit("https://docs.example.com/"), x).alias("url"),
-                                                                     F.when(i % 2 == 0, F.lit("API")).alias("topic"))).alias("references")))
+            F.struct(F.slice(sent, 1, 1).alias(always), F.slice(sent, 2, 1).alias("never_do" if old_names else "never"),
+                     F.slice(sent, 3, 1).alias(env), F.slice(sent, -1, 1).alias("ambiguity_rules")).alias("operating_rules"),
+            setup.alias("setup"), F.transform(sent, decide).alias("decision_guide"), F.transform(sent, trouble).alias("troubleshooting"),
+            (F.array(F.struct(F.lit("API").alias("topic"), F.transform(part(0), ref).alias("references")),
+                     F.struct(F.lit("More").alias("topic"), F.transform(part(1), ref).alias("references"))) if old_names
+             else F.transform(w_all, flat)).alias("references")))
+        errors = F.concat(F.lit('["text only"'), F.array_join(F.transform(sent, lambda s: F.concat(F.lit(","), F.to_json(error(s)))), ""), F.lit("]"))
+        scope = F.concat(F.lit('{"safe_without_approval":'), mixed(part(0)), F.lit(',"requires_confirmation":'), mixed(part(1)), F.lit(',"never_do":'), mixed(part(2)), F.lit("}"))
+        return F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.lit(',"agent_scope":'), scope, F.lit(',"errors":'), errors, F.lit("}"))
     conv = conv.withColumn("_sent", sent).withColumn("_words", words(F.col("text")))
     sent = F.col("_sent")
-    conv = conv.withColumn("_sw", F.transform(F.slice(sent, 1, 6), lambda s: F.struct(s.alias("s"), words(s).alias("w"))))
+    conv = conv.withColumn("_sw", F.transform(sent, lambda s: F.struct(s.alias("s"), words(s).alias("w"))))
     staged = conv.withColumn("_js", F.when(old, guide(True)).otherwise(guide(False)))
     js = F.col("_js")
     staged = staged.withColumn("_js", F.when((F.col("conv_id") + F.col("turn")) % 9 == 4,
@@ -180,18 +200,19 @@ def raw_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def faq_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FAQ entries per package from user turns: question = first sentence, category by conv_id."""
-    conv = spark.read.parquet(table_path(sf_dir, "conversations")).where(F.col("role") == "user")
+    """FAQ entries per package, one per turn: question = first sentence, answer = the rest, category by conv_id."""
+    conv = spark.read.parquet(table_path(sf_dir, "conversations"))
     cat = F.element_at(F.array(F.lit("billing"), F.lit(None).cast("string"), F.lit("setup"), F.lit("api_keys"), F.lit("")),
                        (F.col("conv_id") % 5 + 1).cast("int"))
+    first = F.split(F.col("text"), r"\. ")[0]
     return conv.select((F.col("conv_id") % 10).alias("package"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"),
-                       F.split(F.col("text"), r"\. ")[0].alias("question"), cat.alias("category"))
+                       first.alias("question"), F.substring(F.col("text"), F.length(first) + 1, F.length("text")).alias("answer"), cat.alias("category"))
 
 
 # Sitemaps as a crawler would have fetched them, derived from the page table:
 # per site, ceil(pages / 50 000) sitemap files (the protocol's size limit), each
 # listing its pages with an image:loc child and one foreign-host entry.  Sites
-# whose first page_id is a multiple of 5 have a truncated (broken) sitemap.
+# whose first page_id is a multiple of 5 have a sitemap whose end is missing.
 SITEMAP_MAX_URLS = 50000
 
 
@@ -218,7 +239,7 @@ def fetched_sitemaps(spark: SparkSession, sf_dir: str):
     xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" '
                          'xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">'),
                    F.col("body"), F.lit("<url><loc>https://elsewhere.example.org/x</loc></url></urlset>"))
-    xml = F.when(F.col("first_id") % 5 == 0, F.substring(xml, 1, 120)).otherwise(xml)
+    xml = F.when(F.col("first_id") % 5 == 0, F.replace(xml, F.lit("</urlset>"), F.lit(""))).otherwise(xml)
     base = F.concat(F.col("origin"), F.lit("/"))
     sitemap_url = F.concat(F.col("origin"), F.lit("/sitemap-"), F.col("chunk").cast("string"), F.lit(".xml"))
     sitemaps = docs.select("site", base.alias("base_url"), sitemap_url.alias("sitemap_url"), xml.alias("xml"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import ensure_parallelism, table_path
+from ..session import spread, stored, table_path
 from .html import extract_pages
 
 PAGE_COLUMNS = ["site", "ord", "url", "title", "description", "content", "headings", "code_blocks", "links",
@@ -23,18 +23,23 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_extracted(spark: SparkSession, sf_dir: str, strip_chrome: bool = False) -> DataFrame:
-    """All pages parsed (one narrow Arrow stage), with ``site`` and ``ord``."""
-    raw = ensure_parallelism(raw_pages(spark, sf_dir))
-    ex = extract_pages(raw, keep=("page_id",), strip_chrome=strip_chrome)
+    """All pages as page columns (one narrow projection), with ``site`` and ``ord``."""
+    ex = extract_pages(spread(raw_pages(spark, sf_dir)), keep=("page_id",), strip_chrome=strip_chrome)
     return ex.select(U.site_name("url").alias("site"), F.col("page_id").alias("ord"), "*").drop("page_id")
 
 
-def read_fetched_pages(fetched: DataFrame, strip_chrome: bool = False) -> DataFrame:
-    """Responses (url, body, status?, content_type?) → page rows.
+def pages_stored(spark: SparkSession, sf_dir: str, strip_chrome: bool = False) -> DataFrame:
+    """``pages_extracted`` written once to the shared folder, for plans that read pages more than once."""
+    return stored(pages_extracted(spark, sf_dir, strip_chrome), "pages")
+
+
+def read_fetched_pages(fetched: DataFrame, key: str = "page_id", strip_chrome: bool = False) -> DataFrame:
+    """Responses (key, url, body, status?, content_type?) to page rows, in one projection.
 
     Keeps status 200 (or no status); html / xhtml / missing / unknown content
     types go through HTML extraction; text/markdown and text/plain bodies are
-    the content with no other fields.
+    the content with no other fields.  ``ord`` is the caller's ``key``, which
+    does not change when a task is run again.
     """
     df = fetched
     if "status" in df.columns:
@@ -42,18 +47,10 @@ def read_fetched_pages(fetched: DataFrame, strip_chrome: bool = False) -> DataFr
     ctype = F.lower(F.coalesce(F.col("content_type"), F.lit(""))) if "content_type" in df.columns else F.lit("")
     is_text = (~ctype.contains("text/html") & ~ctype.contains("xhtml") & (ctype != "")) & \
         (ctype.contains("text/markdown") | ctype.contains("text/plain"))
-    df = df.withColumn("_plain", is_text).withColumn("_rid", F.monotonically_increasing_id())
-    html_rows = extract_pages(df.where(~F.col("_plain")).select("_rid", "url", F.col("body").alias("html")),
-                              keep=("_rid",), strip_chrome=strip_chrome)
-    text_rows = df.where(F.col("_plain")).select(
-        "_rid", "url", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"),
-        F.col("body").alias("content"),
-        F.array().cast("array<struct<level:int,text:string>>").alias("headings"),
-        F.array().cast("array<struct<language:string,code:string>>").alias("code_blocks"),
-        F.array().cast("array<string>").alias("links"), F.lit(False).alias("has_tables"),
-        F.array().cast("array<struct<text:string,href:string>>").alias("link_refs"))
-    out = html_rows.unionByName(text_rows)
-    return out.select(U.site_name("url").alias("site"), F.col("_rid").alias("ord"), "*").drop("_rid")
+    df = df.select(F.col(key).alias("_rid"), "url", F.when(is_text, F.col("body")).alias("_plain"), F.when(~is_text, F.col("body")).alias("html"))
+    out = extract_pages(df, keep=("_rid", "_plain"), strip_chrome=strip_chrome)
+    out = out.withColumn("content", F.coalesce("_plain", "content"))
+    return out.select(U.site_name("url").alias("site"), F.col("_rid").alias("ord"), "*").drop("_rid", "_plain")
 
 
 def per_site_page_cap(pages: DataFrame, n: int | None) -> DataFrame:

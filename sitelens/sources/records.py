@@ -155,3 +155,21 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"), F.when(F.col("p_size") % 2 == 0, "paid").otherwise("pending").alias("payment_status"),
         page_map.alias("page_map"), preview.alias("preview_pages"),
         F.when(status == "full_ready", full).alias("full_pages"))
+
+
+AGENT_PAGE_STATES = ["submitted", "crawling", "generating", "draft_ready", "full_generating", "full_ready", "failed"]
+
+
+def agent_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """agent pages <- part (one job per part)."""
+    p = read(spark, sf_dir, "part")
+    from ..functions.text import slugify
+    status = F.element_at(F.array(*[F.lit(x) for x in AGENT_PAGE_STATES]), (F.col("p_partkey") % len(AGENT_PAGE_STATES) + 1).cast("int"))
+    return p.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("product_name"),
+        F.concat(slugify(F.col("p_brand")), F.lit("-"), F.col("p_partkey").cast("string")).alias("slug"),
+        F.concat(F.lit("https://docs.example.com/"), F.col("p_partkey").cast("string")).alias("docs_url"),
+        F.concat(F.lit("owner"), (F.col("p_partkey") % 7).cast("string"), F.lit("@example.com")).alias("email"),
+        status.alias("status"), F.when(F.col("p_size") % 2 == 0, "paid").otherwise("pending").alias("payment_status"),
+        F.when(status == "failed", F.lit("timed out")).alias("error_message"),
+        F.timestamp_seconds(F.lit(1700000000) + (F.col("p_partkey") * 7919 % 100000) * 60).alias("created_at"))

@@ -17,7 +17,6 @@ from ..functions import urls as U
 
 LOC_RX = r"(?s)<([A-Za-z_][\w.\-]*:)?([\w.\-]*loc)(\s[^>]*)?>(.*?)</\1?\2\s*>"
 WELL_FORMED_RX = r"(?s)^\s*(<\?xml[^>]*\?>\s*)?(<!--.*?-->\s*)*<([A-Za-z_][\w.:\-]*)[\s>].*</\3\s*>\s*$"
-LINKS_CAP = 50
 
 
 def _unescape(c: Column) -> Column:
@@ -51,13 +50,12 @@ def sitemap_index_urls(index: DataFrame, sitemaps: DataFrame, base_col: str = "b
     return ex.where(U.same_host(F.col("url"), F.col(base_col))).select("site", "ipos", "pos", "url")
 
 
-def start_page_links(start_pages: DataFrame) -> DataFrame:
-    """S4 fallback: first 50 same-host, crawlable links of the start page, in page order."""
-    ex = start_pages.select("site", F.col("url").alias("base_url"), F.posexplode_outer("link_refs").alias("pos", "l")) \
-        .where("pos IS NOT NULL")
-    ok = ex.where(U.same_host(F.col("l.href"), F.col("base_url")) & U.valid_path(F.col("l.href")))
-    from ..operators.scoring import first_k
-    return first_k(ok.select("site", "pos", F.col("l.href").alias("url")), "site", LINKS_CAP, order="pos")
+def start_page_links(start_pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """S4 fallback: same-host, crawlable links of the start page, in page order (the first ``limit`` where a bound is given)."""
+    numbered = F.transform(F.col("link_refs"), lambda l, i: F.struct(i.alias("pos"), l["href"].alias("href")))
+    links = F.filter(numbered, lambda l: U.same_host(l["href"], F.col("url")) & U.valid_path(l["href"]))
+    links = links if limit is None else F.slice(links, 1, limit)
+    return start_pages.select("site", F.explode_outer(links).alias("l")).where("l IS NOT NULL").select("site", "l.pos", F.col("l.href").alias("url"))
 
 
 def discover_urls(starts: DataFrame, from_sitemap: DataFrame, from_index: DataFrame,

@@ -23,10 +23,25 @@ def test_rule_results_plan_shape(spark, sf_small):
     assert partial and lines[partial[0] + 1].strip().startswith("+- *(")   # signals fused (codegen) under it
 
 
-def test_ensure_parallelism_only_for_narrow_scans(spark):
-    from sitelens.session import ensure_parallelism
-    cores = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=cores * 8)
-    assert ensure_parallelism(wide) is wide                      # at scale: unchanged, no shuffle
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert ensure_parallelism(narrow).rdd.getNumPartitions() == cores * 4
+def test_only_a_one_split_table_is_spread(spark):
+    from sitelens.session import spread
+    wide = spark.range(0, 1000, numPartitions=2)
+    assert spread(wide) is wide                                  # several splits: unchanged, no shuffle, on any cluster
+    assert spread(spark.range(0, 1000, numPartitions=1)).rdd.getNumPartitions() > 1
+
+
+def _exchanges(df):
+    from sitelens.operators import rules  # noqa: F401
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Join"), plan
+
+
+def test_requests_and_rewrites_join_once(spark, sf_small):
+    from sitelens.operators import diagnose, rewrites
+    from sitelens.sources import fixtures
+    pages = fixtures.site_pages(spark, sf_small)
+    assert _exchanges(diagnose.page_type(pages))[0] == 0
+    assert _exchanges(diagnose.rewrite_requests(pages))[0] == 1            # the site's terminology row
+    accepted = rewrites.accept_rewrites(fixtures.rewrites(spark, sf_small), pages, "2026-01-15")
+    joins, plan = _exchanges(accepted)
+    assert joins == 1                                                       # flags of the originals, without their text

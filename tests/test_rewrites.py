@@ -120,5 +120,5 @@ def test_improvements_marker_and_fallback(spark):
 def test_dedent_nested_fences(spark):
     md = "1. Step\n   ```python\n   print(1)\n   ```\n2. Next"
     df = spark.createDataFrame([(md,)], "t string")
-    out = df.select(RW.dedent_nested_fences(F.col("t")).alias("o")).collect()[0]["o"]
+    out = RW.dedent_nested_fences(df, "t", "o").collect()[0]["o"]
     assert out == "1. Step\n\n```python\nprint(1)\n```\n\n2. Next"

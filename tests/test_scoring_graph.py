@@ -97,7 +97,7 @@ def test_guides_old_names_and_stop_fallback(spark):
     ok = {r["guide_id"]: r["ok"] for r in parsed.collect()}
     assert ok == {1: True, 2: False}
     pb = {r["idx"]: r for r in G.guide_playbooks(parsed).collect()}
-    assert pb[0]["do"] == ["s1", "s2", "s3", "s4", "s5"] and pb[1]["do"] == ["d"] and pb[1]["ask_for"] == ["key"]
+    assert pb[0]["do"] == ["s1", "s2", "s3", "s4", "s5", "s6"] and pb[1]["do"] == ["d"] and pb[1]["ask_for"] == ["key"]
     assert [pb[i]["locked"] for i in range(3)] == [False, False, True]
     stop = G.stop_conditions(parsed).where("ok").collect()[0]
     assert stop["stop_and_ask"] == ["amb", "c1", "c2"]
@@ -126,7 +126,7 @@ def test_score_trend_hot_site_spans_partitions(spark):
     from sitelens.operators import history
     rows = [("hot", i, i, (i * 7) % 5) for i in range(200)] + [("cold", i, 1000 + i, (i * 3) % 4) for i in range(5)]
     df = spark.createDataFrame(rows, "site string, date long, event_id long, score int")
-    got = {(r["site"], r["event_id"]): r["change"] for r in history.score_trend(df, partitions=7).collect()}
+    got = {(r["site"], r["event_id"]): r["change"] for r in history.score_trend(df).collect()}
     want = {}
     for site in ("hot", "cold"):
         prev = None
@@ -134,3 +134,60 @@ def test_score_trend_hot_site_spans_partitions(spark):
             want[(site, e)] = 0 if prev in (None, 0) else sc - prev
             prev = sc
     assert got == want
+
+
+def test_ranked_and_previous_on_hot_keys(spark):
+    from sitelens.operators.ranking import ranked, with_previous
+    rows = [("hot" if i % 3 else None, i * 7 % 101, i) for i in range(150)] + [("a", 1, 900), ("z", 2, 901)]
+    df = spark.createDataFrame(rows, "site string, score int, id long")
+    for parts, aqe in ((1, "true"), (5, "true"), (7, "false")):
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        place = {r["id"]: r["position"] for r in ranked(df, "site", [F.col("id").desc()]).collect()}
+        before = {r["id"]: r["p"] for r in with_previous(df, "site", [F.col("id")], "score", "p").collect()}
+        for site in ("hot", None, "a", "z"):
+            own = sorted((r for r in rows if r[0] == site), key=lambda r: r[2])
+            assert [place[r[2]] for r in own] == list(range(len(own), 0, -1))
+            assert [before[r[2]] for r in own] == [None] + [r[1] for r in own[:-1]]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_chain_of_sixty_pages_is_reached(spark):
+    urls = ["https://x.com/d"] + [f"https://x.com/d/p{i}" for i in range(1, 61)]
+    pages = [("x.com", i, urls[i], "content " * 20, [("next", urls[i + 1]), ("first", urls[0])]) for i in range(60)]
+    df = spark.createDataFrame(pages, "site string, ord long, url string, content string, link_refs array<struct<text:string,href:string>>")
+    got = {r["url"]: r["depth"] for r in linkgraph.reachable(df).collect()}
+    assert got == {urls[i]: i for i in range(60)}
+
+
+def test_guide_variants(spark):
+    import json
+    new = {"agent_scope": {"safe_without_approval": [{"action": "a"}, "b", {"other": 1}], "never_do": [{"action": "n"}, "m"]},
+           "operating_rules": {"always": ["x"], "never": ["y"], "environment": ["z"]},
+           "setup": {"prerequisites": ["p"], "auth_methods": ["key"], "required_secrets": ["s"], "env_notes": ["e"]},
+           "decision_guide": [{"decision": "d", "use_when": ["u"], "escalate_if": ["v"]}],
+           "troubleshooting": [{"issue": f"i{k}", "likely_cause": "c", "fix": "f", "escalate_if": "g"} for k in range(10)],
+           "references": [{"label": "l", "url": "u", "topic": "t"}, {"label": "k"}], "errors": [{"error_code_or_message": "E", "likely_cause": "c", "fix": "f"}, "text"]}
+    old = {"agent_scope": {"requires_confirmation": ["only text"]}, "operating_rules": {"always_do": ["x"], "never_do": ["y"], "environment_rules": ["z"]},
+           "setup": {"authentication": {"methods": ["key"], "required_secrets_or_tokens": ["s"], "environment_notes": ["e"]}},
+           "decision_guide": [{"decision": "d", "choose_when": ["u"], "escalate_when": ["v"]}],
+           "troubleshooting": [{"issue": "i0", "likely_causes": ["c", "c2"], "recommended_actions": ["f"], "escalate_when": ["g"]}, {"issue": "i1", "likely_causes": []}],
+           "references": [{"topic": "t", "references": [{"label": "l", "url": "u"}, {"label": "k"}]}, {"topic": "w", "references": [{"label": "m"}]}],
+           "errors": [{"error": "E", "cause": "c"}]}
+    df = G.parse_guides(spark.createDataFrame([(1, json.dumps(new)), (2, json.dumps(old))], "guide_id long, raw string"))
+    assert df.where("ok").count() == 2
+    scope = {(r["guide_id"], r["list"], r["pos"]): r["action"] for r in G.guide_scope(df).collect()}
+    assert scope == {(1, "safe", 0): "a", (1, "safe", 1): "b", (1, "safe", 2): '{"other":1}', (1, "never", 0): "n", (1, "never", 1): "m",
+                     (2, "confirm", 0): "only text", (2, "never", 0): "y"}
+    items = {(r["guide_id"], r["section"]): r["item"] for r in G.guide_rules_setup(df).collect()}
+    assert {k: v for k, v in items.items() if k[1] != "prerequisites"} == {
+        (g, n): v for g in (1, 2) for n, v in (("always", "x"), ("never", "y"), ("environment", "z"), ("auth_methods", "key"), ("required_secrets", "s"), ("env_notes", "e"))}
+    trouble = {(r["guide_id"], r["pos"]): (r["likely_cause"], r["fix"], r["escalate_if"]) for r in G.guide_troubleshooting(df).collect()}
+    assert len(trouble) == 12 and trouble[1, 9] == trouble[2, 0] == ("c", "f", "g") and trouble[2, 1] == ("", "", "")
+    cards = {r["guide_id"]: (r["use_when"], r["avoid_when"], r["escalate_if"]) for r in G.guide_decisions(df).collect()}
+    assert cards == {1: (["u"], [], ["v"]), 2: (["u"], [], ["v"])}
+    refs = [(r["guide_id"], r["topic"], r["label"], r["url"]) for r in G.guide_references(df).orderBy("guide_id", "pos").collect()]
+    assert refs == [(1, "t", "l", "u"), (1, "", "k", "#"), (2, "t", "l", "u"), (2, "t", "k", "#"), (2, "w", "m", "#")]
+    errors = [(r["guide_id"], r["error"], r["likely_cause"], r["fix"]) for r in G.package_errors(df).orderBy("guide_id").collect()]
+    assert errors == [(1, "E", "c", "f"), (2, "E", "c", "")]

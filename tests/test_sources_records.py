@@ -36,8 +36,9 @@ def test_read_fetched_pages_routing(spark):
             ("https://a.com/2", "plain body", 200, "text/plain; charset=utf-8"),
             ("https://a.com/3", "<p>x</p>", 404, "text/html"),
             ("https://a.com/4", "<article>z</article>", None, None)]
-    df = spark.createDataFrame(rows, "url string, body string, status int, content_type string")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, body string, status int, content_type string")
     got = {r["url"]: r for r in P.read_fetched_pages(df).collect()}
+    assert {r["ord"] for r in got.values()} == {0, 1, 3}
     assert set(got) == {"https://a.com/1", "https://a.com/2", "https://a.com/4"}
     assert got["https://a.com/1"]["title"] == "T" and got["https://a.com/2"]["content"] == "plain body"
     assert got["https://a.com/2"]["title"] is None and got["https://a.com/4"]["content"] == "z"
@@ -69,12 +70,3 @@ def test_list_queries_borderline_inclusive(spark):
                                "analysis_id long, line int, query_text string, confidence double, passed boolean")
     got = RQ.list_queries(df, status="borderline").orderBy("position").collect()
     assert [r["confidence"] for r in got] == [0.4, 0.5, 0.6] and [r["position"] for r in got] == [1, 2, 3]
-
-
-def test_maybe_broadcast_checks_size(spark):
-    small = spark.range(10)
-    plan = small.transform(RQ.maybe_broadcast)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan.lower()
-    assert RQ.estimated_bytes(small) < (64 << 20)
-    big_estimate = RQ.estimated_bytes(spark.range(10 ** 12).select(F.col("id"), F.repeat(F.lit("x"), 100).alias("s")))
-    assert big_estimate > (64 << 20)
