@@ -46,6 +46,54 @@ FROM documents d LEFT JOIN left_over o ON o.doc_id = d.doc_id
 """
 
 
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op4_sql() -> str:
+    words = "regexp_extract_all({}, '[0-9a-z\\x{{0080}}-\\x{{10FFFF}}]+')"
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS first, '{label}' AS label FROM w, unnest(range(1, len(ws) - {len(p.split()) - 2})) t(i) WHERE ws[i:i + {len(p.split()) - 1}] = {p.split()}"
+        for p, label in license_scan.PHRASES.items())
+    templates = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))})" for k, (label, t) in enumerate(license_scan.TEMPLATES))
+    return f"""
+WITH d AS (SELECT doc_id, {LOWER_SQL.replace('text', "coalesce(text, '')")} AS low FROM documents),
+w AS (SELECT doc_id, {words.format('low')} AS ws FROM d),
+p AS ({places}),
+base AS (SELECT doc_id, count(*) AS n, min(first) AS lo, max(first) AS hi, list(DISTINCT label) AS labels FROM p GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
+b AS (SELECT doc_id, list_distinct({words.format('line')}) AS block FROM l WHERE regexp_matches(line, 'licen|rights|source|software|free')),
+t(k, label, ts) AS (VALUES {templates}),
+m AS (SELECT doc_id, label, len(list_intersect(block, ts)) / len(ts) AS share FROM b, t
+      WHERE len(list_intersect(block, ts)) >= ceil({license_scan.THRESHOLD} * len(ts) - 1e-9)),
+every AS (SELECT doc_id, label, 1.0 AS share FROM p UNION ALL SELECT * FROM m),
+found AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM every GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels, coalesce(found.labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+COMPONENTS_SQL = """
+reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b),
+component AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
+nodes AS (SELECT doc_id AS id FROM documents), {COMPONENTS_SQL}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN component c ON c.id = d.doc_id"""
+
+OP9_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+nodes AS (SELECT vec_id AS id FROM embeddings), {COMPONENTS_SQL}
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN component c ON c.id = e.vec_id"""
+
+
 @query("op1_line_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
@@ -56,7 +104,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).drop("ids", "place")
 
 
-@query("op5_jaccard_join")
+@query("op5_jaccard_join", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -84,7 +132,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "n_words", F.round("score", 3).alias("score"), "round_trip")
 
 
-@query("op4_license_scan")
+@query("op4_license_scan", _op4_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan_licenses(read(spark, sf_dir, "documents")))
 
@@ -94,6 +142,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-@query("op9_embedding_dedup")
+@query("op9_embedding_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(read(spark, sf_dir, "embeddings"))
