@@ -44,15 +44,20 @@ def site_scores(pages: DataFrame, sites: DataFrame | None = None) -> DataFrame:
 
     ``sites`` (column ``site``) adds sites without pages (A5) with score 0 / F.
     """
-    scored = with_scores(site_rule_wide(pages))
+    out = scores_of_rules(site_rule_wide(pages))
+    if sites is not None:
+        out = out.unionByName(empty_site_scores(pages, sites))
+    return out
+
+
+def scores_of_rules(wide: DataFrame) -> DataFrame:
+    """Site scores of sites whose rule arrays are known."""
+    scored = with_scores(wide)
     passing = F.size(F.filter("rules", lambda r: r["status"] == "pass"))
-    out = scored.select(
+    return scored.select(
         "site", F.col("n").alias("pages"), "overall_score", "grade",
         *[F.col(n) for n, _ in K.COMPONENTS],
         F.round(F.try_divide(passing, F.size("rules")), 6).alias("pass_rate"))
-    if sites is not None:
-        out = out.unionByName(empty_site_scores(pages, sites))
-    return out
 
 
 def sites_without_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:

@@ -365,10 +365,16 @@ def page_signals(pages: DataFrame, specs: list[RuleSpec] | None = None, keep: tu
 def site_signal_sums(pages: DataFrame, specs: list[RuleSpec] | None = None) -> DataFrame:
     """groupBy(site): page count ``n`` plus the sum of every signal."""
     specs = specs or RULE_SPECS
-    sig = page_signals(pages, specs)
-    names = [n for s in specs for n in s.signals]
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(n).alias(n) for n in names]
-    return sig.groupBy("site").agg(*aggs)
+    return sum_signals(page_signals(pages, specs), specs)
+
+
+def signal_names(specs: list[RuleSpec] | None = None) -> list[str]:
+    return [n for s in specs or RULE_SPECS for n in s.signals]
+
+
+def sum_signals(signals: DataFrame, specs: list[RuleSpec] | None = None) -> DataFrame:
+    """Signal rows (site and signals) to one row per site."""
+    return signals.groupBy("site").agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in signal_names(specs)])
 
 
 def _rule_parts(spec: RuleSpec) -> list[Column]:
@@ -397,8 +403,12 @@ def site_rule_wide(pages: DataFrame, specs: list[RuleSpec] | None = None) -> Dat
     rule, then the struct array.  Each value is computed once and referenced,
     which also keeps every generated method under the JVM's 64 KB limit.
     """
+    return rules_of_sums(site_signal_sums(pages, specs), specs)
+
+
+def rules_of_sums(sums: DataFrame, specs: list[RuleSpec] | None = None) -> DataFrame:
+    """The rule array of sites whose signal sums are known (:func:`site_signal_sums`)."""
     specs = sorted(specs or RULE_SPECS, key=lambda s: s.rule_id)
-    sums = site_signal_sums(pages, specs)
     derived = [build(F.col).alias(name) for s in specs for name, build in s.derived.items()]
     if derived:
         sums = sums.select("*", *derived)

@@ -833,7 +833,6 @@ def q_source_pages(spark, sf):
 
 # --- streaming -----------------------------------------------------------------
 
-import os as _os  # noqa: E402
 import uuid as _uuid  # noqa: E402
 
 from ..session import checkpoint_dir as _checkpoint_dir  # noqa: E402
@@ -853,8 +852,8 @@ def page_versions(spark, sf):
 @query("incremental_site_scores", lambda: OR.site_scores_sql(
     revise_content="CASE WHEN ord % 3 = 0 THEN content || ' version 3 -> done ' ELSE content END"))
 def q_incremental_site_scores(spark, sf):
-    root = _os.path.join(_checkpoint_dir(spark), f"incremental-{_uuid.uuid4().hex}")
-    src, state = _os.path.join(root, "source"), _os.path.join(root, "state")
+    root = f"{_checkpoint_dir(spark)}/incremental-{_uuid.uuid4().hex}"
+    src, state = f"{root}/source", f"{root}/state"
     v1, v2 = page_versions(spark, sf)
     v1.write.mode("append").parquet(src)
     q1 = INC.start(spark, src, state)

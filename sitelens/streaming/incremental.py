@@ -1,40 +1,39 @@
 """Incremental site scores over a stream of page versions.
 
-``readStream`` of page versions (the page schema plus ``fetched_at``) →
-``foreachBatch``:
-
-1. keep the newest version per (site, url) inside the batch (``max_by``);
-2. merge into the *latest pages* table: read only the touched site
-   partitions, keep the newest version per url, overwrite those partitions
-   (dynamic partition overwrite — other sites are untouched);
-3. re-score the touched sites with the same batch rule engine and overwrite
-   their partitions of the *scores* table.
-
-Both tables live under one shared folder (default: ``<spark.checkpoint.dir>/
-incremental``), so a lost executor or a restarted query recovers from the
-stream checkpoint and the last committed partitions; every step is an
-idempotent overwrite of whole site partitions, so replaying a batch after a
-failure gives the same result.
+``readStream`` of page versions (the page schema plus ``fetched_at``) into
+``foreachBatch``.  The state is narrow: the newest version's rule signals of
+every page, never its text, in ``SITE_BUCKETS * PAGE_BUCKETS`` buckets by hash
+of the site and of the URL, and the signal sums of each (bucket, site).
+
+1. the batch's newest version per (site, url) becomes signal rows;
+2. the touched buckets (a bounded list of numbers) are read by literal
+   partition filters, merged with the new rows and overwritten;
+3. the sums of these buckets are overwritten;
+4. the scores of the touched sites come from the sums of their buckets.
+
+A site with a third of all pages is spread over ``PAGE_BUCKETS`` buckets, and a
+changed page rewrites one of them.  Every step recomputes whole buckets or
+sites from what is stored, so replaying a batch gives the same result.  Tables
+live under one shared folder (default ``<spark.checkpoint.dir>/incremental``).
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rollups
-from ..session import checkpoint_dir
+from ..operators import rollups, rules
+from ..session import checkpoint_dir, stored
 
 PAGE_VERSION_SCHEMA = (
     "site string, ord long, url string, title string, description string, content string, "
     "headings array<struct<level:int,text:string>>, code_blocks array<struct<language:string,code:string>>, "
     "links array<string>, has_tables boolean, fetched_at timestamp")
+SITE_BUCKETS, PAGE_BUCKETS = 16, 16
 
 
 def default_state_dir(spark: SparkSession) -> str:
-    return os.path.join(checkpoint_dir(spark), "incremental")
+    return f"{checkpoint_dir(spark)}/incremental"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -50,25 +49,52 @@ def newest_versions(df: DataFrame) -> DataFrame:
     return agg.select("site", "url", "v.*")
 
 
+def _overwrite(df: DataFrame, path: str, *buckets: str) -> None:
+    """Replace the partitions that ``df`` has rows in; the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*buckets).parquet(path)
+
+
+def _buckets(touched: list) -> Column:
+    """Literal filter on the touched (s, u) pairs, so that only their folders are read."""
+    by_site: dict[int, list[int]] = {}
+    for r in touched:
+        by_site.setdefault(r.s, []).append(r.u)
+    out = F.lit(False)
+    for s, us in sorted(by_site.items()):
+        out = out | ((F.col("s") == s) & F.col("u").isin(*sorted(us)))
+    return out
+
+
 def process_batch(batch: DataFrame, batch_id: int, state_dir: str) -> None:
     spark = batch.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    latest_path = os.path.join(state_dir, "latest_pages")
-    scores_path = os.path.join(state_dir, "site_scores")
-    fresh = newest_versions(batch)
-    touched = fresh.select("site").distinct()
-    if _exists(spark, latest_path):
-        old = spark.read.schema(PAGE_VERSION_SCHEMA).parquet(latest_path) \
-            .join(touched, "site", "left_semi")
+    signals_path, sums_path, scores_path = (f"{state_dir}/{n}" for n in ("page_signals", "site_sums", "site_scores"))
+    bucket = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    fresh = rules.page_signals(newest_versions(batch), keep=("site", "url", "fetched_at"))
+    fresh = stored(fresh.withColumn("s", bucket("site", SITE_BUCKETS)).withColumn("u", bucket("url", PAGE_BUCKETS)), "fresh-signals")
+    touched = fresh.select("s", "u").distinct().collect()
+    if not touched:
+        return
+    merged = fresh
+    if _exists(spark, signals_path):
+        old = spark.read.schema(fresh.schema).parquet(signals_path).where(_buckets(touched))
         merged = newest_versions(old.unionByName(fresh))
-    else:
-        merged = fresh
-    # materialise before overwriting the partitions it was read from
-    merged = merged.checkpoint()
-    merged.write.mode("overwrite").partitionBy("site").parquet(latest_path)
-    pages = merged.select(*[c for c in merged.columns if c != "fetched_at"])
-    scores = rollups.site_scores(pages).withColumn("batch_id", F.lit(batch_id))
-    scores.write.mode("overwrite").partitionBy("site").parquet(scores_path)
+    # written before the partitions that it was read from are replaced
+    merged = stored(merged, "merged-signals")
+    _overwrite(merged, signals_path, "s", "u")
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in rules.signal_names()]]
+    partial = stored(merged.groupBy("s", "u", "site").agg(*sums), "bucket-sums")
+    _overwrite(partial, sums_path, "s", "u")
+    sites = fresh.select(F.col("site").alias("t_site"), F.col("s").alias("t_s")).distinct()
+    mine = spark.read.schema(partial.schema).parquet(sums_path).where(F.col("s").isin(*sorted({r.s for r in touched})))
+    mine = mine.join(sites, (F.col("s") == F.col("t_s")) & F.col("site").eqNullSafe(F.col("t_site")), "left_semi")
+    total = mine.groupBy("site").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in rules.signal_names()])
+    scores = rollups.scores_of_rules(rules.rules_of_sums(total)).withColumn("batch_id", F.lit(batch_id))
+    scores = scores.withColumn("s", bucket("site", SITE_BUCKETS))
+    if _exists(spark, scores_path):
+        kept = spark.read.schema(scores.schema).parquet(scores_path).where(F.col("s").isin(*sorted({r.s for r in touched})))
+        kept = kept.join(sites, (F.col("s") == F.col("t_s")) & F.col("site").eqNullSafe(F.col("t_site")), "left_anti")
+        scores = kept.unionByName(scores)
+    _overwrite(stored(scores, "touched-scores"), scores_path, "s")
 
 
 def start(spark: SparkSession, source_dir: str, state_dir: str | None = None, trigger: dict | None = None,
@@ -81,11 +107,10 @@ def start(spark: SparkSession, source_dir: str, state_dir: str | None = None, tr
     stream = reader.parquet(source_dir)
     writer = (stream.writeStream
               .foreachBatch(lambda df, bid: process_batch(df, bid, state_dir))
-              .option("checkpointLocation", os.path.join(state_dir, "_stream_checkpoint")))
+              .option("checkpointLocation", f"{state_dir}/_stream_checkpoint"))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()
 
 
 def read_scores(spark: SparkSession, state_dir: str | None = None) -> DataFrame:
-    state_dir = state_dir or default_state_dir(spark)
-    return spark.read.parquet(os.path.join(state_dir, "site_scores"))
+    return spark.read.parquet(f"{state_dir or default_state_dir(spark)}/site_scores").drop("s")
