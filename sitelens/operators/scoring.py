@@ -95,6 +95,19 @@ RECOMMENDATIONS = [
     ("citation_quality", 80, "medium", "low", "metadata", "Add descriptive page titles and meta descriptions", 2.0),
 ]
 FALLBACK_RECOMMENDATION = ("low", "low", "optimization", "Fine-tune for perfect agent experience", 1.0)
+# FIXED VALUES - descriptions by category
+RECOMMENDATION_TEXTS = {
+    "content_gap": "Several pages lack sufficient detail for AI agents to generate accurate answers. "
+                   "Add more comprehensive explanations, especially for core concepts and API parameters.",
+    "code_quality": "Many pages are missing code examples. AI agents perform significantly better "
+                    "when documentation includes complete, runnable code snippets.",
+    "structure": "The documentation structure makes it difficult for AI agents to locate relevant context. "
+                 "Add clear heading hierarchies and cross-references between related topics.",
+    "metadata": "Pages lack clear titles and descriptions, making it harder for agents to cite sources accurately. "
+                "Add unique, descriptive titles and meta descriptions to every page.",
+    "optimization": "Your documentation is already well-optimized. Consider adding more edge-case examples "
+                    "and troubleshooting sections to reach a perfect score.",
+}
 SHORT_PAGE_CHARS, SHORT_PAGE_WINDOW, NO_CODE_PAGES = 500, 3, 5
 
 
@@ -115,8 +128,7 @@ def recommendations(scores: DataFrame, pages: DataFrame, key: str = "site") -> D
     ``scores`` has ``key`` and the component columns of :func:`score_queries`;
     affected pages come from ``pages`` in crawl order (``ord``): short pages
     among the first three, and the first five pages without code.  Both lists
-    are bounded (3 / 5 entries) and built with min-k aggregates, not a
-    per-site sort.
+    are bounded (3 / 5 entries); ``row_number() <= k`` cuts them map-side.
     """
     items = []
     for i, (comp, thr, impact, effort, cat, title, est) in enumerate(RECOMMENDATIONS):
@@ -141,7 +153,8 @@ def recommendations(scores: DataFrame, pages: DataFrame, key: str = "site") -> D
     out = rows.join(f3, key, "left").join(nocode, key, "left")
     affected = (F.when(F.col("category") == "content_gap", F.coalesce("short3", F.array()))
                 .when(F.col("category") == "code_quality", F.coalesce("nc", F.array())))
-    urls = F.transform(F.coalesce(affected, F.array().cast("array<struct<ord:long,url:string,title:string>>")),
-                       lambda p: p["url"])
-    return out.select(key, "priority", "impact", "effort", "category", "title", "estimated_improvement",
-                      F.array_join(urls, " ").alias("affected_urls"))
+    listed = F.transform(F.coalesce(affected, F.array().cast("array<struct<ord:long,url:string,title:string>>")),
+                         lambda p: F.struct(p["url"].alias("url"), p["title"].alias("title")))
+    texts = F.create_map(*(F.lit(x) for pair in RECOMMENDATION_TEXTS.items() for x in pair))
+    return out.select(key, "priority", "impact", "effort", "category", "title", texts[F.col("category")].alias("description"),
+                      "estimated_improvement", listed.alias("affected_pages"))

@@ -238,16 +238,6 @@ def q_site_friendliness(spark, sf):
     return scoring.score_queries(scoring.page_quality_signals(_pages(spark, sf)), "site")
 
 
-def _recs_sql() -> str:
-    fr = _score_sql("SELECT site, acc > 0.6 AS passed, round(acc, 9) AS accuracy_score, round(prec, 9) AS retrieval_precision, "
-                    "round(cit, 9) AS citation_accuracy, CAST(lat AS INTEGER) AS latency_ms, code_valid FROM pq", "site")
-    tmpl = " UNION ALL ".join(
-        f"SELECT {i} AS slot, '{comp}' AS comp, '{imp}' AS impact, '{eff}' AS effort, '{cat}' AS category, "
-        f"'{title}' AS title, {est} AS estimated_improvement"
-        for i, (comp, _t, imp, eff, cat, title, est) in enumerate(scoring.RECOMMENDATIONS))
-    return PQS_SQL + f""", {fr.replace('SELECT site, overall', 'SELECT site AS site, overall', 1)}"""
-
-
 def _recs_query_sql() -> str:
     fr_body = _score_sql("SELECT site, acc > 0.6 AS passed, round(acc, 9) AS accuracy_score, round(prec, 9) AS retrieval_precision, "
                          "round(cit, 9) AS citation_accuracy, CAST(lat AS INTEGER) AS latency_ms, code_valid FROM pq", "site")
@@ -256,6 +246,7 @@ def _recs_query_sql() -> str:
         f"SELECT {i} AS slot, '{comp}' AS comp, '{imp}' AS impact, '{eff}' AS effort, '{cat}' AS category, "
         f"'{title}' AS title, CAST({est} AS DOUBLE) AS estimated_improvement"
         for i, (comp, _t, imp, eff, cat, title, est) in enumerate(scoring.RECOMMENDATIONS))
+    describe = "CASE category " + " ".join(f"WHEN '{k}' THEN {OR.q(v)}" for k, v in scoring.RECOMMENDATION_TEXTS.items()) + " END"
     return PQS_SQL + f""", {head},
 fr AS (SELECT {final_select}),
 lg AS (SELECT site, 'accuracy' AS comp, accuracy AS v FROM fr UNION ALL SELECT site, 'code_executability', code_executability FROM fr
@@ -271,7 +262,7 @@ nc AS (SELECT site, ord, url, row_number() OVER (PARTITION BY site ORDER BY ord)
 a1 AS (SELECT site, string_agg(url, ' ' ORDER BY ord) AS u FROM rk WHERE rn <= 3 AND is_short GROUP BY site),
 a2 AS (SELECT site, string_agg(url, ' ' ORDER BY ord) AS u FROM nc WHERE rn <= 5 GROUP BY site)
 SELECT em2.site, CAST(row_number() OVER (PARTITION BY em2.site ORDER BY slot) AS INTEGER) AS priority, impact, effort, category, title,
-  estimated_improvement,
+  estimated_improvement, {describe} AS description,
   CASE WHEN category = 'content_gap' THEN coalesce(a1.u, '') WHEN category = 'code_quality' THEN coalesce(a2.u, '') ELSE '' END AS affected_urls
 FROM em2 LEFT JOIN a1 USING (site) LEFT JOIN a2 USING (site)"""
 
@@ -280,7 +271,8 @@ FROM em2 LEFT JOIN a1 USING (site) LEFT JOIN a2 USING (site)"""
 def q_recommendations(spark, sf):
     pages = _pages(spark, sf)
     scores = scoring.score_queries(scoring.page_quality_signals(pages), "site")
-    return scoring.recommendations(scores, pages, "site")
+    r = scoring.recommendations(scores, pages, "site")
+    return r.withColumn("affected_urls", F.array_join(F.transform("affected_pages", lambda p: p["url"]), " ")).drop("affected_pages")
 
 
 ANALYSES_SQL = """an AS (SELECT o_orderkey AS id, o_custkey % 200 AS site_id,
@@ -443,8 +435,6 @@ def q_language_accuracy(spark, sf):
 
 
 def _page_types_sql() -> str:
-    prefixes = " OR ".join(f"starts_with(regexp_replace(p, '^\\s+', ''), {OR.q(x)})" for x in D.LIST_OR_BLOCK_PREFIXES)
-    hub_terms = _any_sql("lower(title || ' ' || array_to_string(heads, ' '))", D.HUB_TITLE_TERMS)
     return f"""WITH {_page_types_ctes()}
 SELECT site, ord, hub_score, content_score,
   CASE WHEN content_score >= 4 THEN 'content' WHEN hub_score >= 5 AND content_score <= 2 THEN 'hub' ELSE 'content' END AS page_type FROM sc"""
@@ -472,15 +462,6 @@ def q_page_types(spark, sf):
 
 
 def _terminology_sql() -> str:
-    flags, lines = [], []
-    for g, terms in enumerate(D.TERMINOLOGY_GROUPS):
-        for t, term in enumerate(terms):
-            flags.append(f"bool_or(contains(lower(coalesce(content, '')), {OR.q(term)})) AS g{g}_{t}")
-        found = "list_filter([" + ", ".join(f"CASE WHEN g{g}_{t} THEN {OR.q(term)} END" for t, term in enumerate(terms)) \
-            + "], lambda x: x IS NOT NULL)"
-        a, b = D.TERMINOLOGY_LINE.split("{}")
-        lines.append(f"CASE WHEN len({found}) > 1 THEN {OR.q(a)} || array_to_string({found}, ', ') || {OR.q(b)} END")
-    conflicts = "list_filter([" + ", ".join(lines) + "], lambda x: x IS NOT NULL)"
     return f"""WITH {FLAT_PAGES_SQL}, {_terminology_ctes()}
 SELECT site, conflicts, terminology FROM term"""
 
@@ -633,11 +614,9 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM an WHERE site_id NOT IN (SELECT id
        (SELECT CAST(count(*) AS BIGINT) FROM part WHERE p_partkey % 200 NOT IN (SELECT id FROM gone)) AS recommendations_left,
        (SELECT CAST(count(*) AS BIGINT) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM an WHERE site_id IN (SELECT id FROM gone))) AS results_left""")
 def q_cascade_delete(spark, sf):
-    sites = records.sites(spark, sf)
     gone = records.read(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
     a, r, q = RQ.cascade_delete(gone, records.analyses(spark, sf), records.recommendations_table(spark, sf),
                                 records.query_results(spark, sf))
-    del sites
     tagged = (a.select(F.lit(0).alias("t")).unionByName(r.select(F.lit(1).alias("t")))
               .unionByName(q.select(F.lit(2).alias("t"))))
     return tagged.agg(*[F.count_if(F.col("t") == i).alias(n)
