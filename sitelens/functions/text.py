@@ -39,7 +39,7 @@ def fold(c) -> Column:
     """Lower-cased text in which the code points that a case-insensitive search takes for the ASCII
     letters i, k and s (capital I with dot, dotless i, Kelvin sign, long s) are these letters."""
     c = nz(c)
-    return F.lower(F.when(c.rlike("[\u0130\u0131\u212A\u017F]"), F.translate(c, "\u0130\u0131\u212A\u017F", "iiks")).otherwise(c))
+    return F.lower(F.when(contains_any(c, "\u0130\u0131\u212A\u017F"), F.translate(c, "\u0130\u0131\u212A\u017F", "iiks")).otherwise(c))
 
 
 def word_tokens(lower_text) -> Column:
