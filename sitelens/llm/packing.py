@@ -35,7 +35,7 @@ SEQUENCE = 2_048
 END_ID = 1
 DIMENSIONS, CURVE_BITS = 3, 10
 SPREAD = 12.0
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 8_000_000
 
 
 def default_tokenizer() -> str:
@@ -81,7 +81,7 @@ def curve_places(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, key, place (on the curve), tokens, ids (zstd of uint16): written once."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2_000)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, table, pack = tokenizer(path), projection(), zstandard.ZstdCompressor(level=1)

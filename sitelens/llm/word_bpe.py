@@ -14,6 +14,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import regex
 
 #: Characters for which lower-casing, composition and white space are the same in every library.
@@ -69,8 +70,8 @@ class WordBpe:
         r[miss] = self.second[self._slot(pair[miss], 18)]
         miss = miss[self.pair[r[miss]] != pair[miss]]
         r[miss] = -1
-        for i in miss if self.slow else ():
-            r[i] = self.slow.get(int(pair[i]), -1)
+        for lost, rank in self.slow.items():
+            r[miss[pair[miss] == lost]] = rank
         return r
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +110,9 @@ class WordBpe:
         out: list[np.ndarray] = [np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint16) if not p else None
                                  for t, p in zip(texts, plain)]
         split = [self.split.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
-        number: dict[str, int] = {}
-        code = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), dtype=np.int64)
+        code, distinct = pd.factorize(np.array([w for words in split for w in words], dtype=object))
         if len(code):
-            ids, starts = self.encode_words([w.encode() for w in number])
+            ids, starts = self.encode_words([w.encode() for w in distinct])
             n = np.diff(starts)[code]
             ends = np.cumsum(n)
             flat = ids[np.repeat(starts[code] - (ends - n), n) + np.arange(ends[-1])]
