@@ -8,7 +8,7 @@ labelled rows that it was not trained on, and compared with a fixed threshold.
 The model is fitted on a bounded sample: the ``max_labelled`` labelled rows
 with the smallest hash of doc_id, whole texts.  That bounds what reaches the
 driver and what is broadcast (3 * 2**bits weights).  Everything else covers
-every row, in Arrow batches cut into pieces of about 2 MB of text.
+every row, in Arrow batches cut into pieces of about half a MB of text.
 
 Defined results: null text counts as empty (no words, base rules fail); without
 labelled rows of both classes the verdict is the base rules' alone

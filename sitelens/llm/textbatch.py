@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 U64 = np.uint64
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def _table(seed: int) -> np.ndarray:
