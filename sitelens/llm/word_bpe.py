@@ -15,12 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 
 #: Characters for which lower-casing, composition and white space are the same in every library.
 PLAIN = re.compile("[^\t-\r -~¡-¬®-įı-ňŊ-ž‐-‧]")
-#: Fixed value: the split pattern of the public tokenizer file.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The split pattern of the public tokenizer file, with the letters and numbers that lower-cased plain texts can hold.
+LETTER, NUMBER = "a-zªµºß-öø-ž", "0-9²³¹¼-¾"
+SPLIT = f"[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+"
 END = "</w>"
 NONE = np.int64(1) << 62
 
@@ -49,7 +49,7 @@ class WordBpe:
         lost = np.flatnonzero(self.first[self._slot(pair, 20)] != np.arange(len(pair)))
         self.second[self._slot(pair[lost], 18)] = lost
         self.slow = {int(pair[i]): int(i) for i in lost if self.second[self._slot(pair[i:i + 1], 18)][0] != i}
-        self.split = regex.compile(SPLIT)
+        self.split = re.compile(SPLIT)
 
     @staticmethod
     def _slot(pair: np.ndarray, bits: int) -> np.ndarray:

@@ -164,6 +164,17 @@ def test_word_ids_are_the_library_s(prose):
         assert ids.tolist() == bpe.library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_plain_character_is_split_as_the_library_does():
+    import random
+
+    bpe = word_bpe.tokenizer(packing.default_tokenizer())
+    plain = [chr(c) for c in [9, 10, 13, *range(0x20, 0x180), *range(0x2010, 0x2028)] if not word_bpe.PLAIN.search(chr(c))]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(plain) for _ in range(40)) for _ in range(300)] + [f"a{c}b {c} 1{c}{c}" for c in plain]
+    for text, ids in zip(texts, bpe.encode(texts)):
+        assert ids.tolist() == bpe.library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_hilbert_curve_visits_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), axis=-1).reshape(-1, 3)
     key = packing.hilbert_key(grid, 3)
