@@ -5,8 +5,8 @@ Five stages, each a training-data operator whose decisions take effect:
 1. quality rules - documents that the rules reject go;
 2. line dedup - later occurrences of repeated three-line windows go from the
    texts; a document that loses every line with a word goes;
-3. n-gram Jaccard join - of each group of near-duplicates the row with the
-   smallest (doc_id, row hash) stays;
+3. n-gram Jaccard join - of each group of near-duplicates (five-word shingles,
+   similarity of 0.8 or more) the row with the smallest (doc_id, row hash) stays;
 4. personal data - protected entities and disclosing terms are replaced;
 5. packing - what is left is laid along the space-filling curve and cut into
    sequences of 2048 tokens.
@@ -52,7 +52,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

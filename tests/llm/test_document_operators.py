@@ -82,6 +82,33 @@ def test_jaccard_components_against_brute_force(docs_of, prose):
     assert kept == set(want.values())
 
 
+def test_keep_one_of_five_words_at_80_percent(docs_of, prose):
+    """The pipeline's law: near copies that op5's three words at 90 % leave apart are one group."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(10):
+        base = prose(k, rng.choice([3, 4, 30, 60, 150, 300])).replace("\n", " ")
+        texts += [base, base.upper()] + [edited(base, rng, rng.choice([1, 1, 2, 4, 7])) for _ in range(6)]
+    swapped = prose(900, 105).replace("\n", " ").split(" ")
+    texts += [" ".join(swapped), " ".join(swapped[:40] + ["x1"] + swapped[41:80] + ["x2"] + swapped[81:])]
+    rows = list(enumerate(texts))
+    sets = {i: shingles(t, 5) for i, t in rows}
+    want = roots(sorted(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    three = {i: shingles(t) for i, t in rows}
+    a, b = rows[-2][0], rows[-1][0]
+    assert want[b] == want[a] and 100 * len(three[a] & three[b]) < 90 * len(three[a] | three[b])
+    assert {r.doc_id for r in jaccard_join.keep_one(docs_of(rows), words=5, percent=80).collect()} == set(want.values())
+
+
+def test_pipeline_joins_by_five_words_at_80_percent(docs_of, prose, spark):
+    import corpus_pipeline
+
+    words = prose(900, 105).replace("\n", " ").split(" ")
+    near = " ".join(words[:40] + ["x1"] + words[41:80] + ["x2"] + words[81:])
+    docs = docs_of([(1, " ".join(words)), (2, near), (3, prose(901, 120))])
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()) == [1, 3]
+
+
 def test_bands_and_parts_hold_every_pair():
     starts = jaccard_join.band_starts(90, 10_000)
     for n in range(1, 3000):
