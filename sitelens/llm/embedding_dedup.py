@@ -197,6 +197,7 @@ def _block_links(table: pa.Table, link: float) -> Iterator[pa.RecordBatch]:
         for k in range(y_visits.shape[1]):
             one_way &= y_visits[j, k] != x_home[part][i]
         np.add.at(y_links, j[one_way], x_copies[at + i[one_way]])
+        before = label
         while True:  # residents that share a visitor get the smallest label among them
             low = np.full(hit.shape[0], len(y))
             np.minimum.at(low, i, label[j])
@@ -207,6 +208,10 @@ def _block_links(table: pa.Table, link: float) -> Iterator[pa.RecordBatch]:
             label = new
         some = np.flatnonzero(links)
         yield _found(x_node[at + some], links[some], y_node[low[some]])
+        moved = label != before
+        if moved.any():  # residents and visitors that were given the old label go with the new one
+            old, now = np.unique(np.stack([before[moved], label[moved]]), axis=1)
+            yield _found(y_node[old], np.zeros(len(old), dtype=np.int64), y_node[now])
     touched = np.flatnonzero((y_links > 0) | (label != np.arange(len(y))))
     if len(touched):
         yield _found(y_node[touched], y_links[touched], y_node[label[touched]])

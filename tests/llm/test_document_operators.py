@@ -176,6 +176,32 @@ def test_embedding_cells_in_blocks(spark, monkeypatch):
     assert {got[i].component_id for i in range(150)} == {0}
 
 
+def test_block_labels_that_a_later_part_lowers():
+    """Over 512 visitors: chained links give one component whatever part of the visitors they come from."""
+    import pyarrow as pa
+
+    def block(residents, visitors):
+        degrees = np.radians([*residents, *visitors])
+        n, m = len(residents), len(visitors)
+        return pa.table({"cell": [0] * (n + m), "visitor": [0] * n + [1] * m, "node": list(range(n + m)), "copies": [1] * (n + m), "home": [0] * n + [1] * m,
+                         "vector": pa.array(np.stack([np.cos(degrees), np.sin(degrees)], axis=1).tolist(), pa.list_(pa.float64())),
+                         "cells": pa.array([[0]] * n + [[]] * m, pa.list_(pa.int64()))})
+
+    rng = np.random.default_rng(6)
+    cases = [([60, 0, 30], [15] + [200] * 599 + [45])]  # part 1 joins residents 1 and 2, part 2 residents 0 and 2
+    for _ in range(20):
+        few = np.where(rng.random(1500) < 0.01, rng.uniform(0, 180, 1500), 270)
+        cases.append((rng.uniform(0, 180, 12), few))
+    for residents, visitors in cases:
+        found = [(int(a), int(b)) for part in embedding_dedup._block_links(block(residents, visitors), 0.95) for a, b in zip(part.column("node").to_pylist(), part.column("other").to_pylist())]
+        angle = np.radians(np.concatenate([residents, visitors]))
+        n = len(residents)
+        true = {frozenset((i, j)) for i in range(n) for j in range(n, len(angle)) if np.cos(angle[i] - angle[j]) >= 0.95}
+        nodes = sorted({x for pair in true for x in pair})
+        made = {frozenset(e) for e in found}
+        assert roots(nodes, lambda a, b: frozenset((a, b)) in made) == roots(nodes, lambda a, b: frozenset((a, b)) in true)
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(3)
     index = embedding_dedup.MultiIndex(rng.standard_normal((7, 4)), rng.standard_normal((7, 4)))
