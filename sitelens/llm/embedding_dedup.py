@@ -10,10 +10,12 @@ double precision.
 * Equal vectors are one class with a count, so copies are compared once.
 * Codebooks are fitted on the ``sample`` classes with the smallest hash; their
   size follows the number of classes, up to ``MAX_CODES``.
-* The number of visits is measured: up to ``sample_queries`` classes that hold
-  an id divisible by 50 are compared with all vectors in blocks, and the visits
-  are those that find ``target`` of their true links (kept out of the result;
-  ``recall`` measures the same for a finished result).
+* The number of visits is measured: ``sample_queries`` classes by hash (those
+  that hold an id divisible by 50 first) are compared with all vectors in blocks,
+  more of them until they have ``LEAST_LINKS`` true links, a class's match with
+  itself left out.  The visits are those that find ``target`` of these links;
+  where ``MAX_QUERIES`` show fewer, twice those that find every one, and
+  ``FEW_VISITS`` at least.  ``recall`` measures a finished result.
 * Cells are cut into blocks of residents and visitors, so a cell that holds a
   third of all vectors is worked on by many tasks.  Links are counted, not
   listed: a block returns counts and one spanning edge per linked vector.
@@ -47,6 +49,9 @@ SAMPLE_QUERIES = 512
 MAX_CODES = 1_024
 CELL_VECTORS = 8
 MIN_VISITS = 4
+LEAST_LINKS = 400
+MAX_QUERIES = 8_192
+FEW_VISITS = 64
 RESIDENTS, VISITORS = 2_048, 8_192
 
 
@@ -144,36 +149,79 @@ def fit_index(classes: DataFrame, dimension: int, sample: int = SAMPLE) -> Multi
     return MultiIndex(codebook(x[:, :half], codes), codebook(x[:, half:], codes) if dimension > 1 else np.zeros((1, 0)))
 
 
+def _sampled(classes: DataFrame) -> DataFrame:
+    return classes.orderBy(F.desc("is_query"), F.xxhash64(F.lit(8), F.col("node")), "node")
+
+
+def _most_queries(dimension: int) -> int:
+    return min(MAX_QUERIES, max(256, (1 << 24) // max(1, 8 * dimension)))
+
+
+def _true_links(classes: DataFrame, rows: list, index: MultiIndex, dimension: int, link: float) -> DataFrame:
+    """query (node), rank (visits before the cell of the linked class), n (linked classes there), copies (their rows), by blocks of all classes.
+
+    A query's match with itself is no link.
+    """
+    sent = classes.sparkSession.sparkContext.broadcast((np.array([r.node for r in rows], dtype=np.int64), _gather(rows, dimension), index))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, queries, own = sent.value
+        for batch in batches:
+            x, x_node, x_copies = unit(as_table(batch)), batch.column("node").to_numpy(), batch.column("copies").to_numpy()
+            home = own.home(x)
+            for at in range(0, len(nodes), 512):
+                q, q_node = queries[at:at + 512], nodes[at:at + 512]
+                query, row = np.nonzero((q @ x.T >= link) & (q_node[:, None] != x_node[None, :]))
+                cell, place, n = np.unique(np.stack([query, home[row]]), axis=1, return_inverse=True, return_counts=True)
+                rank = []
+                if len(query):
+                    a, b = own.distances(q)
+                    b_sorted = np.sort(b, axis=1)
+                    total = a[cell[0], cell[1] // b.shape[1]] + b[cell[0], cell[1] % b.shape[1]]
+                    rank = [int(sum(np.searchsorted(b_sorted[k], t - a[k], side="left"))) for k, t in zip(cell[0], total)]
+                copies = np.bincount(place.ravel(), weights=x_copies[row], minlength=len(n)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"query": pa.array(q_node[cell[0]], pa.int64()), "rank": pa.array(rank, pa.int64()), "n": pa.array(n, pa.int64()), "copies": pa.array(copies)})
+
+    return classes.select("node", "copies", "vector").mapInArrow(compare, "query long, rank long, n long, copies long")
+
+
 def visits_needed(classes: DataFrame, index: MultiIndex, dimension: int, target: float, link: float, sample_queries: int) -> int:
     """Visits that find ``target`` of the true links of sampled queries, by comparing these with all vectors in blocks."""
-    rows = classes.where("is_query = 1").orderBy(F.xxhash64(F.lit(8), F.col("node"))).limit(sample_queries).select("vector").collect()
-    if not rows:
-        return MIN_VISITS
-    q = _gather(rows, dimension)
-    sent = classes.sparkSession.sparkContext.broadcast((q, index))
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, own = sent.value
-        a, b = own.distances(queries)
-        b_sorted = np.sort(b, axis=1)
-        for batch in batches:
-            x = unit(as_table(batch))
-            query, row = np.nonzero(queries @ x.T >= link)
-            cell, n = np.unique(np.stack([query, own.home(x)[row]]), axis=1, return_counts=True)
-            i, j = cell[1] // b.shape[1], cell[1] % b.shape[1]
-            total = a[cell[0], i] + b[cell[0], j]
-            rank = [int(sum(np.searchsorted(b_sorted[k], t - a[k], side="left"))) for k, t in zip(cell[0], total)]
-            yield pa.RecordBatch.from_pydict({"rank": pa.array(rank, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    found = classes.select("vector").mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    upto, total = 0, sum(r.n for r in found)
-    for r in found:
-        upto += r.n
-        if upto >= target * total:
-            return max(MIN_VISITS, r["rank"] + 1)
+    every, most = classes.count(), max(sample_queries, _most_queries(dimension))
+    done, upto, found = 0, sample_queries, {}
+    while True:
+        rows = _sampled(classes).limit(upto).select("node", "vector").collect()[done:]
+        for r in _true_links(classes, rows, index, dimension, link).groupBy("rank").agg(F.sum("n").alias("n")).collect():
+            found[r["rank"]] = found.get(r["rank"], 0) + r.n
+        done, total = done + len(rows), sum(found.values())
+        if total >= LEAST_LINKS or done >= min(every, most):
+            break
+        upto = min(most, 4 * upto)
+    if total < LEAST_LINKS and done < every:  # too few to tell the share that is missed
+        return max(FEW_VISITS, 2 * (max(found, default=0) + 1))
+    seen = 0
+    for rank in sorted(found):
+        seen += found[rank]
+        if seen >= target * total:
+            return max(MIN_VISITS, rank + 1)
     return MIN_VISITS
 
 
+def recall(embeddings: DataFrame, linked: DataFrame, link: float = LINK, queries: int = SAMPLE_QUERIES) -> tuple[int, int]:
+    """Links that ``linked`` counts for sampled classes, and their true links by comparison with all vectors; copies are left out of both."""
+    _, classes, dimension = classes_of(embeddings)
+    rows = _sampled(classes.where("least_id is not null")).limit(min(queries, _most_queries(dimension))).select("node", "least_id", "copies", "vector").collect()
+    if not rows:
+        return 0, 0
+    flat = MultiIndex(np.zeros((1, (dimension + 1) // 2)), np.zeros((1, dimension // 2)))
+    true = {r["query"]: r.copies for r in _true_links(classes, rows, flat, dimension, link).groupBy("query").agg(F.sum("copies").alias("copies")).collect()}
+    counted = {}
+    for r in linked.where(F.col("vec_id").isin([r.least_id for r in rows])).select("vec_id", "n_links").distinct().collect():
+        counted.setdefault(r.vec_id, []).append(r.n_links)
+    sure = [r for r in rows if len(counted.get(r.least_id, ())) == 1]  # an id of rows with different vectors tells nothing
+    return sum(counted[r.least_id][0] - r.copies + 1 for r in sure), sum(true.get(r.node, 0) for r in sure)
+
+
 def _block_links(table: pa.Table, link: float) -> Iterator[pa.RecordBatch]:
     """Counts and spanning edges of one block of residents and the visitors of their cell."""
     visitor = table.column("visitor").to_numpy(zero_copy_only=False).astype(bool)

@@ -202,6 +202,42 @@ def test_block_labels_that_a_later_part_lowers():
         assert roots(nodes, lambda a, b: frozenset((a, b)) in made) == roots(nodes, lambda a, b: frozenset((a, b)) in true)
 
 
+def test_visits_are_measured_on_real_links(spark, monkeypatch):
+    """Sparse links: a query's match with itself counts for nothing, and no id needs to be divisible by 50."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 16))
+    for k in range(30):  # pairs just over the threshold
+        noise = rng.standard_normal(16)
+        noise -= noise @ x[k] / (x[k] @ x[k]) * x[k]
+        x[2000 + k] = x[k] + 0.32 * np.linalg.norm(x[k]) / np.linalg.norm(noise) * noise
+    x = x.astype(np.float32)
+    vectors = embedding_rows(spark, [(50 * int(i) + 1, [float(v) for v in e], 0) for i, e in enumerate(x)])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    got = {(r.vec_id - 1) // 50: r.n_links for r in embedding_dedup.link_vectors(vectors, sample_queries=64).collect()}
+    assert sum(got.values()) >= 0.99 * hit.sum() > 0
+    _, classes, dimension = embedding_dedup.classes_of(vectors)
+    index = embedding_dedup.fit_index(classes, dimension)
+    monkeypatch.setattr(embedding_dedup, "MAX_QUERIES", 64)  # too few links to tell: more cells
+    assert embedding_dedup.visits_needed(classes, index, dimension, 0.995, 0.95, 64) >= embedding_dedup.FEW_VISITS
+
+
+def test_recall_of_a_result(spark):
+    rng = np.random.default_rng(13)
+    x = np.repeat(rng.standard_normal((20, 8)), 5, axis=0) + 0.01 * rng.standard_normal((100, 8))
+    x = np.concatenate([x, x[:3]])
+    vectors = embedding_rows(spark, [(int(i), [float(v) for v in e], 0) for i, e in enumerate(x)])
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = int((u[:100] @ u.T >= 0.95).sum()) - 100 - 3  # neither itself nor copies
+    linked = embedding_dedup.link_vectors(vectors)
+    assert embedding_dedup.recall(vectors, linked) == (links, links)
+    none = linked.withColumn("n_links", F.when(F.col("vec_id").isin(0, 1, 2, 100, 101, 102), 1).otherwise(0).cast("long"))
+    assert embedding_dedup.recall(vectors, none) == (0, links)
+    assert embedding_dedup.recall(embedding_rows(spark, []), linked) == (0, 0)
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(3)
     index = embedding_dedup.MultiIndex(rng.standard_normal((7, 4)), rng.standard_normal((7, 4)))
