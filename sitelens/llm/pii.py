@@ -5,8 +5,10 @@ The corpus then tells which other terms give them away: over all lines, the
 pointwise mutual information of a term t and a kind of entity e is
 log2(P(t, e) / (P(t) P(e))), and the entity's own information is -log2 P(e).
 A term discloses e when its mutual information reaches 1/alpha of that, that is
-P(e | t) >= P(e) ** (1 - 1/alpha), with at least ``min_values`` different
-values of the entity beside it.  Terms in lines that hold an entity they
+P(e | t) >= P(e) ** (1 - 1/alpha).  Entities are taken at two levels: the single
+value (a name beside its owner's one address), with at least ``min_lines``
+lines that hold both, and the kind, with at least ``min_values`` different
+values beside the term.  Terms anywhere in a document that holds an entity they
 disclose become spans of their own: those that all but name it (P(e | t) >=
 ``remove_from``) are removed, the others generalised to [TERM].
 
@@ -55,6 +57,7 @@ LETTERS = r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{N}_])"
 
 ALPHA = 1.5
 MIN_VALUES = 5
+MIN_LINES = 3
 REMOVE_FROM = 0.9
 
 
@@ -113,51 +116,61 @@ def _lines(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, min_values: int = MIN_VALUES, remove_from: float = REMOVE_FROM) -> DataFrame:
-    """term, kind, share (P(kind | term)), pmi, information, removed."""
+def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, min_values: int = MIN_VALUES, remove_from: float = REMOVE_FROM, min_lines: int = MIN_LINES) -> DataFrame:
+    """term, kind, value (hash; null: the kind as a whole), share (P(entity | term)), pmi, information, removed."""
     lines = _lines(docs.select("text").where("text is not null")).where(F.col("line").rlike(LETTERS))
     # entities per line, for the few lines that hold any of the four characters' patterns
     marked = stored(lines.where(F.col("line").rlike("[@+0-9]")).select("line", base_spans(F.col("line")).alias("spans"))
-                    .where(F.size("spans") > 0), "pii-lines")
-    beside = (marked.select(F.explode(_words(F.col("line"))).alias("term"), "spans")
-              .select("term", F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"], s["value"]))).alias("values")))
-    held = beside.select("term", F.explode(F.array_distinct(F.transform("values", lambda v: v["kind"]))).alias("kind")).groupBy("term", "kind").agg(F.count("*").alias("both"))
-    values = (beside.select("term", F.explode("values").alias("v")).select("term", F.col("v.kind").alias("kind"), F.xxhash64("v.value").alias("value")).distinct()
-              .groupBy(F.col("term").alias("v_term"), F.col("kind").alias("v_kind")).agg(F.count("*").alias("n_values")).where(F.col("n_values") >= min_values))
-    likely = held.join(values, (F.col("term") == F.col("v_term")) & (F.col("kind") == F.col("v_kind"))).select("term", "kind", "both")
-    entity = (marked.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("e_kind")).groupBy("e_kind").agg(F.count("*").alias("n_entity")))
+                    .where(F.size("spans") > 0)
+                    .select("line", F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.xxhash64(s["value"]).alias("value")))).alias("values")), "pii-lines")
+    kinds = F.array_distinct(F.transform("values", lambda v: v["kind"]))
+    whole = F.lit(None).cast("long").alias("value")
+    beside = marked.select(F.explode(_words(F.col("line"))).alias("term"), "values")
+    held = beside.select("term", F.explode(kinds).alias("kind")).groupBy("term", "kind").agg(F.count("*").alias("both"))
+    pairs = stored(beside.select("term", F.explode("values").alias("v")).groupBy("term", F.col("v.kind").alias("kind"), F.col("v.value").alias("value")).agg(F.count("*").alias("both")), "pii-pairs")
+    values = pairs.groupBy(F.col("term").alias("v_term"), F.col("kind").alias("v_kind")).agg(F.count("*").alias("n_values")).where(F.col("n_values") >= min_values)
+    likely = held.join(values, (F.col("term") == F.col("v_term")) & (F.col("kind") == F.col("v_kind"))).select("term", "kind", whole, "both")
+    likely = likely.unionAll(pairs.where(F.col("both") >= min_lines).select("term", "kind", "value", "both"))
+    entity = (marked.select(F.explode(F.concat(F.transform(kinds, lambda k: F.struct(k.alias("kind"), whole)), F.col("values"))).alias("e"))
+              .groupBy(F.col("e.kind").alias("e_kind"), F.col("e.value").alias("e_value")).agg(F.count("*").alias("n_entity")))
     everywhere = lines.select(F.explode(_words(F.col("line"))).alias("t_term")).groupBy("t_term").agg(F.count("*").alias("n_term"))
     total = lines.count()
     share = F.col("both") / F.col("n_term")
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.col("both") * float(total) / (F.col("n_term").cast("double") * F.col("n_entity")))
-    return (likely.join(entity, F.col("kind") == F.col("e_kind")).join(everywhere, F.col("term") == F.col("t_term"))
-            .select("term", "kind", share.alias("share"), pmi.alias("pmi"), information.alias("information"), (share >= remove_from).alias("removed"))
+    return (likely.join(entity, (F.col("kind") == F.col("e_kind")) & F.col("value").eqNullSafe(F.col("e_value"))).join(everywhere, F.col("term") == F.col("t_term"))
+            .select("term", "kind", "value", share.alias("share"), pmi.alias("pmi"), information.alias("information"), (share >= remove_from).alias("removed"))
             .where(F.col("pmi") * alpha >= F.col("information")))
 
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """row, doc_id, terms (kind term or removed, start, end): disclosing terms in the lines of the entities they disclose."""
-    rows = found.where(F.size("spans") > 0)
+    """row, doc_id, terms (kind term or removed, start, end): disclosing terms in the documents of the entities they disclose."""
+    # equal rows would be numbered together, so each is placed once
+    rows = found.where(F.size("spans") > 0).dropDuplicates(["row", "doc_id"]).select("row", "doc_id", "text", "spans")
+    same = (F.col("row") == F.col("h_row")) & F.col("doc_id").eqNullSafe(F.col("h_id"))
+    # a null value adds nothing to the hash, so a kind's key is that of the kind alone
+    keys = F.array_distinct(F.concat(F.transform("spans", lambda s: F.xxhash64(s["kind"])), F.transform("spans", lambda s: F.xxhash64(s["kind"], F.xxhash64(s["value"])))))
+    held = rows.select(F.col("row").alias("h_row"), F.col("doc_id").alias("h_id"), F.explode(keys).alias("h_key"))
+    told = terms.select("term", F.xxhash64("kind", "value").alias("key"), "removed")
+    hits = rows.select("row", "doc_id", F.explode(_words(F.col("text"))).alias("word")).join(told, F.col("word") == F.col("term")).join(held, same & (F.col("key") == F.col("h_key")))
+    hits = hits.groupBy("row", "doc_id", "term").agg(F.max("removed").alias("removed"))
+    wanted = hits.groupBy(F.col("row").alias("h_row"), F.col("doc_id").alias("h_id")).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("wanted"))
     order = Window.partitionBy("row", "doc_id")
     before = Window.unboundedPreceding, -1
-    # equal rows would be numbered together, so each is placed once
-    lines = _lines(rows.dropDuplicates(["row", "doc_id"]).select("row", "doc_id", "text", "spans"), "row", "doc_id", "spans")
+    lines = _lines(rows.join(wanted, same), "row", "doc_id", "spans", "wanted")
     lines = lines.withColumn("begin", F.coalesce(F.sum(F.length("line") + 1).over(order.orderBy("line_no").rowsBetween(*before)), F.lit(0)))
+    lines = lines.where(F.arrays_overlap(F.transform(F.regexp_extract_all("line", F.lit(LETTERS), F.lit(0)), F.lower), F.map_keys("wanted")))
     own = F.filter("spans", lambda s: (s["start"] >= F.col("begin")) & (s["start"] < F.col("begin") + F.length("line")))
-    lines = lines.withColumn("own", own).where(F.size("own") > 0)
-    words = lines.select("row", "doc_id", "line_no", "begin", "own", F.posexplode(
+    words = lines.withColumn("own", own).select("row", "doc_id", "line_no", "begin", "own", "wanted", F.posexplode(
         F.arrays_zip(F.split("line", LETTERS, -1).alias("gap"), F.regexp_extract_all("line", F.lit(LETTERS), F.lit(0)).alias("word"))).alias("k", "w"))
     in_line = Window.partitionBy("row", "doc_id", "line_no").orderBy("k").rowsBetween(*before)
     size = F.length("w.gap") + F.coalesce(F.length("w.word"), F.lit(0))
     words = words.withColumn("start", (F.col("begin") + F.coalesce(F.sum(size).over(in_line), F.lit(0)) + F.length("w.gap")).cast("int"))
     words = words.where(F.col("w.word").isNotNull()).withColumn("end", F.col("start") + F.length("w.word"))
     words = words.where(~F.exists("own", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    hits = words.select("row", "doc_id", "start", "end", F.lower("w.word").alias("word"), F.explode(F.array_distinct(F.transform("own", lambda s: s["kind"]))).alias("near"))
-    hits = hits.join(terms.select("term", F.col("kind").alias("t_kind"), "removed"), (F.col("word") == F.col("term")) & (F.col("near") == F.col("t_kind")))
-    one = hits.groupBy("row", "doc_id", "start", "end").agg(F.max("removed").alias("removed"))
+    words = words.withColumn("removed", F.try_element_at("wanted", F.lower("w.word"))).where(F.col("removed").isNotNull())
     span = F.struct("start", "end", F.when(F.col("removed"), "removed").otherwise("term").alias("kind"))
-    return one.groupBy(F.col("row").alias("t_row"), F.col("doc_id").alias("t_id")).agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    return words.groupBy(F.col("row").alias("t_row"), F.col("doc_id").alias("t_id")).agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, min_values: int = MIN_VALUES, remove_from: float = REMOVE_FROM, keep_text: bool = False) -> DataFrame:

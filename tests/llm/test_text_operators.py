@@ -150,6 +150,23 @@ def test_pii_terms_that_disclose(docs_of, prose):
     assert f"term:{at}:{at + 9}" in spans[0].split(",")
 
 
+def test_pii_names_beside_one_address(docs_of, prose):
+    """A name that stands beside its owner's one address or number is a span, wherever it is in that owner's documents."""
+    rows = [(i, f"{prose(i)}\nwrite the Quibbleson {prose(i + 500, 6)} or quill@one.example.org today\nthe rest\nask Quibbleson{'.' * i}") for i in range(4)]
+    rows += [(10 + i, f"{prose(i + 40)}\ncall the Zorblatt {prose(i + 600, 6)} at +49 30 1234567") for i in range(4)]
+    rows += [(20, prose(70) + "\nOnce Hapaxius met once@two.example.org"), (21, "Quibbleson is a name here")]
+    rows += [(100 + i, prose(i + 900) + "\nthe desk at home today") for i in range(300)]
+    docs = docs_of(rows)
+    terms = {(r.term, r.kind): r for r in pii.disclosing_terms(docs).collect() if r.value is not None}
+    assert terms["zorblatt", "phone"].share == 1 and terms["zorblatt", "phone"].removed
+    assert terms["quibbleson", "email"].share == 4 / 9 and not terms["quibbleson", "email"].removed
+    assert not {"the", "hapaxius"} & {t for t, _ in terms}
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("Quibbleson" not in out[i] and out[i].endswith("ask [TERM]" + "." * i) and "the rest" in out[i] for i in range(4))
+    assert all("Zorblatt" not in out[10 + i] and "[PHONE]" in out[10 + i] for i in range(4))
+    assert "Hapaxius" in out[20] and out[21] == rows[9][1] and out[100] == rows[10][1]
+
+
 def test_pii_sanitise_awkward(awkward):
     out = pii.sanitise(awkward.withColumn("spans", F.lit("clash")))
     assert out.columns == awkward.columns + ["spans"]
