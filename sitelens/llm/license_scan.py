@@ -1,6 +1,9 @@
 """License scans as an exact set-similarity join of text blocks with templates.
 
-A block is a line; blocks and templates are sets of words.  A block meets a
+A block is a line, or a run of words over consecutive lines (none of them blank)
+that is as wide as the template and ``SLACK`` words, so hard-wrapped notices are
+found; such a run counts where no line of it meets the template by itself.
+Blocks and templates are sets of words.  A block meets a
 template when it contains at least ``threshold`` of the template's words:
 |block & template| >= need = ceil(threshold * |template|).  Words are put in one
 global order, rarest first by the number of blocks in the whole corpus that
@@ -37,6 +40,8 @@ from .common import small_batches
 from .textbatch import NON_WORD, Words, chunks, split_words, utf8
 
 THRESHOLD = 0.9
+#: Words that a run may hold beside a template's: marks of comments at the start of lines.
+SLACK = 4
 
 #: Phrase and label.
 PHRASES = {
@@ -119,14 +124,15 @@ class TemplateIndex:
             for i, word in enumerate(words[:len(words) - need + 1]):
                 self.prefix[word].append((len(self.templates), i))
             self.templates.append((label, frozenset(words), need))
+        self.width = [len(text.split()) + SLACK for _, text in templates]
         self.leads = np.isin(np.arange(len(ranked)), list(self.prefix))
 
-    def matches(self, block: list[int]) -> Iterator[tuple[str, float]]:
+    def matches(self, block: list[int]) -> Iterator[tuple[int, float]]:
         """Templates that the block (ascending ranks) meets, with their containment."""
         seen = set()
         for j, word in enumerate(block):
             for t, i in self.prefix.get(word, ()):
-                label, words, need = self.templates[t]
+                _, words, need = self.templates[t]
                 if t in seen or len(block) < need:
                     continue
                 seen.add(t)  # the first shared word: i words of the template and j of the block are before it
@@ -134,7 +140,35 @@ class TemplateIndex:
                     continue
                 shared = len(words.intersection(block))
                 if shared >= need:
-                    yield label, shared / len(words)
+                    yield t, shared / len(words)
+
+    def runs(self, rank: np.ndarray, line: np.ndarray, paragraph: np.ndarray, met: dict[int, set[int]]) -> Iterator[tuple[int, int, int, float]]:
+        """Template, first and last word and containment of runs over several lines; ``met``: lines that meet a template alone."""
+        found = defaultdict(set)
+        for p in np.flatnonzero((rank >= 0) & self.leads[rank]).tolist():
+            for t, _ in self.prefix.get(int(rank[p]), ()):
+                _, words, need = self.templates[t]
+                width, lo = self.width[t], max(0, p - self.width[t] + 1)
+                near = [(lo + k, r) for k, r in enumerate(rank[lo:p + width].tolist()) if r in words and paragraph[lo + k] == paragraph[p]]
+                if line[near[0][0]] == line[near[-1][0]] or len({r for _, r in near}) < need:
+                    continue
+                for k, (first, _) in enumerate(near):
+                    if first > p:
+                        break
+                    seen, last = set(), first
+                    for q, r in near[k:]:
+                        if q < first + width and r not in seen:
+                            seen.add(r)
+                            last = q
+                    if len(seen) >= need and line[first] != line[last]:
+                        found[t].add((-len(seen), last - first, first, last))
+        for t, runs in found.items():
+            taken = []
+            for shared, _, first, last in sorted(runs):
+                if any(x in met[t] for x in range(line[first], line[last] + 1)) or any(first <= b and a <= last for a, b in taken):
+                    continue
+                taken.append((first, last))
+                yield t, first, last, -shared / len(self.templates[t][1])
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -161,12 +195,18 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, phrases: dict[s
                 block, word = _block_words(w, code)
                 rank = index.rank[word]
                 line = np.cumsum(w.buf == 10)[w.start] if len(w.start) else np.empty(0, np.int64)
+                met = defaultdict(set)
                 for lead in np.unique(block[index.leads[rank]]):
                     lo, hi = np.searchsorted(block, [lead, lead + 1])
-                    for label, share in index.matches(sorted(rank[lo:hi].tolist())):
+                    for t, share in index.matches(sorted(rank[lo:hi].tolist())):
+                        met[t].add(int(lead))
                         first, last = np.searchsorted(line, [lead, lead + 1])
                         text = int(w.text[first])
-                        spans[text].append((label, "block", int(first - w.first[text]), int(last - 1 - w.first[text]), share))
+                        spans[text].append((index.templates[t][0], "block", int(first - w.first[text]), int(last - 1 - w.first[text]), share))
+                paragraph = np.cumsum((np.diff(line, prepend=line[:1]) > 1) | (np.diff(w.text, prepend=w.text[:1]) != 0))
+                for t, first, last, share in index.runs(np.where(code >= 0, index.rank[code], -1), line, paragraph, met):
+                    text = int(w.text[first])
+                    spans[text].append((index.templates[t][0], "block", int(first - w.first[text]), int(last - w.first[text]), share))
                 keys = ("label", "kind", "first", "last", "containment")
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(a, b - a), pa.array(np.bincount(w.text, minlength=b - a).astype(np.int64)),

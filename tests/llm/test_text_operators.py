@@ -99,6 +99,18 @@ def test_license_scan_against_brute_force(docs_of, prose):
     assert license_scan.scan_licenses(docs_of([])).count() == 0
 
 
+def test_license_notices_over_several_lines(docs_of, prose):
+    import textwrap
+
+    long = [(l, t) for l, t in license_scan.TEMPLATES if len(t.split()) > 10]
+    rows = [(k, prose(k, 30) + "\n\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 50)) + "\n\n" + prose(k, 20)) for k, (_, t) in enumerate(long)]
+    rows += [(20, "all rights\n\nreserved"), (21, "all rights"), (22, "reserved"), (23, "all rights\nreserved"), (24, "all " + prose(3, 12) + " rights\nreserved")]
+    got = {r.doc_id: r for r in license_scan.digest(license_scan.scan_licenses(docs_of(rows).coalesce(1))).collect()}
+    for k, (label, _) in enumerate(long):
+        assert label in got[k].labels.split(",") and got[k].score == 1, label
+    assert [got[k].labels for k in range(20, 25)] == ["", "", "", "all-rights-reserved", ""]
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
