@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, piece_viterbi, quality_knn, quality_rules, sharding
+from . import decontaminate, divergence, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, piece_viterbi, quality_knn, quality_rules, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,44 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links, c.c
 FROM embeddings e JOIN component c ON c.id = e.vec_id"""
 
 
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({LOWER_SQL.replace('text', "coalesce(text, '')")}, '[a-z\\x{{0080}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(total) AS lang_size FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS size FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+        1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // CAST(s.size + v.v AS HUGEINT) AS p,
+        1 + CAST(1000000000 AS HUGEINT) * (k.total + 1) // CAST(v.lang_size + v.v AS HUGEINT) AS q
+      FROM sizes s JOIN kept k ON k.lang = s.lang JOIN v ON v.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+divergent AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+both_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN divergent x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER_SQL.replace('text', "coalesce(text, '')")}, '[0-9a-z\\x{{0080}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER_SQL.replace('text', "coalesce(text, '')")}, '[0-9a-z\\x{{0080}}-\\x{{10FFFF}}]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(ws[k:k + n - 1], ' ') AS w FROM (
+  SELECT item, ws, least(len(ws), {decontaminate.WINDOW}) AS n, unnest(range(1, greatest(len(ws) - {decontaminate.WINDOW - 1}, 1) + 1)) AS k FROM b WHERE len(ws) > 0)),
+places AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (
+  SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
+hits AS (SELECT p.r, p.i, p.n, win.item FROM places p JOIN win ON win.n = p.n AND win.w = p.w),
+words AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS x FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN items ON items.r = d.r"""
+
+
 @query("op1_line_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
@@ -145,3 +183,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_embedding_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents"))
+
+
+@query("op12_decontaminate", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.scan_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
