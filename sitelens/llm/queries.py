@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, piece_viterbi, quality_knn, quality_rules, sharding
+from . import conversation_repair, decontaminate, divergence, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, pii, piece_viterbi, quality_knn, quality_rules, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,54 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN items ON items.r = d.r"""
 
 
+def _op13_sql() -> str:
+    """Least (cost, audit) of each grammar state, turn by turn: cost in 8 digits before the audit, states 0 to 3 (none, system, user, whole pairs)."""
+    def put(state: str, cost: str, letter: str) -> str:
+        return f"lpad(CAST(CAST({state}[1:8] AS BIGINT) + {cost} AS VARCHAR), 8, '0') || {state}[9:] || '{letter}'"
+
+    def emit(state: str, symbol: str) -> str:
+        return f"CASE WHEN fault < 2 THEN CASE WHEN initial = '{symbol}' THEN {put(state, '5 * fault', 'K')} ELSE {put(state, '5 * fault + 1', 'R')} END END"
+
+    two = f"least(s2, {put('s0', '5', 'I')}, {put('s1', '5', 'I')}, {put('s3', '5', 'I')})"
+    three = f"least(s3, {put('s2', '5', 'I')}, {put('s0', '10', 'II')}, {put('s1', '10', 'II')})"
+    state = {k: f"least({put(x, '2', 'D')}, {more})" for k, x, more in (
+        ("s0", "s0", "NULL"), ("s1", "s1", f"CASE WHEN fault < 2 AND initial = 's' THEN {put('s0', '5 * fault', 'K')} END"),
+        ("s2", "t2", ", ".join(emit(x, "u") for x in ("s0", "s1", "t3"))), ("s3", "t3", emit("t2", "a")))}
+    return f"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+  list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(place, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) % 20 AS kind FROM named),
+after_damage AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, left(role, 1) AS initial FROM after_damage),
+turns AS (SELECT conv_id, turn, role, text, i, initial, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 3 WHEN nth > 1 THEN 2
+       WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault FROM placed),
+counts AS (SELECT c.conv_id, count(t.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+states AS (SELECT conv_id, n, 0 AS i, '00000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM counts
+  UNION ALL SELECT conv_id, n, i, {state['s0']}, {state['s1']}, {state['s2']}, {state['s3']}
+  FROM (SELECT s.conv_id, s.n, t.i, s0, s1, s3, {two} AS t2, {three} AS t3, fault, initial
+        FROM states s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i = s.i + 1)),
+ended AS (SELECT conv_id, least(s0, {three}) AS best FROM states WHERE i = n),
+letters AS (SELECT conv_id, k, best[8 + k] AS letter,
+  k - length(replace(replace(replace(best[9:8 + k], 'D', ''), 'K', ''), 'R', '')) AS i,
+  length(replace(best[9:7 + k], 'D', '')) AS given FROM (SELECT conv_id, best, unnest(range(1, length(best) - 7)) AS k FROM ended)),
+kept AS (SELECT l.conv_id, l.k, letter, given, role, text, max(CASE WHEN given = 0 AND letter = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS system
+  FROM letters l LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.i = l.i AND letter <> 'I' WHERE letter <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (given - system) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS whole
+  FROM kept GROUP BY conv_id)
+SELECT c.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(best[1:8] AS BIGINT) AS cost, best[9:] AS audit,
+  sha256(coalesce(whole, '')) AS repaired_sha256
+FROM counts c JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 @query("op1_line_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
@@ -193,3 +241,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_decontaminate", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+@query("op13_conversation_repair", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return conversation_repair.audit_and_hash(conversation_repair.damaged(conversations), conversations).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
