@@ -46,7 +46,7 @@ SCALE = 1_000_000_000
 TOP_TERMS = 200
 #: Groups on one side of a block, and terms in one (both as expected sizes of hash parts).
 SIDE = 32
-TERMS = 4_096
+TERMS = 1_024
 #: A product wider than this is cut by terms, down to so many.
 WIDE, FEW_TERMS = 1_024, 32
 ARROW_ROWS = 1_000
@@ -144,7 +144,7 @@ class Audit:
         return band, stored(bands.select(F.col("lang").alias("b_lang"), F.col("band").alias("b_band"), "blocks", F.monotonically_increasing_id().alias("band_id")), "bands")
 
     def pair_values(self) -> DataFrame:
-        """g, h, value: f of group g against group h, over all kept terms; ids of groups."""
+        """g, h, value, seen: f of group g against group h, over the terms seen (all but those that no group of either tile holds); ids of groups."""
         band, bands = self.blocks()
         other = F.sequence(F.lit(0), F.col("tiles") - 1)
         tiled = ["band_id", "block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "group_id", "size", "v", "term_id", "n"]
@@ -159,14 +159,17 @@ class Audit:
                 yield from _block_values(block)
 
         rows = rows.repartition("band_id", "block", "low", "high").sortWithinPartitions("band_id", "block", "low", "high", F.col("term_id").asc_nulls_first())
-        parts = rows.mapInArrow(price, "g long, h long, value long")
-        return parts.groupBy("g", "h").agg(F.sum("value").alias("value"))
+        parts = rows.mapInArrow(price, "g long, h long, value long, seen long")
+        return parts.groupBy("g", "h").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
 
     def source_pairs(self) -> DataFrame:
         """lang, source, item (another source of the language), value, rank."""
-        named = self.groups.select("group_id", "lang", "source")
-        g, h = named.withColumnRenamed("group_id", "g_id"), named.select(F.col("group_id").alias("h_id"), F.col("source").alias("item"))
+        none = F.when(F.col("v") > 0, _share(F.lit(0), F.col("size"), F.col("v")))
+        g = self.groups.select(F.col("group_id").alias("g_id"), "lang", "source", "v", none.alias("p"))
+        h = self.groups.select(F.col("group_id").alias("h_id"), F.col("source").alias("item"), none.alias("q"))
         pairs = self.pair_values().join(g, F.col("g") == F.col("g_id")).join(h, F.col("h") == F.col("h_id"))
+        unseen = F.when(F.col("v") > F.col("seen"), (F.col("v") - F.col("seen")) * _difference(F.col("p"), F.col("q"))).otherwise(0)
+        pairs = pairs.withColumn("value", F.col("value") + unseen)
         order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
         return pairs.select("lang", "source", "item", "value").withColumn("rank", F.row_number().over(order))
 
@@ -196,7 +199,8 @@ def _block_values(block: pa.Table) -> Iterator[pa.RecordBatch]:
     else:
         g, h, value = np.concatenate((ids[i], ids[j])), np.concatenate((ids[j], ids[i])), np.concatenate((forth[i, j], back[j, i]))
     other = g != h
-    yield pa.RecordBatch.from_arrays([pa.array(g[other]), pa.array(h[other]), pa.array(value[other])], names=["g", "h", "value"])
+    yield pa.RecordBatch.from_arrays([pa.array(g[other]), pa.array(h[other]), pa.array(value[other]), pa.array(np.full(other.sum(), len(terms)))],
+                                     names=["g", "h", "value", "seen"])
 
 
 def _levels(count: np.ndarray, groups: np.ndarray, sizes: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
