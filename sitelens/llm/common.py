@@ -8,11 +8,41 @@ lost task reads it again instead of recomputing (or losing) what came before.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TABLES: list[str] = []
+
+class Scratch:
+    """The scratch tables of one result, to be deleted once it is written.
+
+    Operators called inside ``open()`` put their tables here.  Results that are
+    not made inside any scratch keep theirs, in the shared folder.
+    """
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    @contextmanager
+    def open(self):
+        token = _SCRATCH.set(self)
+        try:
+            yield self
+        finally:
+            _SCRATCH.reset(token)
+
+    def release(self, spark: SparkSession) -> None:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+_SCRATCH: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,24 +64,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitelens-llm/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    scratch = _SCRATCH.get()
+    if scratch is not None:
+        scratch.paths.append(path)
     df.write.parquet(path)
-    _TABLES.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; call once the results that read them are written."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of one Arrow batch: whole texts go through Python, so 10,000 rows could be a GB."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to so many rows: whole texts become Python objects a slice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

@@ -31,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import row_key, slices, stored
 from .textbatch import LOWER, NON_WORD, chunks, utf8
 
 WINDOW = 10
 #: Bytes of windows in one automaton, which takes some 50 bytes for each.
 BLOCK_BYTES = 4_000_000
-ARROW_ROWS = 1_000
 #: Stands between texts: no byte of UTF-8, so in no window either.
 BORDER = 0xFF
 
@@ -125,17 +124,15 @@ def _scan(rows: DataFrame, kept: list[str], windows: Windows) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         automaton = block.automaton() if block.windows else None
-        for whole in batches:
-            for at in range(0, whole.num_rows, ARROW_ROWS):
-                batch = whole.slice(at, ARROW_ROWS)
-                texts = utf8(batch.column("text"))
-                for a, b in chunks(texts):
-                    s = Scanned(texts[a:b], block, automaton)
-                    items = [sorted({i for w in s.items.get(t, ()) for i in block.items[w]}) for t in range(b - a)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(c).slice(a, b - a) for c in kept), pa.array(s.n_words.astype(np.int64)),
-                         pa.array([s.spans.get(t, []) for t in range(b - a)], _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))],
-                        names=[*kept, "n_words", "spans", "items"])
+        for batch in slices(batches):
+            texts = utf8(batch.column("text"))
+            for a, b in chunks(texts):
+                s = Scanned(texts[a:b], block, automaton)
+                items = [sorted({i for w in s.items.get(t, ()) for i in block.items[w]}) for t in range(b - a)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(a, b - a) for c in kept), pa.array(s.n_words.astype(np.int64)),
+                     pa.array([s.spans.get(t, []) for t in range(b - a)], _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))],
+                    names=[*kept, "n_words", "spans", "items"])
 
     kinds = dict(rows.dtypes)
     return rows.select(*kept, "text").mapInArrow(scan, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"n_words long, spans {SPANS}, items array<string>"]))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_runs import key_runs
-from .common import stored
+from .common import slices, stored
 from .textbatch import SPACE, U64, chunks, split_words, utf8
 
 MIN_DOCS = 3
@@ -49,7 +49,6 @@ SIDE = 32
 TERMS = 1_024
 #: A product wider than this is cut by terms, down to so many.
 WIDE, FEW_TERMS = 1_024, 32
-ARROW_ROWS = 1_000
 
 #: ASCII but letters: what stands between terms.
 NON_TERM = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
@@ -59,14 +58,12 @@ assert SPACE.shape == NON_TERM.shape
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it); counted per batch before the shuffle."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ARROW_ROWS):
-                batch = whole.slice(at, ARROW_ROWS)
-                texts = utf8(batch.column("text"))
-                lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
-                group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-                for a, b in chunks(texts):
-                    yield _counted(texts[a:b], group[a:b], lang.dictionary, source.dictionary)
+        for batch in slices(batches):
+            texts = utf8(batch.column("text"))
+            lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            for a, b in chunks(texts):
+                yield _counted(texts[a:b], group[a:b], lang.dictionary, source.dictionary)
 
     known = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")), "text")
     found = known.mapInArrow(count, "lang string, source string, term string, n long, docs long")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_runs import key_runs, matrix
-from .common import row_key, small_batches, stored
+from .common import row_key, slices, stored
 from .components import connected_components
 from .textbatch import SPACE, U64, chunks, mix, split_words, utf8
 
@@ -120,7 +120,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 def signed_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """row, doc_id, n_shingles, a and b (hashes of the set), bits, tiles; written once."""
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             for at, to in chunks(texts):
                 sets = shingle_sets(texts[at:to], words)
@@ -135,7 +135,6 @@ def signed_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tiles)))],
                     names=["row", "doc_id", "n_shingles", "a", "b", "bits", "tiles"])
 
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
     return stored(rows.mapInArrow(extract, f"row long, doc_id {kind}, n_shingles long, a long, b long, bits array<long>, tiles array<long>"), "jaccard-sets")
@@ -155,7 +154,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     texts = texts.join(needed.hint("shuffle_hash"), F.col("row") == F.col("need")).select("row", "text")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = utf8(batch.column("text"))
             for at, to in chunks(found):
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, to - at), pa.array([s.tobytes() for s in shingle_sets(found[at:to], words)], pa.binary())], names=["row", "shingles"])
@@ -170,7 +169,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, mine = None, np.empty(0, U64)
-        for batch in batches:
+        for batch in slices(batches, 500):
             xs, ys = [], []
             for y, x, packed in zip(*(batch.column(c).to_pylist() for c in ("y", "x", "shingles"))):
                 s = np.frombuffer(packed, dtype=U64)
@@ -184,7 +183,6 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
                     ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    small_batches(docs.sparkSession, 500)
     return (left.unionAll(right).repartition("y", "g").sortWithinPartitions("y", "g", F.col("x").asc_nulls_first())
             .mapInArrow(verify, "x long, y long"))
 
@@ -221,7 +219,6 @@ def _tile_pairs(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, row (hash of doc_id and text), n_shingles, class_row (of an equal set), root (of the component), component_id."""
-    small_batches(docs.sparkSession)
     signed = signed_sets(docs, words, percent)
     classes = stored(signed.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(
         F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 from .textbatch import NON_WORD, Words, chunks, split_words, utf8
 
 THRESHOLD = 0.9
@@ -97,14 +97,13 @@ def word_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, int]:
     """Blocks that hold each word of the vocabulary, over all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(vocabulary.words), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             for a, b in chunks(texts):
                 w = split_words(texts[a:b], NON_WORD, lower=True)
                 n += np.bincount(_block_words(w, vocabulary.codes(w))[1], minlength=len(n))
         yield pa.RecordBatch.from_pydict({"word": vocabulary.words, "n": n})
 
-    small_batches(docs.sparkSession)
     found = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r.word: r.n for r in found.collect()}
 
@@ -178,7 +177,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, phrases: dict[s
     runs = [(label, split_words([phrase.encode()], NON_WORD, True).hash) for phrase, label in phrases.items()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             for a, b in chunks(texts):
                 w = split_words(texts[a:b], NON_WORD, lower=True)
@@ -214,7 +213,6 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, phrases: dict[s
                              pa.list_(pa.struct([("label", pa.string()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("containment", pa.float64())])))],
                     names=["doc_id", "n_words", "spans"])
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, spans {SPAN}")
 
 

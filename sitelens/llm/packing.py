@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, small_batches, stored
+from .common import row_key, slices, stored
 from .word_bpe import tokenizer
 
 SEQUENCE = 2_048
@@ -81,11 +81,9 @@ def curve_places(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, key, place (on the curve), tokens, ids (zstd of uint16): written once."""
-    small_batches(docs.sparkSession, 2_000)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, table, pack = tokenizer(path), projection(), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches, 2_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             at = 0
             while at < len(texts):
@@ -126,7 +124,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, sequence: int = SEQ
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches, 2_000):
             source, out, size = [], [], 0
             for i, (begin, n, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("begin", "tokens", "ids")))):
                 ids = np.frombuffer(unpack.decompress(packed), dtype=np.uint16)

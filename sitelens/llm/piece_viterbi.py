@@ -29,14 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import slices
 
 MARK = "▁"
 UNKNOWN_BELOW = 10.0  # an uncovered character scores this much below the lowest piece
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 SWITCHED_OFF = -1e8   # pieces with a score below are in the file, but no segmentation should have them
 CHUNK_CHARS = 4_000_000
-CACHED_WORDS = 500_000
+#: Words whose ids are kept between batches: so many, each at most so long.
+CACHED_WORDS, CACHED_CHARS = 500_000, 64
+#: What no piece ends with (a score may be any number).
+NO_PIECE = object()
 
 
 def default_model() -> str:
@@ -89,8 +92,8 @@ class Pieces:
             for end in range(shared + 1, len(word) + 1):
                 top, start = None, end - 1
                 for begin in range(end - 1, -1, -1):  # towards the front, as long as a piece can end this way
-                    own = endings.get(word[begin:end], 0)
-                    if own == 0:
+                    own = endings.get(word[begin:end], NO_PIECE)
+                    if own is NO_PIECE:
                         break
                     if own is not None and (top is None or own + best[begin] >= top):
                         top, start = own + best[begin], begin
@@ -114,8 +117,11 @@ class Pieces:
         """Ids of texts given as marked words; words met before are looked up, up to a fixed number of them."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        self.known |= self.encode_words(sorted(set().union(*texts) - self.known.keys()))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32) for words in texts]
+        fresh = self.encode_words(sorted(set().union(*texts) - self.known.keys()))
+        self.known |= {word: ids for word, ids in fresh.items() if len(word) <= CACHED_CHARS}
+        long = {word: ids for word, ids in fresh.items() if len(word) > CACHED_CHARS}
+        found = {**self.known, **long}.__getitem__ if long else self.known.__getitem__
+        return [np.frombuffer(b"".join(map(found, words)), dtype=np.int32) for words in texts]
 
     def decode(self, ids: np.ndarray) -> str:
         size = self.surface_at[ids + 1] - self.surface_at[ids]
@@ -137,11 +143,10 @@ def marked_words(text: str) -> list[str]:
 def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, ids, n_words, score, round_trip (the ids decode to the text)."""
     path = model_path or default_model()
-    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             at = 0
             while at < len(texts):
@@ -169,9 +174,8 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataF
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if ids is None else model.decode(np.array(ids, dtype=np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    small_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")

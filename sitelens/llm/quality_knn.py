@@ -15,7 +15,8 @@ Scoring reads whole texts of all rows.
 Defined results: null text counts as empty; texts without terms, and all texts
 when no row is labelled, get the sample's share of label 1 (1/2 without
 labels); ties among neighbours are broken by the order of doc_id; rows that
-share a doc_id are scored one by one; other columns are never read.
+share a doc_id are scored one by one; a row without doc_id is not held out;
+ids may be of any type; other columns are never read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 from .quality_features import ngrams
 from .quality_rules import labelled_sample
 from .textbatch import chunks, utf8
@@ -43,7 +44,7 @@ KINDS = ("word", "char")
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def term_vectors(texts: list[bytes], bits: int) -> np.ndarray:
@@ -112,23 +113,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHB
                     max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (higher: label 1 likelier), predicted."""
     spark = docs.sparkSession
-    small_batches(spark)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             for a, b in pieces(texts):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("target").slice(a, b - a).cast(pa.int32()),
+                    batch.column("doc_id").slice(a, b - a), batch.column("target").slice(a, b - a).cast(pa.int32()),
                     pa.array([v.astype(np.float16).tobytes() for v in term_vectors(texts[a:b], bits)], pa.binary())], names=["doc_id", "target", "x"])
 
     sample = labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "quality", max_labelled)
-    rows = sample.mapInArrow(extract, "doc_id long, target int, x binary").collect()
+    rows = sample.mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, target int, x binary").collect()
     rows = sorted(((r.doc_id, r.target, np.frombuffer(r.x, np.float16).astype(np.float32)) for r in rows), key=lambda r: (r[0], r[1], r[2].tobytes()))
     sent = spark.sparkContext.broadcast(fit(rows, bits, rank))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             for a, b in pieces(texts):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sent.value.score(texts[a:b], neighbours))], names=["doc_id", "score"])

@@ -14,8 +14,8 @@ Defined results: null text counts as empty (no words, base rules fail); without
 labelled rows of both classes the verdict is the base rules' alone
 (probability = share of label 1, or 1 without labels); labels with null in
 doc_id or quality are left out, and of several labels of a doc_id the smallest
-holds; rows that share a doc_id are scored one by one; other columns of the
-tables are ignored.
+holds; rows that share a doc_id are scored one by one, and one of them is
+learned from; ids may be of any type; other columns of the tables are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 from .quality_features import frequencies, mean_by_text, ngrams
 from .textbatch import SPACE, U64, chunks, split_words, utf8
 
@@ -41,10 +41,15 @@ SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataFrame:
-    """doc_id, text, target of the ``limit`` labelled rows with the smallest hash of doc_id (a bounded broadcast)."""
+    """doc_id, text, target of the ``limit`` labelled doc_ids with the smallest hash (a bounded broadcast).
+
+    Of rows that share a doc_id one counts, that with the smallest hash of its text, so the sample's rows are bounded too.
+    """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.min(target).alias("target"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "target")).alias("one")
+    return rows.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.target")
 
 
 @dataclass
@@ -64,20 +69,18 @@ class Model:
 
 def collect_features(sample: DataFrame, bits: int) -> list:
     """The sample's hashed features on the driver (bounded by the sample's size)."""
-    small_batches(sample.sparkSession, 200)
-
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 200):
             texts = utf8(batch.column("text"))
             for a, b in chunks(texts):
                 found = frequencies(texts[a:b], bits)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(a, b - a).cast(pa.int64()),
+                    "doc_id": batch.column("doc_id").slice(a, b - a),
                     "target": batch.column("target").slice(a, b - a).cast(pa.int32()),
                     "feature": pa.array([f.tobytes() for f, _ in found], pa.binary()),
                     "value": pa.array([v.tobytes() for _, v in found], pa.binary())})
 
-    rows = sample.mapInArrow(extract, "doc_id long, target int, feature binary, value binary").collect()
+    rows = sample.mapInArrow(extract, f"doc_id {dict(sample.dtypes)['doc_id']}, target int, feature binary, value binary").collect()
     return sorted(((r.doc_id, r.target, np.frombuffer(r.feature, np.int32), np.frombuffer(r.value, np.float32)) for r in rows),
                   key=lambda r: (r[0], r[1], r[2].tobytes()))
 
@@ -162,10 +165,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     spark = docs.sparkSession
     model = fit(collect_features(labelled_sample(docs, labels, "quality", max_labelled), bits), bits)
     sent = spark.sparkContext.broadcast(model)
-    small_batches(spark)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             for a, b in chunks(texts):
                 c = base_counts(texts[a:b])
@@ -187,10 +189,9 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     """The rows of ``docs`` that the rules keep, all columns as they are: the texts stay in the batch that judged them."""
     model = fit(collect_features(labelled_sample(docs, labels, "quality", max_labelled), bits), bits)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    small_batches(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             for a, b in chunks(texts):
                 c = base_counts(texts[a:b])

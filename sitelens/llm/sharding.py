@@ -1,9 +1,11 @@
 """Sharding by proportional stratified interleaving.
 
 Rows of each source are put in a seeded random order; the row of rank r among
-n rows of its source gets the fractional rank (r - 1/2) / n.  Sorting all rows
-by it interleaves the sources in proportion, so any contiguous cut holds the
-mixture of the whole corpus to within a row or so per source.  The sorted
+n rows of its source gets the fractional rank (r - u) / n, with a seeded offset
+u between 0 and 1 for each source, so that very many small sources are spread
+over the line instead of meeting in its middle.  Sorting all rows by it
+interleaves the sources in proportion, so any contiguous cut holds the mixture
+of the whole corpus to within a row or so per source.  The sorted
 order is cut into shards whose row counts differ by at most one.
 
 Ranks are taken in buckets (a source may hold a third of all rows): the seeded
@@ -25,6 +27,7 @@ from .common import crc32_utf8, stored
 
 BUCKET_ROWS = 2_000
 MAX_BUCKETS = 65_536
+OFFSETS = 1 << 20
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
@@ -33,7 +36,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFra
         "doc_id", "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         crc32_utf8(F.col("text")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("shuffled"))
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("shuffled"))
     total = docs.count()
     buckets = min(MAX_BUCKETS, max(16, total // BUCKET_ROWS))
     # the shuffled order is a uniform signed 64-bit value: its high part names the bucket
@@ -45,9 +48,10 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFra
               .withColumn("before", F.coalesce(F.sum("n").over(by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("n_source", F.sum("n").over(by_source))
               .select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before", "n_source"))
+    offset = (F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(OFFSETS)) + 0.5) / OFFSETS
     ranked = (rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order)))
               .join(counts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
-              .withColumn("frac", (F.col("before") + F.col("place") - 0.5) / F.col("n_source")))
+              .withColumn("frac", (F.col("before") + F.col("place") - offset) / F.col("n_source")))
     ranked = stored(ranked.select("doc_id", "source", "size", "text_crc32", "shuffled", "frac"), "shard-ranks")
 
     ranked = ranked.withColumn("bucket", F.floor(F.col("frac") * buckets))
