@@ -23,17 +23,35 @@ rows one stays after stage 3.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import jaccard_join, line_dedup, packing, pii, quality_rules
-from sitelens.llm.common import read, release, shared_dir
+from sitelens.llm.common import Scratch, read, shared_dir
 
 #: Not expressible in SQL: a trained model, a tokenizer and a space-filling curve decide.
 ORACLE_SQL = None
 
 
+#: Scratch tables of the stage at hand, when stages are called one by one; ``run`` has its own.
+_STAGE = Scratch()
+
+
+@contextmanager
+def _scratch(spark: SparkSession):
+    """Deletes the tables of the stage before, whose result is written by now, and collects those of this one."""
+    mine = _RUN.get() or _STAGE
+    mine.release(spark)
+    with mine.open():
+        yield
+
+
+_RUN: ContextVar[Scratch | None] = ContextVar("run", default=None)
+
+
 def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """The columns of ``docs`` in their order; n_chars is counted anew where the texts have changed."""
     kinds = dict(docs.dtypes)
@@ -41,28 +59,28 @@ def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)  # the scratch tables of the stage before: its result is written
-    return quality_rules.keep_quality(docs, read(spark, sf_dir, "labels"))
+    with _scratch(spark):
+        return quality_rules.keep_quality(docs, read(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    return _like(docs, line_dedup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines"))
+    with _scratch(spark):
+        return _like(docs, line_dedup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    return jaccard_join.keep_one(docs, words=5, percent=80)
+    with _scratch(spark):
+        return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    return _like(docs, pii.sanitise(docs))
+    with _scratch(spark):
+        return _like(docs, pii.sanitise(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    return packing.pack(docs)
+    with _scratch(spark):
+        return packing.pack(docs)
 
 
 STAGES = [
@@ -78,9 +96,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/sitelens-pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        result = stage(spark, docs, sf_dir)
-        result.write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
-    release(spark)
+    mine = Scratch()
+    token = _RUN.set(mine)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(f"{at}/{k}-{name}")
+            docs = spark.read.parquet(f"{at}/{k}-{name}")
+    finally:
+        _RUN.reset(token)
+        mine.release(spark)
     return docs
