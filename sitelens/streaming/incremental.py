@@ -2,46 +2,53 @@
 
 ``readStream`` of page versions (the page schema plus ``fetched_at``) into
 ``foreachBatch``.  The state is narrow: the newest version's rule signals of
-every page, never its text, in ``SITE_BUCKETS * PAGE_BUCKETS`` buckets by hash
-of the site and of the URL, and the signal sums of each (bucket, site).
+every page, never its text, in buckets by hash of the site and of the URL, the
+signal sums of each (bucket, site), and the scores of each site.
+
+A batch never changes what is there.  It writes the buckets that it touches to
+the folder of a new version, and then a manifest that names, for every bucket of
+every table, the version that holds it:
 
 1. the batch's newest version per (site, url) becomes signal rows;
-2. the touched buckets (a bounded list of numbers) are read by literal
-   partition filters, merged with the new rows and overwritten;
-3. the sums of these buckets are overwritten;
-4. the scores of the touched sites come from the sums of their buckets.
-
-A site with a third of all pages is spread over ``PAGE_BUCKETS`` buckets, and a
-changed page rewrites one of them.  Every step recomputes whole buckets or
-sites from what is stored, so replaying a batch gives the same result.  Tables
-live under one shared folder (default ``<spark.checkpoint.dir>/incremental``).
+2. the touched buckets (a bounded list of numbers) are read, merged with the new
+   rows and written;
+3. the sums of these buckets are written;
+4. the scores of the touched sites come from the sums of all their buckets;
+5. the manifest is written beside and renamed, which makes signals, sums and
+   scores valid at one stroke; a batch that dies before leaves the old state
+   readable, and its folder is deleted when the batch comes again;
+6. what only manifests older than the last ``KEPT`` name is deleted.
+
+A batch whose number the manifest already has is not applied again.  A site with
+a third of all pages is spread over the page buckets, and a changed page rewrites
+one of them; the numbers of buckets belong to the state (``start`` sets them for
+a new one).  Everything lives under one shared folder (default
+``<spark.checkpoint.dir>/incremental``), with one writer at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rollups, rules
-from ..session import checkpoint_dir, stored
+from ..session import checkpoint_dir
 
 PAGE_VERSION_SCHEMA = (
     "site string, ord long, url string, title string, description string, content string, "
     "headings array<struct<level:int,text:string>>, code_blocks array<struct<language:string,code:string>>, "
     "links array<string>, has_tables boolean, fetched_at timestamp")
 SITE_BUCKETS, PAGE_BUCKETS = 16, 16
+#: Versions that stay readable: the current one, and those that a reader may still be at.
+KEPT = 2
 
 
 def default_state_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/incremental"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def newest_versions(df: DataFrame) -> DataFrame:
     """Newest version per (site, url): a partial-aggregated max_by, no window."""
     cols = [c for c in df.columns if c not in ("site", "url")]
@@ -49,56 +56,137 @@ def newest_versions(df: DataFrame) -> DataFrame:
     return agg.select("site", "url", "v.*")
 
 
-def _overwrite(df: DataFrame, path: str, *buckets: str) -> None:
-    """Replace the partitions that ``df`` has rows in; the others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*buckets).parquet(path)
-
-
-def _buckets(touched: list) -> Column:
-    """Literal filter on the touched (s, u) pairs, so that only their folders are read."""
-    by_site: dict[int, list[int]] = {}
-    for r in touched:
-        by_site.setdefault(r.s, []).append(r.u)
-    out = F.lit(False)
-    for s, us in sorted(by_site.items()):
-        out = out | ((F.col("s") == s) & F.col("u").isin(*sorted(us)))
-    return out
-
-
-def process_batch(batch: DataFrame, batch_id: int, state_dir: str) -> None:
+class State:
+    """The versioned folders and manifests of one state, through the file system that Spark uses."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def versions(self) -> list[int]:
+        """Numbers of the manifests, oldest first."""
+        return [int(n[1:-5]) for n in self._names("manifests") if n.startswith("v") and n.endswith(".json")]
+
+    def manifest(self, version: int) -> dict:
+        stream = self.fs.open(self._path(f"manifests/v{version:012d}.json"))
+        try:
+            return json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def current(self) -> dict | None:
+        versions = self.versions()
+        return self.manifest(versions[-1]) if versions else None
+
+    def commit(self, manifest: dict) -> None:
+        """Write the manifest under another name, then rename it to the one that readers look for."""
+        name = f"v{manifest['version']:012d}.json"
+        draft = self._path(f"manifests/draft-{name}")
+        stream = self.fs.create(draft, True)
+        stream.write(json.dumps(manifest).encode())
+        stream.close()
+        if not self.fs.rename(draft, self._path(f"manifests/{name}")):
+            raise RuntimeError(f"another writer has made {name}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
+
+    def folder(self, version: int, table: str) -> str:
+        return f"{self.root}/data/v{version:012d}/{table}"
+
+    def read(self, manifest: dict, table: str, schema, buckets=None) -> DataFrame:
+        """The rows of a table, or of those of its ``buckets`` (names) that exist."""
+        held = manifest["tables"].get(table, {})
+        paths = [f"{self.folder(v, table)}/bucket={b}" for b, v in sorted(held.items()) if buckets is None or b in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
+
+    def write(self, df: DataFrame, version: int, table: str, bucket) -> None:
+        df.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(self.folder(version, table))
+
+    def clean(self) -> None:
+        """Delete manifests before the last ``KEPT``, and every bucket that none of these names."""
+        versions = self.versions()
+        for old in versions[:-KEPT]:
+            self.delete(f"manifests/v{old:012d}.json")
+        live = {(t, b, v) for n in versions[-KEPT:] for t, held in self.manifest(n)["tables"].items() for b, v in held.items()}
+        last = versions[-1] if versions else 0
+        for name in self._names("data"):
+            version = int(name[1:])
+            if version > last:
+                continue  # a batch at work
+            tables = self._names(f"data/{name}")
+            for table in tables:
+                for bucket in self._names(f"data/{name}/{table}"):
+                    if bucket.startswith("bucket=") and (table, bucket[7:], version) not in live:
+                        self.delete(f"data/{name}/{table}/{bucket}")
+                if not any((t, v) == (table, version) for t, _, v in live):
+                    self.delete(f"data/{name}/{table}")
+            if not any(v == version for _, _, v in live):
+                self.delete(f"data/{name}")
+
+
+def process_batch(batch: DataFrame, batch_id: int, state_dir: str, site_buckets: int = SITE_BUCKETS, page_buckets: int = PAGE_BUCKETS) -> None:
     spark = batch.sparkSession
-    signals_path, sums_path, scores_path = (f"{state_dir}/{n}" for n in ("page_signals", "site_sums", "site_scores"))
-    bucket = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    state = State(spark, state_dir)
+    before = state.current() or {"version": 0, "batch_id": -1, "site_buckets": site_buckets, "page_buckets": page_buckets, "tables": {}}
+    if batch_id <= before["batch_id"]:
+        return  # committed already, before the stream could note it
+    version = before["version"] + 1
+    state.delete(f"data/v{version:012d}")  # of a batch that died
+    tables = {t: dict(held) for t, held in before["tables"].items()}
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    page_bucket, site_bucket = F.concat_ws("-", "s", "u"), F.col("s").cast("string")
+
     fresh = rules.page_signals(newest_versions(batch), keep=("site", "url", "fetched_at"))
-    fresh = stored(fresh.withColumn("s", bucket("site", SITE_BUCKETS)).withColumn("u", bucket("url", PAGE_BUCKETS)), "fresh-signals")
-    touched = fresh.select("s", "u").distinct().collect()
+    fresh = fresh.withColumn("s", number("site", before["site_buckets"])).withColumn("u", number("url", before["page_buckets"]))
+    schema = fresh.schema
+    state.write(fresh, version, "fresh", page_bucket)
+    touched = [n[7:] for n in state._names(f"data/v{version:012d}/fresh") if n.startswith("bucket=")]
     if not touched:
+        state.delete(f"data/v{version:012d}")
         return
-    merged = fresh
-    if _exists(spark, signals_path):
-        old = spark.read.schema(fresh.schema).parquet(signals_path).where(_buckets(touched))
-        merged = newest_versions(old.unionByName(fresh))
-    # written before the partitions that it was read from are replaced
-    merged = stored(merged, "merged-signals")
-    _overwrite(merged, signals_path, "s", "u")
+    now = {"version": version, "batch_id": batch_id, "site_buckets": before["site_buckets"], "page_buckets": before["page_buckets"],
+           "tables": tables | {"fresh": dict.fromkeys(touched, version)}}
+    fresh = state.read(now, "fresh", schema)
+
+    def wrote(table: str, buckets) -> None:
+        tables[table] = tables.get(table, {}) | dict.fromkeys(buckets, version)
+        now["tables"] = now["tables"] | {table: tables[table]}
+
+    state.write(newest_versions(state.read(before, "signals", schema, set(touched)).unionByName(fresh)), version, "signals", page_bucket)
+    wrote("signals", touched)
+
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in rules.signal_names()]]
-    partial = stored(merged.groupBy("s", "u", "site").agg(*sums), "bucket-sums")
-    _overwrite(partial, sums_path, "s", "u")
+    partial = state.read(now, "signals", schema, set(touched)).groupBy("s", "u", "site").agg(*sums)
+    state.write(partial, version, "sums", page_bucket)
+    wrote("sums", touched)
+
     sites = fresh.select(F.col("site").alias("t_site"), F.col("s").alias("t_s")).distinct()
-    mine = spark.read.schema(partial.schema).parquet(sums_path).where(F.col("s").isin(*sorted({r.s for r in touched})))
-    mine = mine.join(sites, (F.col("s") == F.col("t_s")) & F.col("site").eqNullSafe(F.col("t_site")), "left_semi")
+    same = (F.col("s") == F.col("t_s")) & F.col("site").eqNullSafe(F.col("t_site"))
+    site_numbers = {b.split("-")[0] for b in touched}
+    mine = state.read(now, "sums", partial.schema, {b for b in tables["sums"] if b.split("-")[0] in site_numbers}).join(sites, same, "left_semi")
     total = mine.groupBy("site").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in rules.signal_names()])
-    scores = rollups.scores_of_rules(rules.rules_of_sums(total)).withColumn("batch_id", F.lit(batch_id))
-    scores = scores.withColumn("s", bucket("site", SITE_BUCKETS))
-    if _exists(spark, scores_path):
-        kept = spark.read.schema(scores.schema).parquet(scores_path).where(F.col("s").isin(*sorted({r.s for r in touched})))
-        kept = kept.join(sites, (F.col("s") == F.col("t_s")) & F.col("site").eqNullSafe(F.col("t_site")), "left_anti")
-        scores = kept.unionByName(scores)
-    _overwrite(stored(scores, "touched-scores"), scores_path, "s")
+    scores = rollups.scores_of_rules(rules.rules_of_sums(total)).withColumn("batch_id", F.lit(batch_id)).withColumn("s", number("site", before["site_buckets"]))
+    kept = state.read(before, "scores", scores.schema, site_numbers).join(sites, same, "left_anti")
+    state.write(kept.unionByName(scores), version, "scores", site_bucket)
+    wrote("scores", site_numbers)
+
+    state.commit(now | {"tables": tables})
+    state.clean()
 
 
 def start(spark: SparkSession, source_dir: str, state_dir: str | None = None, trigger: dict | None = None,
-          max_files_per_trigger: int | None = None):
+          max_files_per_trigger: int | None = None, site_buckets: int = SITE_BUCKETS, page_buckets: int = PAGE_BUCKETS):
     """Start the incremental scoring query on parquet page versions in ``source_dir``."""
     state_dir = state_dir or default_state_dir(spark)
     reader = spark.readStream.schema(PAGE_VERSION_SCHEMA)
@@ -106,11 +194,17 @@ def start(spark: SparkSession, source_dir: str, state_dir: str | None = None, tr
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: process_batch(df, bid, state_dir))
+              .foreachBatch(lambda df, bid: process_batch(df, bid, state_dir, site_buckets, page_buckets))
               .option("checkpointLocation", f"{state_dir}/_stream_checkpoint"))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()
 
 
 def read_scores(spark: SparkSession, state_dir: str | None = None) -> DataFrame:
-    return spark.read.parquet(f"{state_dir or default_state_dir(spark)}/site_scores").drop("s")
+    """The scores of the current version; an error where no batch has been committed yet."""
+    state = State(spark, state_dir or default_state_dir(spark))
+    manifest = state.current()
+    if manifest is None:
+        raise ValueError(f"no scores in {state.root} yet")
+    paths = [f"{state.folder(v, 'scores')}/bucket={b}" for b, v in sorted(manifest["tables"]["scores"].items())]
+    return spark.read.option("recursiveFileLookup", "true").parquet(*paths).drop("s")
