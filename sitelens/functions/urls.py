@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .text import col_of, nz
 
 # scheme://netloc path ?query #fragment
@@ -84,20 +85,34 @@ def _without_dots(p: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
 
 
+def base_parts(base) -> Column:
+    """What ``resolve_url`` needs of a base URL: bind it once where many links of one page are resolved."""
+    b = nz(base)
+    base_path = path(b)
+    folder = F.regexp_replace(F.when((base_path == "") & (netloc(b) != ""), "/").otherwise(base_path), r"[^/]*$", "")
+    scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
+    root = F.when(b.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*://"), origin(b)).otherwise(scheme)
+    return F.struct(b.alias("url"), scheme.alias("scheme"), origin(b).alias("origin"), base_path.alias("path"), folder.alias("folder"), root.alias("root"))
+
+
+def resolve_from(parts: Column, href) -> Column:
+    """X6 against ``base_parts``."""
+    h = col_of(href)
+
+    def on_path(own_path: Column) -> Column:
+        absolute = F.when(own_path.startswith("/"), own_path).otherwise(F.concat(parts["folder"], own_path))
+        dotted = own_path.contains("./") | own_path.endswith(".") | parts["path"].contains("./")
+        resolved = F.when(dotted, F.concat(parts["origin"], _without_dots(absolute))).otherwise(F.concat(parts["root"], absolute))
+        return F.concat(resolved, F.substring(h, F.length(own_path) + 1, F.length(h)))
+
+    relative = F.when(h.rlike("[?#]"), let(F.regexp_extract(h, r"^([^?#]*)", 1), on_path)).otherwise(on_path(h))
+    return (F.when(h == "", parts["url"]).when(h.startswith("//"), F.concat(parts["scheme"], h))
+            .when(h.startswith("/"), relative).when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+            .when(h.startswith("#"), F.concat(F.regexp_replace(parts["url"], "#.*$", ""), h))
+            .when(h.startswith("?"), F.concat(parts["origin"], parts["path"], h))
+            .otherwise(relative))
+
+
 def resolve_url(base, href) -> Column:
     """Href against the base URL (absolute, '//host', '/path', '?query', '#fragment' and relative forms)."""
-    b, h = nz(base), col_of(href)
-    scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
-    base_path = path(b)
-    query = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1)
-    own_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-    tail = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
-    merged = F.concat(F.regexp_replace(F.when((base_path == "") & (netloc(b) != ""), "/").otherwise(base_path), r"[^/]*$", ""), own_path)
-    rooted = F.concat(F.when(b.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*://"), origin(b)).otherwise(scheme), F.when(own_path.startswith("/"), own_path).otherwise(merged))
-    dotted = own_path.contains("./") | own_path.endswith(".") | base_path.contains("./")
-    resolved = F.when(dotted, F.concat(origin(b), _without_dots(F.when(own_path.startswith("/"), own_path).otherwise(merged)))).otherwise(rooted)
-    return (F.when(h == "", b).when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-            .when(h.startswith("//"), F.concat(scheme, h))
-            .when(h.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), h))
-            .when(h.startswith("?"), F.concat(origin(b), base_path, h))
-            .otherwise(F.concat(resolved, tail)))
+    return let(base_parts(base), lambda parts: resolve_from(parts, href))

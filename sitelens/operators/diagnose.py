@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import let
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — diagnosis vocabularies and messages
@@ -189,15 +190,26 @@ def _type_points() -> tuple[Column, Column, Column]:
 
 def detect_language(text: Column, sample_chars: int | None = None) -> Column:
     """Marker-word language guess over the whole text (or its first ``sample_chars``);
-    'en' unless some language has at least 3 markers."""
+    'en' unless some language has at least 3 markers.
+
+    Markers stand between two spaces, so the text is cut at spaces once and the
+    words that have a space on both sides are intersected with all markers.
+    """
     sample = F.lower(T.nz(text) if sample_chars is None else F.substring(T.nz(text), 1, sample_chars))
-    scores = [(lang, sum((sample.contains(m).cast("int") for m in marks), F.lit(0))) for lang, marks in LANG_MARKERS]
-    best = F.greatest(*[s for _l, s in scores])
-    out = None
-    for lang, s in scores:
-        cond = (s == best) & (best >= LANG_MIN_HITS)
-        out = F.when(cond, F.lit(lang)) if out is None else out.when(cond, F.lit(lang))
-    return out.otherwise(F.lit("en"))
+    marks = {lang: [m.strip(" ") for m in marks] for lang, marks in LANG_MARKERS}
+    every = F.array(*map(F.lit, sorted({m for words in marks.values() for m in words})))
+    between = lambda words: F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+
+    def scored(hits: Column) -> Column:
+        scores = F.struct(*(F.size(F.array_intersect(hits, F.array(*map(F.lit, words)))).alias(lang) for lang, words in marks.items()))
+
+        def decided(s: Column) -> Column:
+            best = F.greatest(*(s[lang] for lang in marks))
+            return F.when(best < LANG_MIN_HITS, "en").otherwise(F.coalesce(*(F.when(s[lang] == best, lang) for lang in marks)))
+
+        return let(scores, decided)
+
+    return let(F.split(sample, " ", -1), lambda words: let(F.array_intersect(between(words), every), scored))
 
 
 def language_accuracy(docs: DataFrame) -> DataFrame:

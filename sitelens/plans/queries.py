@@ -98,7 +98,7 @@ pc AS (SELECT page_id, url, html, art,
 @query("page_titles", f"""SELECT page_id, {_site_sql('url')} AS site,
   {_strip_sql(_unescape_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"))} AS title FROM pages""")
 def q_page_titles(spark, sf):
-    return P.pages_extracted(spark, sf).select(F.col("ord").alias("page_id"), "site", "title")
+    return P.pages_extracted(spark, sf, columns=("title",)).select(F.col("ord").alias("page_id"), "site", "title")
 
 
 @query("page_text_stats", f"""WITH {PAGE_CONTENT_SQL}
@@ -107,7 +107,7 @@ SELECT page_id, CAST(length(content) AS INTEGER) AS content_chars,
   CAST(len(regexp_extract_all(art, '<h[1-6][\\s>]')) AS INTEGER) AS n_headings,
   md5(content) AS content_md5, false AS has_tables, 0 AS n_links FROM pc""")
 def q_page_text_stats(spark, sf):
-    p = P.pages_extracted(spark, sf)
+    p = P.pages_extracted(spark, sf, columns=("content", "headings", "has_tables", "links"))
     return p.select(F.col("ord").alias("page_id"), F.length("content").alias("content_chars"),
                     TX.word_count("content").alias("content_words"), F.size("headings").alias("n_headings"),
                     F.md5("content").alias("content_md5"), "has_tables", F.size("links").alias("n_links"))
@@ -156,18 +156,18 @@ SELECT DISTINCT site, src, dst FROM d WHERE dst <> '' AND {NETLOC_SQL.format(u='
 
 @query("link_edges", LINK_EDGES_SQL)
 def q_link_edges(spark, sf):
-    return linkgraph.link_edges(P.pages_extracted(spark, sf))
+    return linkgraph.link_edges(P.pages_extracted(spark, sf, columns=("link_refs",)))
 
 
 @query("reachable_pages")
 def q_reachable_pages(spark, sf):
-    r = linkgraph.reachable(P.pages_stored(spark, sf))
+    r = linkgraph.reachable(P.pages_stored(spark, sf, columns=("content", "link_refs")))
     return r.select("site", "url", "depth", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
 
 
 @query("frontier")
 def q_frontier(spark, sf):
-    pages = P.pages_stored(spark, sf)
+    pages = P.pages_stored(spark, sf, columns=("link_refs",))
     roots = pages.select("site", F.concat(U.origin("url"), F.lit("/")).alias("url")).distinct()
     return linkgraph.frontier(pages, roots)
 
@@ -887,7 +887,7 @@ def q_read_fetched_pages(spark, sf):
 
 @query("capped_pages")
 def q_capped_pages(spark, sf):
-    pages = P.min_content_filter(P.pages_extracted(spark, sf), 50)
+    pages = P.min_content_filter(P.pages_extracted(spark, sf, columns=("content",)), 50)
     return P.per_site_page_cap(pages, 10).select("site", "ord", "url")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..session import spread, stored, table_path
-from .html import extract_pages
+from .html import PAGE_FIELDS, extract_pages
 
 PAGE_COLUMNS = ["site", "ord", "url", "title", "description", "content", "headings", "code_blocks", "links",
                 "has_tables"]
@@ -22,15 +22,15 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "pages"))
 
 
-def pages_extracted(spark: SparkSession, sf_dir: str, strip_chrome: bool = False) -> DataFrame:
-    """All pages as page columns (one narrow projection), with ``site`` and ``ord``."""
-    ex = extract_pages(spread(raw_pages(spark, sf_dir)), keep=("page_id",), strip_chrome=strip_chrome)
+def pages_extracted(spark: SparkSession, sf_dir: str, strip_chrome: bool = False, columns: tuple[str, ...] = PAGE_FIELDS) -> DataFrame:
+    """All pages as page columns (one narrow projection; only ``columns`` are built), with ``site`` and ``ord``."""
+    ex = extract_pages(spread(raw_pages(spark, sf_dir)), keep=("page_id",), strip_chrome=strip_chrome, columns=columns)
     return ex.select(U.site_name("url").alias("site"), F.col("page_id").alias("ord"), "*").drop("page_id")
 
 
-def pages_stored(spark: SparkSession, sf_dir: str, strip_chrome: bool = False) -> DataFrame:
+def pages_stored(spark: SparkSession, sf_dir: str, strip_chrome: bool = False, columns: tuple[str, ...] = PAGE_FIELDS) -> DataFrame:
     """``pages_extracted`` written once to the shared folder, for plans that read pages more than once."""
-    return stored(pages_extracted(spark, sf_dir, strip_chrome), "pages")
+    return stored(pages_extracted(spark, sf_dir, strip_chrome, columns), "pages")
 
 
 def read_fetched_pages(fetched: DataFrame, key: str = "page_id", strip_chrome: bool = False) -> DataFrame:
