@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .entities import unescape_text
 
 CI = "(?iUd)"   # case-insensitive search
 CS = "(?Ud)"    # case-sensitive search
@@ -150,10 +151,8 @@ def strip_frontmatter(c) -> Column:
 
 
 def html_escape(c) -> Column:
-    """Unescape the five named entities first, then escape & < > \" (no double escaping)."""
-    s = nz(c)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(ent), F.lit(ch))
+    """Decode all character references first, then escape & < > \" (no double escaping)."""
+    s = unescape_text(nz(c))
     for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         s = F.replace(s, F.lit(ch), F.lit(ent))
     return s

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,13 +57,52 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir.rstrip("/")
 
 
+class Scratch:
+    """The scratch tables of one result, deleted by ``release`` once it is written.
+
+    ``with scratch.open():`` around the calls that build a result puts their
+    tables here; results made outside keep theirs in the shared folder.
+    """
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    @contextmanager
+    def open(self):
+        token = _SCRATCH.set(self)
+        try:
+            yield self
+        finally:
+            _SCRATCH.reset(token)
+
+    def release(self, spark: SparkSession) -> None:
+        while self.paths:
+            delete(spark, self.paths.pop())
+
+
+_SCRATCH: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name under the shared folder, noted by the scratch at hand."""
+    path = f"{checkpoint_dir(spark)}/sitelens/{name}-{uuid.uuid4().hex}"
+    scratch = _SCRATCH.get()
+    if scratch is not None:
+        scratch.paths.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans scan it instead of computing it again."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/sitelens/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:

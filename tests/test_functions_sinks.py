@@ -50,3 +50,24 @@ def test_bundle_writers(spark, sf_small):
     G.write_package_bundle(records.packages(spark, sf_small), os.path.join(out, "packages"))
     assert spark.read.json(os.path.join(out, "packages", "pages")).count() > 0
     assert spark.read.json(os.path.join(out, "packages", "llms")).count() > 0
+
+
+def test_html_escape_decodes_every_reference(spark):
+    import html
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sitelens.functions import text as T
+    from sitelens.functions.entities import unescape_text
+
+    rng = random.Random(2)
+    names = rng.sample(sorted(html.entities.html5), 150)
+    texts = ["&notit; &amp;lt; &copy &copyx &nosuch; & && &; &#; &#x; &#xZ;", "&#0;&#x0;&#128;&#150;&#159;&#13;&#1;&#11;&#xfdd0;&#xfffe;&#x1ffff;&#xd800;",
+             "&#1114112;&#99999999999999;&#x110000;&#xffffffffffff;&#x1F600;&#128512&#65a", "a&ampb&LT&gt;", "&#00065;&#x0041;", "plain", ""]
+    texts += ["".join(rng.choice([f"&{rng.choice(names)}", f"&{rng.choice(names)};", f"&#{rng.randrange(70_000)};", "x", " ", "<", '"']) for _ in range(12)) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", unescape_text(F.col("t")).alias("plain"), T.html_escape("t").alias("escaped")).collect():
+        want = html.unescape(r.t)
+        assert r.plain == want, r.t
+        assert r.escaped == want.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
