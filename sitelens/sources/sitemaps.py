@@ -1,10 +1,13 @@
 """Sitemaps and URL discovery (S2-S4) over already-fetched documents.
 
-Sitemaps are parsed with regexes, not ``xpath()``: Spark's ``xpath`` raises on
-malformed XML and has no ``try_`` form, while a broken sitemap must simply
-yield no URLs.  A document counts as well formed when its root element is
-closed (what a truncated download breaks); every element whose tag ends in
-``loc`` (``loc``, ``image:loc``, …) contributes its stripped, unescaped text.
+Spark's XML parser decides what is well formed: ``from_xml`` in permissive mode
+puts what it can't parse into the corrupt-record column (``xpath`` would fail the
+job), and a broken sitemap simply yields no URLs.  It stops at the end of the
+root element, so that nothing but white space and comments follows it is looked
+up in the text.  Every element of a good document whose local name ends in
+``loc`` (``loc``, ``image:loc``, at any depth) contributes its own text, from
+character data and CDATA sections; comments, processing instructions and the
+insides of CDATA sections hold no elements.
 """
 
 from __future__ import annotations
@@ -14,22 +17,36 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.entities import unescape_text
 
-LOC_RX = r"(?s)<([A-Za-z_][\w.\-]*:)?([\w.\-]*loc)(\s[^>]*)?>(.*?)</\1?\2\s*>"
-WELL_FORMED_RX = r"(?s)^\s*(<\?xml[^>]*\?>\s*)?(<!--.*?-->\s*)*<([A-Za-z_][\w.:\-]*)[\s>].*</\3\s*>\s*$"
+MISC = r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>"
+CDATA = r"<!\[CDATA\[[\s\S]*?\]\]>"
+LOC = r"<(?:[\w.\-]+:)?[\w.\-]*loc(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?(?<!/)>"
+PIECES = rf"(?U)(?:{MISC}|{CDATA}|{LOC}(?:[^<]++|{CDATA}|{MISC})*+)"
+ROOT = r"(?U)^(?:\s|<\?[\s\S]*?\?>|<!--[\s\S]*?-->|<![A-Za-z][^>\[]*(?:\[[^\]]*\]\s*)?>)*<([^\s/>]+)"
+CORRUPT = "corrupt_record"
 
 
-def _unescape(c: Column) -> Column:
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+def well_formed(xml: Column) -> Column:
+    parsed = F.from_xml(xml, f"{CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    end = F.regexp_replace(xml, rf"(?:\s|{MISC})+$", "")
+    root = F.regexp_extract(xml, ROOT, 1)
+    closed = F.regexp_replace(F.regexp_extract(end, r"</([^>]*)>$", 1), r"\s+$", "") == root
+    alone = end.endswith("/>") & (F.size(F.regexp_extract_all(end, F.lit(rf"{MISC}|<[^!?]"), F.lit(0))) - F.size(F.regexp_extract_all(end, F.lit(MISC), F.lit(0))) == 1)
+    return F.coalesce(parsed[CORRUPT].isNull() & (root != "") & (closed | alone), F.lit(False))
+
+
+def _own_text(piece: Column) -> Column:
+    parts = F.regexp_extract_all(F.regexp_replace(piece, rf"(?U)^{LOC}", ""), F.lit(rf"{MISC}|{CDATA}|[^<]+"), F.lit(0))
+    plain = lambda x: (F.when(x.startswith("<![CDATA["), F.substring(x, F.lit(10), F.length(x) - 12)).when(x.startswith("<"), "")
+                       .otherwise(unescape_text(x)))
+    return F.regexp_replace(F.array_join(F.transform(parts, plain), ""), r"^(?U)\s+|(?U)\s+$", "")
 
 
 def loc_values(xml: Column) -> Column:
     """All ``*loc`` element texts of a well-formed document, in document order; [] otherwise."""
-    texts = F.regexp_extract_all(T.nz(xml), F.lit(LOC_RX), 4)
-    vals = F.transform(texts, lambda t: F.regexp_replace(_unescape(t), r"^(?U)\s+|(?U)\s+$", ""))
-    return F.when(T.nz(xml).rlike(WELL_FORMED_RX), vals).otherwise(F.array().cast("array<string>"))
+    pieces = F.filter(F.regexp_extract_all(T.nz(xml), F.lit(PIECES), F.lit(0)), lambda x: ~x.startswith("<!") & ~x.startswith("<?"))
+    return F.when(well_formed(T.nz(xml)), F.transform(pieces, _own_text)).otherwise(F.array().cast("array<string>"))
 
 
 def sitemap_urls(sitemaps: DataFrame, base_col: str = "base_url") -> DataFrame:
