@@ -89,3 +89,15 @@ def covered(ranges: Column, size: Column) -> Column:
     none = F.size(ranges) == 0
     return F.when(none, F.array_repeat(F.lit(False), size)).otherwise(
         let(numbers(collect_text(ranges, F.lit(-1), outer), ("first", "last")), runs))
+
+
+def by_index(ranges: Column, kind: str) -> Column:
+    """The range (a struct with a and b, of type ``kind``) at each index from a to b, null between; ranges are disjoint and ascending."""
+    def runs(ranges: Column) -> Column:
+        def run(r: Column, k: Column) -> Column:
+            before = F.when(k == 0, F.lit(-1)).otherwise(F.get(ranges, k - 1)["b"])
+            return F.concat(F.array_repeat(F.lit(None).cast(kind), r["a"] - before - 1), F.array_repeat(r, r["b"] - r["a"] + 1))
+
+        return F.flatten(F.transform(ranges, run))
+
+    return let(ranges, runs)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import by_index, collect_text, emitting, let, numbers
 from ..functions import urls as U
 from ..session import stored
 from .diagnose import diagnose_pages
@@ -85,15 +86,14 @@ def line_features(text: Column) -> Column:
 def _validate_fold(has_code: Column, no_errors: Column) -> Column:
     """(b)-(d): which lines go: fabricated fenced blocks, error tables and error sections.
 
-    State: line number, the ranges of lines that go (a range is added when it
-    ends), the range that is open, skip_fence, in_table, skip_heading, blocks,
-    rows, sections.  No line is copied, so the fold is linear.
+    State: line number, the range of lines that is open, skip_fence, in_table,
+    skip_heading, blocks, rows, sections.  A range is emitted when it ends, the
+    counts at the end, so the state stays small and the fold is linear.
     """
-    span = "array<struct<a:int,b:int>>"
-    init = F.struct(F.lit(0).alias("i"), F.array().cast(span).alias("gone"), F.lit(-1).alias("open"), F.lit(False).alias("fence"),
+    init = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("open"), F.lit(False).alias("fence"),
                     F.lit(False).alias("table"), F.lit(False).alias("heading"),
                     F.lit(0).alias("blocks"), F.lit(0).alias("rows"), F.lit(0).alias("sections"))
-    ended = lambda s, last: F.concat(s["gone"], F.array(F.struct(s["open"].alias("a"), last.alias("b"))))
+    ended = lambda s, last: F.concat(s["open"].cast("string"), F.lit(":"), last.cast("string"), F.lit(";"))
 
     def step(s, x):
         is_fence, is_pipe, is_head = x["fence"], x["pipe"], x["head"]
@@ -116,17 +116,22 @@ def _validate_fold(has_code: Column, no_errors: Column) -> Column:
             .when(s["table"] & is_pipe, F.lit(True)).otherwise(F.lit(False))
         counted_heading = reaches_table & ~err_row & ~table_cont & fab_heading
         new_heading = skipping_section | counted_heading
-        return F.struct(
-            (s["i"] + 1).alias("i"), F.when(~drop & (s["open"] >= 0), ended(s, s["i"] - 1)).otherwise(s["gone"]).alias("gone"),
-            F.when(~drop, F.lit(-1)).when(s["open"] < 0, s["i"]).otherwise(s["open"]).alias("open"),
+        return emitting(F.struct(
+            (s["i"] + 1).alias("i"), F.when(~drop, F.lit(-1)).when(s["open"] < 0, s["i"]).otherwise(s["open"]).alias("open"),
             new_fence.alias("fence"), new_table.alias("table"), new_heading.alias("heading"),
             (s["blocks"] + F.when(~skipping_section & fence_open_fab, 1).otherwise(0)).alias("blocks"),
             (s["rows"] + F.when(reaches_table & (err_row | table_cont), 1).otherwise(0)).alias("rows"),
-            (s["sections"] + F.when(counted_heading, 1).otherwise(0)).alias("sections"))
+            (s["sections"] + F.when(counted_heading, 1).otherwise(0)).alias("sections")),
+            F.when(~drop & (s["open"] >= 0), ended(s, s["i"] - 1)).otherwise(""))
 
-    finish = lambda s: F.struct(F.when(s["open"] >= 0, ended(s, s["i"] - 1)).otherwise(s["gone"]).alias("gone"),
-                                s["blocks"].alias("blocks"), s["rows"].alias("rows"), s["sections"].alias("sections"))
-    return F.aggregate(line_features(F.col("_dated")), init, step, finish)
+    finish = lambda s: F.concat(F.when(s["open"] >= 0, ended(s, s["i"] - 1)).otherwise(""), F.lit("|"),
+                                F.concat_ws(":", *(s[c].cast("string") for c in ("blocks", "rows", "sections"))))
+
+    def parsed(text: Column) -> Column:
+        counts = F.get(numbers(F.substring_index(text, "|", -1), ("blocks", "rows", "sections")), F.lit(0))
+        return let(counts, lambda n: F.struct(numbers(F.substring_index(text, "|", 1), ("a", "b")).alias("gone"), *(n[c].alias(c) for c in ("blocks", "rows", "sections"))))
+
+    return let(collect_text(line_features(F.col("_dated")), init, step, finish), parsed)
 
 
 def _original_flags() -> tuple[Column, Column]:
@@ -145,7 +150,7 @@ def _validated(joined: DataFrame, run_date: str) -> DataFrame:
     """P5 on rewrites that carry their original's two flags: the validated text and what was removed."""
     df = _once(joined, fix_dates(T.nz("optimized_content"), run_date).alias("_dated"))
     df = _once(df, _validate_fold(F.col("original_has_code"), F.col("original_no_errors")).alias("_f"))
-    stay = F.filter(_lines(F.col("_dated")), lambda line, i: ~F.exists(F.col("_f.gone"), lambda r: (r["a"] <= i) & (r["b"] >= i)))
+    stay = let(by_index(F.col("_f.gone"), "struct<a:int,b:int>"), lambda gone: F.filter(_lines(F.col("_dated")), lambda line, i: F.get(gone, i).isNull()))
     text = F.when(F.size("_f.gone") == 0, F.col("_dated")).otherwise(F.array_join(stay, "\n"))
     return _once(df, text.alias("validated"), (F.col("_dated") != T.nz("optimized_content")).alias("date_fixed"), F.col("_f.blocks").alias("blocks_removed"),
                  F.col("_f.rows").alias("table_rows_removed"), F.col("_f.sections").alias("sections_removed")).drop("_dated", "_f")
@@ -271,10 +276,9 @@ def dedent_nested_fences(df: DataFrame, column: str = "content", name: str | Non
     The fold only notes the blocks (first line, last line, indent); the lines
     are then changed by their number.
     """
-    block = "array<struct<a:int,b:int,indent:int>>"
-    init = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("a"), F.lit(-1).alias("indent"), F.array().cast(block).alias("done"))
+    init = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("a"), F.lit(-1).alias("indent"))
     left = lambda line: F.regexp_replace(line, r"^(?U)\s+", "")
-    note = lambda s, last: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), last.alias("b"), s["indent"].alias("indent"))))
+    note = lambda s, last: F.concat(F.concat_ws(":", s["a"].cast("string"), last.cast("string"), s["indent"].cast("string")), F.lit(";"))
 
     def step(s, line):
         fence = left(line).startswith("```")
@@ -282,22 +286,22 @@ def dedent_nested_fences(df: DataFrame, column: str = "content", name: str | Non
         inside = s["a"] >= 0
         opens = ~inside & fence & (indent >= 2)
         closes = inside & fence & (F.length(left(line)) <= 4)
-        return F.struct((s["i"] + 1).alias("i"), F.when(opens, s["i"]).when(closes, F.lit(-1)).otherwise(s["a"]).alias("a"),
-                        F.when(opens, indent).when(closes, F.lit(-1)).otherwise(s["indent"]).alias("indent"),
-                        F.when(closes, note(s, s["i"])).otherwise(s["done"]).alias("done"))
+        return emitting(F.struct((s["i"] + 1).alias("i"), F.when(opens, s["i"]).when(closes, F.lit(-1)).otherwise(s["a"]).alias("a"),
+                                 F.when(opens, indent).when(closes, F.lit(-1)).otherwise(s["indent"]).alias("indent")),
+                        F.when(closes, note(s, s["i"])).otherwise(""))
 
     # a block that is never closed ends after the last line
-    fold = F.aggregate(F.col("_lines"), init, step, lambda s: F.when(s["a"] >= 0, note(s, s["i"])).otherwise(s["done"]))
+    fold = numbers(collect_text(F.col("_lines"), init, step, lambda s: F.when(s["a"] >= 0, note(s, s["i"])).otherwise("")), ("a", "b", "indent"))
     staged = _once(_once(df, _lines(T.nz(column)).alias("_lines")), fold.alias("_blocks"))
     blocks = F.col("_blocks")
 
-    def changed(line, i):
-        own = F.get(F.filter(blocks, lambda b: (b["a"] <= i) & (b["b"] >= i)), F.lit(0))
+    def changed(line, i, own):
         body = F.when(line.startswith(F.repeat(F.lit(" "), own["indent"])), F.substring(line, own["indent"] + 1, F.length(line))).otherwise(left(line))
         return F.when(own.isNull(), line).when(own["a"] == i, F.concat(F.lit("\n```"), _strip_ws(F.substring(left(line), 4, 1 << 30)))) \
             .when(own["b"] == i, F.lit("```\n")).otherwise(body)
 
-    out = F.array_join(F.transform("_lines", changed), "\n")
+    out = let(by_index(blocks, "struct<a:int,b:int,indent:int>"), lambda places: F.array_join(
+        F.transform("_lines", lambda line, i: changed(line, i, F.get(places, i))), "\n"))
     out = F.when(F.exists(blocks, lambda b: b["b"] == F.size("_lines")), F.concat(out, F.lit("\n```\n"))).otherwise(out)
     return staged.withColumn(name or column, F.when(F.size(blocks) == 0, T.nz(column)).otherwise(out)).drop("_lines", "_blocks")
 

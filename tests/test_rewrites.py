@@ -122,3 +122,26 @@ def test_dedent_nested_fences(spark):
     df = spark.createDataFrame([(md,)], "t string")
     out = RW.dedent_nested_fences(df, "t", "o").collect()[0]["o"]
     assert out == "1. Step\n\n```python\nprint(1)\n```\n\n2. Next"
+
+
+def test_line_checks_of_very_long_documents_are_linear(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    from sitelens.operators import rewrites as RW
+
+    def seconds(sizes):
+        rows = [("s", k, "\n".join("```\ncode\n```\nkept\nkept\n  - item\n   ```x\n    y\n   ```\nkept" for _ in range(n // 10))) for k, n in enumerate(sizes)]
+        df = spark.createDataFrame(rows, "site string, ord long, optimized_content string").coalesce(1)
+        originals = spark.createDataFrame([("s", k, "plain error", []) for k in range(len(sizes))], "site string, ord long, content string, code_blocks array<string>")
+        started = time.time()
+        out = RW.validate_rewrites(df, originals, "2026-01-01").select("ord", "validated", "blocks_removed").collect()
+        moved = RW.dedent_nested_fences(df, "optimized_content").collect()
+        return time.time() - started, out, moved
+
+    seconds([100])
+    five, _, _ = seconds([20_000] * 5)
+    one, out, moved = seconds([100_000])
+    assert out[0].blocks_removed == 20_000 and out[0].validated.count("kept") == 30_000 and "code" not in out[0].validated
+    assert moved[0].optimized_content.count("\n```x\n") == 10_000
+    assert one < 2 * five + 2
