@@ -9,11 +9,13 @@ k rows map-side (WindowGroupLimit) before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..versions import State
 from .ranking import ranked
 
 BORDERLINE = (0.4, 0.6)
@@ -262,6 +264,59 @@ def upsert_by_slug(target: DataFrame, seeds: DataFrame, content_cols: list[str])
     return j.select(*cols)
 
 
+class SlugTable:
+    """S11 on a stored table: rows by slug in hash buckets; a batch of seeds reads and rewrites the buckets that it touches.
+
+    A batch is visible as a whole or not at all (see ``versions``), and applying
+    it twice gives the same table.  Seeds of one batch that share a slug must be
+    resolved by the caller, as for ``upsert_by_slug``.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.state, self.spark, self.buckets = State(spark, root), spark, buckets
+
+    def _bucket(self, buckets: int):
+        return F.pmod(F.xxhash64("slug"), F.lit(buckets)).cast("int").cast("string")
+
+    def rows(self) -> DataFrame:
+        now = self._now()
+        return self.state.read(now, "rows", self._schema(now))
+
+    def touched(self, seeds: DataFrame) -> list[str]:
+        """Names of the buckets that seeds fall into (at most as many as there are buckets)."""
+        return sorted(r.b for r in seeds.select(self._bucket(self._now()["buckets"]).alias("b")).distinct().collect())
+
+    def _now(self) -> dict:
+        now = self.state.current()
+        if now is None:
+            raise ValueError(f"no table at {self.state.root} yet")
+        return now
+
+    @staticmethod
+    def _schema(now: dict) -> StructType:
+        return StructType.fromJson(now["schema"])
+
+    def create(self, rows: DataFrame) -> None:
+        version = (self.state.current() or {"version": 0})["version"] + 1
+        self.state.delete(f"data/v{version:012d}")
+        self.state.write(rows, version, "rows", self._bucket(self.buckets))
+        names = [n[7:] for n in self.state._names(f"data/v{version:012d}/rows") if n.startswith("bucket=")]
+        self.state.commit({"version": version, "buckets": self.buckets, "schema": rows.schema.jsonValue(), "tables": {"rows": dict.fromkeys(names, version)}})
+        self.state.clean()
+
+    def merge(self, seeds: DataFrame, content_cols: list[str]) -> None:
+        now = self._now()
+        names = self.touched(seeds)
+        if not names:
+            return
+        version = now["version"] + 1
+        self.state.delete(f"data/v{version:012d}")
+        merged = upsert_by_slug(self.state.read(now, "rows", self._schema(now), set(names)), seeds, content_cols)
+        self.state.write(merged, version, "rows", self._bucket(now["buckets"]))
+        self.state.commit(now | {"version": version, "tables": {"rows": now["tables"]["rows"] | dict.fromkeys(names, version)}})
+        self.state.clean()
+
+
 def unique_slugs(jobs: DataFrame) -> DataFrame:
     """Same slug + same email reuses the slug; another email gets a
     deterministic suffix (first 6 hex chars of the e-mail's SHA-256)."""

@@ -511,6 +511,23 @@ def q_rewrite_requests(spark, sf):
                     F.md5("terminology").alias("terminology_md5"), "needs_rewrite")
 
 
+REQUEST_CHARS, REQUEST_CODE_CHARS, REQUEST_HEADINGS, REQUEST_EXAMPLES = 1_500, 4, 1, 1
+
+
+@query("rewrite_request_bounds", lambda: f"""WITH {_page_types_ctes()}
+SELECT d.site, d.ord, CAST(least(length(d.c), {REQUEST_CHARS}) AS INTEGER) AS content_chars, md5(substr(d.c, 1, {REQUEST_CHARS})) AS content_md5,
+  CASE WHEN length(d.c) >= {REQUEST_CHARS - 100} THEN 'possibly_truncated' ELSE 'complete' END AS source_status,
+  CASE WHEN len(d.heads) > 0 THEN d.heads[1] ELSE 'None' END AS headings,
+  CASE WHEN d.has_code THEN substr(sp.code_txt, 1, {REQUEST_CODE_CHARS}) ELSE '' END AS first_code
+FROM diag d JOIN sp ON sp.site = d.site AND sp.ord = d.ord""")
+def q_rewrite_request_bounds(spark, sf):
+    """Requests for a job of limited input: the bounds of P4 and the status of texts that reach theirs."""
+    r = D.rewrite_requests(_pages(spark, sf), content_chars=REQUEST_CHARS, code_chars=REQUEST_CODE_CHARS,
+                           max_headings=REQUEST_HEADINGS, max_examples=REQUEST_EXAMPLES)
+    return r.select("site", "ord", F.length("content").alias("content_chars"), F.md5("content").alias("content_md5"), "source_status", "headings",
+                    F.array_join(F.transform("code_examples", lambda b: b["code"]), "|").alias("first_code"))
+
+
 # --- record queries ------------------------------------------------------------
 
 from ..operators import records as RQ  # noqa: E402

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import table_path
 
@@ -21,6 +22,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def enforced(rows: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit ``schema`` in its columns and types, and the others (``row`` as JSON, ``reasons``).
+
+    A value that can't be cast and a missing value of a column that may not be
+    null are reasons to set a row aside; neither fails the job.  Columns that the
+    rows lack count as null, columns that the schema lacks are dropped.
+    """
+    cells, reasons = [], []
+    for f in schema.fields:
+        have = f.name in rows.columns
+        raw = F.col(f"`{f.name}`") if have else F.lit(None).cast(f.dataType)
+        cell = raw.try_cast(f.dataType) if have else raw
+        cells.append(cell.alias(f.name))
+        if have:
+            reasons.append(F.when(raw.isNotNull() & cell.isNull(), F.lit(f"{f.name}: not a {f.dataType.simpleString()}")))
+        if not f.nullable:
+            reasons.append(F.when(raw.isNull(), F.lit(f"{f.name}: missing")))
+    why = F.filter(F.array(*reasons) if reasons else F.array().cast("array<string>"), lambda r: r.isNotNull())
+    fits = F.size(why) == 0
+    return rows.where(fits).select(*cells), rows.where(~fits).select(F.to_json(F.struct(*rows.columns)).alias("row"), why.alias("reasons"))
+
+
 def organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
     return n.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"),
