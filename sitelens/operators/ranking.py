@@ -45,3 +45,33 @@ def with_previous(df: DataFrame, key: str, order: list[Column], value: str, name
     out = rows.join(ends, (F.col("_part") == F.col("_c_part")) & F.col(key).eqNullSafe(F.col("_c_key")))
     follows = F.col("_same").isNotNull() & F.col(f"_same.{key}").eqNullSafe(F.col(key))
     return out.select(*df.columns, F.when(follows, F.col(f"_same.{value}")).otherwise(F.col(f"_carried.{value}")).alias(name))
+
+
+#: Rows of a key up to which Spark cuts each partition before a window's shuffle.
+SHALLOW = 1_000
+
+
+def paged(df: DataFrame, key: str, order: list[Column], offset: int, limit: int, name: str = "position") -> DataFrame:
+    """The rows at ``offset`` < ``name`` <= ``offset + limit`` of each key, in ``order``.
+
+    The first rows of each key are a plain window, which Spark cuts short in
+    every partition.  A page far inside is found by counts: rows are dealt to
+    ranges and written, and only the ranges of a key that hold a part of the page
+    are sorted, so a page of a key with a third of all rows sorts a range or two.
+    """
+    within = (F.col(name) > offset) & (F.col(name) <= offset + limit)
+    if offset + limit <= SHALLOW:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(within)
+    rows, wanted = page_ranges(df, key, order, offset, limit)
+    rows = rows.join(wanted, (F.col("_part") == F.col("_c_part")) & F.col(key).eqNullSafe(F.col("_c_key")))
+    place = F.row_number().over(Window.partitionBy("_part", key).orderBy(*order))
+    return rows.withColumn(name, (F.col("_before") + place).cast("int")).where(within).select(*df.columns, name)
+
+
+def page_ranges(df: DataFrame, key: str, order: list[Column], offset: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the number of their range (``_part``), and the ranges of each key that hold a part of the page."""
+    rows = stored(df.repartitionByRange(F.col(key).asc_nulls_first(), *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part", key).agg(F.count("*").alias("_n"))
+    counts = counts.select(F.col("_part").alias("_c_part"), F.col(key).alias("_c_key"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows, counts.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_n") > offset)).select("_c_part", "_c_key", "_before")

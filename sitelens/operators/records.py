@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..functions import text as T
 from ..functions import urls as U
 from ..versions import State
-from .ranking import ranked
+from .ranking import paged, ranked
 
 BORDERLINE = (0.4, 0.6)
 # FIXED VALUES - job states from which a run may be started again, promotion codes and prices
@@ -47,9 +47,7 @@ def list_analyses(analyses: DataFrame, sites: DataFrame, site_id=None, status: s
     if status is not None:
         a = a.where(F.col("status") == status)
     owned = a.join(sites.select(F.col("id").alias("site_id"), "organization_id"), "site_id")
-    w = Window.partitionBy("organization_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    ranked = owned.withColumn("position", F.row_number().over(w))
-    return ranked.where((F.col("position") > offset) & (F.col("position") <= offset + limit))
+    return paged(owned, "organization_id", [F.col("created_at").desc(), F.col("id").desc()], offset, limit)
 
 
 def filter_queries(results: DataFrame, category: str | None = None, difficulty: str | None = None,
@@ -72,10 +70,7 @@ def filter_queries(results: DataFrame, category: str | None = None, difficulty:
 def list_queries(results: DataFrame, page: int = 1, limit: int = 50, **filters) -> DataFrame:
     """filtered query results, paginated per analysis (order: line, query text)."""
     r = filter_queries(results, **filters)
-    w = Window.partitionBy("analysis_id").orderBy("line", "query_text")
-    offset = (page - 1) * limit
-    r = r.withColumn("position", F.row_number().over(w))
-    return r.where((F.col("position") > offset) & (F.col("position") <= offset + limit))
+    return paged(r, "analysis_id", [F.col("line"), F.col("query_text")], (page - 1) * limit, limit)
 
 
 def export_query_results(results: DataFrame, category: str | None = None, status: str | None = None) -> DataFrame:

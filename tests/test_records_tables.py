@@ -52,3 +52,23 @@ def test_rows_that_do_not_fit_are_set_aside(spark):
     assert [tuple(r) for r in good.collect()] == [(1, "a", 2.5, None)]
     assert sorted(tuple(r.reasons) for r in bad.collect()) == [("id: missing",), ("id: not a bigint",), ("score: not a double",)]
     assert enforced(rows.limit(0), schema)[0].count() == 0
+
+
+def test_a_deep_page_of_a_hot_key_sorts_its_ranges_only(spark):
+    from pyspark.sql import functions as F
+
+    from sitelens.operators import ranking
+
+    rows = spark.range(0, 9_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("o"), F.col("id") % 40)).alias("org"),
+                                        F.pmod(F.col("id") * 7919, F.lit(9_000)).alias("at"), "id").repartition(6)
+    order = [F.col("at").desc(), F.col("id")]
+    everything = {}
+    for r in rows.collect():
+        everything.setdefault(r.org, []).append((-r.at, r.id))
+    for offset, limit in ((2_400, 25), (990, 20), (100, 5), (2_999, 10)):
+        got = ranking.paged(rows, "org", order, offset, limit)
+        assert got.columns == ["org", "at", "id", "position"]
+        want = {(org, i, k + 1) for org, mine in everything.items() for k, (_, i) in enumerate(sorted(mine)) if offset <= k < offset + limit}
+        assert {(r.org, r.id, r.position) for r in got.collect()} == want
+    _, wanted = ranking.page_ranges(rows, "org", order, 2_400, 25)
+    assert 1 <= wanted.where("_c_key = 'hot'").count() <= 2
