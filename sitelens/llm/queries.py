@@ -61,7 +61,7 @@ w AS (SELECT doc_id, {words.format('low')} AS ws FROM d),
 p AS ({places}),
 base AS (SELECT doc_id, count(*) AS n, min(first) AS lo, max(first) AS hi, list(DISTINCT label) AS labels FROM p GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
-b AS (SELECT doc_id, list_distinct({words.format('line')}) AS block FROM l WHERE regexp_matches(line, 'licen|rights|source|software|free')),
+b AS (SELECT doc_id, list_distinct({words.format('line')}) AS block FROM l),
 t(k, label, ts) AS (VALUES {templates}),
 m AS (SELECT doc_id, label, len(list_intersect(block, ts)) / len(ts) AS share FROM b, t
       WHERE len(list_intersect(block, ts)) >= ceil({license_scan.THRESHOLD} * len(ts) - 1e-9)),
