@@ -4,13 +4,15 @@ A document's set holds the hashes of its distinct three-word shingles.  Equal
 sets are one class.  Classes are banded by set size so that linked classes are
 in the same or in neighbouring bands.  Within a band, a pair that reaches the
 threshold t differs in at most d = (1-t)/(1+t) * (|A|+|B|) elements; the hash
-space is cut into d + 1 parts, of which at least one is then equal in both
-sets.  So a tile is the classes of a band that agree in one part, and all
-linked pairs meet in some tile - without any pair of unrelated documents ever
-being formed and whatever words are frequent.
-
-Pairs of a tile are bounded by 512-bit parity signatures: bits that differ
-stem from elements that differ, so the count of unequal bits bounds the
+space is cut into d + 1 + m parts, of which at least m + 1 are then equal in
+both sets.  So a tile is the classes of a band that agree in one part, and all
+linked pairs meet in some tile, whatever words are frequent.  Parts without
+elements are equal in unrelated sets: a set with at most m of them does not
+emit them, since one of the equal parts has elements; only the rare set with
+more does, so that no link is lost.
+
+Pairs of a tile are bounded by parity signatures of some 16 d bits: bits that
+differ stem from elements that differ, so the count of unequal bits bounds the
 overlap from above.  What passes is verified by exact intersection of the
 sorted shingle arrays.  To give no square of a group of near copies:
 
@@ -18,6 +20,11 @@ sorted shingle arrays.  To give no square of a group of near copies:
    and these links give first components;
 2. only pairs of different components are then formed, in tiles that hold
    several; large tiles are cut into blocks, each pair of blocks a task's work.
+   Of two components in a tile, each member of the smaller one meets the other's
+   members in the order of their bound, most promising first: two of them,
+   then the next thirty, and so on in ``ROUNDS``.  Components that have
+   grown together need no further pairs, so a group of near copies isn't
+   multiplied out, and what stays apart is compared to the end.
 
 Both steps lose nothing for connectivity: a pair that is left out is connected
 already.  Shingles are computed again from the text for verification, which is
@@ -40,14 +47,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_runs import key_runs, matrix
+from .arrow_runs import key_runs
 from .common import row_key, slices, stored
 from .components import connected_components
 from .textbatch import SPACE, U64, chunks, mix, split_words, utf8
 
 WORDS = 3
 PERCENT = 90
-BLOCK = 4_096
+BLOCK = 2_048
+#: Places in a member's list of another component's members that each round verifies.
+ROUNDS = ((0, 2), (2, 32), (32, None))
+#: Words of signatures compared at once.
+COMPARED = 1 << 22
+#: One part more for every so many elements that may differ, so that sets rarely have as many empty parts.
+SURPLUS = 16
+#: Rows that may be broadcast to pick out texts or sets (8 bytes each); beyond, these are shuffled.
+FEW_ROWS = 300_000
+#: Bits of a signature for each element that may differ (half of them, by folding, for the pairs with a tile's smallest member).
+SIGNATURE_BITS = 16
 PAIRS_PER_TASK_GROUP = 500
 
 
@@ -86,39 +103,62 @@ def band_starts(percent: int, limit: int = 1 << 40) -> np.ndarray:
     return np.array(starts, dtype=np.int64)
 
 
+def _most_different(n: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Elements in which sets of these sizes may differ at most and still reach the threshold."""
+    return (n + other) * (100 - percent) // (100 + percent)
+
+
 def tile_keys(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """The tiles of each set: one per part, in its own band and (as the smaller of a pair) in the next."""
+    """The tiles of each set: one per part that has elements, in its own band and (as the smaller of a pair) in the next.
+
+    A set with so many empty parts that the equal parts of a pair might all be among them emits these too.
+    """
     starts = band_starts(percent)
     out = [[] for _ in sets]
     n = np.array([len(s) for s in sets], dtype=np.int64)
     some = np.flatnonzero(n)
     if not len(some):
         return [np.empty(0, np.int64) for _ in sets]
-    flat, owner = np.concatenate([sets[i] for i in some]), np.repeat(np.arange(len(some)), n[some])
+    n = n[some]
+    flat, owner = np.concatenate([sets[i] for i in some]), np.repeat(np.arange(len(some)), n)
     content = mix(flat ^ U64(0x5851F42D4C957F2D))
-    band = np.searchsorted(starts, n[some], side="right") - 1
+    band = np.searchsorted(starts, n, side="right") - 1
     for step in (0, 1):
         largest = starts[band + step + 1] - 1
-        parts = 2 * largest * (100 - percent) // (100 + percent) + 1  # d + 1, with d for two sets of the band's largest size
+        most = _most_different(largest, largest, percent)
+        parts = most + 2 + most // SURPLUS
         base = np.concatenate(([0], np.cumsum(parts)))
+        of = base[owner] + (flat % parts[owner].astype(U64)).astype(np.int64)
         total = np.zeros(base[-1], dtype=U64)
-        np.add.at(total, base[owner] + (flat % parts[owner].astype(U64)).astype(np.int64), content)
+        np.add.at(total, of, content)
+        full = np.bincount(of, minlength=base[-1]) > 0
+        empty = parts - np.add.reduceat(full, base[:-1], dtype=np.int64)
+        # parts equal to a partner's at least: all but one for each element that may differ
+        equal = parts - _most_different(n, np.minimum(largest, n * 100 // percent), percent)
+        emit = full | np.repeat(empty >= equal, parts)
         part = np.arange(base[-1]) - np.repeat(base[:-1], parts)
         place = np.repeat(band + step, parts).astype(U64) * U64(0x9E3779B97F4A7C15) + part.astype(U64)
         key = mix(mix(place) + total * U64(0xD6E8FEB86659FD93)).view(np.int64)
         for j, i in enumerate(some):
-            out[i].append(key[base[j]:base[j + 1]])
+            out[i].append(key[base[j]:base[j + 1]][emit[base[j]:base[j + 1]]])
     return [np.concatenate(k) if k else np.empty(0, np.int64) for k in out]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """512 bits: parity of the elements that hash to each bit."""
-    ones = np.bincount((s >> U64(7)).astype(np.int64) & 511, minlength=512) & 1
-    return np.packbits(ones.astype(np.uint8)).view(np.int64)
+def signature(s: np.ndarray, percent: int) -> np.ndarray:
+    """Parity of the elements that hash to each bit; the bits, a power of two, are ``SIGNATURE_BITS`` for each element that may differ.
+
+    Sets of neighbouring bands have as many bits or twice as many; the halves of the longer one, combined, are its
+    parities in the shorter width.
+    """
+    starts = band_starts(percent)
+    largest = starts[np.searchsorted(starts, max(len(s), 1), side="right")] - 1
+    width = max(128, 1 << int(SIGNATURE_BITS * _most_different(largest, largest, percent) - 1).bit_length()) if percent < 100 else 128
+    ones = np.bincount((s >> U64(7)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def signed_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """row, doc_id, n_shingles, a and b (hashes of the set), bits, tiles; written once."""
+    """place (unique), row, doc_id, n_shingles, a and b (hashes of the set), bits, tiles; written once."""
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = utf8(batch.column("text"))
@@ -126,32 +166,41 @@ def signed_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 sets = shingle_sets(texts[at:to], words)
                 tiles = tile_keys(sets, percent)
                 ends = np.concatenate(([0], np.cumsum([len(t) for t in tiles])))
-                eights = np.arange(len(sets) + 1) * 8
+                bits = [signature(s, percent) for s in sets]
+                words_end = np.concatenate(([0], np.cumsum([len(x) for x in bits])))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("row").slice(at, to - at), batch.column("doc_id").slice(at, to - at), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([mix(s).sum(dtype=U64) for s in sets], dtype=U64).view(np.int64)),
                     pa.array(np.array([np.bitwise_xor.reduce(mix(s + U64(1))) for s in sets], dtype=U64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(eights, pa.int32()), pa.array(np.concatenate([signature(s) for s in sets]))),
+                    pa.ListArray.from_arrays(pa.array(words_end, pa.int32()), pa.array(np.concatenate(bits))),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tiles)))],
                     names=["row", "doc_id", "n_shingles", "a", "b", "bits", "tiles"])
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
-    return stored(rows.mapInArrow(extract, f"row long, doc_id {kind}, n_shingles long, a long, b long, bits array<long>, tiles array<long>"), "jaccard-sets")
+    sets = rows.mapInArrow(extract, f"row long, doc_id {kind}, n_shingles long, a long, b long, bits array<long>, tiles array<long>")
+    return stored(sets.select(F.monotonically_increasing_id().alias("place"), "*"), "jaccard-sets")
+
+
+def _folded(bits: Column, width: Column) -> Column:
+    """A signature in ``width`` words, half of its own or all."""
+    return F.when(F.size(bits) > width, F.zip_with(F.slice(bits, F.lit(1), width), F.slice(bits, width + 1, width), lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
 
 
 def _possible(n1: Column, n2: Column, bits1: Column, bits2: Column, percent: int) -> Column:
     """Size ratio and the bound that the signatures' unequal bits put on the overlap."""
-    unequal = F.aggregate(F.zip_with(bits1, bits2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    width = F.least(F.size(bits1), F.size(bits2))
+    unequal = F.aggregate(F.zip_with(_folded(bits1, width), _folded(bits2, width), lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda s, x: s + F.bit_count(x))
     most = F.floor((n1 + n2 - unequal) / 2)
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (100 * most >= percent * (n1 + n2 - most))
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (x, y) of rows whose sets reach the threshold, by exact intersection of sorted arrays."""
-    needed = pairs.select(F.col("x").alias("need")).unionAll(pairs.select(F.col("y").alias("need"))).distinct()
+    needed = stored(pairs.select(F.col("x").alias("need")).unionAll(pairs.select(F.col("y").alias("need"))).distinct(), "jaccard-needed")
+    needed = F.broadcast(needed) if needed.count() <= FEW_ROWS else needed.hint("shuffle_hash")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    texts = texts.join(needed.hint("shuffle_hash"), F.col("row") == F.col("need")).select("row", "text")
+    texts = texts.join(needed, F.col("row") == F.col("need")).select("row", "text")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -187,25 +236,40 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
             .mapInArrow(verify, "x long, y long"))
 
 
-def _mixed_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each (tile, block pair), as far as size and signature allow."""
+def _mixed_pairs(members: DataFrame, percent: int, places: tuple[int, int | None]) -> DataFrame:
+    """Pairs of different components within each (tile, block pair), as far as size and signature allow: those at ``places`` of their lists."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in key_runs(batches, ("tile", "low", "high")):
-            yield from _tile_pairs(tile, percent)
+            yield from _tile_pairs(tile, percent, places)
 
     return (members.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
             .mapInArrow(compare, "x long, y long").distinct())
 
 
-def _tile_pairs(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    col = {c: table.column(c).to_numpy() for c in ("row", "n", "root", "block", "low", "high")}
-    bits = matrix(table, "bits").view(np.uint64)
+def _same_width(lists: pa.ListArray) -> np.ndarray:
+    """Signatures of one tile as a matrix: those of twice the bits are folded."""
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    size = np.diff(ends)
+    width = int(size.min())
+    at = ends[:-1, None] + np.arange(width)
+    bits = flat[at]
+    wide = size > width
+    bits[wide] ^= flat[at[wide] + width]
+    return bits
+
+
+def _tile_pairs(table: pa.Table, percent: int, places: tuple[int, int | None]) -> Iterator[pa.RecordBatch]:
+    col = {c: table.column(c).to_numpy() for c in ("row", "n", "first_root", "root", "block", "low", "high")}
+    bits = _same_width(table.column("bits").combine_chunks())
     side = np.flatnonzero(col["block"] == col["low"]), np.flatnonzero(col["block"] == col["high"])
     same = col["low"][0] == col["high"][0]
-    for start in range(0, len(side[0]), 256):
-        i, j = side[0][start:start + 256, None], side[1][None, :]
+    _, group, members = np.unique(col["first_root"], return_inverse=True, return_counts=True)
+    step = max(1, COMPARED // max(1, len(side[1]) * bits.shape[1]))
+    pairs = []
+    for start in range(0, len(side[0]), step):
+        i, j = side[0][start:start + step, None], side[1][None, :]
         n1, n2 = col["n"][i], col["n"][j]
-        ok = (col["root"][i] != col["root"][j]) & (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent)
+        ok = (group[i] != group[j]) & (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent)
         if same:
             ok &= i < j
         a, b = (np.broadcast_to(v, ok.shape)[ok] for v in (i, j))
@@ -213,40 +277,64 @@ def _tile_pairs(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         size = col["n"][a] + col["n"][b]
         most = (size - unequal) // 2
         keep = 100 * most >= percent * (size - most)
-        x, y = col["row"][a[keep]], col["row"][b[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
+        pairs.append(np.stack([a[keep], b[keep], unequal[keep]]))
+    a, b, unequal = np.concatenate(pairs, axis=1) if pairs else np.empty((3, 0), np.int64)
+    # the list of a member of the smaller component holds the larger one's members; the lists are the same in every round
+    swap = (members[group[a]] > members[group[b]]) | ((members[group[a]] == members[group[b]]) & (group[a] > group[b]))
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((col["row"][b], unequal, group[b], a))
+    a, b = a[order], b[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (group[b][1:] != group[b][:-1])))[:len(a)])
+    place = np.arange(len(a)) - np.repeat(new, np.diff(new, append=len(a)))
+    chosen = (place >= places[0]) & (place < (len(a) + 1 if places[1] is None else places[1])) & (col["root"][a] != col["root"][b])
+    x, y = col["row"][a[chosen]], col["row"][b[chosen]]
+    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, row (hash of doc_id and text), n_shingles, class_row (of an equal set), root (of the component), component_id."""
     signed = signed_sets(docs, words, percent)
-    classes = stored(signed.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(
-        F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles"))
-        .withColumnRenamed("n_shingles", "n"), "jaccard-classes")
+    # the class's smallest row stands for it; `place` tells apart rows that are equal
+    classes = signed.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(
+        F.min(F.struct("row", "place")).alias("least"), F.min("doc_id").alias("least_id"), F.first("bits").alias("bits"))
+    classes = stored(classes.select("a", "b", F.col("n_shingles").alias("n"), "least.row", "least.place", "least_id", "bits"), "jaccard-classes")
 
+    places = classes.select(F.col("place").alias("c_place"))
+    places = F.broadcast(places) if classes.count() <= FEW_ROWS else places.hint("shuffle_hash")
     in_tile = Window.partitionBy("tile").orderBy("row")
-    members = classes.select(F.explode("tiles").alias("tile"), "row").withColumn("pivot", F.first("row").over(in_tile))
-    members = stored(members.where("row != pivot"), "jaccard-tiles")
+    members = signed.select("place", "row", "tiles").join(places, F.col("place") == F.col("c_place")).select(F.explode("tiles").alias("tile"), "row")
+    members = stored(members.withColumn("pivot", F.first("row").over(in_tile)).where("row != pivot"), "jaccard-tiles")
 
     slim = classes.select("row", "n", "bits")
-    p, q = slim.select(*(F.col(c).alias(f"x_{c}") for c in slim.columns)), slim.select(*(F.col(c).alias(f"y_{c}") for c in slim.columns))
+    half = slim.withColumn("bits", _folded(F.col("bits"), (F.size("bits") / 2).cast("int")))
+    p, q = half.select(*(F.col(c).alias(f"x_{c}") for c in slim.columns)), half.select(*(F.col(c).alias(f"y_{c}") for c in slim.columns))
     stars = (members.select(F.col("row").alias("x"), F.col("pivot").alias("y")).distinct()
              .join(p, F.col("x") == F.col("x_row")).join(q, F.col("y") == F.col("y_row"))
              .where(_possible(F.col("x_n"), F.col("y_n"), F.col("x_bits"), F.col("y_bits"), percent)).select("x", "y"))
     links = stored(_linked(docs, stored(stars, "jaccard-stars"), words, percent), "jaccard-links")
-    roots = connected_components(links, "x", "y").select("node", "root")
+    roots = stored(connected_components(links, "x", "y").select("node", "root"), "jaccard-roots")
 
     # tiles that still hold several components, without their pivots (these have met every member)
-    first = members.join(roots, F.col("row") == F.col("node"), "left").select("tile", "row", F.coalesce("root", "row").alias("root"))
-    several = first.groupBy(F.col("tile").alias("s_tile")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("lo != hi")
-    rest = (first.join(several, F.col("tile") == F.col("s_tile"))
-            .withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-            .join(slim.withColumnRenamed("row", "c_row"), F.col("row") == F.col("c_row"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "n", "root", "bits"))
-    more = stored(_mixed_pairs(rest, percent), "jaccard-rest")
-    links = links.unionAll(_linked(docs, more, words, percent))
-    roots = connected_components(links, "x", "y").withColumnRenamed("root", "c_root")
+    first = stored(members.join(roots, F.col("row") == F.col("node"), "left").select("tile", "row", F.coalesce("root", "row").alias("first_root")), "jaccard-members")
+    for places in ROUNDS:
+        now = first.join(roots, F.col("row") == F.col("node"), "left").select("tile", "row", "first_root", F.coalesce("root", "row").alias("root"))
+        several = now.groupBy(F.col("tile").alias("s_tile")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo != hi")
+        several = stored(several.where(F.col("members") > places[0]), "jaccard-mixed")
+        rest = (now.join(several, F.col("tile") == F.col("s_tile")).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+                .withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+                .join(slim.withColumnRenamed("row", "c_row"), F.col("row") == F.col("c_row"))
+                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                .select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "n", "first_root", "root", "bits"))
+        if several.isEmpty():
+            break
+        more = stored(_mixed_pairs(rest, percent, places), "jaccard-rest")
+        if more.isEmpty():
+            continue
+        found = stored(_linked(docs, more, words, percent), "jaccard-links")
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            roots = stored(connected_components(links, "x", "y").select("node", "root"), "jaccard-roots")
+    roots = roots.withColumnRenamed("root", "c_root")
 
     named = classes.select("a", "b", F.col("n").alias("n_shingles"), F.col("row").alias("class_row"), "least_id").join(roots, F.col("class_row") == F.col("node"), "left")
     named = named.select("a", "b", "n_shingles", "class_row", "least_id", F.coalesce("c_root", "class_row").alias("root"))

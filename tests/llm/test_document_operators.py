@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.llm import embedding_dedup, jaccard_join, quality_knn, quality_rules
+from sitelens.llm import embedding_dedup, jaccard_join, line_dedup, quality_knn, quality_rules
 from sitelens.llm.components import connected_components
 
 from .conftest import AWKWARD
@@ -358,3 +359,90 @@ def test_pipeline_stages(graded, spark, tmp_path, prose, docs_of):
     assert set(packed) == set(private)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.select("doc_id", "start", "ids_crc32", "sequence_id").collect())) == sorted(map(tuple, seen[-1].select("doc_id", "start", "ids_crc32", "sequence_id").collect()))
+
+
+def test_unrelated_sets_of_a_band_make_no_candidates(docs_of, spark):
+    """2,000 unrelated texts of one band: no part is shared, so no pair is ever formed."""
+    rng = np.random.default_rng(7)
+    sets = [np.sort(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in rng.integers(330, 400, 2_000)]
+    for percent in (80, 90):
+        keys = np.concatenate(jaccard_join.tile_keys(sets, percent))
+        assert len(keys) - len(np.unique(keys)) < 40  # sets with more empty parts than the surplus are rare
+    a = sets[0]
+    for percent in (80, 90):
+        for drop in range(0, len(a) * (100 - percent) // 100 + 1, 5):
+            x, y = jaccard_join.tile_keys([a, a[drop:]], percent)
+            assert set(x) & set(y)
+        few = [np.sort(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in range(1, 60)]
+        for s in few:  # every pair of small sets that reaches the threshold meets, empty parts or not
+            for drop in range(len(s)):
+                if 100 * (len(s) - drop) >= percent * len(s):
+                    x, y = jaccard_join.tile_keys([s, s[drop:]], percent)
+                    assert set(x) & set(y)
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (3, 40, 400, 1_500, 6_000):
+        a, b = (np.sort(rng.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(2))
+        most = int(jaccard_join._most_different(n, n, 80))
+        for other in (b, a[n // 8:], np.sort(np.concatenate([a[n // 10:], b[:n // 10]]))):
+            bits = pa.array([jaccard_join.signature(a, 80), jaccard_join.signature(other, 80)], pa.list_(pa.int64()))
+            x, y = jaccard_join._same_width(bits)
+            unequal = int(np.bitwise_count(x ^ y).sum())
+            assert unequal <= len(np.setxor1d(a, other))
+            assert n < 40 or other is not b or unequal > 3 * most  # unrelated sets of any size are told apart
+
+
+def test_results_outlive_the_scratch_of_others(docs_of, prose, spark):
+    import corpus_pipeline
+
+    from sitelens.llm.common import Scratch
+
+    docs = docs_of([(i, prose(i // 2, 60)) for i in range(20)])
+    mine = line_dedup.dedup_lines(docs)  # reads its tables when it is counted, below
+    one, two = Scratch(), Scratch()
+    with one.open():
+        first = line_dedup.dedup_lines(docs)
+    with two.open():
+        line_dedup.dedup_lines(docs)
+    assert len(one.paths) == len(two.paths) == 1
+    two.release(spark)
+    corpus_pipeline.line_stage(spark, docs, "").count()
+    corpus_pipeline.line_stage(spark, docs, "").count()
+    assert mine.count() == first.count() == 20
+
+
+def test_ids_of_any_type(graded, docs_of, labels_of):
+    _, docs, labels = graded
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    ids = {r.doc_id for r in named(docs).select("doc_id").collect()}
+    scored = quality_rules.score_quality(named(docs), named(labels)).collect()
+    assert {r.doc_id for r in scored} == ids
+    votes = quality_knn.score_documents(named(docs).union(named(docs).limit(1).withColumn("doc_id", F.lit(None).cast("string"))), named(labels)).collect()
+    assert {r.doc_id for r in votes} == ids | {None} and all(r.held_out is not None for r in votes)
+    many = docs.union(docs.where("doc_id = 1")).union(docs.where("doc_id = 1"))
+    assert quality_rules.labelled_sample(many, labels, "quality", 10_000).groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("planted", [4_000, 30])
+def test_recall_of_planted_links_among_many_vectors(spark, tmp_path, planted):
+    """20,000 vectors of 64 numbers; copies with noise that leaves cosines of 0.95 to 0.99, many and few."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(planted)
+    x = rng.standard_normal((20_000, 64))
+    at = rng.permutation(20_000)[:2 * planted].reshape(2, -1)
+    x[at[1]] = x[at[0]] + rng.uniform(0.14, 0.32, (planted, 1)) * rng.standard_normal((planted, 64))
+    x = x.astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(20_000), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(np.zeros(20_000, np.int32))}), f"{tmp_path}/v.parquet")
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    true = np.concatenate([(u[k:k + 2_000] @ u.T >= 0.95).sum(axis=1) - 1 for k in range(0, 20_000, 2_000)])
+    assert 1.5 * planted < true.sum() <= 2 * planted + 20
+    linked = embedding_dedup.link_vectors(spark.read.parquet(f"{tmp_path}/v.parquet")).toPandas().set_index("vec_id").sort_index()
+    found = linked.n_links.to_numpy()
+    assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
+    print("links found", int(found.sum()), "of", int(true.sum()))
+    exact = at[:, found[at[0]] * found[at[1]] > 0]
+    assert (linked.component_id.to_numpy()[exact[0]] == linked.component_id.to_numpy()[exact[1]]).mean() > 0.99
