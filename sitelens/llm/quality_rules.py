@@ -93,24 +93,40 @@ def fit(rows: list, bits: int, epochs: int = 40, rate: float = 8.0) -> Model:
         share = float(y.mean()) if len(rows) else 1.0
         return Model(bits, np.zeros(width, np.float32), 0.0, 0.0, 35.0 if share == 1 else -35.0 if share == 0 else float(np.log(share / (1 - share))))
     train = np.arange(len(rows)) % 5 != 0
-    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    feature, value = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
+    parts = _parts(rows)
     weights, bias = np.zeros(width), float(np.log(y.mean() / (1 - y.mean())))
     square, square_bias = np.full(width, 1e-8), 1e-8
     importance = np.where(train, np.where(y > 0, 0.5 / max(1, (y * train).sum()), 0.5 / max(1, ((1 - y) * train).sum())), 0)
     for _ in range(epochs):
-        z = np.bincount(owner, weights=weights[feature] * value, minlength=len(rows)) + bias
+        z = _margins(parts, weights, len(rows)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * importance
-        grad = np.bincount(feature, weights=error[owner] * value, minlength=width) + 1e-9 * weights
+        grad = 1e-9 * weights
+        for owner, feature, value in parts:
+            grad += np.bincount(feature, weights=error[owner] * value, minlength=width)
         square += grad * grad
         weights -= rate * grad / np.sqrt(square)
         square_bias += error.sum() ** 2
         bias -= 0.5 * error.sum() / np.sqrt(square_bias)
-    z = np.bincount(owner, weights=weights[feature] * value, minlength=len(rows)) + bias
+    z = _margins(parts, weights, len(rows)) + bias
     slope, shift = platt(z[~train], y[~train]) if 0 < y[~train].mean() < 1 else (1.0, 0.0)
     return Model(bits, weights.astype(np.float32), bias, slope, shift)
 
 
+def _parts(rows: list, features: int = 500_000) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row number, feature and value of the sample's features, in runs of about so many: the driver's work arrays stay small."""
+    ends = np.cumsum([len(r[2]) for r in rows])
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] + features, features))
+    return [(np.repeat(np.arange(a, b, dtype=np.int32), [len(r[2]) for r in rows[a:b]]), np.concatenate([r[2] for r in rows[a:b]]), np.concatenate([r[3] for r in rows[a:b]]))
+            for a, b in zip([0, *cuts[1:]], [*cuts[1:], len(rows)]) if a < b]
+
+
+def _margins(parts: list, weights: np.ndarray, n: int) -> np.ndarray:
+    z = np.zeros(n)
+    for owner, feature, value in parts:
+        z += np.bincount(owner, weights=weights[feature] * value, minlength=n)
+    return z
+
+
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope and shift of the logistic calibration, by Newton's method on Platt's smoothed targets."""
     up, down = y.sum(), (1 - y).sum()
