@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..session import replaced
 
 _S = T.StringType()
 _LS = T.ArrayType(T.StringType())
@@ -222,7 +223,7 @@ def write_package_bundle(packages: DataFrame, out_dir: str) -> None:
     """Per package, the pages a buyer is entitled to (full pages when paid
     and ready, else preview pages) as JSON rows, the page map, and llms.txt lines.
 
-    Files are range-partitioned and sorted by slug (not a folder for each), so
+    The three outputs take the place of an earlier bundle together.  Files are range-partitioned and sorted by slug (not a folder for each), so
     their number follows the data; no package is gathered into one row.
     """
     paid_full = (F.col("payment_status") == "paid") & F.col("full_pages").isNotNull()
@@ -230,10 +231,11 @@ def write_package_bundle(packages: DataFrame, out_dir: str) -> None:
                                                     .otherwise(F.col("preview_pages"))).alias("page_slug", "p")) \
         .where("page_slug IS NOT NULL")
     by_slug = lambda df: df.repartitionByRange("slug").sortWithinPartitions("slug")
-    by_slug(pages.select("slug", "page_slug", F.col("p.*"))).write.mode("overwrite").json(f"{out_dir}/pages")
-    by_slug(package_page_map(packages)).write.mode("overwrite").json(f"{out_dir}/page_map")
     lines = pages.select("slug", "page_slug",
                          F.concat(F.lit("- ["), F.coalesce(F.col("p.title"), F.col("page_slug")), F.lit("]("),
                                   F.col("page_slug"), F.lit(".json)")).alias("line"))
-    (lines.repartitionByRange("slug", "page_slug").sortWithinPartitions("slug", "page_slug")
-     .select("slug", "line").write.mode("overwrite").json(f"{out_dir}/llms"))
+    with replaced(packages.sparkSession, out_dir) as draft:
+        by_slug(pages.select("slug", "page_slug", F.col("p.*"))).write.json(f"{draft}/pages")
+        by_slug(package_page_map(packages)).write.json(f"{draft}/page_map")
+        lines = lines.repartitionByRange("slug", "page_slug").sortWithinPartitions("slug", "page_slug")
+        lines.select("slug", "line").write.json(f"{draft}/llms")

@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import by_index, collect_text, emitting, let, numbers
 from ..functions import urls as U
-from ..session import stored
+from ..functions.arrays import by_index, collect_text, emitting, let, numbers
+from ..session import replaced, stored
 from .diagnose import diagnose_pages
 
 # ---------------------------------------------------------------------------
@@ -342,7 +342,7 @@ def write_rewrite_bundle(accepted: DataFrame, out_dir: str) -> None:
     """Markdown files, llms.txt lines and metadata of all sites, as JSON lines.
 
     The rewrite chain runs once (its result is written to the shared folder);
-    every output is range-partitioned and sorted by site, so files follow the
+    the five outputs take the place of an earlier bundle together; every output is range-partitioned and sorted by site, so files follow the
     data and a very large site is written by several tasks.
 
     * ``markdown/`` - one line per document (site, file_name, content);
@@ -351,9 +351,10 @@ def write_rewrite_bundle(accepted: DataFrame, out_dir: str) -> None:
       per-site summary (A11) and its distinct improvements.
     """
     accepted = stored(accepted, "accepted")
-    put = lambda df, name, *keys: df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").json(f"{out_dir}/{name}")
-    put(accepted.select("site", "file_name", "title", "url", "content"), "markdown", "site", "file_name")
-    put(llms_txt_lines(accepted), "llms", "site", "section", "cat_ord", "ord")
-    put(accepted.select("site", "title", "file_name", F.col("url").alias("original_url"), "improvements"), "metadata/pages", "site", "file_name")
-    put(improvement_summary(accepted), "metadata/summary", "site")
-    put(distinct_improvements(accepted), "metadata/improvements", "site", "improvement")
+    with replaced(accepted.sparkSession, out_dir) as draft:
+        put = lambda df, name, *keys: df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.json(f"{draft}/{name}")
+        put(accepted.select("site", "file_name", "title", "url", "content"), "markdown", "site", "file_name")
+        put(llms_txt_lines(accepted), "llms", "site", "section", "cat_ord", "ord")
+        put(accepted.select("site", "title", "file_name", F.col("url").alias("original_url"), "improvements"), "metadata/pages", "site", "file_name")
+        put(improvement_summary(accepted), "metadata/summary", "site")
+        put(distinct_improvements(accepted), "metadata/improvements", "site", "improvement")

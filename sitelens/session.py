@@ -88,6 +88,29 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def replaced(spark: SparkSession, out_dir: str):
+    """A draft folder that takes the place of ``out_dir`` when the block ends well, and is deleted when it does not.
+
+    All that a bundle consists of is written to the draft, so readers see the
+    whole of the old bundle or the whole of the new one, but for the moment
+    between two renames, in which there is none.
+    """
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(out_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    draft, old = (f"{out_dir.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("draft", "old"))
+    try:
+        yield draft
+    except BaseException:
+        fs.delete(path(draft), True)
+        raise
+    if fs.exists(path(out_dir)):
+        fs.rename(path(out_dir), path(old))
+    if not fs.rename(path(draft), path(out_dir)):
+        raise RuntimeError(f"could not put {draft} in the place of {out_dir}")
+    fs.delete(path(old), True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder's name under the shared folder, noted by the scratch at hand."""
     path = f"{checkpoint_dir(spark)}/sitelens/{name}-{uuid.uuid4().hex}"

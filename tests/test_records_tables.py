@@ -72,3 +72,21 @@ def test_a_deep_page_of_a_hot_key_sorts_its_ranges_only(spark):
         assert {(r.org, r.id, r.position) for r in got.collect()} == want
     _, wanted = ranking.page_ranges(rows, "org", order, 2_400, 25)
     assert 1 <= wanted.where("_c_key = 'hot'").count() <= 2
+
+
+def test_a_bundle_is_replaced_as_a_whole(spark):
+    from sitelens.session import replaced
+
+    out = os.path.join(tempfile.mkdtemp(prefix="sitelens-bundle-"), "bundle")
+    put = lambda at, n: [spark.range(n).write.json(f"{at}/{name}") for name in ("one", "two")]
+    sizes = lambda: [spark.read.json(f"{out}/{name}").count() for name in ("one", "two")]
+    with replaced(spark, out) as draft:
+        put(draft, 3)
+    assert sizes() == [3, 3]
+    with pytest.raises(RuntimeError), replaced(spark, out) as draft:
+        spark.range(9).write.json(f"{draft}/one")
+        raise RuntimeError("killed")
+    assert sizes() == [3, 3]
+    with replaced(spark, out) as draft:
+        put(draft, 5)
+    assert sizes() == [5, 5] and os.listdir(os.path.dirname(out)) == ["bundle"]
