@@ -34,6 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import collect_text, emitting, let, numbers
 from .common import row_key, stored
 
 #: Kinds in listed order.
@@ -59,6 +60,7 @@ ALPHA = 1.5
 MIN_VALUES = 5
 MIN_LINES = 3
 REMOVE_FROM = 0.9
+BLOCK_CHARS = 512
 
 
 def _digits(value: Column) -> Column:
@@ -86,13 +88,11 @@ def _matches(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), values.alias("value"))
-    placed = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("found")),
-        lambda s, p: F.when(p["value"].isNull(), s).otherwise(F.struct(
-            (s["at"] + F.length(p["gap"]) + F.length(p["value"])).alias("at"),
-            F.concat(s["found"], F.array(F.struct(F.lit(kind).alias("kind"), (s["at"] + F.length(p["gap"])).alias("start"),
-                                                  (s["at"] + F.length(p["gap"]) + F.length(p["value"])).alias("end"), p["value"].alias("value")))).alias("found"))),
-        lambda s: F.filter(s["found"], lambda x: _valid(kind, x["value"])))
+    # a fold copies arrays in its state at every step, so the starts are gathered as text and put beside the values again
+    starts = numbers(collect_text(pairs, F.lit(0), lambda at, p: F.when(p["value"].isNull(), emitting(at)).otherwise(emitting(
+        at + F.length(p["gap"]) + F.length(p["value"]), F.concat((at + F.length(p["gap"])).cast("string"), F.lit(";"))))), ("start",))
+    placed = F.filter(F.zip_with(starts, values, lambda s, value: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(value)).alias("end"), value.alias("value"))),
+                      lambda x: _valid(kind, x["value"]))
     held = text.rlike("[0-9]{4}") | text.rlike(r"[0-9][\x20-][0-9]") if NEEDS[kind] is None else text.contains(NEEDS[kind])
     return F.when(held & text.rlike(pattern), placed)
 
@@ -133,8 +133,9 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, min_values: int = MI
     likely = likely.unionAll(pairs.where(F.col("both") >= min_lines).select("term", "kind", "value", "both"))
     entity = (marked.select(F.explode(F.concat(F.transform(kinds, lambda k: F.struct(k.alias("kind"), whole)), F.col("values"))).alias("e"))
               .groupBy(F.col("e.kind").alias("e_kind"), F.col("e.value").alias("e_value")).agg(F.count("*").alias("n_entity")))
-    everywhere = lines.select(F.explode(_words(F.col("line"))).alias("t_term")).groupBy("t_term").agg(F.count("*").alias("n_term"))
-    total = lines.count()
+    # the empty term stands once on every line, so that one pass gives the number of lines too
+    everywhere = stored(lines.select(F.explode(F.concat(_words(F.col("line")), F.array(F.lit("")))).alias("t_term")).groupBy("t_term").agg(F.count("*").alias("n_term")), "pii-words")
+    total = (everywhere.where("t_term = ''").first() or (None, 0))[1]
     share = F.col("both") / F.col("n_term")
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.col("both") * float(total) / (F.col("n_term").cast("double") * F.col("n_entity")))
@@ -157,17 +158,17 @@ def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = hits.groupBy(F.col("row").alias("h_row"), F.col("doc_id").alias("h_id")).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("wanted"))
     order = Window.partitionBy("row", "doc_id")
     before = Window.unboundedPreceding, -1
-    lines = _lines(rows.join(wanted, same), "row", "doc_id", "spans", "wanted")
+    lines = _lines(rows.join(wanted, same), "row", "doc_id", "wanted")
     lines = lines.withColumn("begin", F.coalesce(F.sum(F.length("line") + 1).over(order.orderBy("line_no").rowsBetween(*before)), F.lit(0)))
     lines = lines.where(F.arrays_overlap(F.transform(F.regexp_extract_all("line", F.lit(LETTERS), F.lit(0)), F.lower), F.map_keys("wanted")))
-    own = F.filter("spans", lambda s: (s["start"] >= F.col("begin")) & (s["start"] < F.col("begin") + F.length("line")))
-    words = lines.withColumn("own", own).select("row", "doc_id", "line_no", "begin", "own", "wanted", F.posexplode(
+    # no pattern matches across lines, so a line's spans are those of the line alone
+    words = lines.withColumn("own", base_spans(F.col("line"))).select("row", "doc_id", "line_no", "begin", "own", "wanted", F.posexplode(
         F.arrays_zip(F.split("line", LETTERS, -1).alias("gap"), F.regexp_extract_all("line", F.lit(LETTERS), F.lit(0)).alias("word"))).alias("k", "w"))
     in_line = Window.partitionBy("row", "doc_id", "line_no").orderBy("k").rowsBetween(*before)
     size = F.length("w.gap") + F.coalesce(F.length("w.word"), F.lit(0))
     words = words.withColumn("start", (F.col("begin") + F.coalesce(F.sum(size).over(in_line), F.lit(0)) + F.length("w.gap")).cast("int"))
     words = words.where(F.col("w.word").isNotNull()).withColumn("end", F.col("start") + F.length("w.word"))
-    words = words.where(~F.exists("own", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+    words = words.where(~F.exists("own", lambda s: (s["start"] + F.col("begin") < F.col("end")) & (s["end"] + F.col("begin") > F.col("start"))))
     words = words.withColumn("removed", F.try_element_at("wanted", F.lower("w.word"))).where(F.col("removed").isNotNull())
     span = F.struct("start", "end", F.when(F.col("removed"), "removed").otherwise("term").alias("kind"))
     return words.groupBy(F.col("row").alias("t_row"), F.col("doc_id").alias("t_id")).agg(F.array_sort(F.collect_list(span)).alias("terms"))
@@ -176,10 +177,11 @@ def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
 def find(docs: DataFrame, alpha: float = ALPHA, min_values: int = MIN_VALUES, remove_from: float = REMOVE_FROM, keep_text: bool = False) -> DataFrame:
     """doc_id, spans (kind, start, end, value: fixed patterns), terms (kind, start, end), and the text where asked for."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+    # written once, with the text only where there are spans to look around (or where the caller asks for it)
     found = rows.select("row", "doc_id", "text", base_spans(F.col("text")).alias("spans"))
-    few = stored(found.where(F.size("spans") > 0), "pii-documents")
+    found = stored(found if keep_text else found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "pii-documents")
     terms = stored(disclosing_terms(docs, alpha, min_values, remove_from), "pii-terms")
-    extra = term_spans(few, terms)
+    extra = term_spans(found, terms)
     columns = ["row", "doc_id", "spans"] + ["text"] * keep_text
     out = found.select(*columns).join(extra.hint("shuffle_hash"), (F.col("row") == F.col("t_row")) & F.col("doc_id").eqNullSafe(F.col("t_id")), "left")
     return out.select(*columns[1:], F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("terms"))
@@ -202,12 +204,22 @@ def masked(text: Column, spans: Column, terms: Column) -> Column:
     """The text with every span replaced by its kind's mark; of overlapping spans the first one's."""
     slim = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     marks = F.create_map(*(F.lit(x) for pair in MARKS.items() for x in pair))
-    pieces = F.aggregate(
-        F.array_sort(F.concat(F.transform(spans, slim), F.transform(terms, slim))), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(
-            F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), marks[x["kind"]]))).alias("out")),
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when((F.size(spans) > 0) | (F.size(terms) > 0), pieces).otherwise(text)
+    every = F.array_sort(F.concat(F.transform(spans, slim), F.transform(terms, slim)))
+
+    def replaced(blocks: Column) -> Column:
+        def part(start: Column, end: Column) -> Column:
+            """A stretch of the text, read from the blocks that hold it: reading it from the text would count from its start each time."""
+            first = F.floor(start / BLOCK_CHARS).cast("int")
+            held = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK_CHARS).cast("int") - first + 1), "")
+            return F.substring(held, start - first * BLOCK_CHARS + 1, end - start)
+
+        rest = lambda at: F.concat(part(at, (F.floor(at / BLOCK_CHARS).cast("int") + 1) * BLOCK_CHARS), F.array_join(
+            F.slice(blocks, F.floor(at / BLOCK_CHARS).cast("int") + 2, F.size(blocks) + 1), ""))
+        return collect_text(every, F.lit(0), lambda at, x: F.when(x["start"] < at, emitting(F.greatest(at, x["end"]))).otherwise(
+            emitting(x["end"], F.concat(part(at, x["start"]), marks[x["kind"]]))), rest)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+    return F.when((F.size(spans) > 0) | (F.size(terms) > 0), let(blocks, replaced)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, min_values: int = MIN_VALUES, remove_from: float = REMOVE_FROM) -> DataFrame:

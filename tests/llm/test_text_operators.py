@@ -297,3 +297,25 @@ def test_pieces_with_a_score_of_zero_and_long_words():
     assert [model.number[piece]] == ids.tolist()
     long = "ab" * 500
     assert len(model.encode([[long], [long]])[0]) and long not in model.known
+
+
+def test_pii_of_very_long_lists_takes_linear_time(docs_of):
+    import time
+
+    def text(n):
+        return "\n".join(f"é{i} someone{i}@example.org, 10.0.{i % 250}.{i % 99} ok" for i in range(n))
+
+    def seconds(texts):
+        docs = docs_of([(k, t) for k, t in enumerate(texts)]).coalesce(1)
+        started = time.time()
+        rows = pii.digest(pii.find(docs)).collect()
+        clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+        return time.time() - started, rows, clean
+
+    seconds([text(50)])
+    many, _, _ = seconds([text(10_000)] * 5)
+    one, rows, clean = seconds([text(50_000)])  # 100,000 finds in one text
+    assert (rows[0].n_email, rows[0].n_ip) == (50_000, 50_000)
+    assert one < 2 * many + 3
+    assert "@" not in clean[0] and clean[0].count("[EMAIL]") == clean[0].count("[IP]") == 50_000
+    assert re.sub(r"\[TERM\]|ok", "", clean[0].split("\n")[-1]).split() == ["é49999", "[EMAIL],", "[IP]"]
