@@ -28,9 +28,20 @@ def score_queries(results: DataFrame, key: str = "analysis_id", keys: DataFrame
     """Per ``key``: overall 0-100, grade, five components, count, pass rate, mean latency.
 
     ``keys`` (one column ``key``) adds groups with no results: overall 0, grade F.
+    They join the aggregate as rows without values, so results are read and
+    shuffled once and nothing is sorted; null keys of either side stay apart.
     """
-    agg = results.groupBy(key).agg(
-        F.count(F.lit(1)).alias("query_count"),
+    groups = [key]
+    if keys is None:
+        rows = results.withColumn("_result", F.lit(1))
+    else:
+        values = ["accuracy_score", "retrieval_precision", "citation_accuracy", "latency_ms", "code_valid", "passed"]
+        rows = results.select(key, *values, F.lit(1).alias("_result"), F.lit(False).alias("_null_key")).unionByName(
+            keys.select(key, *[F.lit(None).cast(results.schema[c].dataType).alias(c) for c in values],
+                        F.lit(None).cast("int").alias("_result"), F.col(key).isNull().alias("_null_key")))
+        groups.append("_null_key")
+    agg = rows.groupBy(*groups).agg(
+        F.count("_result").alias("query_count"),
         _mean("accuracy_score").alias("m_acc"), _mean("retrieval_precision").alias("m_prec"),
         _mean("citation_accuracy").alias("m_cit"), F.avg("latency_ms").alias("m_lat"),
         F.sum("latency_ms").alias("s_lat"),
@@ -43,6 +54,8 @@ def score_queries(results: DataFrame, key: str = "analysis_id", keys: DataFrame
     code = F.when(F.col("n_code") == 0, F.lit(1.0)).otherwise(F.col("n_valid") / F.col("n_code"))
     comp = {"accuracy": F.col("m_acc"), "context_utilization": F.col("m_prec"), "latency": lat,
             "citation_quality": F.col("m_cit"), "code_executability": code}
+    of = lambda value: value if keys is None else F.when(F.col("query_count") > 0, value).otherwise(0.0)
+    comp = {name: of(value) for name, value in comp.items()}
     # summed in the scorer's component order: accuracy, context, latency, citation, code
     composite = None
     weights = dict(K.QUERY_COMPONENTS)
@@ -50,21 +63,12 @@ def score_queries(results: DataFrame, key: str = "analysis_id", keys: DataFrame
         term = comp[name] * F.lit(weights[name])
         composite = term if composite is None else composite + term
     overall = T.half_even(composite * 100)
-    out = agg.select(
+    return agg.select(
         key, overall.alias("overall"), T.grade(overall).alias("grade"),
         *[T.half_even(comp[n] * 100).alias(n) for n in ["accuracy", "context_utilization", "latency",
                                                        "citation_quality", "code_executability"]],
-        "query_count", F.round(F.col("n_passed") / F.col("query_count"), 6).alias("pass_rate"),
-        F.floor(F.col("s_lat") / F.col("query_count")).cast("long").alias("avg_latency_ms"))
-    if keys is not None:
-        empty = keys.select(key).join(results.select(key), key, "left_anti").distinct()
-        out = out.unionByName(empty.select(
-            key, F.lit(0).alias("overall"), F.lit("F").alias("grade"),
-            *[F.lit(0).alias(n) for n in ["accuracy", "context_utilization", "latency", "citation_quality",
-                                          "code_executability"]],
-            F.lit(0).cast("long").alias("query_count"), F.lit(0.0).alias("pass_rate"),
-            F.lit(0).cast("long").alias("avg_latency_ms")))
-    return out
+        "query_count", F.round(of(F.col("n_passed") / F.col("query_count")), 6).alias("pass_rate"),
+        F.floor(of(F.col("s_lat") / F.col("query_count"))).cast("long").alias("avg_latency_ms"))
 
 
 def page_quality_signals(pages: DataFrame) -> DataFrame:

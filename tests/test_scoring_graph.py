@@ -25,6 +25,19 @@ def test_empty_analysis_is_zero_f(spark):
     assert s[2]["overall"] == 0 and s[2]["grade"] == "F" and s[2]["query_count"] == 0
 
 
+def test_empty_analyses_come_without_a_join_and_null_keys_stay_apart(spark):
+    df = spark.createDataFrame([(1, True, .9, .85, .8, 500, .9, True), (None, False, .9, .85, .8, 500, .9, None),
+                                (4, True, .9, None, None, None, None, None)], QR)
+    keys = spark.createDataFrame([(x,) for x in (1, 2, 2, None, None)], "analysis_id long")
+    out = scoring.score_queries(df, "analysis_id", keys)
+    rows = sorted((r["analysis_id"] or 0, r["query_count"], r["overall"], r["accuracy"], r["latency"], r["pass_rate"], r["avg_latency_ms"]) for r in out.collect() if r["analysis_id"] != 4)
+    first = scoring.score_queries(df, "analysis_id").where("analysis_id = 1").collect()[0]
+    assert rows == [(0, 0, 0, 0, 0, 0.0, 0), (0, 1, first["overall"], 85, 100, 0.0, 500), (1, 1, first["overall"], 85, 100, 1.0, 500), (2, 0, 0, 0, 0, 0.0, 0)]
+    four = [r for r in out.collect() if r["analysis_id"] == 4]
+    assert len(four) == 1 and four[0]["query_count"] == 1 and four[0]["overall"] is None and four[0]["avg_latency_ms"] is None
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # results are read once, nothing is sorted
+
+
 def test_perfect_and_low_accuracy(spark):
     perfect = score(spark, [(1, True, 1.0, 1.0, 1.0, 500, 1.0, True)] * 10)[1]
     assert perfect["overall"] >= 95 and perfect["grade"] in ("A", "A+") and perfect["pass_rate"] == 1.0
