@@ -318,16 +318,19 @@ def llms_txt_lines(accepted: DataFrame, header_text: str = LLMS_HEADER, footer_t
     Categories appear in first-seen document order; documents keep crawl
     order inside their category.  Order by (site, section, cat_ord, ord) to
     read the file; a site's lines are never gathered into one row.
+
+    What the lines need of each page is written to the shared folder: all four
+    kinds of lines read it there, so the rewrite chain behind it runs once.
     """
-    docs = accepted.select("site", "ord", "title", "url", "improvements", category_of(F.col("file_name")).alias("cat"))
-    first_seen = docs.groupBy("site", "cat").agg(F.min("ord").alias("cat_ord"))
     note = F.coalesce(F.try_element_at("improvements", F.lit(1)), F.lit(LLMS_DEFAULT_NOTE))
+    docs = stored(accepted.select("site", "ord", "title", "url", note.alias("note"), category_of(F.col("file_name")).alias("cat")), "llms-pages")
+    first_seen = docs.groupBy("site", "cat").agg(F.min("ord").alias("cat_ord"))
     doc_lines = docs.join(first_seen, ["site", "cat"]).select(
         "site", F.lit(1).alias("section"), "cat_ord", "ord",
-        F.concat(F.lit("  - ["), T.nz("title"), F.lit("]("), T.nz("url"), F.lit("): "), note).alias("line"))
+        F.concat(F.lit("  - ["), T.nz("title"), F.lit("]("), T.nz("url"), F.lit("): "), "note").alias("line"))
     heads = first_seen.select("site", F.lit(1).alias("section"), "cat_ord", F.lit(-1).cast("long").alias("ord"),
                               F.concat(F.lit("## "), F.col("cat")).alias("line"))
-    per_site = accepted.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("ord", "url")).alias("f"))
+    per_site = docs.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("ord", "url")).alias("f"))
     domain = F.coalesce(F.nullif(U.netloc(F.col("f.url")), F.lit("")), F.col("f.url"))
     h_text = F.replace(F.replace(F.lit(header_text), F.lit("{domain}"), domain), F.lit("{base_url}"), F.col("f.url"))
     header = per_site.select("site", F.lit(0).alias("section"), F.lit(0).cast("long").alias("cat_ord"),
