@@ -35,7 +35,7 @@ SEQUENCE = 2_048
 END_ID = 1
 DIMENSIONS, CURVE_BITS = 3, 10
 SPREAD = 12.0
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 2_000_000
 
 
 def default_tokenizer() -> str:

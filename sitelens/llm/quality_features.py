@@ -53,5 +53,6 @@ def frequencies(texts: list[bytes], bits: int, kinds: tuple[str, ...] = KINDS) -
         parts.append((text, (key & 0xFFFFFFFF).astype(np.int32), (n / total[text]).astype(np.float32)))
     text, feature, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(text, kind="stable")
-    cuts = np.searchsorted(text[order], np.arange(len(texts) + 1))
-    return [(feature[order][a:b], value[order][a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    text, feature, value = text[order], feature[order], value[order]
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    return [(feature[a:b], value[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]

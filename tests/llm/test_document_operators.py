@@ -284,6 +284,24 @@ def test_quality_rules(graded, docs_of):
     assert kept == {d for d, r in got.items() if r.kept}
 
 
+def test_frequencies_of_many_texts_share_their_arrays():
+    import tracemalloc
+
+    from sitelens.llm.quality_features import frequencies
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh  ") for _ in range(rng.randrange(1, 4_000))).encode() for _ in range(200)] + [b""]
+    frequencies(texts[:2], 17)
+    tracemalloc.start()
+    found = frequencies(texts, 17)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 60 * sum(map(len, texts))  # not one copy of all features for each text
+    for text, (feature, value) in zip(texts, found):
+        alone = frequencies([text], 17)[0]
+        assert feature.tolist() == alone[0].tolist() and value.tolist() == alone[1].tolist()
+
+
 @pytest.mark.parametrize("quality", [None, 0, 1])
 def test_quality_without_two_classes(docs_of, labels_of, prose, quality):
     labels = labels_of([] if quality is None else [(0, quality, 0), (1, quality, 0)])
